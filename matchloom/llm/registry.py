@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from matchloom.llm import op1_quality
+from matchloom.llm import op1_quality, op6_bpe, op7_pii
 
-_MODULES = {"op1_quality_rules": op1_quality}
+_MODULES = {
+    "op1_quality_rules": op1_quality,
+    "op6_byte_bpe": op6_bpe,
+    "op7_pii": op7_pii,
+}
 
 
 def queries() -> dict[str, Callable]:
