@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from matchloom.llm import op1_quality, op2_licenses, op6_bpe, op7_pii, op10_urls
+from matchloom.llm import op1_quality, op2_licenses, op6_bpe, op7_pii, op8_jaccard, op10_urls
 
 _MODULES = {
     "op1_quality_rules": op1_quality,
     "op2_licenses": op2_licenses,
     "op6_byte_bpe": op6_bpe,
     "op7_pii": op7_pii,
+    "op8_ngram_jaccard": op8_jaccard,
     "op10_url_filters": op10_urls,
 }
 
