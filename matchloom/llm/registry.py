@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from matchloom.llm import op1_quality, op2_licenses, op6_bpe, op7_pii, op8_jaccard, op10_urls
+from matchloom.llm import op1_quality, op2_licenses, op6_bpe, op7_pii, op8_jaccard, op9_ann, op10_urls
 
 _MODULES = {
     "op1_quality_rules": op1_quality,
@@ -12,6 +12,7 @@ _MODULES = {
     "op6_byte_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_ngram_jaccard": op8_jaccard,
+    "op9_nearest_codes": op9_ann,
     "op10_url_filters": op10_urls,
 }
 
