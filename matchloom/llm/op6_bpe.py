@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,10 +24,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.common import small_batches, table
+from matchloom.llm.textscan import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose codes a task remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -42,10 +44,16 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.split = regex.compile(pattern)
-        self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        #: Lengths of tokens by their last bytes (up to three), longest first: what may end a prefix.
+        ends: dict[bytes, set[int]] = {}
+        for b in ranks:
+            ends.setdefault(b[-3:], set()).add(len(b))
+        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in ends.items()}
+        self._pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        #: Tokens that merging can make; the others stand only for a whole piece.
+        self.made = {b: r for b, r in ranks.items() if self.reachable(r)}
 
     def merged(self, b: bytes, below: int) -> list[int]:
         """Tokens left after all merges of ranks under ``below``, lowest rank first, leftmost first."""
@@ -87,7 +95,7 @@ class Vocabulary:
 
     def stable(self, s: int, t: int) -> bool:
         """Whether the bytes of s and t together encode to s, t: no merge across the seam comes before both sides are done."""
-        key = (s, t)
+        key = s << 20 | t
         if (known := self._pairs.get(key)) is not None:
             return known
         left, right = self.edge(s, 1), self.edge(t, 0)
@@ -105,7 +113,7 @@ class Vocabulary:
                 i -= 1
             else:
                 j -= 1
-        if len(self._pairs) > 400_000:
+        if len(self._pairs) > 600_000:
             self._pairs.clear()
         self._pairs[key] = ok
         return ok
@@ -114,6 +122,17 @@ class Vocabulary:
         whole = self.ranks.get(b)
         return [whole] if whole is not None else Prefixes(self, b).ids()
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each piece; a piece keeps the entries of the prefix that it shares with the one before."""
+        table = Prefixes(self)
+        for b in pieces:
+            if (whole := self.ranks.get(b)) is not None:
+                yield [whole]
+                continue
+            old, n = table.b, min(len(table.b), len(b))
+            same = next((i for i in range(n) if old[i] != b[i]), n)
+            yield table.edit(same, len(old), b[same:]).ids()
+
     def encode(self, text: str) -> list[int]:
         return [i for p in self.split.findall(text) for i in self.encode_piece(p.encode())]
 
@@ -130,14 +149,27 @@ class Prefixes:
 
     def append(self, more: bytes) -> Prefixes:
         """Exact: entries of the shorter prefixes stay as they are."""
-        v, ranks, last = self.v, self.v.ranks, self.last
+        v, last = self.v, self.last
         b = self.b = self.b + more
+        rank, known, lengths = v.made.get, v._pairs.get, v.lengths.get
         for end in range(len(last) + 1, len(b) + 1):
-            for start in range(max(0, end - v.longest), end):
-                t = ranks.get(b[start:end])
-                if t is not None and (start == 0 or v.stable(last[start - 1], t)) and v.reachable(t):
+            for k in (3, 2, 1):  # tokens of three bytes and more share their last three bytes with the prefix
+                for n in lengths(b[end - k : end], ()) if k <= end else ():
+                    if n > end:
+                        continue
+                    t = rank(b[end - n : end])
+                    if t is None:
+                        continue
+                    if n < end:
+                        s = last[end - n - 1]
+                        ok = known(s << 20 | t)
+                        if not (v.stable(s, t) if ok is None else ok):
+                            continue
                     last.append(t)
                     break
+                else:
+                    continue
+                break
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return self
@@ -206,32 +238,39 @@ def _task(path: str, pattern: str):
         v, new, old = _held(path, pattern)
         split = v.split.findall
 
-        def code(piece: str) -> tuple[str, int, bytes]:
-            if (c := old.get(piece)) is None:
-                ids = v.encode_piece(piece.encode())
-                c = (" ".join(map(str, ids)), len(ids), v.decode(ids))
-            if len(new) >= REMEMBERED:
-                old.clear()
-                old.update(new)
-                new.clear()
-            new[piece] = c
-            return c
-
-        for b in batches:
-            n_tokens, ids_sha, decoded_sha = [], [], []
-            for text in b.column(1):
-                ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-                pieces = split(text.as_py() or "")
-                for i in range(0, len(pieces), 50_000):
-                    got = [new.get(p) or code(p) for p in pieces[i : i + 50_000]]
-                    ids.update(("" if first else " ").encode() + " ".join([c[0] for c in got]).encode())
-                    decoded.update(b"".join([c[2] for c in got]))
-                    n += sum([c[1] for c in got])
-                    first = False
-                n_tokens.append(n)
-                ids_sha.append(ids.hexdigest())
-                decoded_sha.append(decoded.hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        def learn(pieces: set[str]) -> None:
+            """Codes of all pieces: (ids as text, number of ids, decoded bytes)."""
+            fresh = []
+            for p in pieces:
+                if p not in new:
+                    if (c := old.get(p)) is not None:
+                        new[p] = c
+                    else:
+                        fresh.append(p.encode())
+            fresh.sort()
+            for b, ids in zip(fresh, v.encode_sorted(fresh), strict=True):
+                new[b.decode()] = (" ".join(map(str, ids)), len(ids), v.decode(ids))
+
+        for whole in batches:
+            for b in slices(whole, "text"):
+                if len(new) >= REMEMBERED:  # codes not used since the last turn go
+                    old.clear()
+                    old.update(new)
+                    new.clear()
+                every = [split(t.as_py() or "") for t in b.column(1)]
+                learn(set().union(*every))
+                n_tokens, ids_sha, decoded_sha = [], [], []
+                for pieces in every:
+                    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+                    for i in range(0, len(pieces), 50_000):
+                        got = [new[p] for p in pieces[i : i + 50_000]]
+                        ids.update((b" " if i else b"") + " ".join([c[0] for c in got]).encode())
+                        decoded.update(b"".join([c[2] for c in got]))
+                        n += sum([c[1] for c in got])
+                    n_tokens.append(n)
+                    ids_sha.append(ids.hexdigest())
+                    decoded_sha.append(decoded.hexdigest())
+                yield pa.record_batch([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
