@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from matchloom.llm import op1_quality, op2_licenses, op6_bpe, op7_pii, op8_jaccard, op9_ann, op10_urls
+import corpus_pipeline
+from matchloom.llm import (
+    op1_quality,
+    op2_licenses,
+    op3_classifier,
+    op4_rollups,
+    op5_mixing,
+    op6_bpe,
+    op7_pii,
+    op8_jaccard,
+    op9_ann,
+    op10_urls,
+)
 
 _MODULES = {
     "op1_quality_rules": op1_quality,
     "op2_licenses": op2_licenses,
+    "op3_quality_classifier": op3_classifier,
+    "op4_token_counts": op4_rollups,
+    "op5_mixing": op5_mixing,
     "op6_byte_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_ngram_jaccard": op8_jaccard,
@@ -18,8 +33,9 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    return {name: m.query for name, m in _MODULES.items()}
+    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: m.SQL for name, m in _MODULES.items() if getattr(m, "SQL", None)}
+    own = {name: m.SQL for name, m in _MODULES.items() if getattr(m, "SQL", None)}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
