@@ -38,8 +38,10 @@ from matchloom.operators.components import connected_components
 K = 4
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Counters of the frequency sketch (8 bytes each).
-COUNTERS = 1 << 18
+#: Counters of the frequency sketch (8 bytes each), and bits of the map of wanted ids.
+COUNTERS, MARKS = 1 << 18, 1 << 25
+#: Rows without an id get one from their set, from here on.
+_NO_ID = 1 << 62
 STAR_ROUNDS = 2
 #: Sets of one pivot that one task compares.
 DEAL = 512
@@ -97,25 +99,62 @@ def in_order(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, counts[_counter(h)]))]
 
 
-def _sets_task(shared, whole_sets: bool):
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return tuple(int.from_bytes(d[i : i + 8], "little", signed=True) for i in (0, 8))
+
+
+def _prefix_task(shared):
+    """A row for each text: set size, digest of the set and its prefix in the global order."""
+
     def run(batches):
         counts = shared.value
         for whole in batches:
             for b in slices(whole):
                 sets = shingle_sets(b.column(1))
-                n = [len(x) for x in sets]
-                if whole_sets:
-                    tokens = [in_order(x, counts).astype(np.int64) for x in sets]
-                    yield pa.record_batch([b.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "tokens"])
-                    continue
-                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                hi, lo = zip(*map(_digest, sets), strict=True)
                 part = [in_order(x, counts)[: len(x) - (PERCENT * len(x) + 99) // 100 + 1].astype(np.int64) if len(x) else [] for x in sets]
-                hi, lo = ([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests] for i in (0, 8))
-                yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(part, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "prefix"])
+                yield pa.record_batch([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(part, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "prefix"])
+
+    return run
+
+
+def _whole_task(shared, marked):
+    """Whole ordered sets of the texts whose id may be wanted (rows without an id always are)."""
+
+    def run(batches):
+        counts, bits = shared.value, marked.value
+        for whole in batches:
+            ids = whole.column(0)
+            at = np.mod(ids.fill_null(0).to_numpy(), MARKS)
+            wanted = (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
+            for b in slices(whole.filter(pa.array(wanted))):
+                sets = shingle_sets(b.column(1))
+                lo = [_digest(x)[1] for x in sets]
+                rep = [i if i is not None else x & _NO_ID - 1 | _NO_ID for i, x in zip(b.column(0).to_pylist(), lo, strict=True)]
+                tokens = [in_order(x, counts).astype(np.int64) for x in sets]
+                yield pa.record_batch([pa.array(rep, pa.int64()), pa.array(lo, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "lo", "tokens"])
 
     return run
 
 
+def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts) -> DataFrame:
+    """(rep, tokens) of the classes in ``pairs``, from their texts.
+
+    A bit map of MARKS bits, whatever the input's size, drops most other texts before they are cut into
+    words; the join drops the rest, so a full map costs time and nothing else."""
+    spark = docs.sparkSession
+    want = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
+    bit = f"pmod(want, {MARKS})"
+    words = want.groupBy(F.expr(f"shiftright({bit}, 5) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 31 AS int))) AS bits")).toArrow()
+    bits = np.zeros(MARKS >> 5, np.uint32)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    small_batches(spark)
+    sets = docs.select("doc_id", "text").mapInArrow(_whole_task(counts, spark.sparkContext.broadcast(bits)), "rep long, lo long, tokens array<long>")
+    own = classes.select(F.col("rep").alias("r"), F.col("lo").alias("l")).join(want, F.col("r") == F.col("want"), "left_semi")
+    return sets.join(own, (F.col("rep") == F.col("r")) & (F.col("lo") == F.col("l"))).select("rep", "tokens").dropDuplicates(["rep"])
+
+
 def _need(n: Column, m: Column) -> Column:
     """Least overlap of linked sets: o >= PERCENT / (100 + PERCENT) * (n + m)."""
     return F.ceil(PERCENT * (n + m) / F.lit(float(100 + PERCENT)) - 1e-9)
@@ -182,14 +221,9 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, counts) -> DataFrame:
     """Links (a, b) between classes, enough to connect every component."""
-    spark = docs.sparkSession
     prefix = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
     members = materialize(prefix.join(shared, "token"), "members")
-    reps = members.select("rep").distinct()
-    small_batches(spark)
-    texts = docs.select("doc_id", "text").join(reps, docs["doc_id"] == reps["rep"]).select("rep", "text").mapInArrow(_sets_task(counts, True), "rep long, tokens array<long>")
-    full = materialize(texts.join(classes.select(F.col("rep").alias("r"), "n"), (F.col("rep") == F.col("r")) & (F.size("tokens") == F.col("n"))).select("rep", "tokens").dropDuplicates(["rep"]), "full")
     links = tested = None
     for turn in range(STAR_ROUNDS + 1):
         m = _labelled(members, links)
@@ -204,7 +238,7 @@ def _links(docs: DataFrame, classes: DataFrame, counts) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested.unionAll(tested.select("b", "a")).toDF("x", "y"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(_verify(pairs, full), "links")
+        found = materialize(_verify(pairs, materialize(_whole_sets(docs, classes, pairs, counts), "whole")), "links")
         links = found if links is None else links.unionAll(found)
         tested = pairs if tested is None else tested.unionAll(pairs)
     return links
@@ -215,8 +249,8 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(sketch(docs))
     small_batches(spark)
-    sets = materialize(docs.select("doc_id", "text").mapInArrow(_sets_task(counts, False), "doc_id long, n long, hi long, lo long, prefix array<long>"), "sets")
-    key = F.coalesce("doc_id", F.col("lo").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))  # rows without an id get a large one from their set
+    sets = materialize(docs.select("doc_id", "text").mapInArrow(_prefix_task(counts), "doc_id long, n long, hi long, lo long, prefix array<long>"), "sets")
+    key = F.coalesce("doc_id", F.col("lo").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID)))
     classes = materialize(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     links = _links(docs, classes, counts)
     label = connected_components(links, "a", "b")
