@@ -41,8 +41,8 @@ def topic(text: Column) -> Column:
     """A text's form, from its marks."""
     t = F.coalesce(text, F.lit(""))
     return (
-        F.when(t.rlike("(?i)licensed under|released under|rights reserved"), "notice")
-        .when(t.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]|<EMAIL>|<PHONE>|\+[0-9]"), "contact")
+        F.when(t.contains("icensed under") | t.contains("eleased under") | t.contains("ights reserved"), "notice")
+        .when(t.contains("@") | t.contains("<EMAIL>") | t.contains("<PHONE>") | (t.contains("+") & t.rlike(r"\+[0-9]")), "contact")
         .when(F.length(t) < 400, "short")
         .otherwise("prose")
     )
@@ -91,8 +91,8 @@ def probabilities(fitted: DataFrame, keep: float = KEEP, steps: int = CAP_STEPS)
     return t.withColumn("p", p).drop("_ratio")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
-    """The sampled rows of ``docs`` with all columns and their probability; that column's name."""
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, str, str]:
+    """The sampled rows of ``docs`` with all columns, their topic and probability; those two columns' names."""
     cell = materialize(cells(docs), "cells")
     p = probabilities(rake(cell, targets or flat_targets(cell), rounds), keep)
     names = {k: free_name(docs, f"_{k}") for k in ("p", "s", "l", "t", "topic")}
@@ -101,18 +101,18 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     same = F.col("source").eqNullSafe(F.col(names["s"])) & F.col("lang").eqNullSafe(F.col(names["l"])) & (F.col(names["topic"]) == F.col(names["t"]))
     # a cell has a few bytes; the join is a broadcast under Spark's size limit and else a skew-split shuffle
     t = t.join(p, same).filter(uniform(SEED, "doc_id") < F.col(names["p"]))
-    return t.select(*docs.columns, names["p"]), names["p"]
+    return t.select(*docs.columns, names["topic"], names["p"]), names["topic"], names["p"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = mix(table(spark, sf_dir, "documents"))
-    return t.select("doc_id", "source", "lang", topic(F.col("text")).alias("topic"), tokens(F.col("text")).cast("long").alias("n_tokens"), F.round(p, 6).alias("p"))
+    t, form, p = mix(table(spark, sf_dir, "documents"))
+    return t.select("doc_id", "source", "lang", F.col(form).alias("topic"), tokens(F.col("text")).cast("long").alias("n_tokens"), F.round(p, 6).alias("p"))
 
 
 def _sql() -> str:
     ctes = [
-        r"""d AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(coalesce(text, ''), '(?i)licensed under|released under|rights reserved') THEN 'notice'
-  WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9]@[A-Za-z0-9]|<EMAIL>|<PHONE>|\+[0-9]') THEN 'contact' WHEN length(coalesce(text, '')) < 400 THEN 'short' ELSE 'prose' END AS topic,
+        r"""d AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(coalesce(text, ''), 'icensed under|eleased under|ights reserved') THEN 'notice'
+  WHEN regexp_matches(coalesce(text, ''), '@|<EMAIL>|<PHONE>|\+[0-9]') THEN 'contact' WHEN length(coalesce(text, '')) < 400 THEN 'short' ELSE 'prose' END AS topic,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)""",
         "f0 AS (SELECT source, lang, topic, sum(n) AS tokens, CAST(sum(n) AS DOUBLE) AS fitted FROM d GROUP BY 1, 2, 3)",
     ]
