@@ -19,3 +19,125 @@ def design_matrix(features: DataFrame, selected: DataFrame) -> DataFrame:
     t = paired_difference(features).join(index.select("family", "key", "i"), ["family", "key"])
     g = t.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("i", "diff"))).alias("x"))
     return g.select("match_id", F.transform("x", lambda p: p["i"]).alias("indices"), F.transform("x", lambda p: p["diff"].cast("double")).alias("values"))
+
+
+def fit_paired(matrix: DataFrame, outcomes: DataFrame, n_features: int, c: float = 0.05, max_iter: int = 100):
+    """Paired logistic fit with an L2 penalty and a free intercept; None for degenerate outcomes.
+
+    Returns (weights as a list, intercept)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    to_vector = F.udf(lambda i, x: SparseVector(n_features, i, x), VectorUDT())
+    rows = outcomes.join(matrix, "match_id", "left").select("label", to_vector(F.coalesce("indices", F.array().cast("array<int>")), F.coalesce("values", F.array().cast("array<double>"))).alias("features"))
+    rows = rows.persist()
+    try:
+        n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+        if not n or ones in (0, n):
+            return None
+        m = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
+        return [float(x) for x in m.coefficients], float(m.intercept)
+    finally:
+        rows.unpersist()
+
+
+def fit_weights(features: DataFrame, selected: DataFrame, outcomes: DataFrame, c: float = 0.05) -> DataFrame:
+    """(family, key, weight) of a fit on the matches of ``outcomes`` (match_id, label)."""
+    spark = features.sparkSession
+    index = feature_index(selected).select("family", "key", "i").persist()
+    n = index.count()
+    fitted = fit_paired(design_matrix(features.join(outcomes.select("match_id"), "match_id", "left_semi"), selected), outcomes, n, c) if n else None
+    w = spark.createDataFrame([(i, x) for i, x in enumerate(fitted[0])] if fitted else [], "i int, weight double")
+    return index.join(w, "i", "left").select("family", "key", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def predict(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(match_id, p) from paired differences; logits clipped to +-30."""
+    from matchloom.operators.features import paired_difference
+
+    z = paired_difference(features).join(weights.select("family", "key", "weight"), ["family", "key"], "left").groupBy("match_id").agg(F.sum(F.col("diff") * F.coalesce("weight", F.lit(0.0))).alias("z"))
+    z = z.withColumn("z", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z"))))
+    return z.select("match_id", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
+
+
+def point_metrics(scored: DataFrame, *by: str) -> DataFrame:
+    """Rows (p, label): accuracy, log loss, Brier score and the majority's share."""
+    p = F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
+    y = F.col("label")
+    loss = -(y * F.log(p) + (1 - y) * F.log(1 - p))
+    hit = F.when((F.col("p") >= 0.5) == (y == 1), 1.0).otherwise(0.0)
+    share = F.avg(y)
+    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(loss), 6).alias("log_loss"), F.round(F.avg(F.pow(F.col("p") - y, 2)), 6).alias("brier"), F.round(F.greatest(share, 1 - share), 6).alias("majority")]
+    return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
+
+
+def choice_fit(features: DataFrame, chosen: DataFrame, steps: int, rate: float = 0.5, l2: float = 0.05) -> DataFrame:
+    """Conditional choice logit by full-batch gradient steps: (key, weight).
+
+    ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). Each step joins the
+    weights, forms the softmax of each event and sums the residuals by key. The long table is written once."""
+    from matchloom.session import materialize
+
+    n = chosen.count()
+    long = materialize(features.join(chosen, "event_id").withColumn("y", F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0)).drop("chosen"), "choice")
+    w = long.select("key").distinct().withColumn("weight", F.lit(0.0))
+    for step in range(steps):
+        u = long.join(w, "key").groupBy("event_id", "option", "y").agg(F.sum(F.col("value") * F.col("weight")).alias("u"))
+        e = u.groupBy("event_id").agg(F.max("u").alias("top"))
+        u = u.join(e, "event_id").withColumn("x", F.exp(F.col("u") - F.col("top")))
+        s = u.groupBy("event_id").agg(F.sum("x").alias("total"))
+        r = u.join(s, "event_id").select("event_id", "option", (F.col("y") - F.col("x") / F.col("total")).alias("r"))
+        g = long.select("event_id", "option", "key", "value").join(r, ["event_id", "option"]).groupBy("key").agg((F.sum(F.col("r") * F.col("value")) / max(n, 1)).alias("g"))
+        lr = rate / (1 + step / 50)
+        w = w.join(g, "key").select("key", (F.col("weight") + lr * (F.col("g") - l2 * F.col("weight"))).alias("weight"))
+        if step + 1 < steps:
+            w = materialize(w, "weights")
+    return w
+
+
+def quantize(probabilities: DataFrame, by: str, item: str, p: str, units: int = 1000) -> DataFrame:
+    """Largest-remainder rounding of each group's probabilities to whole units that add up."""
+    t = probabilities.withColumn("_x", F.round(F.col(p) * units, 9)).withColumn("_f", F.floor("_x"))
+    rest = F.lit(units) - F.sum("_f").over(Window.partitionBy(by))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(F.col("_x") - F.col("_f"), 9)), item))
+    return t.withColumn("_r", rest).withColumn("units", F.col("_f") + F.when(rank <= F.col("_r"), 1).otherwise(0)).drop("_x", "_f", "_r")
+
+
+def evidence_gate(events: DataFrame, holdout: DataFrame, floors=(240, 40, 30, 36)) -> DataFrame:
+    """One row with the counts that a model needs, and whether it may be published."""
+    a = events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("session").alias("sessions"), F.count_if(F.col("chosen") != F.col("recommended")).alias("disagreements"))
+    b = holdout.agg(F.count(F.lit(1)).alias("held_out"))
+    ok = (F.col("events") >= floors[0]) & (F.col("sessions") >= floors[1]) & (F.col("disagreements") >= floors[2]) & (F.col("held_out") >= floors[3])
+    return a.crossJoin(b).withColumn("status", F.when(ok, "ready").otherwise("collecting"))
+
+
+def published_state(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows (key, value, n): a key takes its new value if it has enough new events."""
+    floor = F.when(F.col("key").startswith("round_score") | (F.col("key") == "score"), 30).otherwise(10)
+    t = after.join(before.select("key", F.col("value").alias("v0"), F.col("n").alias("n0")), "key", "left")
+    fresh = F.col("n") - F.coalesce("n0", F.lit(0)) >= floor
+    return t.select("key", F.when(fresh, F.col("value")).otherwise(F.coalesce("v0", F.lit(0.0))).alias("value"), F.when(fresh, F.col("n")).otherwise(F.coalesce("n0", F.lit(0))).alias("n"))
+
+
+def explain_choice(features: DataFrame, weights: DataFrame, a: int, b: int) -> DataFrame:
+    """The feature that speaks most for option a over option b, by event."""
+    va = features.filter(F.col("option") == a).select("event_id", "key", F.col("value").alias("va"))
+    vb = features.filter(F.col("option") == b).select("event_id", "key", F.col("value").alias("vb"))
+    t = va.join(vb, ["event_id", "key"], "full").join(weights, "key")
+    gain = F.round(F.col("weight") * (F.coalesce("va", F.lit(0.0)) - F.coalesce("vb", F.lit(0.0))), 6)
+    t = t.withColumn("gain", gain).filter("gain > 0").groupBy("event_id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "key")).alias("m"))
+    return t.select("event_id", F.col("m.key").alias("key"), (-F.col("m.g")).alias("gain"))
+
+
+def bootstrap(groups: DataFrame, stratum: str, samples: int = 200, seed: str = "boot") -> DataFrame:
+    """Percentile intervals of accuracy over resampled groups.
+
+    ``groups``: (stratum, g from 0 without gaps, n_groups, n, correct). Draws are hashes of (seed, sample,
+    slot), so they repeat and need no state; a sample draws as many groups as its stratum has."""
+    spark = groups.sparkSession
+    sizes = groups.select(stratum, "n_groups").distinct()
+    slots = sizes.crossJoin(spark.range(samples).withColumnRenamed("id", "sample")).withColumn("slot", F.explode(F.expr("sequence(0L, n_groups - 1)")))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(stratum), F.col("sample").cast("string"), F.col("slot").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = slots.select(stratum, "sample", F.pmod(h, F.col("n_groups")).alias("g"))
+    t = drawn.join(groups.drop("n_groups"), [stratum, "g"]).groupBy(stratum, "sample").agg((F.sum("correct") / F.sum("n")).alias("accuracy"))
+    return t.groupBy(stratum).agg(F.round(F.percentile("accuracy", 0.025), 6).alias("low"), F.round(F.percentile("accuracy", 0.975), 6).alias("high"))

@@ -1 +1,91 @@
-"""Placeholder."""
+"""Grouping, splitting and resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from matchloom.operators import groups as G
+from matchloom.operators import models as M
+from matchloom.operators.near import skill_replacements
+from matchloom.plans.registry import query
+
+_EDGES = """ed AS (SELECT DISTINCT a.match_id AS a, b.match_id AS b FROM rosters a JOIN rosters b ON a.roster = b.roster AND a.match_id < b.match_id),
+cc AS (SELECT match_id AS node, match_id AS reach FROM valid UNION SELECT cc.node, CASE WHEN e.a = cc.reach THEN e.b ELSE e.a END FROM cc JOIN ed e ON cc.reach = e.a OR cc.reach = e.b),
+comp AS (SELECT node AS match_id, min(reach) AS component FROM cc GROUP BY 1)"""
+
+
+def _components(v):
+    return G.roster_groups(v.valid, v.rosters)
+
+
+@query("g01_roster_components", f"WITH RECURSIVE {_EDGES} SELECT match_id, component FROM comp")
+def _(v):
+    return _components(v)
+
+
+@query("g01_near_team_components")
+def _(v):
+    from matchloom.operators.components import connected_components
+
+    return connected_components(skill_replacements(v.members), "a", "b").groupBy("component").agg(F.count(F.lit(1)).alias("teams"))
+
+
+@query("g02_stable_group_ids", f"WITH RECURSIVE {_EDGES} SELECT substr(sha256(string_agg(CAST(match_id AS VARCHAR), chr(10) ORDER BY CAST(match_id AS VARCHAR))), 1, 16) AS group_id, count(*) AS n FROM comp GROUP BY component")
+def _(v):
+    return G.group_ids(_components(v), "component", "match_id").select("group_id", "n")
+
+
+_HOLD = "gr AS (SELECT DISTINCT uploader AS g FROM valid), hd AS (SELECT g, row_number() OVER (ORDER BY sha256(concat('split', chr(0), g))) AS rn, count(*) OVER () AS n FROM gr), ho AS (SELECT g, rn <= least(n - 1, greatest(1, round_even(n * 0.2, 0))) AS held FROM hd)"
+
+
+@query("g03_group_holdout", f"WITH {_HOLD} SELECT g, held FROM ho")
+def _(v):
+    return G.holdout(v.valid.select(F.col("uploader").alias("g")).distinct(), "g", 0.2, "split")
+
+
+_LOCK = "tm AS (SELECT match_id FROM valid WHERE match_id % 10 = 0), tg AS (SELECT DISTINCT roster FROM rosters JOIN tm USING (match_id)), sp AS (SELECT v.match_id, CASE WHEN v.match_id IN (SELECT match_id FROM tm) THEN 'test' WHEN v.match_id IN (SELECT match_id FROM rosters WHERE roster IN (SELECT roster FROM tg)) THEN 'excluded' ELSE 'train' END AS split FROM valid v)"
+
+
+@query("g04_locked_test", f"WITH {_LOCK} SELECT match_id, split FROM sp")
+def _(v):
+    return G.locked_split(v.valid, v.rosters, v.valid.filter("match_id % 10 = 0").select("match_id"))
+
+
+@query("g05_leaks", f"WITH {_LOCK} SELECT roster, count(DISTINCT split) AS splits FROM rosters JOIN sp USING (match_id) WHERE split <> 'excluded' GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def _(v):
+    s = G.locked_split(v.valid, v.rosters, v.valid.filter("match_id % 10 = 0").select("match_id")).filter("split <> 'excluded'")
+    return v.rosters.join(s, "match_id").groupBy("roster").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
+
+
+@query("g06_session_holdout", "SELECT session, (CAST('0x' || substr(sha256(session), 1, 16) AS UBIGINT) % 5) = 0 AS held FROM choice GROUP BY 1")
+def _(v):
+    return G.hash_holdout(v.events.select("session").distinct(), "session", 5)
+
+
+def _strata(v):
+    t = v.members.withColumn("correct", F.expr("if((hero LIKE '%1%') = (won = 1), 1, 0)"))
+    t = t.groupBy("source", "uploader").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct"))
+    w = Window.partitionBy("source")
+    return t.select("source", (F.row_number().over(w.orderBy("uploader")) - 1).cast("long").alias("g"), F.count(F.lit(1)).over(w).alias("n_groups"), "n", "correct")
+
+
+_BOOT = """sg AS (SELECT source, uploader, count(*) AS n, sum(CASE WHEN (hero LIKE '%1%') = (won = 1) THEN 1 ELSE 0 END) AS correct FROM members GROUP BY 1, 2), gi AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY uploader) - 1 AS g, count(*) OVER (PARTITION BY source) AS n_groups, n, correct FROM sg),
+dr AS (SELECT source, sample, CAST('0x' || substr(md5('boot:' || source || ':' || sample || ':' || slot), 1, 12) AS BIGINT) % n_groups AS g FROM (SELECT DISTINCT source, n_groups FROM gi), range(200) r(sample), LATERAL (SELECT unnest(range(n_groups)) AS slot)),
+bs AS (SELECT source, sample, sum(correct) / sum(n) AS accuracy FROM dr JOIN gi USING (source, g) GROUP BY 1, 2)"""
+
+
+@query("g07_cluster_bootstrap", f"WITH {_BOOT} SELECT source, round(quantile_cont(accuracy, 0.025), 6) AS low, round(quantile_cont(accuracy, 0.975), 6) AS high FROM bs GROUP BY 1")
+def _(v):
+    return M.bootstrap(_strata(v), "source")
+
+
+_MET = "pm AS (SELECT f.match_id, sum(CASE WHEN side = 1 THEN weight ELSE -weight END) AS z, sum(CASE WHEN family = 'H' THEN CASE WHEN side = 1 THEN weight ELSE -weight END ELSE 0 END) AS zh FROM features f LEFT JOIN weights USING (family, key) GROUP BY 1), sc AS (SELECT v.match_id, source, CASE WHEN winner = 1 THEN 1 ELSE 0 END AS label, 1 / (1 + exp(-coalesce(z, 0))) AS pa, 1 / (1 + exp(-coalesce(zh, 0))) AS pb FROM valid v LEFT JOIN pm USING (match_id))"
+
+
+@query("g08_paired_delta", f"WITH {_MET} SELECT source, round(avg(-(label * ln(pa) + (1 - label) * ln(1 - pa))) - avg(-(label * ln(pb) + (1 - label) * ln(1 - pb))), 6) AS delta_log_loss, CASE WHEN round(avg(-(label * ln(pa) + (1 - label) * ln(1 - pa))) - avg(-(label * ln(pb) + (1 - label) * ln(1 - pb))), 6) < 0 THEN 'better' ELSE 'not better' END AS verdict FROM sc GROUP BY 1")
+def _(v):
+    rows = v.valid.select("match_id", "source", F.expr("if(winner = 1, 1, 0)").alias("label"))
+    a = M.predict(v.features, v.weights).withColumnRenamed("p", "pa")
+    b = M.predict(v.features, v.weights.filter("family = 'H'")).withColumnRenamed("p", "pb")
+    return G.paired_delta(rows.join(a, "match_id", "left").join(b, "match_id", "left").na.fill(0.5, ["pa", "pb"]), "source")

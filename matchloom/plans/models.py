@@ -1 +1,139 @@
-"""Placeholder."""
+"""Models and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchloom.operators import aggregate as A
+from matchloom.operators import features as E
+from matchloom.operators import groups as G
+from matchloom.operators import identity as D
+from matchloom.operators import models as M
+from matchloom.plans.features import _CF
+from matchloom.plans.groups import _MET
+from matchloom.plans.registry import query
+
+
+def _label(v):
+    return v.valid.select("match_id", "source", F.expr("if(winner = 1, 1, 0)").alias("label"))
+
+
+def _held(v):
+    return G.holdout(v.valid.select("uploader").distinct(), "uploader", 0.2, "split")
+
+
+@query("m01_paired_fit")
+def _(v):
+    rows = _label(v).select("match_id", "label")
+    return M.fit_weights(v.features, E.select_features(v.support, 5, 8), rows).select("family", "key", F.round("weight", 4).alias("weight"))
+
+
+@query("m02_predictions", f"WITH {_MET} SELECT match_id, round(pa, 6) AS p FROM sc")
+def _(v):
+    p = M.predict(v.features, v.weights)
+    return _label(v).join(p, "match_id", "left").select("match_id", F.round(F.coalesce("p", F.lit(0.5)), 6).alias("p"))
+
+
+@query("m03_point_metrics", f"WITH {_MET} SELECT source, count(*) AS n, round(avg(CASE WHEN (pa >= 0.5) = (label = 1) THEN 1e0 ELSE 0 END), 6) AS accuracy, round(avg(-(label * ln(pa) + (1 - label) * ln(1 - pa))), 6) AS log_loss, round(avg((pa - label) ** 2), 6) AS brier, round(greatest(avg(label), 1 - avg(label)), 6) AS majority FROM sc GROUP BY 1")
+def _(v):
+    t = _label(v).join(M.predict(v.features, v.weights), "match_id", "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
+    return M.point_metrics(t, "source")
+
+
+def _backtest(v, families, c=0.05, single=5, pair=8, source=None):
+    """Fit on the groups that aren't held out, score the others."""
+    m = v.valid.join(_held(v), "uploader")
+    train = m.filter("NOT held").filter(F.col("source") != source if source else F.lit(True)).select("match_id", F.expr("if(winner = 1, 1, 0)").alias("label"))
+    test = m.filter("held").select("match_id", F.expr("if(winner = 1, 1, 0)").alias("label"))
+    feats = v.features.filter(F.col("family").isin(*families))
+    own = feats.join(train.select("match_id"), "match_id", "left_semi")
+    w = M.fit_weights(own, E.select_features(E.support(own), single, pair), train, c)
+    p = M.predict(feats, w)
+    return test.join(p, "match_id", "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
+
+
+@query("m04_backtest")
+def _(v):
+    return M.point_metrics(_backtest(v, ("H", "S", "HP", "HS")))
+
+
+@query("m05_grid_search")
+def _(v):
+    out = None
+    for c in (0.01, 0.05):
+        for single, pair in ((5, 8), (8, 12)):
+            t = M.point_metrics(_backtest(v, ("H", "S"), c, single, pair)).withColumn("config", F.lit(f"c={c} floors={single}/{pair}"))
+            out = t if out is None else out.unionByName(t)
+    return out.orderBy("log_loss", "brier", F.desc("accuracy"), "config").limit(1)
+
+
+@query("m06_controlled_comparison")
+def _(v):
+    a = _backtest(v, ("H", "S")).withColumnRenamed("p", "pa")
+    b = _backtest(v, ("H", "S"), source="external").select("match_id", F.col("p").alias("pb"))
+    t = a.join(b, "match_id").withColumn("all", F.lit("all"))
+    return G.paired_delta(t, "all")
+
+
+@query("m07_choice_logit_two_steps", f"""WITH {_CF}, g1 AS (SELECT key, 0.5e0 * sum((CASE WHEN option = chosen THEN 1e0 ELSE 0 END - 1e0 / 3) * cf.value) / (SELECT count(*) FROM accepted) AS w FROM cf JOIN accepted USING (event_id) GROUP BY 1),
+u AS (SELECT event_id, option, sum(value * w) AS u FROM cf JOIN g1 USING (key) GROUP BY 1, 2), pr AS (SELECT event_id, option, exp(u) / sum(exp(u)) OVER (PARTITION BY event_id) AS p FROM u),
+g2 AS (SELECT key, sum((CASE WHEN option = chosen THEN 1e0 ELSE 0 END - p) * cf.value) / (SELECT count(*) FROM accepted) AS g FROM cf JOIN pr USING (event_id, option) JOIN accepted USING (event_id) GROUP BY 1)
+SELECT key, round(w + 0.5e0 / 1.02e0 * (g - 0.05e0 * w), 6) AS weight FROM g1 JOIN g2 USING (key)""")
+def _(v):
+    f = E.option_features(v.accepted, v.offers, v.pool)
+    return M.choice_fit(f, v.accepted.select("event_id", "chosen"), 2).select("key", F.round("weight", 6).alias("weight"))
+
+
+_SOFT = "sm AS (SELECT event_id, unnest([0, 1, 2]) AS option, unnest([exp(score0 - mx), exp(score1 - mx), exp(score2 - mx)]) / (exp(score0 - mx) + exp(score1 - mx) + exp(score2 - mx)) AS p FROM (SELECT *, greatest(score0, score1, score2) AS mx FROM choice))"
+
+
+def _softmax(v):
+    return A.softmax(v.events).select("event_id", F.posexplode(F.array("p0", "p1", "p2")).alias("option", "p"))
+
+
+@query("m08_softmax", f"WITH {_SOFT} SELECT event_id, option, round(p, 6) AS p FROM sm")
+def _(v):
+    return _softmax(v).select("event_id", "option", F.round("p", 6).alias("p"))
+
+
+@query("m09_whole_shares", f"WITH {_SOFT}, x AS (SELECT *, round(p * 1000, 9) AS x FROM sm), r AS (SELECT event_id, option, floor(x) AS f, 1000 - sum(floor(x)) OVER (PARTITION BY event_id) AS rest, row_number() OVER (PARTITION BY event_id ORDER BY round(x - floor(x), 9) DESC, option) AS rn FROM x) SELECT event_id, option, CAST(f + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS BIGINT) AS units FROM r")
+def _(v):
+    return M.quantize(_softmax(v), "event_id", "option", "p").select("event_id", "option", "units")
+
+
+@query("m10_evidence_gate", "WITH h AS (SELECT count(*) AS held_out FROM accepted WHERE (CAST('0x' || substr(sha256(session), 1, 16) AS UBIGINT) % 5) = 0), e AS (SELECT count(*) AS events, count(DISTINCT session) AS sessions, count(*) FILTER (chosen <> recommended) AS disagreements FROM accepted) SELECT events, sessions, disagreements, held_out, CASE WHEN events >= 240 AND sessions >= 40 AND disagreements >= 30 AND held_out >= 36 THEN 'ready' ELSE 'collecting' END AS status FROM e, h")
+def _(v):
+    held = G.hash_holdout(v.accepted.select("session").distinct(), "session", 5).filter("held")
+    return M.evidence_gate(v.accepted, v.accepted.join(held, "session", "left_semi"))
+
+
+_STATE = "b AS (SELECT item AS key, CAST(sum(CASE WHEN option = chosen THEN 1 ELSE 0 END) AS DOUBLE) AS value, count(*) AS n FROM offers WHERE event_id % 4 <> 3 GROUP BY 1), a AS (SELECT item AS key, CAST(sum(CASE WHEN option = chosen THEN 1 ELSE 0 END) AS DOUBLE) AS value, count(*) AS n FROM offers GROUP BY 1)"
+
+
+def _state(t):
+    return t.groupBy(F.col("item").alias("key")).agg(F.sum(F.expr("if(option = chosen, 1, 0)")).cast("double").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+@query("m13_published_deltas", f"WITH {_STATE} SELECT key, CASE WHEN a.n - coalesce(b.n, 0) >= 10 THEN a.value ELSE coalesce(b.value, 0) END AS value, CASE WHEN a.n - coalesce(b.n, 0) >= 10 THEN a.n ELSE coalesce(b.n, 0) END AS n FROM a LEFT JOIN b USING (key)")
+def _(v):
+    return M.published_state(_state(v.offers.filter("event_id % 4 <> 3")), _state(v.offers))
+
+
+@query("m14_model_snapshot", "SELECT family, key, weight FROM weights WHERE support >= 20 ORDER BY abs(weight) DESC, family, key LIMIT 5000")
+def _(v):
+    return v.weights.filter("support >= 20").orderBy(F.desc(F.abs("weight")), "family", "key").limit(5000).select("family", "key", "weight")
+
+
+@query("m14_model_version")
+def _(v):
+    return D.content_version(v.weights.filter("support >= 20"), F.concat_ws("|", "family", "key", F.format_number("weight", 6)))
+
+
+@query("m15_choice_explanation", f"""WITH {_CF}, w AS (SELECT key, round((sum(CASE WHEN option = chosen THEN 1e0 ELSE 0 END) - count(*) / 3e0) / (count(*) + 10e0), 6) AS weight FROM cf JOIN accepted USING (event_id) GROUP BY 1),
+d AS (SELECT event_id, key, round(weight * sum(CASE WHEN option = 0 THEN value ELSE -value END), 6) AS gain FROM cf JOIN w USING (key) WHERE option IN (0, 1) GROUP BY event_id, key, weight)
+SELECT event_id, key, gain FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gain DESC, key) AS rn FROM d WHERE gain > 0) WHERE rn = 1""")
+def _(v):
+    f = E.option_features(v.accepted, v.offers, v.pool)
+    t = f.join(v.accepted.select("event_id", "chosen"), "event_id")
+    w = t.groupBy("key").agg(F.round((F.sum(F.expr("if(option = chosen, 1.0D, 0.0D)")) - F.count(F.lit(1)) / 3.0) / (F.count(F.lit(1)) + 10.0), 6).alias("weight"))
+    return M.explain_choice(f, w, 0, 1)
