@@ -1 +1,136 @@
-"""Placeholder."""
+"""Streaming and late data (Z01-Z11, M11, M12): streams run over what has landed and give the batch form's rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from matchloom.operators import features as E
+from matchloom.plans.registry import query
+from matchloom.session import materialize
+from matchloom.streaming import folds as Z
+
+_COLS = ["event_id", "session", "round", "user_id", "ts", "received_at", "event_type", "chosen", "recommended"]
+
+
+def _stream(v, rows=None, order="event_id"):
+    return Z.read(v.spark, Z.landing(rows if rows is not None else v.events.select(*_COLS), order))
+
+
+@query("z01_stream_quarantine", "SELECT CASE WHEN event_type = 'error' AND n_items > 0 THEN 'duplicate_offer' ELSE 'accepted' END AS reason, count(*) AS n, max(event_id) AS last_id FROM choice GROUP BY 1")
+def _(v):
+    s = _stream(v).withColumn("reason", F.when(F.col("event_type") == "error", "duplicate_offer").otherwise("accepted"))
+    return Z.collect_stream(s.select("event_id", "reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query("z02_stream_dedup", "SELECT event_type, count(*) AS n FROM choice GROUP BY 1")
+def _(v):
+    e = v.events.select(*_COLS)
+    s = _stream(v, e.unionByName(e.filter("event_id % 3 = 0")), "ts").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "7 days").dropDuplicatesWithinWatermark(["event_id"])
+    t = Z.collect_stream(s.select("event_id", "event_type", "session", "round"))
+    return t.dropDuplicates(["session", "round"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("z03_stream_time_bounds", "SELECT ts BETWEEN received_at - INTERVAL 7 DAYS AND received_at + INTERVAL 5 MINUTES AS in_time, count(*) AS n FROM choice GROUP BY 1")
+def _(v):
+    s = _stream(v).select("event_id", F.expr("ts BETWEEN received_at - INTERVAL 7 DAYS AND received_at + INTERVAL 5 MINUTES").alias("in_time"))
+    return Z.collect_stream(s).groupBy("in_time").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fold(v):
+    f = Z.Fold(v.spark, ["round"], {"events": F.lit(1), "accepted": F.expr("if(chosen = recommended, 1, 0)")})
+    Z.drain(_stream(v), f.apply)
+    return f
+
+
+_ROUNDS = "SELECT round, count(*) AS events, count(*) FILTER (chosen = recommended) AS accepted FROM choice GROUP BY 1"
+
+
+@query("s08_checkpoint_state", _ROUNDS)
+def _(v):
+    f = _fold(v)
+    f.apply(v.events.select(*_COLS), f.version)  # an old batch number adds nothing
+    return f.state()
+
+
+@query("z04_stream_fold", _ROUNDS)
+def _(v):
+    return _fold(v).state()
+
+
+@query("z05_session_windows", "SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, visit, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY 1, 2 HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events)) GROUP BY 1")
+def _(v):
+    s = _stream(v, order="ts").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
+    s = s.groupBy(F.session_window("at", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "n")
+    return Z.collect_stream(s).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
+
+
+@query("z06_replay_check", "SELECT 0 AS differences")
+def _(v):
+    state = _fold(v).state()
+    batch = v.events.groupBy("round").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.expr("chosen = recommended")).alias("accepted"))
+    return state.exceptAll(batch).unionByName(batch.exceptAll(state)).agg(F.count(F.lit(1)).cast("int").alias("differences"))
+
+
+@query("z07_retention", "SELECT count(*) AS kept, min(id) AS first_kept FROM submissions WHERE id NOT IN (SELECT id FROM submissions WHERE id <= 2000 AND received_at < (SELECT max(received_at) FROM submissions) - INTERVAL 14 DAYS ORDER BY id LIMIT 300)")
+def _(v):
+    s = v.submissions
+    last = s.agg((F.max("received_at") - F.expr("INTERVAL 14 DAYS")).alias("limit"))
+    gone = s.filter("id <= 2000").crossJoin(F.broadcast(last)).filter("received_at < limit").select("id").orderBy("id").limit(300)
+    return s.join(gone, "id", "left_anti").agg(F.count(F.lit(1)).alias("kept"), F.min("id").alias("first_kept"))
+
+
+@query("z08_published_increment", "SELECT round, count(*) FILTER (event_id % 2 = 1 OR round = 3) AS increment FROM choice GROUP BY 1")
+def _(v):
+    n = F.count(F.lit(1))
+    old = v.events.filter("event_id % 2 = 0").groupBy("round").agg(n.alias("before"))
+    new = v.events.groupBy("round").agg(n.alias("after"), (F.first("round") == 3).alias("reset"))
+    return new.join(old, "round", "left").select("round", F.when(F.col("reset"), F.col("after")).otherwise(F.col("after") - F.coalesce("before", F.lit(0))).alias("increment"))
+
+
+@query("z09_pending_cap", "SELECT id FROM submissions ORDER BY id LIMIT 520")
+def _(v):
+    processed = v.submissions.orderBy("id").limit(20).count()
+    return v.submissions.orderBy("id").limit(processed + 500).select("id")
+
+
+@query("z10_client_queue", "SELECT user_id, count(*) AS queued, min(event_id) AS oldest FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, ts, max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE rn <= 50 AND ts >= last - INTERVAL 7 DAYS GROUP BY 1")
+def _(v):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    last = v.table("events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    t = v.table("events").withColumn("rn", F.row_number().over(w)).filter("rn <= 50").join(last, "user_id")
+    return t.filter("ts >= last - INTERVAL 7 DAYS").groupBy("user_id").agg(F.count(F.lit(1)).alias("queued"), F.min("event_id").alias("oldest"))
+
+
+@query("z11_old_rows", "SELECT count(*) AS n, count(*) FILTER (received_at < (SELECT max(received_at) FROM choice) - INTERVAL 14 DAYS) AS old FROM choice")
+def _(v):
+    last = v.events.agg(F.max("received_at").alias("last"))
+    return v.events.crossJoin(F.broadcast(last)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("received_at < last - INTERVAL 14 DAYS")).alias("old"))
+
+
+@query("m11_online_choice_model")
+def _(v):
+    f = materialize(E.option_features(v.accepted, v.offers, v.pool).join(v.accepted.select("event_id", "chosen"), "event_id"), "online")
+    held: dict = {"state": None}
+
+    def step(batch, number):
+        rows = materialize(batch, "batch")
+        state, _ = Z.ftrl_step(held["state"], rows.drop("chosen"), rows.select("event_id", "chosen").distinct())
+        held["state"] = materialize(state, "ftrl")
+
+    Z.drain(Z.read(v.spark, Z.landing(f, "event_id", 4)), step)
+    return held["state"].select("key", F.round("z", 4).alias("z"), F.round("n", 4).alias("n"))
+
+
+@query("m12_prequential_scores")
+def _(v):
+    f = materialize(E.option_features(v.accepted, v.offers, v.pool), "online")
+    chosen = materialize(v.accepted.select("event_id", "chosen"), "chosen")
+    state, out = None, None
+    for part in range(3):
+        own = chosen.filter(F.pmod("event_id", F.lit(3)) == part)
+        state, p = Z.ftrl_step(state, f.join(own.select("event_id"), "event_id"), own)
+        state = materialize(state, "ftrl")
+        p = p.filter("y = 1").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.log("p")), 4).alias("log_loss"))
+        out = p if out is None else out.unionByName(p)
+    return out
