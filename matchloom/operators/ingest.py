@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MEMBER = "struct<name:string,skills:array<string>,shadow_skills:array<string>>"
-MATCH_JSON = T.StructType.fromDDL(f"`1` array<{MEMBER}>, `2` array<{MEMBER}>, winner string, season int, fuzzy_match_failures array<string>, _corrupt string")
+MATCH_JSON = f"`1` array<{MEMBER}>, `2` array<{MEMBER}>, winner string, season int, fuzzy_match_failures array<string>, _corrupt string"
 
 
 def read_matches(spark: SparkSession, folder: str, source: str) -> DataFrame:
