@@ -5,7 +5,8 @@ documents with a fixed number of counters; any total order gives right results,
 prefix groups small.) Documents with equal sets form one class, and classes are compared:
 
 1. Prefix filter: two classes that link share one of their first n - ceil(0.85 n) + 1 shingles. Length
-   and position filters drop pairs that can't reach the overlap.
+   and position filters, and the number of shingles that the prefixes share, drop pairs that can't
+   reach the overlap before whole sets are read.
 2. Stars: within the group of a prefix shingle, classes are compared only with the group's pivot, the
    class that has the shingle earliest (the least changed one), so a large group of near copies costs
    one pair for each member. Linked classes get one label; two rounds.
@@ -212,6 +213,15 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return dealt.mapInArrow(trie_links, "a long, b long")
 
 
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose prefixes share enough: of the set whose prefix ends first in the global order, what the
+    prefixes don't share can only lie behind its prefix, so the overlap is at most shared + n - prefix."""
+    own = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    t = pairs.join(own("a"), "a").join(own("b"), "b")
+    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    return t.filter(most >= _need(F.col("na"), F.col("nb"))).select("a", "b")
+
+
 def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return members.withColumn("label", F.col("rep"))
@@ -238,7 +248,8 @@ def _links(docs: DataFrame, classes: DataFrame, counts) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested.unionAll(tested.select("b", "a")).toDF("x", "y"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(_verify(pairs, materialize(_whole_sets(docs, classes, pairs, counts), "whole")), "links")
+        near = materialize(_near(pairs, classes), "near")
+        found = materialize(_verify(near, materialize(_whole_sets(docs, classes, near, counts), "whole")), "links")
         links = found if links is None else links.unionAll(found)
         tested = pairs if tested is None else tested.unionAll(pairs)
     return links

@@ -87,7 +87,7 @@ def test_quality_rules(spark, docs, empty):
     assert len(got) == len(rows())
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     assert by_id[0]["base_failed"] and not by_id[0]["kept"] and by_id[9]["base_failed"]
-    assert by_id[4]["kept"] and by_id[6]["kept"]
+    assert by_id[4]["kept"] and by_id[100]["kept"]
     assert op1_quality.quality(empty).count() == 0
     model = op1_quality.train(docs)
     a = {(r["doc_id"], r["n_words"]): r["mean_logp"] for r in op1_quality.score(docs, model).collect()}
