@@ -9,7 +9,7 @@ prefix groups small.) Documents with equal sets form one class, and classes are
    reach the overlap before whole sets are read.
 2. Stars: within the group of a prefix shingle, classes are compared only with the group's pivot, the
    class that has the shingle earliest (the least changed one), so a large group of near copies costs
-   one pair for each member. Linked classes get one label; two rounds.
+   one pair for each member. Linked classes get one label; three rounds.
 3. Rest: pairs of one group whose labels still differ are all compared, so that no link between
    components is lost. Pairs inside a component need no look: they can't change it.
 
@@ -43,7 +43,7 @@ PERCENT = 85
 COUNTERS, MARKS = 1 << 18, 1 << 25
 #: Rows without an id get one from their set, from here on.
 _NO_ID = 1 << 62
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Sets of one pivot that one task compares.
 DEAL = 512
 
@@ -166,6 +166,20 @@ def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)) & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= _need(n, m))
 
 
+def _first_common() -> Column:
+    """For pairs (n, pos, bits; n2, pos2, bits2): whether a shared shingle may be the first one of a linked pair.
+
+    Behind the first common shingle each set must still hold the overlap. Bits that one prefix has and the
+    other lacks count shingles that the prefixes don't share; see ``_near`` for the bound."""
+    n, m = F.col("n"), F.col("n2")
+    need = _need(n, m)
+    size = lambda x: x - F.ceil(PERCENT * x / F.lit(100.0) - 1e-9) + 1
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"bits{i}{a}").bitwiseAND(F.bitwise_not(F.col(f"bits{i}{b}")))) for i in (0, 1)), F.lit(0))
+    shared = F.least(size(n) - lacks("", "2"), size(m) - lacks("2", ""))
+    alike = PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)
+    return alike & (F.col("pos") <= n - need) & (F.col("pos2") <= m - need) & (shared + F.greatest(n - size(n), m - size(m)) >= need)
+
+
 def trie_links(batches):
     """Rows (pivot, salt, kind, id, tokens), sorted, the pivot's own set first (kind 0): yields linked (pivot, id)."""
     group, pivot, order = None, None, None
@@ -231,7 +245,8 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, counts) -> DataFrame:
     """Links (a, b) between classes, enough to connect every component."""
-    prefix = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    bits = [F.expr(f"aggregate(prefix, 0L, (a, x) -> a | IF(pmod(x, 128) {side} 64, shiftleft(1L, cast(pmod(x, 64) AS int)), 0L)) AS bits{i}") for i, side in enumerate(("<", ">="))]
+    prefix = classes.select("rep", "n", *bits, F.posexplode("prefix").alias("pos", "token"))
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
     members = materialize(prefix.join(shared, "token"), "members")
     links = tested = None
@@ -242,8 +257,8 @@ def _links(docs: DataFrame, classes: DataFrame, counts) -> DataFrame:
             pairs = m.join(ends.select("token", "p"), "token").filter(F.col("label") != F.col("p.label")).filter(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
         else:
             rest = materialize(m.join(ends.select("token"), "token"), "rest")
-            other = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "label")])
-            pairs = rest.join(other, "token").filter("label < label2").filter(_possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            other = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "label", "bits0", "bits1")])
+            pairs = rest.join(other, "token").filter("label < label2").filter(_first_common()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.unionAll(tested.select("b", "a")).toDF("x", "y"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
