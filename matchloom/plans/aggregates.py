@@ -108,7 +108,7 @@ def _(v):
 
 @query("a14_suppressed_rates", "SELECT round_type, item, count(*) AS offers, count(*) < 10 AS suppressed, CASE WHEN count(*) < 10 THEN NULL ELSE round(count(*) FILTER (option = chosen) / count(*), 6) END AS pick_rate FROM offers WHERE round % 5 = 1 GROUP BY 1, 2")
 def _(v):
-    return A.suppressed(v.offers.filter("round % 5 = 1"))
+    return A.suppressed(v.offers)
 
 
 @query("a15_preference_disagreement", f"""WITH {_PRED}, t AS (SELECT round, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS top, greatest(p0, p1, p2) - list_sort([p0, p1, p2])[2] AS margin, recommended, chosen FROM pr)

@@ -70,7 +70,7 @@ ad AS (SELECT match_id, side, ca.hero, round(coalesce(w.weight, 0) + coalesce(p.
 
 
 def _additions(v):
-    t = v.members.filter("slot <= 2 AND match_id % 5 = 0").groupBy("match_id", "side").agg(F.min("hero").alias("a"), F.max("hero").alias("b"))
+    t = v.members.filter("slot <= 2").groupBy("match_id", "side").agg(F.min("hero").alias("a"), F.max("hero").alias("b"))
     c = t.crossJoin(F.broadcast(v.heroes.select("hero"))).filter("hero <> a AND hero <> b")  # a candidate for each hero of the catalog
     h = v.weights.filter("family = 'H'").select(F.col("key").alias("hero"), F.col("weight").alias("w"))
     p = v.weights.filter("family = 'HP'").select("key", "weight")
@@ -93,7 +93,7 @@ _R08 = "pr AS (SELECT event_id, option, hero, a.skill AS a, b.skill AS b FROM (S
 @query("r08_best_skill_pair", f"""WITH {_R08}, sc AS (SELECT event_id, option, hero, a, b, round(coalesce(x.weight, 0) + coalesce(y.weight, 0) + coalesce(z.weight, 0), 6) AS score FROM pr LEFT JOIN weights x ON x.family = 'HS' AND x.key = hero || '|' || a LEFT JOIN weights y ON y.family = 'HS' AND y.key = hero || '|' || b LEFT JOIN weights z ON z.family = 'SP' AND z.key = hero || '|' || a || '|' || b)
 SELECT event_id, option, hero, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, option, hero, a, b) AS rn FROM sc) WHERE rn = 1""")
 def _(v):
-    o = _skill_offers(v).filter("event_id % 7 = 0").groupBy("event_id", "option").agg(F.sort_array(F.collect_set("item")).alias("s"))
+    o = _skill_offers(v).groupBy("event_id", "option").agg(F.sort_array(F.collect_set("item")).alias("s"))
     p = o.select("event_id", "option", F.posexplode("s").alias("i", "a"), "s").select("event_id", "option", "a", "i", F.posexplode("s").alias("j", "b")).filter("j > i")
     h = v.pool.filter("pool_type = 'hero'").select("event_id", F.col("pool_item").alias("hero"))
     t = p.join(h, "event_id").select("event_id", "option", "hero", "a", "b")
@@ -118,7 +118,7 @@ dr AS (SELECT pool_id, first, second, total, CAST(row_number() OVER (PARTITION B
 
 
 def _trios(v):
-    p = v.members.filter("match_id % 20 = 0").select(F.col("match_id").alias("pool_id"), "hero").distinct()
+    p = v.members.select(F.col("match_id").alias("pool_id"), "hero").distinct()
     return R.trios(p, v.weights, v.heroes)
 
 

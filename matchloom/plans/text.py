@@ -11,7 +11,7 @@ _TOK = "tk AS (SELECT log, pos, unnest(string_split(text, ' ')) AS token FROM lo
 
 
 def _tokens(v):
-    return v.log_lines.filter("pos <= 3").select("log", "pos", F.explode(F.split("text", " ")).alias("token"))
+    return v.log_lines.select("log", "pos", F.explode(F.split("text", " ")).alias("token"))
 
 
 @query("t01_known_errors", f"WITH {_TOK} SELECT CASE token WHEN 'teh' THEN 'the' WHEN 'th' THEN 'the' WHEN 'nd' THEN 'and' ELSE token END AS fixed, count(*) AS n FROM tk GROUP BY 1")
@@ -26,7 +26,7 @@ _NAMES = "nm AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' '
 @query("t02_fuzzy_names", f"""WITH {_TOK}, {_NAMES}, pr AS (SELECT token, name, round(least(1.0, 1 - levenshtein(token, name) * 1e0 / greatest(length(token), length(name)) + CASE WHEN contains(name, token) OR contains(token, name) THEN 0.1e0 ELSE 0 END), 6) AS score FROM tq, nm WHERE abs(length(token) - length(name)) <= 2 AND len(list_intersect(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)), list_transform(range(1, length(name)), lambda i: substr(name, i, 2)))) > 0)
 SELECT token, name, score FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, name) AS rn FROM pr WHERE score >= 0.6) WHERE rn = 1""")
 def _(v):
-    names = v.table("benchmark").filter("item_id < 10").select(F.explode(F.split("text", " ")).alias("name")).filter("length(name) >= 5 AND name rlike '^[ -~]+$'")
+    names = v.table("benchmark").select(F.explode(F.split("text", " ")).alias("name")).filter("length(name) >= 5 AND name rlike '^[ -~]+$'")
     return X.fuzzy(_tokens(v).filter("length(token) >= 5 AND token rlike '^[ -~]+$'"), names)
 
 
@@ -60,7 +60,7 @@ def _(v):
 
 @query("t07_owned_tokens", f"WITH {_TOK} SELECT token, min(side) AS side FROM tk JOIN log_lines USING (log, pos) GROUP BY 1 HAVING count(DISTINCT side) = 1")
 def _(v):
-    t = v.log_lines.filter("pos <= 3").select("side", F.explode(F.split("text", " ")).alias("token"))
+    t = v.log_lines.select("side", F.explode(F.split("text", " ")).alias("token"))
     return t.groupBy("token").agg(F.min("side").alias("side"), F.count_distinct("side").alias("n")).filter("n = 1").drop("n")
 
 
