@@ -40,9 +40,10 @@ def tokens(text: Column) -> Column:
 def topic(text: Column) -> Column:
     """A text's form, from its marks."""
     t = F.coalesce(text, F.lit(""))
+    low = F.lower(t)
     return (
-        F.when(t.contains("icensed under") | t.contains("eleased under") | t.contains("ights reserved"), "notice")
-        .when(t.contains("@") | t.contains("<EMAIL>") | t.contains("<PHONE>") | (t.contains("+") & t.rlike(r"\+[0-9]")), "contact")
+        F.when(low.contains("licensed under") | low.contains("released under") | low.contains("rights reserved"), "notice")
+        .when((t.contains("@") & t.rlike("[A-Za-z0-9]@[A-Za-z0-9]")) | t.contains("<EMAIL>") | t.contains("<PHONE>") | (t.contains("+") & t.rlike(r"\+[0-9]")), "contact")
         .when(F.length(t) < 400, "short")
         .otherwise("prose")
     )

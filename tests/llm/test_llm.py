@@ -194,6 +194,13 @@ def test_mixing_meets_its_targets(spark, docs, empty):
     assert op5_mixing.mix(empty)[0].count() == 0
 
 
+def test_topics_ignore_case_and_need_both_sides_of_an_at(spark):
+    texts = ["All Rights Reserved", "LICENSED UNDER x", "Released Under y", "rights reserved", "a lone @ sign", "@x", "x@", "mail a@b", "a @ b c@d", "<PHONE>", "+1", "+ 1", None, "x" * 400]
+    want = ["notice"] * 4 + ["short"] * 3 + ["contact"] * 4 + ["short"] * 2 + ["prose"]
+    t = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r["topic"] for r in t.select("i", op5_mixing.topic(F.col("text")).alias("topic")).orderBy("i").collect()] == want
+
+
 def test_bpe_equals_the_library_and_round_trips(spark, docs, empty):
     import public_tokenizers as P
     import tiktoken
