@@ -266,6 +266,25 @@ def test_pii(spark, docs, empty):
     assert op7_pii.train(empty) is None and op7_pii.find(empty, None).count() == 0
 
 
+def test_long_secrets_are_masked_whole():
+    every = {"trees": [(1.0,)], "weights": [1.0], "threshold": 0.5}  # selects all candidates
+    key = "".join(R.choice("abcdefXYZ") + (str(i % 10) if i % 150 == 7 else "-") for i in range(250)) + "z9"
+    for secret in (key, f"token={key}", key.replace("-", "."), "a1" + "b" * 496 + "c2"):
+        assert op7_pii.masked(f"see {secret} end", every) == "see <SECRET> end"
+    assert (4, 3 + 1 + len(key), "secret") in op7_pii.candidates(f"see {key} end")
+    named = "password=" + "k" * 500
+    assert op7_pii.masked(f"see {named} end", every) == "see password=<SECRET> end"
+    got = op7_pii.candidates('{"id":"ab12","v":"' + key + '"}')
+    assert any(k == "secret" and e - s == len(key) for s, e, k in got)
+
+
+def test_runs_start_at_every_number():
+    t = "7 4111 1111 1111 1111 2 3 4 5 6"
+    got = {t[s:e] for s, e, k in op7_pii.candidates(t) if k == "number"}
+    assert {"4111 1111 1111 1111", "2 3 4 5 6", t} <= got
+    assert len(op7_pii.candidates("12 " * 3000)) < 60000
+
+
 def brute_groups(items: list[tuple[int, str | None]]):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
