@@ -5,8 +5,8 @@ level by level. At each node a child segment is variable if it looks like a numb
 the node has many children for its pages; variable segments become ``*`` and are counted together,
 so a template's rows stay few. Branches of one parent whose labelled purity doesn't differ by a
 two-proportion test from the parent's other branches are merged: they share a purity. A template's
-smoothed purity shrinks toward its parent's, the host's toward all pages'; a template below
-``MIN_PURITY`` is blocked.
+smoothed purity shrinks toward its parent's, the host's toward all pages'; one without a label has
+that of its deepest ancestor with one. A template below ``MIN_PURITY`` is blocked.
 
 Counts are aggregated by (host, template) before any join, so a hot host costs a row for each of its
 templates and task. The template table is joined by key; Spark broadcasts it only under its own size
@@ -109,14 +109,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_purity: float =
     tree = materialize(templates(own), "urls")
     known = labels.filter("page_id is not null").groupBy("page_id").agg(F.min("quality").alias("quality"))
     table_ = purities(tree.join(known, "page_id"))
-    depth_col = f"t{DEPTH}"
-    out = tree.join(table_.withColumnRenamed("template", depth_col), depth_col, "left")
-    # a template with no label of its own takes its host's purity
-    hosts = table_.select(F.col("template").alias("t0"), F.col("purity").alias("host_purity"))
-    out = out.join(hosts, "t0", "left")
-    low = F.coalesce(F.coalesce("purity", "host_purity") < min_purity, F.lit(False))
+    # a template with no label of its own takes the purity of its deepest ancestor that has one; a row for each template
+    levels = [f"t{k}" for k in range(DEPTH, -1, -1)]
+    own = tree.select(*levels).distinct()  # a template has one ancestor at each level
+    for t in levels:
+        own = own.join(table_.select(F.col("template").alias(t), F.col("purity").alias(f"_{t}")), t, "left")
+    out = tree.join(own.select(levels[0], F.coalesce(*[f"_{t}" for t in levels]).alias("purity")), levels[0])
+    low = F.coalesce(F.col("purity") < min_purity, F.lit(False))
     verdict = F.coalesce("rule_verdict", F.when(low, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col(depth_col).alias("template"), F.coalesce("purity", "host_purity").alias("purity"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col(levels[0]).alias("template"), "purity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,6 +389,15 @@ def test_bad_templates_are_blocked(spark):
     assert op10_urls.judge(t.limit(0), y).count() == 0
 
 
+def test_an_unlabelled_leaf_has_its_branch_purity(spark):
+    kinds = [("spam/a", 60, 0), ("spam/b", 60, None), ("good/c", 200, 1), ("new/d", 40, None)]
+    pages = [(1000 * k + i, f"http://h.org/{path}/{i}", y) for k, (path, n, y) in enumerate(kinds) for i in range(n)]
+    t = spark.createDataFrame([(i, u, None) for i, u, _ in pages], "page_id long, url string, html string")
+    got = op10_urls.judge(t, spark.createDataFrame([(i, y) for i, _, y in pages if y is not None], "page_id long, quality int"))
+    want = {"h.org/spam/a/*": "block", "h.org/spam/b/*": "block", "h.org/good/c/*": "allow", "h.org/new/d/*": "allow"}
+    assert {r["template"]: r["verdict"] for r in got.select("template", "verdict").distinct().collect()} == want and got.count() == len(pages)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, name):
     from compare import assert_same
