@@ -95,6 +95,13 @@ def test_quality_rules(spark, docs, empty):
     assert a.keys() == b.keys() and a[4, 80] == pytest.approx(b[4, 80], abs=1e-5)
 
 
+def test_both_ways_to_score_back_off_alike(spark, docs):
+    model = op1_quality.materialize(op1_quality.train(docs.filter("doc_id in (4, 5)")), "model")
+    new = spark.createDataFrame([(1, "stones quickly zzz gentler Mirrors", "en"), (2, "QUARTZ 日本 ñ", "en"), (3, "the river stone", None), (4, "lamp", "xx"), (5, "", "en"), (6, None, None)], "doc_id long, text string, lang string")
+    a, b = ({r["doc_id"]: r["mean_logp"] for r in op1_quality.score(new, model, max_broadcast=m).collect()} for m in (10**9, 0))
+    assert a.keys() == b.keys() and all(b[i] == (None if x is None else pytest.approx(x, abs=1e-4)) for i, x in a.items())
+
+
 def test_kneser_ney_probabilities_add_up(spark, docs):
     model = op1_quality.pack(op1_quality.train(docs))
     keys, p = model["en", 1, 0]
