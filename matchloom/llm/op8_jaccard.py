@@ -18,9 +18,14 @@ order, which is the depth-first order of their trie; a task keeps the overlap at
 current path, starts each set at the depth it shares with the set before, and prunes what can't reach
 the overlap with the length that remains. Hot pivots are dealt to several tasks by a salt.
 
+Classes are told apart by the digest of their set and carry a key of their own, so an id that stands for
+two texts joins nothing.
+
 Cases: null or wordless texts have an empty set, link with nothing and are their own component;
-repeated rows fall into one class; a text of fewer than four words is one shingle; other columns are
-not read. Shingles are 64-bit hashes.
+repeated rows, and ties of any kind, fall into one class; an id that comes again with another text is
+two documents; a component without any id has a null component_id; a text of fewer than four words is
+one shingle; very long texts are scanned whole, one to a batch; an empty table gives no rows; other
+columns are not read, whatever their names. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,11 +46,9 @@ K = 4
 PERCENT = 85
 #: Counters of the frequency sketch (8 bytes each), and bits of the map of wanted ids.
 COUNTERS, MARKS = 1 << 18, 1 << 25
-#: Rows without an id get one from their set, from here on.
-_NO_ID = 1 << 62
 STAR_ROUNDS = 3
-#: Sets of one pivot that one task compares.
-DEAL = 512
+#: Sets of one pivot that one task compares, and members of one shingle that one task holds against the others.
+DEAL, BLOCK = 512, 4096
 
 
 def shingle_sets(col: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -105,8 +108,15 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int.from_bytes(d[i : i + 8], "little", signed=True) for i in (0, 8))
 
 
+def _bit_map(prefix: np.ndarray) -> tuple[int, int]:
+    """Which of 128 bits the shingles of a prefix set."""
+    word = np.left_shift(np.uint64(1), prefix.view(np.uint64) & np.uint64(63))
+    high = (prefix & 64).astype(bool)
+    return tuple(int(np.bitwise_or.reduce(word[side], initial=np.uint64(0)).view(np.int64)) for side in (~high, high))
+
+
 def _prefix_task(shared):
-    """A row for each text: set size, digest of the set and its prefix in the global order."""
+    """A row for each text: set size, digest of the set, its prefix in the global order and the prefix's bit map."""
 
     def run(batches):
         counts = shared.value
@@ -114,8 +124,10 @@ def _prefix_task(shared):
             for b in slices(whole):
                 sets = shingle_sets(b.column(1))
                 hi, lo = zip(*map(_digest, sets), strict=True)
-                part = [in_order(x, counts)[: len(x) - (PERCENT * len(x) + 99) // 100 + 1].astype(np.int64) if len(x) else [] for x in sets]
-                yield pa.record_batch([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(part, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "prefix"])
+                part = [in_order(x, counts)[: len(x) - (PERCENT * len(x) + 99) // 100 + 1].astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+                bits0, bits1 = zip(*map(_bit_map, part), strict=True)
+                longs = [pa.array(x, pa.int64()) for x in ([len(x) for x in sets], hi, lo, bits0, bits1)]
+                yield pa.record_batch([b.column(0), b.column(2), *longs, pa.array(part, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "hi", "lo", "bits0", "bits1", "prefix"])
 
     return run
 
@@ -131,29 +143,27 @@ def _whole_task(shared, marked):
             wanted = (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
             for b in slices(whole.filter(pa.array(wanted))):
                 sets = shingle_sets(b.column(1))
-                lo = [_digest(x)[1] for x in sets]
-                rep = [i if i is not None else x & _NO_ID - 1 | _NO_ID for i, x in zip(b.column(0).to_pylist(), lo, strict=True)]
+                hi, lo = zip(*map(_digest, sets), strict=True)
                 tokens = [in_order(x, counts).astype(np.int64) for x in sets]
-                yield pa.record_batch([pa.array(rep, pa.int64()), pa.array(lo, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "lo", "tokens"])
+                yield pa.record_batch([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["h", "l", "tokens"])
 
     return run
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts) -> DataFrame:
-    """(rep, tokens) of the classes in ``pairs``, from their texts.
+def _whole_sets(docs: DataFrame, classes: DataFrame, want: DataFrame, counts) -> DataFrame:
+    """(key, tokens) of the classes whose keys are ``want``, from the text of one document of each.
 
     A bit map of MARKS bits, whatever the input's size, drops most other texts before they are cut into
     words; the join drops the rest, so a full map costs time and nothing else."""
     spark = docs.sparkSession
-    want = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    bit = f"pmod(want, {MARKS})"
-    words = want.groupBy(F.expr(f"shiftright({bit}, 5) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 31 AS int))) AS bits")).toArrow()
+    own = materialize(classes.join(want, "key", "left_semi").select("key", "rep", "hi", "lo"), "wanted")
+    bit = f"pmod(rep, {MARKS})"
+    words = own.filter("rep is not null").groupBy(F.expr(f"shiftright({bit}, 5) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 31 AS int))) AS bits")).toArrow()
     bits = np.zeros(MARKS >> 5, np.uint32)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     small_batches(spark)
-    sets = docs.select("doc_id", "text").mapInArrow(_whole_task(counts, spark.sparkContext.broadcast(bits)), "rep long, lo long, tokens array<long>")
-    own = classes.select(F.col("rep").alias("r"), F.col("lo").alias("l")).join(want, F.col("r") == F.col("want"), "left_semi")
-    return sets.join(own, (F.col("rep") == F.col("r")) & (F.col("lo") == F.col("l"))).select("rep", "tokens").dropDuplicates(["rep"])
+    sets = docs.select("doc_id", "text").mapInArrow(_whole_task(counts, spark.sparkContext.broadcast(bits)), "h long, l long, tokens array<long>")
+    return sets.join(own, (F.col("h") == F.col("hi")) & (F.col("l") == F.col("lo"))).select("key", "tokens").dropDuplicates(["key"])
 
 
 def _need(n: Column, m: Column) -> Column:
@@ -220,8 +230,8 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
     hot = sizes.filter(F.col("pairs") > DEAL).select(F.col("a").alias("_hot"), F.ceil(F.col("pairs") / DEAL).alias("_deals"))
     p = pairs.join(hot, F.col("a") == F.col("_hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_deals")), F.lit(0)))
-    rows = p.select("a", "salt", "b").join(full, F.col("b") == F.col("rep")).select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("id"), "tokens")
-    own = p.select("a", "salt").distinct().join(full, F.col("a") == F.col("rep")).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("id"), "tokens")
+    rows = p.select("a", "salt", "b").join(full, F.col("b") == F.col("key")).select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("id"), "tokens")
+    own = p.select("a", "salt").distinct().join(full, F.col("a") == F.col("key")).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("id"), "tokens")
     small_batches(pairs.sparkSession, 256)
     dealt = rows.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "tokens")
     return dealt.mapInArrow(trie_links, "a long, b long")
@@ -230,7 +240,7 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose prefixes share enough: of the set whose prefix ends first in the global order, what the
     prefixes don't share can only lie behind its prefix, so the overlap is at most shared + n - prefix."""
-    own = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    own = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
     t = pairs.join(own("a"), "a").join(own("b"), "b")
     most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     return t.filter(most >= _need(F.col("na"), F.col("nb"))).select("a", "b")
@@ -238,61 +248,96 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
-        return members.withColumn("label", F.col("rep"))
+        return members.withColumn("label", F.col("key"))
     label = connected_components(links, "a", "b")
-    return members.join(label, members["rep"] == label["node"], "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    return members.join(label, members["key"] == label["node"], "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component")
+
+
+def _dealt_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one shingle's members with different labels that may link.
+
+    A shingle of many members is dealt to blocks of BLOCK: a member stands in one block and is held against every block."""
+    blocks = rest.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "token")
+    left = dealt.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    right = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "salt", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "pos", "label", "bits0", "bits1")])
+    return left.join(right, ["token", "salt"]).filter("label < label2").filter(_first_common()).select(F.col("key").alias("a"), F.col("key2").alias("b"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, counts) -> DataFrame:
     """Links (a, b) between classes, enough to connect every component."""
-    bits = [F.expr(f"aggregate(prefix, 0L, (a, x) -> a | IF(pmod(x, 128) {side} 64, shiftleft(1L, cast(pmod(x, 64) AS int)), 0L)) AS bits{i}") for i, side in enumerate(("<", ">="))]
-    prefix = classes.select("rep", "n", *bits, F.posexplode("prefix").alias("pos", "token"))
+    prefix = classes.select("key", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
     members = materialize(prefix.join(shared, "token"), "members")
-    links = tested = None
+    links = tested = whole = None
     for turn in range(STAR_ROUNDS + 1):
         m = _labelled(members, links)
-        ends = m.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("pos", F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "label")).alias("p")).filter("low < high")
+        ends = m.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("pos", F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "label")).alias("p")).filter("low < high").select("token", "p")
+        mixed = m.join(ends, "token")
+        if turn:  # a group that has become one component stays one
+            mixed = materialize(mixed, "mixed")
+            members = mixed.drop("label", "p")
+            if mixed.isEmpty():
+                break
         if turn < STAR_ROUNDS:
-            pairs = m.join(ends.select("token", "p"), "token").filter(F.col("label") != F.col("p.label")).filter(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
+            pairs = mixed.filter(F.col("label") != F.col("p.label")).filter(_possible(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(F.col("p.key").alias("a"), F.col("key").alias("b"))
         else:
-            rest = materialize(m.join(ends.select("token"), "token"), "rest")
-            other = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "label", "bits0", "bits1")])
-            pairs = rest.join(other, "token").filter("label < label2").filter(_first_common()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            pairs = _dealt_pairs(mixed.drop("p"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.unionAll(tested.select("b", "a")).toDF("x", "y"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
         pairs = materialize(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionAll(pairs)
         near = materialize(_near(pairs, classes), "near")
-        found = materialize(_verify(near, materialize(_whole_sets(docs, classes, near, counts), "whole")), "links")
+        if near.isEmpty():
+            continue
+        want = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        if whole is not None:
+            want = want.join(whole, "key", "left_anti")
+        new = materialize(_whole_sets(docs, classes, want, counts), "whole")
+        whole = new if whole is None else whole.unionAll(new)
+        found = materialize(_verify(near, whole), "links")
         links = found if links is None else links.unionAll(found)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-    return links
+    return links if links is not None else members.selectExpr("key AS a", "key AS b").limit(0)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row for each row of ``docs``; n_links counts the links found at the row's class."""
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, group, component_id): one row for each row of ``docs``.
+
+    ``text_key`` is the text's md5; ``group`` names the component even where ids repeat or lack, and is null for empty sets."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(sketch(docs))
     small_batches(spark)
-    sets = materialize(docs.select("doc_id", "text").mapInArrow(_prefix_task(counts), "doc_id long, n long, hi long, lo long, prefix array<long>"), "sets")
-    key = F.coalesce("doc_id", F.col("lo").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID)))
-    classes = materialize(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    links = _links(docs, classes, counts)
-    label = connected_components(links, "a", "b")
-    ends = links.select(F.explode(F.array("a", "b")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("links"))
-    own = classes.select("hi", "lo", "rep").join(label, F.col("rep") == F.col("node"), "left").join(ends, F.col("rep") == F.col("e"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    schema = "doc_id long, text_key string, n long, hi long, lo long, bits0 long, bits1 long, prefix array<long>"
+    sets = materialize(docs.select("doc_id", "text", F.md5("text").alias("text_key")).mapInArrow(_prefix_task(counts), schema), "sets")
+    one = sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bits0", "bits1", "prefix")])
+    classes = materialize(one.withColumn("key", F.monotonically_increasing_id()), "classes")
+    label = connected_components(_links(docs, classes, counts), "a", "b")
+    own = classes.select("hi", "lo", "rep", "key").join(label, F.col("key") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "rep", F.coalesce("component", "key").alias("group"))
+    own = materialize(own, "groups")
+    least = own.groupBy("group").agg(F.min("rep").alias("component_id"))
+    own = own.join(least, "group").drop("rep")
     out = sets.join(own, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "text_key", "n", "group", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row for each row of ``docs``."""
+    return groups(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of each component; rows without an id stay."""
-    found = join(docs)
-    keep = found.filter("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(free_name(docs, "_keep"))).distinct()
-    name = keep.columns[0]
-    kept = docs.join(keep, docs["doc_id"] == keep[name], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The row with the smallest id of each component; rows without an id and rows with an empty set all stay."""
+    found = materialize(groups(docs).filter("doc_id is not null and group is not null").groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")), "found")
+    names = [free_name(docs, f"_{x}") for x in ("id", "key", "rows")]
+    wins = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("s")).select("s.*").toDF(*names)
+    wins = materialize(wins, "wins")
+    same = (F.col(names[0]) == docs["doc_id"]) & (F.col(names[1]) == F.md5(docs["text"]))
+    kept = docs.join(wins.filter(F.col(names[2]) == 1), same, "left_semi")
+    # a row that repeats both id and text is kept once; only such rows move again
+    again = docs.join(wins.filter(F.col(names[2]) > 1), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    bare = docs.filter("doc_id is null").unionAll(docs.filter(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+    return kept.unionByName(again).unionByName(bare)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
