@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Alternates large and small stars: every node's larger neighbours, then its smaller ones, are linked to
     the smallest neighbour. Rounds grow with the logarithm of the diameter. Each round is written to the
-    shared folder, so lineage stays short. Null ends and loops are left out."""
+    shared folder, so lineage stays short; a table that still changes after ``max_rounds`` is an error. Null ends and loops are left out."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u <> v").distinct()
     e = materialize(e, "edges")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
@@ -30,5 +30,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components still changed after {max_rounds} rounds")
     found = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
