@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.components import connected_components
@@ -18,10 +18,46 @@ def roster_groups(matches: DataFrame, rosters: DataFrame) -> DataFrame:
     return matches.select("match_id").join(cc, F.col("match_id") == F.col("node"), "left").select("match_id", F.coalesce("component", "match_id").alias("component"))
 
 
+def session_links(reports: DataFrame, minutes: int = 30) -> DataFrame:
+    """(id, first): each report with the first of its capture session.
+
+    Reports of one source (of one uploader, for uploads by others) are a session while gaps are at most ``minutes``;
+    an external report is its own. A source's sessions are found by a sort within days: a day's first reports tell
+    whether its predecessor's last one is near, so no window holds all of a source."""
+    part = F.when(F.col("source") == "own", "own").when(F.col("source") == "others", F.concat_ws(":", F.lit("others"), F.col("uploader").cast("string"))).otherwise(F.concat_ws(":", F.lit("external"), F.col("id").cast("string")))
+    t = reports.select("id", "captured_at", part.alias("part")).distinct().withColumn("day", F.to_date("captured_at"))
+    ends = t.groupBy("part", "day").agg(F.max("captured_at").alias("last"))
+    gap = F.expr(f"INTERVAL {minutes} MINUTES")
+    w = Window.partitionBy("part", "day").orderBy("captured_at", "id")
+    before = ends.select(F.col("part").alias("p"), F.date_add("day", 1).alias("d"), F.col("last").alias("eve"))
+    t = t.join(before, (F.col("part") == F.col("p")) & (F.col("day") == F.col("d")), "left")
+    prev = F.coalesce(F.lag("captured_at").over(w), F.col("eve"))
+    t = t.withColumn("new", F.coalesce(F.col("captured_at") - prev > gap, F.lit(True)).cast("int"))
+    t = t.withColumn("visit", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = t.groupBy("part", "day", "visit").agg(F.min(F.struct("captured_at", "id", "new")).alias("head"), F.max("captured_at").alias("tail"))
+    # a run that starts without a new session goes on from the last run of the day before
+    days = Window.partitionBy("part").orderBy("day", "visit")
+    runs = runs.withColumn("session", F.sum(F.col("head.new")).over(days.rowsBetween(Window.unboundedPreceding, 0)))
+    first = runs.groupBy("part", "session").agg(F.min("head").alias("h")).select("part", "session", F.col("h.id").alias("first"))
+    named = runs.select("part", "day", "visit", "session").join(first, ["part", "session"]).select("part", "day", "visit", "first")
+    return t.join(named, ["part", "day", "visit"]).select("id", "first")
+
+
+def evaluation_groups(reports: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, component): sessions and near-duplicate matches, merged wherever they meet."""
+    edges = session_links(reports).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(near.select("a", "b"))
+    cc = connected_components(edges, "a", "b")
+    return reports.select("id").distinct().join(cc, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def group_ids(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """A hash of a group's sorted members."""
-    ids = F.array_join(F.sort_array(F.collect_list(F.col(member).cast("string"))), "\n")
-    return rows.groupBy(group).agg(F.substring(F.sha2(ids, 256), 1, 16).alias("group_id"), F.count(F.lit(1)).alias("n"))
+    """An id of a group that depends on its members only, whatever their order.
+
+    Members' hashes are added as numbers, so a group of any size costs a row for each task."""
+    h = F.sha2(F.col(member).cast("string"), 256)
+    parts = [F.sum(F.conv(F.substring(h, i, 12), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in (1, 13)]
+    t = rows.groupBy(group).agg(*parts, F.count(F.lit(1)).alias("n"))
+    return t.select(group, F.substring(F.sha2(F.concat_ws(":", *[F.col(f"p{i}").cast("string") for i in (1, 13)], F.col("n").cast("string")), 256), 1, 16).alias("group_id"), "n")
 
 
 def holdout(groups: DataFrame, g: str, fraction: float, seed: str) -> DataFrame:

@@ -29,3 +29,50 @@ def skill_replacements(members: DataFrame, most: int = 1) -> DataFrame:
     replaced = F.greatest(F.size(F.array_except("a.own", "b.own")), F.size(F.array_except("b.own", "a.own")))
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.roster") == F.col("b.roster")) & (F.col("a.id") < F.col("b.id")))
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), replaced.alias("replaced")).filter(F.col("replaced") <= most).distinct()
+
+
+def matchup_states(members: DataFrame) -> DataFrame:
+    """(id, rosters, mirror, items, swapped): both sides of a match in canonical order, as sets of side|hero:skill.
+
+    ``members``: rows (id, side, hero, s1, s2). Sides are sorted by roster, then by their skills; where both have
+    one roster, ``swapped`` holds the items of the other pairing."""
+    own = lambda c: F.concat_ws(":", "hero", c)
+    skills = F.array_distinct(F.sort_array(F.concat(F.collect_list(own("s1")), F.collect_list(own("s2")))))
+    sides = members.groupBy("id", "side").agg(F.array_join(F.sort_array(F.collect_list("hero")), ",").alias("roster"), skills.alias("skills"))
+    t = sides.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("roster", "skills"))).alias("x")).filter(F.size("x") == 2)
+    a, b = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    mark = lambda side, s: F.transform(s["skills"], lambda k: F.concat(F.lit(f"{side}|"), k))
+    t = t.select("id", F.concat_ws("/", a["roster"], b["roster"]).alias("rosters"), (a["roster"] == b["roster"]).alias("mirror"), F.concat(mark(0, a), mark(1, b)).alias("items"), F.concat(mark(0, b), mark(1, a)).alias("swapped"))
+    return t.withColumn("state", F.xxhash64("rosters", F.array_join("items", ",")))
+
+
+def _distance(a, b):
+    """Replaced skills, summed by hero: the larger of what each hero lacks and gains."""
+    heroes = F.array_distinct(F.transform(F.concat(a, b), lambda x: F.substring_index(x, ":", 1)))
+    gone, new = F.array_except(a, b), F.array_except(b, a)
+    count = lambda xs, h: F.size(F.filter(xs, lambda x: F.substring_index(x, ":", 1) == h))
+    return F.aggregate(F.transform(heroes, lambda h: F.greatest(count(gone, h), count(new, h))), F.lit(0), lambda s, x: s + x)
+
+
+def matchup_replacements(members: DataFrame, most: int = 1) -> DataFrame:
+    """Pairs (a, b, replaced) of matches with the same rosters of which at most ``most`` skill is replaced.
+
+    Equal matchups are a class: each member is paired with the class's smallest id, and classes are compared by
+    those ids only, so copies aren't expanded into all pairs. A mirror matchup, with one roster on both sides,
+    takes the better of both pairings. Matchups that differ by one skill agree once it is left out, so only those
+    that share such a bucket meet."""
+    if most not in (0, 1):
+        raise ValueError("buckets leave out one skill")
+    t = matchup_states(members)
+    first = t.groupBy("rosters", "items").agg(F.min("id").alias("a"), F.first("mirror").alias("mirror"), F.first("swapped").alias("swapped"))
+    copies = t.select("id", F.col("rosters").alias("r"), F.col("items").alias("i")).join(first, (F.col("r") == F.col("rosters")) & (F.col("i") == F.col("items"))).filter("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("replaced"))
+    if not most:
+        return copies
+    keys = lambda xs: F.array_distinct(F.transform(F.concat(F.array(F.array_sort(xs)), F.transform(xs, lambda x: F.array_sort(F.array_except(xs, F.array(x))))), lambda s: F.xxhash64("rosters", F.array_join(s, ","))))
+    one = first.select("a", "rosters", "items", "swapped", "mirror", F.explode(keys(F.col("items"))).alias("bucket"))
+    two = first.select(F.col("a").alias("b"), F.col("rosters").alias("r"), F.col("items").alias("other"), F.explode(F.when(F.col("mirror"), F.array_union(keys(F.col("items")), keys(F.col("swapped")))).otherwise(keys(F.col("items")))).alias("bucket2"))
+    pairs = one.join(two, (F.col("bucket") == F.col("bucket2")) & (F.col("rosters") == F.col("r")) & (F.col("a") != F.col("b")))
+    direct = _distance(F.col("items"), F.col("other"))
+    d = F.when(F.col("mirror"), F.least(direct, _distance(F.col("swapped"), F.col("other")))).otherwise(direct)
+    near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), d.alias("replaced")).filter(F.col("replaced") <= most).distinct()
+    return copies.unionByName(near)

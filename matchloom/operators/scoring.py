@@ -59,6 +59,88 @@ def skill_gain(skills: DataFrame, pool: DataFrame, weights: DataFrame) -> DataFr
     return t.groupBy("event_id", "option").agg(F.round(F.sum(F.coalesce("weight", F.lit(0.0)) + F.coalesce("routed", F.lit(0.0))), 6).alias("gain"), F.count("weight").alias("evidence"))
 
 
+def best_routes(owned: DataFrame, weights: DataFrame, by: list[str], most: int = 2) -> DataFrame:
+    """(by, hero, routed): the ``most`` best positive weights of each catalog hero with the owned skills, added."""
+    w = _weights(weights, "HS").filter("weight > 0").select(F.split_part("key", F.lit("|"), F.lit(1)).alias("hero"), F.split_part("key", F.lit("|"), F.lit(2)).alias("skill"), "weight")
+    t = owned.select(*by, "skill").distinct().join(w, "skill")
+    order = Window.partitionBy(*by, "hero").orderBy(F.desc("weight"))
+    return t.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).groupBy(*by, "hero").agg(F.sum("weight").alias("routed"))
+
+
+def best_skill_pair(offers: DataFrame, pool: DataFrame, weights: DataFrame) -> DataFrame:
+    """Each event's best two offered skills: their own weights and the better of both on one hero, with that
+    hero's weight of the pair, or on two heroes; routing never takes away. An event has a draft's few skills and heroes."""
+    skills = offers.select("event_id", F.col("item").alias("skill")).distinct()
+    heroes = pool.filter("pool_type = 'hero'").select("event_id", F.col("pool_item").alias("hero"))
+    routes = skills.join(heroes, "event_id").withColumn("key", F.concat_ws("|", "hero", "skill")).join(_weights(weights, "HS").select("key", "weight"), "key", "left")
+    own = routes.groupBy("event_id", "skill").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(0.0)).alias("w"), "hero")), asc=False).alias("r"))
+    t = skills.join(_weights(weights, "S").select(F.col("key").alias("skill"), F.col("weight").alias("s")), "skill", "left").join(own, ["event_id", "skill"], "left")
+    t = t.select("event_id", "skill", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("r", F.expr("CAST(array() AS array<struct<w: double, hero: string>>)")).alias("r"))
+    each = t.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("skill", "s", "r"))).alias("x"))
+    p = each.select("event_id", F.posexplode("x").alias("i", "p"), "x").select("event_id", "p", "i", F.posexplode("x").alias("j", "q")).filter("j > i")
+    # on two heroes: the best of the pairs among each skill's two best heroes is the best of all pairs
+    best = lambda r: F.slice(r, 1, 2)
+    split = F.array_max(F.flatten(F.transform(best(F.col("p.r")), lambda x: F.transform(F.filter(best(F.col("q.r")), lambda y: y["hero"] != x["hero"]), lambda y: x["w"] + y["w"]))))
+    p = p.withColumn("split", split)
+    same = p.select("event_id", F.col("p.skill").alias("a"), F.col("q.skill").alias("b"), F.explode("p.r").alias("x"), F.col("q.r").alias("qr"))
+    other = F.get(F.filter("qr", lambda y: y["hero"] == F.col("x.hero")), F.lit(0))["w"]
+    same = same.select("event_id", "a", "b", (F.col("x.w") + other).alias("w"), F.concat_ws("|", "x.hero", "a", "b").alias("key")).join(_weights(weights, "SP").select("key", F.col("weight").alias("sp")), "key", "left")
+    same = same.groupBy("event_id", "a", "b").agg(F.max(F.col("w") + F.coalesce("sp", F.lit(0.0))).alias("same"))
+    t = p.select("event_id", F.col("p.skill").alias("a"), F.col("q.skill").alias("b"), (F.col("p.s") + F.col("q.s")).alias("own"), "split").join(same, ["event_id", "a", "b"], "left")
+    t = t.withColumn("score", F.round(F.col("own") + F.greatest(F.lit(0.0), F.coalesce("same", F.lit(0.0)), F.coalesce("split", F.lit(0.0))), 6))
+    m = t.groupBy("event_id").agg(F.min(F.struct((-F.col("score")).alias("g"), "a", "b")).alias("m"))
+    return m.select("event_id", "m.a", "m.b", (-F.col("m.g")).alias("score"))
+
+
+def current_score(heroes: DataFrame, skills: DataFrame, weights: DataFrame) -> DataFrame:
+    """(session, score): owned heroes and their pairs, owned skills and each one's best route."""
+    pairs = heroes.join(heroes.select("session", F.col("hero").alias("other")), "session").filter("hero < other")
+    parts = heroes.select("session", F.lit("H").alias("family"), F.col("hero").alias("key")).unionByName(pairs.select("session", F.lit("HP").alias("family"), F.concat_ws("|", "hero", "other").alias("key"))).unionByName(skills.select("session", F.lit("S").alias("family"), F.col("skill").alias("key")))
+    one = parts.join(weights, ["family", "key"], "left").groupBy("session").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
+    routes = skills.join(heroes, "session").withColumn("key", F.concat_ws("|", "hero", "skill")).join(_weights(weights, "HS").select("key", "weight"), "key", "left")
+    two = routes.groupBy("session", "skill").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("w")).groupBy("session").agg(F.sum("w").alias("w"))
+    return one.unionByName(two).groupBy("session").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def added_hero(members: DataFrame, heroes: DataFrame, required: int = 2) -> DataFrame:
+    """For each side and hero that it lacks, the camp bonus before and after, and whether the hero's bond becomes active."""
+    catalog = F.broadcast(heroes.select("hero", "camp", "bond"))  # a row for each hero of the catalog
+    t = members.join(catalog, "hero").groupBy("match_id", "side").agg(F.collect_list("hero").alias("own"), F.collect_list("camp").alias("camps"), F.collect_list("bond").alias("bonds"))
+    c = t.crossJoin(catalog).filter(~F.array_contains("own", F.col("hero")))
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    most = F.array_max(F.transform("camps", lambda x: count(F.col("camps"), x)))
+    bonus = lambda n: F.when(n >= 3, 0.1).when(n == 2, 0.05).otherwise(0.0)
+    n = count(F.col("bonds"), F.col("bond"))
+    return c.select("match_id", "side", "hero", bonus(most).alias("bonus_before"), bonus(F.greatest(most, count(F.col("camps"), F.col("camp")) + 1)).alias("bonus_after"), ((n < required) & (n + 1 >= required)).alias("bond_activated"))
+
+
+def guide_relevance(heroes: DataFrame, skills: DataFrame, offered_heroes: DataFrame, offered_skills: DataFrame, guide: DataFrame, slots: DataFrame) -> DataFrame:
+    """(session, place, owned, offered, owned_slots, offered_slots): members and skill slots of each guide that a
+    session owns, or only is offered. The guide is a published list of a fixed length."""
+    def known(own, offer, what):
+        t = own.withColumn("o", F.lit(True)).unionByName(offer.withColumn("o", F.lit(False)))
+        return t.groupBy("session", what).agg(F.bool_or("o").alias("o"))
+
+    n = lambda name: [F.count_if("o").alias(f"owned{name}"), F.count_if(~F.col("o")).alias(f"offered{name}")]
+    h = known(heroes, offered_heroes, "hero").join(F.broadcast(guide), "hero").groupBy("session", "place").agg(*n(""))
+    s = known(skills, offered_skills, "skill").join(F.broadcast(slots.withColumn("skill", F.explode("skills")).drop("skills")), "skill")
+    s = s.groupBy("session", "place", "hero", "slot").agg(F.bool_or("o").alias("o")).groupBy("session", "place").agg(*n("_slots"))
+    return h.join(s, ["session", "place"], "left").na.fill(0, ["owned_slots", "offered_slots"])
+
+
+def partial_guides(heroes: DataFrame, skills: DataFrame, guide: DataFrame, slots: DataFrame, weights: DataFrame, least: int = 2) -> DataFrame:
+    """Guides with ``least`` owned heroes or more, and how many of those heroes' slots an owned skill can fill by a positive route."""
+    g = F.broadcast(guide.select("hero", "place", "tier", "champion"))
+    own = heroes.join(g, "hero").groupBy("session", "place", "tier", "champion").agg(F.count(F.lit(1)).alias("owned")).filter(F.col("owned") >= least)
+    route = _weights(weights, "HS").filter("weight > 0").select("key")
+    fits = slots.withColumn("skill", F.explode("skills")).withColumn("key", F.concat_ws("|", "hero", "skill")).join(route, "key", "left_semi").select("place", "hero", "slot", "skill")
+    use = heroes.join(F.broadcast(fits), "hero").join(skills, ["session", "skill"], "left_semi").groupBy("session", "place").agg(F.count_distinct("hero", "slot").alias("usable"))
+    t = own.join(use, ["session", "place"], "left").na.fill(0, ["usable"])
+    tier = F.when(F.col("tier") == "S", 0).when(F.col("tier") == "A", 1).otherwise(2)
+    w = Window.partitionBy("session").orderBy(F.desc("owned"), F.desc("usable"), F.desc("champion"), tier, "place")
+    return t.withColumn("rank", F.row_number().over(w)).select("session", "place", "owned", "usable", "rank")
+
+
 def rank_options(gains: DataFrame) -> DataFrame:
     """Options by gain, evidence and index."""
     w = Window.partitionBy("event_id").orderBy(F.desc("gain"), F.desc("evidence"), "option")

@@ -106,7 +106,7 @@ def _(v):
     return A.calibration(v.events)
 
 
-@query("a14_suppressed_rates", "SELECT round_type, item, count(*) AS offers, count(*) < 10 AS suppressed, CASE WHEN count(*) < 10 THEN NULL ELSE round(count(*) FILTER (option = chosen) / count(*), 6) END AS pick_rate FROM offers WHERE round % 5 = 1 GROUP BY 1, 2")
+@query("a14_suppressed_rates", "SELECT round_type, item, count(*) AS offers, count(*) < 10 AS suppressed, CASE WHEN count(*) < 10 THEN NULL ELSE round(count(*) FILTER (option = chosen) / count(*), 6) END AS pick_rate FROM offers GROUP BY 1, 2")
 def _(v):
     return A.suppressed(v.offers)
 

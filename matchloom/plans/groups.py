@@ -7,33 +7,41 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import groups as G
 from matchloom.operators import models as M
-from matchloom.operators.near import skill_replacements
+from matchloom.operators.components import connected_components
+from matchloom.operators.near import matchup_replacements, skill_replacements
 from matchloom.plans.registry import query
 
-_EDGES = """ed AS (SELECT DISTINCT a.match_id AS a, b.match_id AS b FROM rosters a JOIN rosters b ON a.roster = b.roster AND a.match_id < b.match_id),
-cc AS (SELECT match_id AS node, match_id AS reach FROM valid UNION SELECT cc.node, CASE WHEN e.a = cc.reach THEN e.b ELSE e.a END FROM cc JOIN ed e ON cc.reach = e.a OR cc.reach = e.b),
-comp AS (SELECT node AS match_id, min(reach) AS component FROM cc GROUP BY 1)"""
+_GROUPS = """ed AS (SELECT first AS a, id AS b FROM visits WHERE id <> first UNION SELECT a, b FROM near_matches), cc AS (SELECT DISTINCT id AS node, id AS reach FROM reports UNION SELECT cc.node, CASE WHEN e.a = cc.reach THEN e.b ELSE e.a END FROM cc JOIN ed e ON cc.reach = e.a OR cc.reach = e.b),
+comp AS (SELECT node AS id, min(reach) AS component FROM cc GROUP BY 1)"""
 
 
-def _components(v):
-    return G.roster_groups(v.valid, v.rosters)
+def _groups(v):
+    return G.evaluation_groups(v.reports, matchup_replacements(v.reports))
 
 
-@query("g01_roster_components", f"WITH RECURSIVE {_EDGES} SELECT match_id, component FROM comp")
+@query("g01_evaluation_groups", f"WITH RECURSIVE {_GROUPS} SELECT id, component FROM comp")
 def _(v):
-    return _components(v)
+    return _groups(v)
 
 
-@query("g01_near_team_components")
+@query("g01_capture_sessions", "SELECT id, first FROM visits")
 def _(v):
-    from matchloom.operators.components import connected_components
+    return G.session_links(v.reports)
+
 
+@query("g01_roster_components")
+def _(v):
+    return G.roster_groups(v.valid, v.rosters)
+
+
+@query("g01_near_team_components")
+def _(v):
     return connected_components(skill_replacements(v.members), "a", "b").groupBy("component").agg(F.count(F.lit(1)).alias("teams"))
 
 
-@query("g02_stable_group_ids", f"WITH RECURSIVE {_EDGES} SELECT substr(sha256(string_agg(CAST(match_id AS VARCHAR), chr(10) ORDER BY CAST(match_id AS VARCHAR))), 1, 16) AS group_id, count(*) AS n FROM comp GROUP BY component")
+@query("g02_stable_group_ids", f"WITH RECURSIVE {_GROUPS}, hs AS (SELECT component, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(CAST(id AS VARCHAR)), 1, 12)) AS BIGINT)) AS VARCHAR) AS p, CAST(sum(CAST(('0x' || substr(sha256(CAST(id AS VARCHAR)), 13, 12)) AS BIGINT)) AS VARCHAR) AS q FROM comp GROUP BY 1) SELECT substr(sha256(p || ':' || q || ':' || n), 1, 16) AS group_id, n FROM hs")
 def _(v):
-    return G.group_ids(_components(v), "component", "match_id").select("group_id", "n")
+    return G.group_ids(_groups(v), "component", "id").select("group_id", "n")
 
 
 _HOLD = "gr AS (SELECT DISTINCT uploader AS g FROM valid), hd AS (SELECT g, row_number() OVER (ORDER BY sha256(concat('split', chr(0), g))) AS rn, count(*) OVER () AS n FROM gr), ho AS (SELECT g, rn <= least(n - 1, greatest(1, round_even(n * 0.2, 0))) AS held FROM hd)"

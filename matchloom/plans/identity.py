@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.operators import identity as D
-from matchloom.operators.near import skill_replacements
+from matchloom.operators.near import matchup_replacements, skill_replacements
 from matchloom.plans.registry import query
 
 
@@ -58,6 +58,11 @@ def _(v):
     return skill_replacements(v.members, most=1).selectExpr("a", "b", "CAST(replaced AS BIGINT) AS replaced")
 
 
+@query("d08_near_duplicate_matches", "SELECT a, b, replaced FROM near_matches")
+def _(v):
+    return matchup_replacements(v.reports)
+
+
 @query("d09_idempotent_insert", "SELECT match_id, count(*) AS arrivals, CASE WHEN count(*) = 1 THEN 'accepted' WHEN count(DISTINCT content) = 1 THEN 'duplicate' ELSE 'conflict' END AS status FROM (SELECT match_id, copy % 2 || '-' || (match_id % 2) * copy AS content FROM submissions) GROUP BY 1")
 def _(v):
     content = F.concat_ws("-", (F.col("copy") % 2).cast("string"), ((F.col("match_id") % 2) * F.col("copy")).cast("string"))

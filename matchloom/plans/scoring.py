@@ -64,46 +64,41 @@ def _(v):
     return R.rank_options(R.hero_gain(v.offers, v.pool, v.weights)).select("event_id", "option", "rank")
 
 
-_TEAM = "tm AS (SELECT match_id, side, hero FROM members WHERE slot <= 2 AND match_id % 5 = 0)"
-_R07 = f"""{_TEAM}, t2 AS (SELECT match_id, side, min(hero) AS a, max(hero) AS b FROM tm GROUP BY 1, 2), ca AS (SELECT match_id, side, a, b, h.hero FROM t2 CROSS JOIN heroes h WHERE h.hero <> a AND h.hero <> b),
-ad AS (SELECT match_id, side, ca.hero, round(coalesce(w.weight, 0) + coalesce(p.weight, 0) + coalesce(q.weight, 0), 6) AS gain FROM ca LEFT JOIN weights w ON w.family = 'H' AND w.key = ca.hero LEFT JOIN weights p ON p.family = 'HP' AND p.key = least(ca.hero, a) || '|' || greatest(ca.hero, a) LEFT JOIN weights q ON q.family = 'HP' AND q.key = least(ca.hero, b) || '|' || greatest(ca.hero, b))"""
+_R07 = """tm AS (SELECT match_id, side, hero FROM members WHERE slot <= 2), t2 AS (SELECT match_id, side, min(hero) AS a, max(hero) AS b FROM tm GROUP BY 1, 2), ca AS (SELECT match_id, side, a, b, h.hero FROM t2 CROSS JOIN heroes h WHERE h.hero <> a AND h.hero <> b),
+sk AS (SELECT DISTINCT match_id, side, skill FROM carried WHERE slot <= 2), ro AS (SELECT match_id, side, split_part(key, '|', 1) AS hero, weight FROM sk JOIN weights ON family = 'HS' AND split_part(key, '|', 2) = skill WHERE weight > 0), r2 AS (SELECT match_id, side, hero, sum(weight) AS routed FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side, hero ORDER BY weight DESC) AS rn FROM ro) WHERE rn <= 2 GROUP BY 1, 2, 3),
+ad AS (SELECT match_id, side, ca.hero, round(coalesce(w.weight, 0) + coalesce(p.weight, 0) + coalesce(q.weight, 0) + coalesce(routed, 0), 6) AS gain, coalesce(w.support, 0) AS support FROM ca LEFT JOIN weights w ON w.family = 'H' AND w.key = ca.hero LEFT JOIN weights p ON p.family = 'HP' AND p.key = least(ca.hero, a) || '|' || greatest(ca.hero, a) LEFT JOIN weights q ON q.family = 'HP' AND q.key = least(ca.hero, b) || '|' || greatest(ca.hero, b) LEFT JOIN r2 USING (match_id, side, hero)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY gain DESC, support DESC, hero) AS rn FROM ad)"""
 
 
 def _additions(v):
     t = v.members.filter("slot <= 2").groupBy("match_id", "side").agg(F.min("hero").alias("a"), F.max("hero").alias("b"))
     c = t.crossJoin(F.broadcast(v.heroes.select("hero"))).filter("hero <> a AND hero <> b")  # a candidate for each hero of the catalog
-    h = v.weights.filter("family = 'H'").select(F.col("key").alias("hero"), F.col("weight").alias("w"))
+    h = v.weights.filter("family = 'H'").select(F.col("key").alias("hero"), F.col("weight").alias("w"), "support")
     p = v.weights.filter("family = 'HP'").select("key", "weight")
     c = c.join(h, "hero", "left")
     for x in "ab":
         c = c.join(p.select(F.col("key").alias(f"k{x}"), F.col("weight").alias(f"w{x}")), R.pair_key("hero", x) == F.col(f"k{x}"), "left")
-    gain = F.round(sum((F.coalesce(x, F.lit(0.0)) for x in ("w", "wa", "wb")), F.lit(0.0)), 6)
-    return c.select("match_id", "side", "hero", gain.alias("gain"))
+    c = c.join(R.best_routes(v.carried.filter("slot <= 2"), v.weights, ["match_id", "side"]), ["match_id", "side", "hero"], "left")
+    gain = F.round(sum((F.coalesce(x, F.lit(0.0)) for x in ("w", "wa", "wb", "routed")), F.lit(0.0)), 6)
+    return c.select("match_id", "side", "hero", gain.alias("gain"), F.coalesce("support", F.lit(0)).alias("support"))
 
 
-@query("r07_best_addition", f"WITH {_R07} SELECT match_id, side, hero, gain FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY gain DESC, hero) AS rn FROM ad) WHERE rn = 1")
+@query("r07_best_addition", f"WITH {_R07} SELECT match_id, side, hero, gain FROM rk WHERE rn = 1")
 def _(v):
-    t = _additions(v).groupBy("match_id", "side").agg(F.min(F.struct((-F.col("gain")).alias("g"), "hero")).alias("m"))
+    t = _additions(v).groupBy("match_id", "side").agg(F.min(F.struct((-F.col("gain")).alias("g"), (-F.col("support")).alias("s"), "hero")).alias("m"))
     return t.select("match_id", "side", F.col("m.hero").alias("hero"), (-F.col("m.g")).alias("gain"))
 
 
-_R08 = "pr AS (SELECT event_id, option, hero, a.skill AS a, b.skill AS b FROM (SELECT o.event_id, option, pool_item AS hero, item AS skill FROM offers o JOIN pool p ON o.event_id = p.event_id AND pool_type = 'hero' WHERE o.round_type = 'skill' AND o.event_id % 7 = 0) a JOIN (SELECT o.event_id, option, pool_item AS hero, item AS skill FROM offers o JOIN pool p ON o.event_id = p.event_id AND pool_type = 'hero' WHERE o.round_type = 'skill' AND o.event_id % 7 = 0) b USING (event_id, option, hero) WHERE a.skill < b.skill)"
+_R08 = """sk AS (SELECT DISTINCT event_id, item AS skill FROM offers WHERE round_type = 'skill'), ph AS (SELECT event_id, pool_item AS hero FROM pool WHERE pool_type = 'hero'), rt AS (SELECT event_id, skill, hero, coalesce(weight, 0) AS w FROM sk JOIN ph USING (event_id) LEFT JOIN weights ON family = 'HS' AND key = hero || '|' || skill),
+pr AS (SELECT x.event_id, x.skill AS a, y.skill AS b FROM sk x JOIN sk y ON x.event_id = y.event_id AND x.skill < y.skill),
+sm AS (SELECT p.event_id, p.a, p.b, max(x.w + y.w + coalesce(z.weight, 0)) AS same, max_by(coalesce(z.weight, 0), x.w + y.w + coalesce(z.weight, 0)) AS synergy FROM pr p JOIN rt x ON x.event_id = p.event_id AND x.skill = p.a JOIN rt y ON y.event_id = p.event_id AND y.skill = p.b AND y.hero = x.hero LEFT JOIN weights z ON z.family = 'SP' AND z.key = x.hero || '|' || p.a || '|' || p.b GROUP BY 1, 2, 3),
+sl AS (SELECT p.event_id, p.a, p.b, max(x.w + y.w) AS split FROM pr p JOIN rt x ON x.event_id = p.event_id AND x.skill = p.a JOIN rt y ON y.event_id = p.event_id AND y.skill = p.b AND y.hero <> x.hero GROUP BY 1, 2, 3),
+sc AS (SELECT event_id, p.a, p.b, round(coalesce(u.weight, 0) + coalesce(t.weight, 0) + greatest(0, coalesce(same, 0), coalesce(split, 0)), 6) AS score FROM pr p LEFT JOIN sm USING (event_id, a, b) LEFT JOIN sl USING (event_id, a, b) LEFT JOIN weights u ON u.family = 'S' AND u.key = p.a LEFT JOIN weights t ON t.family = 'S' AND t.key = p.b)"""
 
 
-@query("r08_best_skill_pair", f"""WITH {_R08}, sc AS (SELECT event_id, option, hero, a, b, round(coalesce(x.weight, 0) + coalesce(y.weight, 0) + coalesce(z.weight, 0), 6) AS score FROM pr LEFT JOIN weights x ON x.family = 'HS' AND x.key = hero || '|' || a LEFT JOIN weights y ON y.family = 'HS' AND y.key = hero || '|' || b LEFT JOIN weights z ON z.family = 'SP' AND z.key = hero || '|' || a || '|' || b)
-SELECT event_id, option, hero, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, option, hero, a, b) AS rn FROM sc) WHERE rn = 1""")
+@query("r08_best_skill_pair", f"WITH {_R08} SELECT event_id, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, a, b) AS rn FROM sc) WHERE rn = 1")
 def _(v):
-    o = _skill_offers(v).groupBy("event_id", "option").agg(F.sort_array(F.collect_set("item")).alias("s"))
-    p = o.select("event_id", "option", F.posexplode("s").alias("i", "a"), "s").select("event_id", "option", "a", "i", F.posexplode("s").alias("j", "b")).filter("j > i")
-    h = v.pool.filter("pool_type = 'hero'").select("event_id", F.col("pool_item").alias("hero"))
-    t = p.join(h, "event_id").select("event_id", "option", "hero", "a", "b")
-    parts = {"x": ("HS", F.concat_ws("|", "hero", "a")), "y": ("HS", F.concat_ws("|", "hero", "b")), "z": ("SP", F.concat_ws("|", "hero", "a", "b"))}
-    for n, (family, key) in parts.items():
-        w = v.weights.filter(F.col("family") == family).select(F.col("key").alias(f"k{n}"), F.col("weight").alias(n))
-        t = t.join(w, key == F.col(f"k{n}"), "left")
-    t = t.withColumn("score", F.round(sum((F.coalesce(n, F.lit(0.0)) for n in parts), F.lit(0.0)), 6))
-    best = t.groupBy("event_id").agg(F.min(F.struct((-F.col("score")).alias("g"), "option", "hero", "a", "b")).alias("m"))
-    return best.select("event_id", "m.option", "m.hero", "m.a", "m.b", (-F.col("m.g")).alias("score"))
+    return R.best_skill_pair(_skill_offers(v), v.pool, v.weights)
 
 
 @query("r09_roster_score", "SELECT match_id, side, round(sum(coalesce(weight, 0)), 6) AS score FROM features LEFT JOIN weights USING (family, key) WHERE family IN ('H', 'HP', 'HS') GROUP BY 1, 2")
@@ -111,7 +106,23 @@ def _(v):
     return R.team_strength(v.features.filter("family IN ('H', 'HP', 'HS')"), v.weights).select("match_id", "side", F.col("strength").alias("score"))
 
 
-_TRIO = """po AS (SELECT DISTINCT match_id AS pool_id, hero FROM members WHERE match_id % 20 = 0), tr AS (SELECT pool_id, a.hero AS a, b.hero AS b, c.hero AS c FROM po a JOIN po b USING (pool_id) JOIN po c USING (pool_id) WHERE a.hero < b.hero AND b.hero < c.hero),
+_OWN = """oh AS (SELECT DISTINCT session, item AS hero FROM picks WHERE round_type = 'hero'), os AS (SELECT DISTINCT session, item AS skill FROM picks WHERE round_type = 'skill')"""
+
+
+def _owned(v):
+    """Heroes and skills that a session has picked."""
+    own = lambda kind, name: v.picks.filter(F.col("round_type") == kind).select("session", F.col("item").alias(name)).distinct()
+    return own("hero", "hero"), own("skill", "skill")
+
+
+@query("r09_current_score", f"""WITH {_OWN}, bh AS (SELECT session, skill, max(coalesce(weight, 0)) AS routed FROM os JOIN oh USING (session) LEFT JOIN weights ON family = 'HS' AND key = hero || '|' || skill GROUP BY 1, 2),
+pt AS (SELECT session, coalesce(weight, 0) AS w FROM oh LEFT JOIN weights ON family = 'H' AND key = hero UNION ALL SELECT a.session, coalesce(weight, 0) FROM oh a JOIN oh b ON a.session = b.session AND a.hero < b.hero LEFT JOIN weights ON family = 'HP' AND key = a.hero || '|' || b.hero UNION ALL SELECT session, coalesce(weight, 0) FROM os LEFT JOIN weights ON family = 'S' AND key = skill UNION ALL SELECT session, routed FROM bh)
+SELECT session, round(sum(w), 6) AS score FROM pt GROUP BY 1""")
+def _(v):
+    return R.current_score(*_owned(v), v.weights)
+
+
+_TRIO = """po AS (SELECT DISTINCT match_id AS pool_id, hero FROM members), tr AS (SELECT pool_id, a.hero AS a, b.hero AS b, c.hero AS c FROM po a JOIN po b USING (pool_id) JOIN po c USING (pool_id) WHERE a.hero < b.hero AND b.hero < c.hero),
 ts AS (SELECT pool_id, a, b, c, round(coalesce(x.weight, 0) + coalesce(y.weight, 0) + coalesce(z.weight, 0) + coalesce(p.weight, 0) + coalesce(q.weight, 0) + coalesce(r.weight, 0), 6) AS strength, ha.camp = hb.camp AND hb.camp = hc.camp AS same_camp FROM tr JOIN heroes ha ON ha.hero = a JOIN heroes hb ON hb.hero = b JOIN heroes hc ON hc.hero = c LEFT JOIN weights x ON x.family = 'H' AND x.key = a LEFT JOIN weights y ON y.family = 'H' AND y.key = b LEFT JOIN weights z ON z.family = 'H' AND z.key = c LEFT JOIN weights p ON p.family = 'HP' AND p.key = a || '|' || b LEFT JOIN weights q ON q.family = 'HP' AND q.key = a || '|' || c LEFT JOIN weights r ON r.family = 'HP' AND r.key = b || '|' || c),
 tk AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY strength DESC, a, b, c) AS rn FROM ts), dp AS (SELECT x.pool_id, x.a || ',' || x.b || ',' || x.c AS first, y.a || ',' || y.b || ',' || y.c AS second, round(x.strength + y.strength, 6) AS total, x.rn AS r1, y.rn AS r2 FROM tk x JOIN tk y ON x.pool_id = y.pool_id AND x.rn < y.rn AND x.rn <= 20 AND y.rn <= 20 AND x.a NOT IN (y.a, y.b, y.c) AND x.b NOT IN (y.a, y.b, y.c) AND x.c NOT IN (y.a, y.b, y.c)),
 dr AS (SELECT pool_id, first, second, total, CAST(row_number() OVER (PARTITION BY pool_id ORDER BY total DESC, r1, r2) AS INT) AS rank FROM dp)"""
@@ -153,22 +164,44 @@ def _(v):
     return c.join(b, ["match_id", "side"]).select("match_id", "side", F.when(F.col("most") == 3, 0.1).when(F.col("most") == 2, 0.05).otherwise(0.0).alias("bonus"), "bonds")
 
 
-@query("r15_top_candidates", f"WITH {_R07} SELECT match_id, side, hero, gain, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY gain DESC, hero) AS rn FROM ad) WHERE rn <= 10")
+@query("r14_added_hero", """WITH tm AS (SELECT match_id, side, hero FROM members WHERE slot <= 2), c0 AS (SELECT match_id, side, camp, count(*) AS n FROM tm JOIN heroes USING (hero) GROUP BY 1, 2, 3), before AS (SELECT match_id, side, max(n) AS most FROM c0 GROUP BY 1, 2), ca AS (SELECT t.match_id, t.side, h.hero, h.camp, h.bond FROM (SELECT DISTINCT match_id, side FROM tm) t CROSS JOIN heroes h WHERE NOT EXISTS (SELECT 1 FROM tm WHERE tm.match_id = t.match_id AND tm.side = t.side AND tm.hero = h.hero)),
+b0 AS (SELECT match_id, side, bond, count(*) AS n FROM tm JOIN heroes USING (hero) GROUP BY 1, 2, 3)
+SELECT ca.match_id, ca.side, ca.hero, CASE WHEN most >= 3 THEN 0.1e0 WHEN most = 2 THEN 0.05e0 ELSE 0e0 END AS bonus_before, CASE WHEN greatest(most, coalesce(c0.n, 0) + 1) >= 3 THEN 0.1e0 WHEN greatest(most, coalesce(c0.n, 0) + 1) = 2 THEN 0.05e0 ELSE 0e0 END AS bonus_after, coalesce(b0.n, 0) = 1 AS bond_activated
+FROM ca JOIN before USING (match_id, side) LEFT JOIN c0 ON c0.match_id = ca.match_id AND c0.side = ca.side AND c0.camp = ca.camp LEFT JOIN b0 ON b0.match_id = ca.match_id AND b0.side = ca.side AND b0.bond = ca.bond""")
 def _(v):
-    w = Window.partitionBy("match_id", "side").orderBy(F.desc("gain"), "hero")
-    return _additions(v).withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    """What each further hero changes for the first two of a side; a bond needs two of its members."""
+    return R.added_hero(v.members.filter("slot <= 2"), v.heroes, required=2)
 
 
-_KNOWN = "kn AS (SELECT session, place, count(DISTINCT hero) AS owned FROM (SELECT session, place, g.hero FROM picks p JOIN guide_members g ON p.item = g.hero) GROUP BY 1, 2)"
+@query("r15_top_candidates", f"WITH {_R07} SELECT match_id, side, hero, gain, CAST(rn AS INT) AS rank FROM rk WHERE rn <= 10")
+def _(v):
+    w = Window.partitionBy("match_id", "side").orderBy(F.desc("gain"), F.desc("support"), "hero")
+    return _additions(v).withColumn("rank", F.row_number().over(w)).filter("rank <= 10").drop("support")
 
 
-def _known(v):
-    return v.picks.join(F.broadcast(v.guide_members.select("hero", "place")), F.col("item") == F.col("hero")).groupBy("session", "place").agg(F.count_distinct("hero").alias("owned"))
+#: A guide's member carries two slots of alternative skills.
+_SLOTS = "gs AS (SELECT place, tier, champion, hero, unnest([1, 2]) AS slot, unnest([['K' || (num % 30), 'K' || ((num + 7) % 30)], ['K' || ((num + 11) % 30)]]) AS skills FROM guide_members JOIN heroes USING (hero))"
+_GUIDE = f"""{_OWN}, ch AS (SELECT DISTINCT session, item AS hero FROM offers WHERE round_type = 'hero'), cs AS (SELECT DISTINCT session, item AS skill FROM offers WHERE round_type = 'skill'), {_SLOTS},
+hc AS (SELECT session, place, count(*) FILTER (owned) AS owned, count(*) FILTER (NOT owned) AS offered FROM (SELECT session, g.place, g.hero, bool_or(o) AS owned FROM (SELECT session, hero, true AS o FROM oh UNION ALL SELECT session, hero, false FROM ch) x JOIN guide_members g USING (hero) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sc AS (SELECT session, place, count(*) FILTER (owned) AS owned_slots, count(*) FILTER (NOT owned) AS offered_slots FROM (SELECT session, place, hero, slot, bool_or(o) AS owned FROM (SELECT session, skill, true AS o FROM os UNION ALL SELECT session, skill, false FROM cs) x JOIN (SELECT place, hero, slot, unnest(skills) AS skill FROM gs) USING (skill) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+gr AS (SELECT session, place, owned, offered, coalesce(owned_slots, 0) AS owned_slots, coalesce(offered_slots, 0) AS offered_slots FROM hc LEFT JOIN sc USING (session, place))"""
 
 
-@query("r16_guide_relevance", f"WITH {_KNOWN} SELECT * FROM kn")
+def _slots(v):
+    k = lambda n: F.concat(F.lit("K"), (F.col("num") + n) % 30)
+    slots = F.array(F.struct(F.lit(1).alias("slot"), F.array(k(0), k(7)).alias("skills")), F.struct(F.lit(2).alias("slot"), F.array(k(11)).alias("skills")))
+    return v.guide_members.join(v.heroes.select("hero", "num"), "hero").select("place", "hero", F.explode(slots).alias("x")).select("place", "hero", "x.slot", "x.skills")
+
+
+def _relevance(v):
+    offered = lambda kind, name: v.offers.filter(F.col("round_type") == kind).select("session", F.col("item").alias(name)).distinct()
+    return R.guide_relevance(*_owned(v), offered("hero", "hero"), offered("skill", "skill"), v.guide_members.select("place", "hero"), _slots(v))
+
+
+@query("r16_guide_relevance", f"WITH {_GUIDE} SELECT session, place, owned, offered, owned_slots, offered_slots, owned >= 1 AS owned_only, owned = 3 AS all_owned FROM gr")
 def _(v):
-    return _known(v)
+    """Guides that share a hero with what is owned or offered; the modes of selection as flags."""
+    return _relevance(v).withColumn("owned_only", F.col("owned") >= 1).withColumn("all_owned", F.col("owned") == 3)
 
 
 @query("r17_guide_order", "SELECT roster, tier, row_number() OVER (ORDER BY champion DESC, CASE tier WHEN 'S' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, place) AS pos FROM guide WHERE tier IN ('S', 'A')")
@@ -189,9 +222,12 @@ def _(v):
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("n"), "item"))).filter("rank <= 4").select("session", "item", "rank")
 
 
-@query("r19_partial_guides", f"WITH {_KNOWN} SELECT session, place, owned, CAST(row_number() OVER (PARTITION BY session ORDER BY owned DESC, place) AS INT) AS rank FROM kn WHERE owned >= 2")
+@query("r19_partial_guides", f"""WITH {_OWN}, {_SLOTS}, ok AS (SELECT DISTINCT session, place, hero, slot FROM (SELECT session, place, hero, slot, unnest(skills) AS skill FROM oh JOIN gs USING (hero)) x JOIN os USING (session, skill) JOIN weights w ON w.family = 'HS' AND w.key = hero || '|' || skill AND w.weight > 0),
+kn AS (SELECT session, place, champion, tier, count(*) AS owned FROM oh JOIN guide_members USING (hero) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2), us AS (SELECT session, place, count(*) AS usable FROM ok GROUP BY 1, 2)
+SELECT session, place, owned, coalesce(usable, 0) AS usable, CAST(row_number() OVER (PARTITION BY session ORDER BY owned DESC, coalesce(usable, 0) DESC, champion DESC, CASE tier WHEN 'S' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, place) AS INT) AS rank FROM kn LEFT JOIN us USING (session, place)""")
 def _(v):
-    return _known(v).filter("owned >= 2").withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("owned"), "place")))
+    """Guides of which a session owns two heroes or more, with the slots that its skills can fill by a positive route."""
+    return R.partial_guides(*_owned(v), v.guide_members, _slots(v), v.weights)
 
 
 _MATRIX = "mx AS (SELECT a.hero AS r, b.hero AS c, sum(a.won) AS w, count(*) AS n FROM members a JOIN members b ON a.match_id = b.match_id AND a.side <> b.side AND a.slot = 1 AND b.slot = 1 GROUP BY 1, 2)"
@@ -235,11 +271,22 @@ def _(v):
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("weight"), "key"))).filter("rank <= 12")
 
 
-@query("r25_item_lists", "SELECT skill, CASE WHEN is_signature THEN 'signature' WHEN shadow THEN 'shadow' WHEN color = 'orange' THEN 'orange' ELSE 'regular' END AS list, season = (SELECT max(season) FROM skills) AS latest FROM skills")
+@query("r24_owned_pairs", f"WITH {_OWN} SELECT a.session, key, weight, support FROM oh a JOIN oh b ON a.session = b.session AND a.hero < b.hero JOIN weights ON family = 'HP' AND key = a.hero || '|' || b.hero WHERE weight <> 0")
+def _(v):
+    h, _ = _owned(v)
+    pairs = h.join(h.select("session", F.col("hero").alias("other")), "session").filter("hero < other")
+    return pairs.withColumn("key", F.concat_ws("|", "hero", "other")).join(v.weights.filter("family = 'HP' AND weight <> 0"), "key").select("session", "key", "weight", "support")
+
+
+@query("r25_item_lists", """SELECT skill, list, season = (SELECT max(season) FROM skills) AS latest, row_number() OVER (PARTITION BY list ORDER BY CASE WHEN color = 'orange' THEN 0 ELSE 1 END, skill) AS place
+FROM (SELECT *, unnest(CASE WHEN is_signature OR shadow THEN ['signature_or_shadow'] WHEN color = 'orange' THEN ['regular', 'orange'] ELSE ['regular'] END) AS list FROM skills)""")
 def _(v):
+    """The catalog's selectable lists, each by tier and name; the catalog has a row for each skill."""
     last = v.skills.agg(F.max("season").alias("last"))
-    kind = F.when(F.col("is_signature"), "signature").when(F.col("shadow"), "shadow").when(F.col("color") == "orange", "orange").otherwise("regular")
-    return v.skills.crossJoin(F.broadcast(last)).select("skill", kind.alias("list"), (F.col("season") == F.col("last")).alias("latest"))
+    lists = F.when(F.expr("is_signature OR shadow"), F.array(F.lit("signature_or_shadow"))).when(F.col("color") == "orange", F.array(F.lit("regular"), F.lit("orange"))).otherwise(F.array(F.lit("regular")))
+    w = Window.partitionBy("list").orderBy(F.when(F.col("color") == "orange", 0).otherwise(1), "skill")
+    t = v.skills.withColumn("list", F.explode(lists)).withColumn("place", F.row_number().over(w).cast("long"))
+    return t.crossJoin(F.broadcast(last)).select("skill", "list", (F.col("season") == F.col("last")).alias("latest"), "place")
 
 
 @query("r26_closest_guides", "SELECT match_id, side, place, shared, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY shared DESC, champion DESC, place) AS rn FROM (SELECT match_id, side, place, champion, count(*) AS shared FROM members JOIN guide_members USING (hero) GROUP BY ALL HAVING count(*) >= 2)) WHERE rn <= 3")

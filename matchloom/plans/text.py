@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from matchloom.operators import text as X
 from matchloom.plans.registry import query
 
-_TOK = "tk AS (SELECT log, pos, unnest(string_split(text, ' ')) AS token FROM log_lines WHERE pos <= 3)"
+_TOK = "tk AS (SELECT log, pos, unnest(string_split(text, ' ')) AS token FROM log_lines)"
 
 
 def _tokens(v):
@@ -20,7 +20,7 @@ def _(v):
     return X.correct(_tokens(v), known).groupBy("fixed").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = "nm AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark WHERE item_id < 10) WHERE length(name) >= 5 AND regexp_matches(name, '^[ -~]+$')), tq AS (SELECT DISTINCT token FROM tk WHERE length(token) >= 5 AND regexp_matches(token, '^[ -~]+$'))"
+_NAMES = "nm AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE length(name) >= 5 AND regexp_matches(name, '^[ -~]+$')), tq AS (SELECT DISTINCT token FROM tk WHERE length(token) >= 5 AND regexp_matches(token, '^[ -~]+$'))"
 
 
 @query("t02_fuzzy_names", f"""WITH {_TOK}, {_NAMES}, pr AS (SELECT token, name, round(least(1.0, 1 - levenshtein(token, name) * 1e0 / greatest(length(token), length(name)) + CASE WHEN contains(name, token) OR contains(token, name) THEN 0.1e0 ELSE 0 END), 6) AS score FROM tq, nm WHERE abs(length(token) - length(name)) <= 2 AND len(list_intersect(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)), list_transform(range(1, length(name)), lambda i: substr(name, i, 2)))) > 0)

@@ -24,12 +24,14 @@ def session(app: str = "matchloom", master: str | None = None, **conf) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where the session names none (tests), a local one is set."""
+    """The cluster's checkpoint folder. Only a session on one machine may lack one and gets a local folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     return set_dir.get().rstrip("/")
@@ -39,7 +41,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a given schema spares a job that would look for it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Views of the driver's tables in the shapes of match records, catalogs and choice events.
 
-``Views`` builds each DataFrame when asked; ``SQL`` holds the same views as SQL for the comparison."""
+``Views`` builds each DataFrame when asked; ``SQL`` holds the same views as SQL for the comparison. Views that
+others build on and that cost a shuffle (``slots``, ``members``, ``features``, ``weights``, ``events``,
+``pool``) are written once to the shared folder, so a query scans each table once however often it uses them."""
 
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.session import table
+from matchloom.session import materialize, table
 
 #: Rounds of a draft and what is offered in each (fixed values).
 ROUND_TYPES = {1: "hero", 2: "skill", 3: "skill", 4: "hero", 5: "skill", 6: "skill", 7: "hero", 8: "skill", 9: "hero", 10: "skill"}
@@ -36,7 +38,8 @@ class Views:
         place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "p_brand")
         t = line.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("rn", F.row_number().over(first)).filter("rn = 1")
         t = t.withColumn("slot", F.row_number().over(place)).filter("slot <= 3")
-        return t.selectExpr("l_orderkey AS order_key", "l_orderkey div 2 AS match_id", "cast(l_orderkey % 2 + 1 as int) AS side", "slot", "p_brand AS hero", "concat('SIG-', p_brand) AS s0", "concat('K', l_suppkey % 30) AS s1", "concat('K', l_partkey % 30) AS s2")
+        t = t.selectExpr("l_orderkey AS order_key", "l_orderkey div 2 AS match_id", "cast(l_orderkey % 2 + 1 as int) AS side", "slot", "p_brand AS hero", "concat('SIG-', p_brand) AS s0", "concat('K', l_suppkey % 30) AS s1", "concat('K', l_partkey % 30) AS s2")
+        return materialize(t, "slots")
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -60,7 +63,7 @@ class Views:
     def members(self) -> DataFrame:
         """Members of valid matches with the match's outcome for their side."""
         v = self.valid.select("match_id", "winner", "season", "source", "uploader", "captured_at")
-        return self.slots.join(v, "match_id").withColumn("won", F.expr("if(side = winner, 1, 0)"))
+        return materialize(self.slots.join(v, "match_id").withColumn("won", F.expr("if(side = winner, 1, 0)")), "members")
 
     @cached_property
     def carried(self) -> DataFrame:
@@ -72,7 +75,7 @@ class Views:
     def features(self) -> DataFrame:
         from matchloom.operators.features import team_features
 
-        return team_features(self.members.select("match_id", "side", "slot", "hero", "won"), self.carried)
+        return materialize(team_features(self.members.select("match_id", "side", "slot", "hero", "won"), self.carried), "features")
 
     @cached_property
     def support(self) -> DataFrame:
@@ -83,9 +86,11 @@ class Views:
     @cached_property
     def weights(self) -> DataFrame:
         """A fixed table of weights: log-odds of smoothed win rates of well supported features."""
-        t = self.features.groupBy("family", "key").agg(F.sum("won").alias("w"), F.count(F.lit(1)).alias("n")).join(self.support, ["family", "key"])
+        # a feature stands once on a side, so matches are sides less the matches that have it on both
+        t = self.features.groupBy("family", "key", "match_id").agg(F.sum("won").alias("w"), F.count(F.lit(1)).alias("n"))
+        t = t.groupBy("family", "key").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("support"))
         t = t.filter(F.expr(f"support >= if(family IN ('H', 'S'), {FLOOR_SINGLE}, {FLOOR_PAIR})"))
-        return t.selectExpr("family", "key", "round(ln(((w + 2.5D) / (n + 5)) / (1 - (w + 2.5D) / (n + 5))), 6) AS weight", "support")
+        return materialize(t.selectExpr("family", "key", "round(ln(((w + 2.5D) / (n + 5)) / (1 - (w + 2.5D) / (n + 5))), 6) AS weight", "support"), "weights")
 
     @cached_property
     def heroes(self) -> DataFrame:
@@ -111,7 +116,7 @@ class Views:
         skill = ", ".join(str(r) for r, x in ROUND_TYPES.items() if x == "skill")
         t = t.withColumn("round_type", F.expr(f"if(round IN ({skill}), 'skill', 'hero')")).withColumn("n_items", F.expr(f"if(round IN {TWO_ITEM_ROUNDS}, 2, 3)"))
         t = t.withColumn("recommended", F.expr("CASE WHEN score0 >= score1 AND score0 >= score2 THEN 0 WHEN score1 >= score2 THEN 1 ELSE 2 END"))
-        return t.withColumn("chosen", F.expr("if(value < 20, recommended, k % 3)"))
+        return materialize(t.withColumn("chosen", F.expr("if(value < 20, recommended, k % 3)")), "events")
 
     @cached_property
     def offers(self) -> DataFrame:
@@ -130,7 +135,7 @@ class Views:
         """Items picked in earlier rounds of the session: (event_id, pool_type, pool_item)."""
         p = self.picks.select("session", F.col("round").alias("r0"), F.col("round_type").alias("pool_type"), F.col("item").alias("pool_item"))
         e = self.events.select("event_id", "session", "round")
-        return e.join(p, "session").filter("r0 < round").select("event_id", "pool_type", "pool_item").distinct()
+        return materialize(e.join(p, "session").filter("r0 < round").select("event_id", "pool_type", "pool_item").distinct(), "pool")
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -153,6 +158,16 @@ class Views:
 
         return semantic_fingerprint(self.members)
 
+    @cached_property
+    def reports(self) -> DataFrame:
+        """Reported matches: valid ones, and three later reports of every thirteenth: sides changed over, one skill replaced, two replaced."""
+        again = self.members.filter("match_id % 13 = 0").withColumn("copy", F.explode(F.expr("sequence(1, 3)")))
+        t = self.members.withColumn("copy", F.lit(0)).unionByName(again)
+        return materialize(t.selectExpr(
+            "match_id * 4 + copy AS id", "if(copy = 1, 3 - side, side) AS side", "slot", "hero", "s0", "if(copy >= 2 AND side = 1 AND slot = 1, concat('X', copy), s1) AS s1", "if(copy = 3 AND side = 1 AND slot = 2, 'X9', s2) AS s2",
+            "source", "uploader", "timestampadd(MINUTE, copy * 7, captured_at) AS captured_at",
+        ), "reports")
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """Cumulative: the snapshot of a season holds all matches up to it; in the last one some winners differ."""
@@ -222,6 +237,18 @@ SQL: dict[str, str] = {
     "team_text": "SELECT match_id, side, string_agg(hero || ':' || s0 || ':' || s1 || ':' || s2, ';' ORDER BY slot) AS team, max(winner) AS winner, max(uploader) AS uploader FROM members GROUP BY 1, 2",
     "fingerprints": """SELECT a.match_id, sha256(concat_ws('|', 'v1', CAST(a.uploader AS VARCHAR), CASE WHEN b.team < a.team THEN b.team ELSE a.team END, CASE WHEN b.team < a.team THEN a.team ELSE b.team END, CASE WHEN a.team = b.team THEN '1' WHEN b.team < a.team THEN CAST(3 - a.winner AS VARCHAR) ELSE CAST(a.winner AS VARCHAR) END)) AS fingerprint FROM team_text a JOIN team_text b ON a.match_id = b.match_id AND a.side = 1 AND b.side = 2""",
     "submissions": """SELECT match_id * 4 + copy AS id, match_id, copy, CASE WHEN uploader % 8 = 0 THEN '' ELSE 'name' || uploader END AS uploader_name, captured_at AS received_at, season, source, n1, n2, fingerprint, winner FROM (SELECT *, 0 AS copy FROM matches UNION ALL SELECT *, unnest([1, 2, 3]) FROM matches WHERE match_id % 13 = 0) LEFT JOIN fingerprints USING (match_id)""",
+    "reports": """SELECT match_id * 4 + copy AS id, CASE WHEN copy = 1 THEN 3 - side ELSE side END AS side, slot, hero, s0, CASE WHEN copy >= 2 AND side = 1 AND slot = 1 THEN 'X' || copy ELSE s1 END AS s1, CASE WHEN copy = 3 AND side = 1 AND slot = 2 THEN 'X9' ELSE s2 END AS s2, source, uploader, captured_at + to_minutes(CAST(copy * 7 AS INT)) AS captured_at
+  FROM (SELECT *, 0 AS copy FROM members UNION ALL SELECT *, unnest([1, 2, 3]) FROM members WHERE match_id % 13 = 0)""",
+    "states": """SELECT id, r1, r2, CASE WHEN flip THEN k2 ELSE k1 END AS ka, CASE WHEN flip THEN k1 ELSE k2 END AS kb FROM (SELECT a.id, least(a.roster, b.roster) AS r1, greatest(a.roster, b.roster) AS r2, a.skills AS k1, b.skills AS k2, a.roster > b.roster OR (a.roster = b.roster AND a.skills > b.skills) AS flip
+  FROM sides a JOIN sides b ON a.id = b.id AND a.side = 1 AND b.side = 2)""",
+    "sides": "SELECT id, side, string_agg(hero, ',' ORDER BY hero) AS roster, list_distinct(list_sort(list(hero || ':' || s1) || list(hero || ':' || s2))).list_sort() AS skills FROM reports GROUP BY 1, 2",
+    "near_matches": """SELECT a, id AS b, 0 AS replaced FROM (SELECT *, min(id) OVER (PARTITION BY r1, r2, ka, kb) AS a FROM states) WHERE id <> a UNION ALL SELECT a, b, CAST(CASE WHEN r1 = r2 THEN least(d, e) ELSE d END AS INT) AS replaced FROM (SELECT x.id AS a, y.id AS b, x.r1, x.r2,
+    list_sum(list_transform(string_split(x.r1, ','), lambda h: greatest(len(list_filter(x.ka, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(y.ka, k))), len(list_filter(y.ka, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(x.ka, k)))))) + list_sum(list_transform(string_split(x.r2, ','), lambda h: greatest(len(list_filter(x.kb, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(y.kb, k))), len(list_filter(y.kb, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(x.kb, k)))))) AS d,
+    CASE WHEN x.r1 = x.r2 THEN list_sum(list_transform(string_split(x.r1, ','), lambda h: greatest(len(list_filter(x.ka, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(y.kb, k))), len(list_filter(y.kb, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(x.ka, k)))))) + list_sum(list_transform(string_split(x.r2, ','), lambda h: greatest(len(list_filter(x.kb, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(y.ka, k))), len(list_filter(y.ka, lambda k: split_part(k, ':', 1) = h AND NOT list_contains(x.kb, k)))))) END AS e
+    FROM firsts x JOIN firsts y ON x.r1 = y.r1 AND x.r2 = y.r2 AND x.id < y.id) WHERE CASE WHEN r1 = r2 THEN least(d, e) ELSE d END <= 1""",
+    "firsts": "SELECT min(id) AS id, r1, r2, ka, kb FROM states GROUP BY r1, r2, ka, kb",
+    "visits": """SELECT id, first_value(id) OVER (PARTITION BY part, visit ORDER BY captured_at, id) AS first FROM (SELECT *, sum(CASE WHEN prev IS NULL OR captured_at - prev > INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY captured_at, id ROWS UNBOUNDED PRECEDING) AS visit
+  FROM (SELECT *, lag(captured_at) OVER (PARTITION BY part ORDER BY captured_at, id) AS prev FROM (SELECT DISTINCT id, captured_at, CASE source WHEN 'own' THEN 'own' WHEN 'others' THEN 'others:' || uploader ELSE 'external:' || id END AS part FROM reports)))""",
     "snapshots": "SELECT snapshot, match_id AS id, season, CASE WHEN snapshot = 7 AND match_id % 997 = 0 THEN 3 - winner ELSE winner END AS winner FROM (SELECT *, unnest(range(season, 8)) AS snapshot FROM matches WHERE season IS NOT NULL)",
     "rosters": "SELECT match_id, side, string_agg(hero, ',' ORDER BY hero) AS roster, max(won) AS won FROM members GROUP BY 1, 2",
     "guide": "SELECT roster, place, CASE WHEN place <= 10 THEN 'S' WHEN place <= 25 THEN 'A' ELSE 'B' END AS tier, place % 4 = 0 AS champion FROM (SELECT roster, row_number() OVER (ORDER BY count(*) DESC, roster) AS place FROM rosters GROUP BY 1) WHERE place <= 40",
