@@ -1,33 +1,39 @@
 """Operator 5, mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
-Documents are counted into cells (source, language, topic) with their tokens. Raking multiplies the
-cells' weights so that one marginal after another meets its target shares, ``ROUNDS`` times; what
-comes out has the documents' own association and the targets' marginals. A document of a cell is
-kept with probability min(1, c * fitted / tokens), with c set so that the expected tokens are ``KEEP``
-of all; the draw is a hash of the id, so runs repeat.
+Documents are counted into cells (source, language, topic) with their tokens. Raking finds a factor for
+each value of each marginal, so that the cells' tokens times their factors have the targets' marginals
+and the documents' own association. Factors are made right for one marginal after another, until all
+marginals are within ``TOLERANCE`` of their targets (summed distance of shares). Where the cells can't
+meet the targets the distance stops falling; the fit then ends and warns with the distance left
+(``residual`` measures it). A document of a cell is kept with probability min(1, c * fitted / tokens),
+with c set so that the expected tokens are ``KEEP`` of all; the draw is a hash of the id, so runs repeat.
 
 Default targets flatten each marginal: shares to the power ``FLATTEN``, so a source with a third of
 all tokens is cut back and small ones gain. Topic is the text's form: notices, contacts, lists, prose.
 
 Only built-in functions run. Cells are aggregated before anything is shuffled, so a hot source costs
-a row for each cell and task; the cells are joined back by key, broadcast only under Spark's own size
-limit. Cases: null sources and languages are groups of their own; texts without a word have weight
-zero and are kept with their cell's probability; rows without an id share a draw; repeated rows share
+a row for each cell and task. A step reads the cells and three tables of factors and writes one of them
+anew, so plans stay as small as one step's; cells and factors are joined by key, broadcast only under
+Spark's own size limit. Cases: null sources and languages are groups of their own; a null text counts
+as empty; very long texts are counted whole; texts without a word have weight zero and are kept with
+probability one where their whole cell has none; rows without an id share a draw; repeated rows share
 theirs; an empty table gives none; all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import free_name, materialize, table, uniform
 
-ROUNDS = 10
+#: Distance of all shares from their targets that ends the rounds, and the fall of the distance in a round that goes on.
+TOLERANCE, FALL = 1e-10, 0.999
 FLATTEN = 0.7
 KEEP = 0.8
-#: Steps in which the cap of probabilities at one is made up for.
-CAP_STEPS = 6
 SEED = "mix"
 MARGINALS = ("source", "lang", "topic")
 
@@ -65,34 +71,77 @@ def flat_targets(cell: DataFrame, flatten: float = FLATTEN) -> dict[str, DataFra
     return out
 
 
-def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``fitted``: shares of all tokens that meet the targets, as near as the cells allow."""
-    target = {m: materialize(t.withColumnRenamed("value", f"_{m}"), "target") for m, t in targets.items()}
-    t = cell.withColumn("fitted", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+def _by_value(cell: DataFrame, m: str, names: dict[str, DataFrame]) -> DataFrame:
+    """(value, now): the cells' tokens times the factors of the marginals in ``names``, by the values of marginal ``m``."""
+    t, fitted = cell, F.col("tokens").cast("double")
+    for k, f in names.items():
+        t = t.join(f.select(F.col("value").alias(f"_v_{k}"), F.col("factor").alias(f"_f_{k}")), F.col(k).eqNullSafe(F.col(f"_v_{k}")), "left")
+        fitted = fitted * F.coalesce(f"_f_{k}", F.lit(0.0))
+    return t.groupBy(F.col(m).alias("value")).agg(F.sum(fitted).alias("now"))
+
+
+def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``fitted``: shares of all tokens that meet the targets, as near as the cells allow.
+
+    Goes on until the marginals are within ``tolerance`` or come no nearer; ``rounds`` may end it earlier."""
+    target = {m: materialize(t.select("value", "share"), "target") for m, t in targets.items()}
+    factor = {m: t.select("value", F.lit(1.0).alias("factor")) for m, t in target.items()}
+    before, turn, off = float("inf"), 0, float("inf")
+    while rounds is None or turn < rounds:
+        steps = []
         for m in MARGINALS:
-            now = t.groupBy(F.col(m).alias("_v")).agg(F.sum("fitted").alias("_now"))
-            scale = now.join(target[m], F.col("_v").eqNullSafe(F.col(f"_{m}"))).select("_v", F.coalesce(F.try_divide(F.col("share"), F.col("_now")), F.lit(0.0)).alias("_f"))
-            t = t.join(scale, F.col(m).eqNullSafe(F.col("_v")), "left").withColumn("fitted", F.col("fitted") * F.coalesce("_f", F.lit(0.0))).drop("_v", "_f")
-        t = materialize(t, "rake")
-    return t
+            now = _by_value(cell, m, {k: f for k, f in factor.items() if k != m}).toDF("_value", "now")
+            old = factor[m].toDF("_old", "was")
+            t = target[m].join(now, F.col("value").eqNullSafe(F.col("_value")), "left").join(old, F.col("value").eqNullSafe(F.col("_old")), "left")
+            reached = F.coalesce(F.col("now") * F.col("was"), F.lit(0.0))
+            new = t.select("value", F.coalesce(F.try_divide(F.col("share"), F.col("now")), F.lit(0.0)).alias("factor"), F.abs(reached - F.col("share")).alias("off"))
+            new = materialize(new, "factor")
+            steps.append(new.agg(F.sum("off").alias("off")))
+            factor[m] = new.select("value", "factor")
+        turn += 1
+        if turn > 1:  # before the first round nothing has been fitted
+            off = reduce(DataFrame.unionAll, steps).agg(F.max("off")).first()[0] or 0.0
+            if off <= tolerance or off > FALL * before:
+                break
+            before = off
+    if turn > 1 and off > tolerance:
+        warnings.warn(f"raking ended {off:.2e} from its targets after {turn} rounds", stacklevel=2)
+    t, fitted = cell, F.col("tokens").cast("double")
+    for k, f in factor.items():
+        t = t.join(f.select(F.col("value").alias(f"_v_{k}"), F.col("factor").alias(f"_f_{k}")), F.col(k).eqNullSafe(F.col(f"_v_{k}")), "left")
+        fitted = fitted * F.coalesce(f"_f_{k}", F.lit(0.0))
+    return materialize(t.select(*cell.columns, fitted.alias("fitted")), "rake")
+
+
+def residual(fitted: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """How far each marginal of ``fitted`` is from its target: the summed distance of shares."""
+    out = {}
+    for m in MARGINALS:
+        now = fitted.groupBy(F.col(m).alias("_value")).agg(F.sum("fitted").alias("now"))
+        t = targets[m].join(now, F.col("value").eqNullSafe(F.col("_value")), "full")
+        out[m] = float(t.agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("share", F.lit(0.0))))).first()[0] or 0.0)
+    return out
+
 
+def probabilities(fitted: DataFrame, keep: float = KEEP) -> DataFrame:
+    """Adds ``p``: the chance to keep a document, its expected tokens ``keep`` of all (fewer where no more can be reached).
 
-def probabilities(fitted: DataFrame, keep: float = KEEP, steps: int = CAP_STEPS) -> DataFrame:
-    """Adds ``p``: the chance to keep a document, its expected tokens ``keep`` of all."""
+    Cells that reach probability one leave the others a larger c; that ends when no further cell reaches it."""
     ratio = F.coalesce(F.try_divide(F.col("fitted"), F.col("tokens").cast("double")), F.lit(0.0))
     t = fitted.withColumn("_ratio", ratio)
     total = t.agg(F.sum("tokens")).first()[0] or 0
-    c, want = 0.0, keep * total
-    for step in range(steps):
-        capped = F.col("_ratio") * F.lit(c) >= 1.0 if step else F.lit(False)
-        r = t.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("_ratio") * F.col("tokens")))).first()
-        c = (want - float(r[0] or 0)) / r[1] if r[1] else c
+    c, want, held = 0.0, keep * total, None
+    while True:
+        capped = F.col("_ratio") * F.lit(c) >= 1.0
+        r = t.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("_ratio") * F.col("tokens"))), F.sum(F.when(capped, 1).otherwise(0))).first()
+        if r[2] == held or not r[1]:
+            break
+        c, held = (want - float(r[0] or 0)) / r[1], r[2]
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(c)) * F.col("_ratio"))).otherwise(F.lit(1.0))
     return t.withColumn("p", p).drop("_ratio")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, str, str]:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int | None = None) -> tuple[DataFrame, str, str]:
     """The sampled rows of ``docs`` with all columns, their topic and probability; those two columns' names."""
     cell = materialize(cells(docs), "cells")
     p = probabilities(rake(cell, targets or flat_targets(cell), rounds), keep)
@@ -110,26 +159,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "source", "lang", F.col(form).alias("topic"), tokens(F.col("text")).cast("long").alias("n_tokens"), F.round(p, 6).alias("p"))
 
 
+#: Rounds and steps that the SQL unrolls; more than the operator needs on tables of any size tried, and further ones change nothing.
+_SQL_ROUNDS, _SQL_STEPS = 12, 8
+
+
 def _sql() -> str:
+    low = "lower(coalesce(text, ''))"
     ctes = [
-        r"""d AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(coalesce(text, ''), 'icensed under|eleased under|ights reserved') THEN 'notice'
-  WHEN regexp_matches(coalesce(text, ''), '@|<EMAIL>|<PHONE>|\+[0-9]') THEN 'contact' WHEN length(coalesce(text, '')) < 400 THEN 'short' ELSE 'prose' END AS topic,
+        rf"""d AS (SELECT doc_id, source, lang, CASE WHEN contains({low}, 'licensed under') OR contains({low}, 'released under') OR contains({low}, 'rights reserved') THEN 'notice'
+  WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9]@[A-Za-z0-9]|<EMAIL>|<PHONE>|\+[0-9]') THEN 'contact' WHEN length(coalesce(text, '')) < 400 THEN 'short' ELSE 'prose' END AS topic,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)""",
         "f0 AS (SELECT source, lang, topic, sum(n) AS tokens, CAST(sum(n) AS DOUBLE) AS fitted FROM d GROUP BY 1, 2, 3)",
     ]
     for m in MARGINALS:
         ctes.append(f"t_{m} AS (SELECT {m} AS v, pow(CAST(sum(tokens) AS DOUBLE), {FLATTEN}) / sum(pow(CAST(sum(tokens) AS DOUBLE), {FLATTEN})) OVER () AS share FROM f0 GROUP BY 1)")
     k = 0
-    for _ in range(ROUNDS):
+    for _ in range(_SQL_ROUNDS):
         for m in MARGINALS:
             ctes.append(f"f{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, fitted * share / sum(fitted) OVER (PARTITION BY {m}) AS fitted FROM f{k} JOIN t_{m} ON {m} IS NOT DISTINCT FROM v)")
             k += 1
     ctes.append(f"r AS MATERIALIZED (SELECT *, fitted / tokens AS ratio FROM f{k})")
     ctes.append(f"c0 AS MATERIALIZED (SELECT {KEEP} * sum(tokens) / sum(ratio * tokens) AS c FROM r)")
-    for i in range(1, CAP_STEPS):
+    for i in range(1, _SQL_STEPS):
         ctes.append(f"c{i} AS MATERIALIZED (SELECT ({KEEP} * sum(tokens) - sum(CASE WHEN ratio * (SELECT c FROM c{i - 1}) >= 1 THEN tokens ELSE 0 END)) / sum(CASE WHEN ratio * (SELECT c FROM c{i - 1}) >= 1 THEN 0 ELSE ratio * tokens END) AS c FROM r)")
     draw = f"CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) / {1 << 48}"
-    p = f"least(1.0, ratio * (SELECT c FROM c{CAP_STEPS - 1}))"
+    p = f"least(1.0, ratio * (SELECT c FROM c{_SQL_STEPS - 1}))"
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, d.source, d.lang, d.topic, CAST(n AS BIGINT) AS n_tokens, round({p}, 6) AS p FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang AND d.topic = r.topic WHERE {draw} < {p}"
 
 
