@@ -86,12 +86,15 @@ def hash_holdout(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     return rows.select(key, (h % buckets == 0).alias("held"))
 
 
-def paired_delta(scored: DataFrame, by: str) -> DataFrame:
-    """Difference of two models' mean log loss on the same rows (pa, pb, label)."""
-    y = F.col("label")
-    loss = lambda p: -(y * F.log(p) + (1 - y) * F.log(1 - F.col(p)))
-    d = F.round(F.avg(loss("pa")) - F.avg(loss("pb")), 6)
-    t = scored.groupBy(by).agg(d.alias("delta_log_loss"))
-    return t.withColumn("verdict", F.when(F.col("delta_log_loss") < 0, "better").otherwise("not better"))
-
-
+def paired_delta(scored: DataFrame, by: str, group: str) -> DataFrame:
+    """Differences of two models' metrics on the same rows (pa, pb, label), with intervals over the same draws.
+
+    The first model is better only if the intervals of all three metrics say so."""
+    from matchloom.operators.models import bootstrap, loss_sums
+
+    names = ("accuracy", "log_loss", "brier")
+    a, b = loss_sums(scored, by, group, "pa"), loss_sums(scored, by, group, "pb").drop("n").toDF("_by", "_group", *[f"_{m}" for m in names])
+    both = a.join(b, a[by].eqNullSafe(b["_by"]) & a[group].eqNullSafe(b["_group"])).select(by, group, "n", *[(F.col(m) - F.col(f"_{m}")).alias(m) for m in names])
+    t = bootstrap(both, by, group, names)
+    better = (F.col("accuracy_low") > 0) & (F.col("brier_high") < 0) & (F.col("log_loss_high") < 0)
+    return t.withColumn("verdict", F.when(F.coalesce(better, F.lit(False)), "better on all three").otherwise("inconclusive"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +73,68 @@ def point_metrics(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
 
 
-def choice_fit(features: DataFrame, chosen: DataFrame, steps: int, rate: float = 0.5, l2: float = 0.05) -> DataFrame:
-    """Conditional choice logit by full-batch gradient steps: (key, weight).
+#: Features that a choice model holds at most, its steps, L2 penalty and first rate (fixed values).
+MOST_FEATURES, STEPS, L2, RATE = 5000, 200, 0.05, 0.25
+
+
+def _gradient_task(weights: list[float]):
+    """Sums of residual times value by feature, for a task's events: rows (chosen, options, indices, values)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        w, total = np.array(weights), np.zeros(len(weights))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = b.column("i").value_lengths().to_numpy(zero_copy_only=False)
+            event = np.repeat(np.arange(b.num_rows), sizes)
+            flat = lambda c, b=b: b.column(c).flatten().to_numpy(zero_copy_only=False)
+            option, at, x = flat("option"), flat("i"), flat("value")
+            u = np.bincount(event * 3 + option, x * w[at], minlength=3 * b.num_rows).reshape(-1, 3)
+            p = np.exp(u - u.max(axis=1, keepdims=True))
+            r = -p / p.sum(axis=1, keepdims=True)
+            r[np.arange(b.num_rows), b.column("chosen").to_numpy()] += 1
+            total += np.bincount(at, r[event, option] * x, minlength=len(w))
+        yield pa.record_batch([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(total)], names=["i", "g"])
 
-    ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). Each step joins the
-    weights, forms the softmax of each event and sums the residuals by key. The long table is written once."""
+    return run
+
+
+def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most: int = MOST_FEATURES) -> DataFrame:
+    """Conditional choice logit over three options by full-batch gradient steps with a falling rate: (key, weight).
+
+    ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). The ``most`` features with the
+    largest support are fitted, so their weights are a short list that each step sends to the tasks; a task adds up its
+    events' gradients and a step's result is a row for each feature. Events are written once, a row each."""
     from matchloom.session import materialize
 
+    spark = features.sparkSession
     n = chosen.count()
-    long = materialize(features.join(chosen, "event_id").withColumn("y", F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0)).drop("chosen"), "choice")
-    w = long.select("key").distinct().withColumn("weight", F.lit(0.0))
-    for step in range(steps):
-        u = long.join(w, "key").groupBy("event_id", "option", "y").agg(F.sum(F.col("value") * F.col("weight")).alias("u"))
-        e = u.groupBy("event_id").agg(F.max("u").alias("top"))
-        u = u.join(e, "event_id").withColumn("x", F.exp(F.col("u") - F.col("top")))
-        s = u.groupBy("event_id").agg(F.sum("x").alias("total"))
-        r = u.join(s, "event_id").select("event_id", "option", (F.col("y") - F.col("x") / F.col("total")).alias("r"))
-        g = long.select("event_id", "option", "key", "value").join(r, ["event_id", "option"]).groupBy("key").agg((F.sum(F.col("r") * F.col("value")) / max(n, 1)).alias("g"))
-        lr = rate / (1 + step / 50)
-        w = w.join(g, "key").select("key", (F.col("weight") + lr * (F.col("g") - l2 * F.col("weight"))).alias("weight"))
-        if step + 1 < steps:
-            w = materialize(w, "weights")
-    return w
+    held = features.join(chosen, "event_id", "left_semi")
+    top = held.groupBy("key").agg(F.count(F.lit(1)).alias("support")).orderBy(F.desc("support"), "key").limit(most)
+    keys = [r["key"] for r in top.orderBy("key").collect()]
+    index = spark.createDataFrame(list(enumerate(keys)), "i int, key string")
+    rows = held.join(F.broadcast(index), "key").groupBy("event_id").agg(F.collect_list(F.struct("option", "i", "value")).alias("x")).join(chosen, "event_id")
+    field = lambda c, t: F.transform("x", lambda y: y[c].cast(t)).alias(c)
+    rows = materialize(rows.select(F.col("chosen").cast("int").alias("chosen"), field("option", "int"), field("i", "int"), field("value", "double")), "choice")
+    weights = [0.0] * len(keys)
+    for step in range(steps if keys else 0):
+        g = dict(rows.mapInArrow(_gradient_task(weights), "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect())
+        rate = RATE / (1 + step / 100) ** 0.5
+        weights = [w + rate * (g.get(i, 0.0) / max(n, 1) - L2 * w) for i, w in enumerate(weights)]
+    return index.select("i", "key").join(spark.createDataFrame(list(enumerate(weights)), "i int, weight double"), "i").select("key", "weight")
+
+
+def choice_scores(features: DataFrame, chosen: DataFrame, weights: DataFrame) -> DataFrame:
+    """(event_id, p): the model's probability of the chosen option."""
+    options = chosen.withColumn("option", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    u = features.join(weights, "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("weight")).alias("u"))
+    t = options.join(u, ["event_id", "option"], "left").groupBy("event_id", "chosen").agg(F.sort_array(F.collect_list(F.struct("option", F.coalesce("u", F.lit(0.0)).alias("u")))).alias("x"))
+    top = F.array_max(F.transform("x", lambda y: y["u"]))
+    e = F.transform("x", lambda y: F.exp(y["u"] - top))
+    return t.select("event_id", (F.get(e, F.col("chosen")) / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)).alias("p"))
 
 
 def quantize(probabilities: DataFrame, by: str, item: str, p: str, units: int = 1000) -> DataFrame:
@@ -103,14 +145,28 @@ def quantize(probabilities: DataFrame, by: str, item: str, p: str, units: int =
     return t.withColumn("_r", rest).withColumn("units", F.col("_f") + F.when(rank <= F.col("_r"), 1).otherwise(0)).drop("_x", "_f", "_r")
 
 
+#: What the held-out log loss must be under that of equal chances, ln 3 (fixed value).
+GAIN = 0.01
+
+
 def evidence_gate(events: DataFrame, holdout: DataFrame, floors=(240, 40, 30, 36)) -> DataFrame:
-    """One row with the counts that a model needs, and whether it may be published."""
+    """One row with the counts that a model needs, and whether it may be fitted."""
     a = events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("session").alias("sessions"), F.count_if(F.col("chosen") != F.col("recommended")).alias("disagreements"))
     b = holdout.agg(F.count(F.lit(1)).alias("held_out"))
     ok = (F.col("events") >= floors[0]) & (F.col("sessions") >= floors[1]) & (F.col("disagreements") >= floors[2]) & (F.col("held_out") >= floors[3])
     return a.crossJoin(b).withColumn("status", F.when(ok, "ready").otherwise("collecting"))
 
 
+def quality_gate(evidence: DataFrame, scored: DataFrame) -> DataFrame:
+    """The status of a fitted model: ready where the held-out log loss beats equal chances by GAIN.
+
+    ``scored``: a row (p) for each held-out event, the probability of what was chosen."""
+    loss = scored.agg(F.round(F.avg(-F.log(F.greatest("p", F.lit(1e-15)))), 12).alias("log_loss"))
+    t = evidence.crossJoin(loss)  # one row each
+    good = math.log(3) - F.col("log_loss") >= GAIN
+    return t.withColumn("status", F.when(F.col("status") != "ready", F.col("status")).when(good, "ready").otherwise("below_quality"))
+
+
 def published_state(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows (key, value, n): a key takes its new value if it has enough new events."""
     floor = F.when(F.col("key").startswith("round_score") | (F.col("key") == "score"), 30).otherwise(10)
@@ -129,15 +185,32 @@ def explain_choice(features: DataFrame, weights: DataFrame, a: int, b: int) -> D
     return t.select("event_id", F.col("m.key").alias("key"), (-F.col("m.g")).alias("gain"))
 
 
-def bootstrap(groups: DataFrame, stratum: str, samples: int = 200, seed: str = "boot") -> DataFrame:
-    """Percentile intervals of accuracy over resampled groups.
+#: Resamples, and groups under which intervals are left out or called exploratory (fixed values).
+SAMPLES, FEW, SOME = 2000, 5, 20
+
+
+def loss_sums(scored: DataFrame, stratum: str, group: str, p: str = "p") -> DataFrame:
+    """(stratum, group, n, accuracy, log_loss, brier): sums over the rows (p, label) of each group."""
+    q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
+    y = F.col("label")
+    hit = F.when((F.col(p) >= 0.5) == (y == 1), 1.0).otherwise(0.0)
+    return scored.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("accuracy"), F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), F.sum(F.pow(F.col(p) - y, 2)).alias("brier"))
+
+
+def bootstrap(groups: DataFrame, stratum: str, group: str, metrics: tuple[str, ...], samples: int = SAMPLES, seed: str = "boot") -> DataFrame:
+    """Point values and 95 % percentile intervals of sums of metrics over sums of n, by stratum, over resampled groups.
 
-    ``groups``: (stratum, g from 0 without gaps, n_groups, n, correct). Draws are hashes of (seed, sample,
-    slot), so they repeat and need no state; a sample draws as many groups as its stratum has."""
-    spark = groups.sparkSession
-    sizes = groups.select(stratum, "n_groups").distinct()
-    slots = sizes.crossJoin(spark.range(samples).withColumnRenamed("id", "sample")).withColumn("slot", F.explode(F.expr("sequence(0L, n_groups - 1)")))
+    ``groups``: (stratum, group, n, metrics). Draws are hashes of (seed, stratum, sample, slot), so they repeat and
+    need no state; a sample draws as many groups as its stratum has. Strata under FEW groups have no interval."""
+    w = Window.partitionBy(stratum)
+    t = groups.withColumn("g", F.row_number().over(w.orderBy(group)) - 1).withColumn("n_groups", F.count(F.lit(1)).over(w))
+    sums = lambda: [(F.sum(m) / F.sum("n")).alias(m) for m in metrics]
+    point = t.groupBy(stratum).agg(F.sum("n").alias("n"), F.max("n_groups").alias("n_groups"), *sums())
+    sizes = point.filter(F.col("n_groups") >= FEW).select(stratum, "n_groups")
+    slots = sizes.withColumn("sample", F.explode(F.expr(f"sequence(0L, {samples - 1}L)"))).withColumn("slot", F.explode(F.expr("sequence(0L, n_groups - 1)")))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(stratum), F.col("sample").cast("string"), F.col("slot").cast("string"))), 1, 12), 16, 10).cast("long")
     drawn = slots.select(stratum, "sample", F.pmod(h, F.col("n_groups")).alias("g"))
-    t = drawn.join(groups.drop("n_groups"), [stratum, "g"]).groupBy(stratum, "sample").agg((F.sum("correct") / F.sum("n")).alias("accuracy"))
-    return t.groupBy(stratum).agg(F.round(F.percentile("accuracy", 0.025), 6).alias("low"), F.round(F.percentile("accuracy", 0.975), 6).alias("high"))
+    per = drawn.join(t.select(stratum, "g", "n", *metrics), [stratum, "g"]).groupBy(stratum, "sample").agg(*sums())
+    ends = [F.round(F.percentile(m, q), 4).alias(f"{m}_{name}") for m in metrics for q, name in ((0.025, "low"), (0.975, "high"))]
+    status = F.when(F.col("n_groups") < FEW, "omitted_too_few_groups").when(F.col("n_groups") < SOME, "exploratory_few_groups").otherwise("available")
+    return point.join(per.groupBy(stratum).agg(*ends), stratum, "left").select(stratum, "n", "n_groups", status.alias("status"), *[F.round(m, 4).alias(m) for m in metrics], *[f"{m}_{e}" for m in metrics for e in ("low", "high")])

@@ -12,18 +12,25 @@ def correct(tokens: DataFrame, known: DataFrame) -> DataFrame:
     return t.withColumn("fixed", F.coalesce("right", "token")).drop("wrong", "right")
 
 
-def fuzzy(tokens: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
-    """Each token's best catalog name: similarity by edit distance, a bonus for substrings, ties by name.
+def fuzzy(tokens: DataFrame, names: DataFrame, least: float = 0.7, k: int = 5) -> DataFrame:
+    """Each token's ``k`` best catalog names: similarity by edit distance, for a part of a name or of a token their
+    lengths' ratio where that is more; ties by name.
 
-    Only names that share a bigram and have a similar length are compared."""
+    Only names that share a bigram with the token are compared. An edit breaks two bigrams at most, so without a common
+    one texts of L characters are at most 0.5 + 1 / (2 L) similar: with ``least`` at 0.7, none of three characters or more
+    is lost. A bigram that many names have costs a row for each; the catalog is a maintained list."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
     a = tokens.select("token").distinct().select("token", F.explode(grams(F.col("token"))).alias("g"))
     b = names.select("name").distinct().select("name", F.explode(grams(F.col("name"))).alias("g"))
-    pairs = a.join(b, "g").filter(F.abs(F.length("token") - F.length("name")) <= 2).select("token", "name").distinct()
+    # lengths alone bound the similarity
+    most = F.least(F.length("token"), F.length("name")) / F.greatest(F.length("token"), F.length("name"))
+    pairs = a.join(b, "g").filter(most >= least).select("token", "name").distinct()
     sim = 1 - F.levenshtein("token", "name") / F.greatest(F.length("token"), F.length("name"))
     part = F.col("name").contains(F.col("token")) | F.col("token").contains(F.col("name"))
-    score = F.round(F.least(F.lit(1.0), sim + F.when(part, 0.1).otherwise(0.0)), 6)
-    return pairs.withColumn("score", score).filter(F.col("score") >= least).groupBy("token").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("m")).select("token", F.col("m.name").alias("name"), (-F.col("m.s")).alias("score"))
+    score = F.round(F.greatest(sim, F.when(part, most).otherwise(0.0)), 6)
+    t = pairs.withColumn("score", score).filter(F.col("score") >= least)
+    w = Window.partitionBy("token").orderBy(F.desc("score"), "name")
+    return t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("token", "name", "score", "rank")
 
 
 def is_noise(text: Column, score: Column, least: float = 0.3, letters: int = 2) -> Column:
@@ -46,11 +53,25 @@ def near_lines(lines: DataFrame, window: int = 45) -> DataFrame:
     return t.withColumn("repeat", F.coalesce(back <= window, F.lit(False)))
 
 
+#: Lines of a log's opening, whose sides are trusted (fixed value).
+OPENING = 40
+
+
 def side_votes(lines: DataFrame, share: float = 0.65) -> DataFrame:
-    """Each name's side in a log by majority; null without a clear one."""
-    n = lines.groupBy("log", "name", "side").agg(F.count(F.lit(1)).alias("n"))
-    t = n.groupBy("log", "name").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("side")).alias("s"))).alias("m"))
-    return t.select("log", "name", F.when(F.col("m.n") >= share * F.col("total"), -F.col("m.s")).alias("vote"))
+    """(log, name, vote): each name's side in a log by majority; without a clear one, the side of the opening lines
+    if they name one only; else null."""
+    n = lines.filter("side IS NOT NULL").groupBy("log", "name", "side").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") <= OPENING).alias("early"))
+    first = F.when(F.count_if(F.col("early") > 0) == 1, F.max(F.when(F.col("early") > 0, F.col("side"))))
+    t = n.groupBy("log", "name").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("side")).alias("s"))).alias("m"), first.alias("anchor"))
+    return t.select("log", "name", F.when(F.col("m.n") >= share * F.col("total"), -F.col("m.s")).otherwise(F.col("anchor")).alias("vote"))
+
+
+def backfill_sides(lines: DataFrame) -> DataFrame:
+    """Lines with ``fixed``, their side after the vote, and ``change``: filled, corrected or kept."""
+    v = side_votes(lines)
+    t = lines.join(v.select(F.col("log").alias("_log"), F.col("name").alias("_name"), "vote"), (F.col("log") == F.col("_log")) & F.col("name").eqNullSafe(F.col("_name")), "left").drop("_log", "_name")
+    change = F.when(F.col("vote").isNotNull() & F.col("side").isNull(), "filled").when(F.col("vote") != F.col("side"), "corrected").otherwise("kept")
+    return t.withColumn("fixed", F.coalesce("vote", "side")).withColumn("change", change)
 
 
 def cut_after(lines: DataFrame, ends: Column) -> DataFrame:
@@ -59,21 +80,35 @@ def cut_after(lines: DataFrame, ends: Column) -> DataFrame:
     return lines.join(last, "log", "left").filter(F.col("last").isNull() | (F.col("pos") <= F.col("last"))).drop("last")
 
 
-def stitch(lines: DataFrame, window: int = 45, similar: float = 0.8) -> DataFrame:
+def stitch(lines: DataFrame, window: int = 45, similar: float = 0.86) -> DataFrame:
     """T05, greedy form: a line is dropped if it is similar to a kept line among the last ``window`` ones.
 
-    The order matters, so each log is scanned by one pandas call; a log's rows are read in order."""
+    The order matters, so a log's lines come to one task in order; the task streams over its rows and holds the last
+    ``window`` kept lines only, whatever a log's length. An empty line is a line as any."""
     from difflib import SequenceMatcher
 
-    def scan(pdf):
-        kept: list[str] = []
-        flags = []
-        for text in pdf.sort_values("pos")["norm"]:
-            near = any(text == k or (abs(len(text) - len(k)) <= 3 and SequenceMatcher(None, text, k).ratio() >= similar) for k in kept[-window:])
-            flags.append(not near)
-            if not near:
-                kept.append(text)
-        return pdf.sort_values("pos").assign(kept=flags)[["log", "pos", "kept"]]
+    import pandas as pd
+
+    def alike(a: str, b: str) -> bool:
+        if a == b:
+            return True
+        if abs(len(a) - len(b)) > max(3, 0.35 * max(len(a), len(b))):
+            return False
+        m = SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= similar and m.quick_ratio() >= similar and m.ratio() >= similar
+
+    def scan(parts):
+        log, kept = None, []
+        for pdf in parts:
+            flags = []
+            for own, text in zip(pdf["log"], pdf["norm"], strict=True):
+                if own != log:
+                    log, kept = own, []
+                new = not any(alike(text, k) for k in kept)
+                if new:
+                    kept = [*kept[1 - window :], text]
+                flags.append(new)
+            yield pd.DataFrame({"log": pdf["log"], "pos": pdf["pos"], "kept": flags})
 
     t = lines.withColumn("norm", normalized(F.coalesce("text", F.lit("")))).select("log", "pos", "norm")
-    return t.groupBy("log").applyInPandas(scan, "log long, pos int, kept boolean")
+    return t.repartition("log").sortWithinPartitions("log", "pos").mapInPandas(scan, "log long, pos int, kept boolean")

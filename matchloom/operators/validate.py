@@ -12,16 +12,18 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
 
 
 def match_reasons(matches: DataFrame, slots: DataFrame, heroes: DataFrame, skills: DataFrame) -> DataFrame:
-    """Winner, three members a side, no repeated hero, catalog names, positive season."""
+    """Winner, three members a side with two skills each, no repeated hero, catalog names, positive season."""
     known = slots.join(heroes.select("hero", F.lit(1).alias("kh")), "hero", "left")
     for c in ("s1", "s2"):
         known = known.join(skills.select(F.col("skill").alias(c), F.lit(1).alias(f"k{c}")), c, "left")
     bad = F.sum(F.when(F.col("kh").isNull() | F.col("ks1").isNull() | F.col("ks2").isNull(), 1).otherwise(0))
-    per = known.groupBy("match_id").agg(bad.alias("unknown"), (F.count("hero") - F.count_distinct("side", "hero")).alias("dups"))
+    empty = F.count_if(F.col("s1").isNull() | F.col("s2").isNull())
+    per = known.groupBy("match_id").agg(bad.alias("unknown"), empty.alias("empty"), (F.count("hero") - F.count_distinct("side", "hero")).alias("dups"))
     t = matches.join(per, "match_id", "left")
     reason = first_reason(
         (F.col("winner").isin(1, 2), "winner"),
         ((F.col("n1") == 3) & (F.col("n2") == 3), "team_size"),
+        (F.coalesce("empty", F.lit(0)) == 0, "skills"),
         (F.coalesce("dups", F.lit(0)) == 0, "duplicate_hero"),
         (F.coalesce("unknown", F.lit(0)) == 0, "unknown_name"),
         (F.coalesce(F.col("season") > 0, F.lit(True)), "season"),
@@ -36,3 +38,22 @@ def event_reasons(events: DataFrame, offers: DataFrame, pool: DataFrame) -> Data
     t = events.join(dup, "event_id", "left").join(hit, "event_id", "left")
     reason = first_reason((F.coalesce("dup", F.lit(0)) == 0, "duplicate_offer"), (F.coalesce("hit", F.lit(0)) == 0, "pool_overlap"))
     return t.withColumn("reason", reason).drop("dup", "hit")
+
+
+def arriving_reasons(events: DataFrame) -> DataFrame:
+    """V06 for rows that carry their own ``items``, ``round_type`` and ``own`` pool (null: none): no join, so it runs in a stream."""
+    pool = F.transform(F.filter(F.coalesce("own", F.expr("CAST(array() AS array<struct<pool_type: string, pool_item: string>>)")), lambda p: p["pool_type"] == F.col("round_type")), lambda p: p["pool_item"])
+    reason = first_reason((F.size("items") == F.size(F.array_distinct("items")), "duplicate_offer"), (~F.arrays_overlap("items", pool), "pool_overlap"))
+    return events.select("event_id", reason.alias("reason"))
+
+
+def repeated_keys(rows: DataFrame, **keys: Column) -> DataFrame:
+    """(rule, key, n): keys that more than one row has, for each rule."""
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), c.alias("key")) for name, c in keys.items()])
+    return rows.select(F.explode(each).alias("x")).groupBy("x.rule", "x.key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def rule_rows(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(key, rule, ok): a row for each row and rule."""
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), ok.alias("ok")) for name, ok in rules.items()])
+    return rows.select(key, F.explode(each).alias("r")).select(key, "r.rule", "r.ok")

@@ -71,29 +71,40 @@ def _(v):
     return G.hash_holdout(v.events.select("session").distinct(), "session", 5)
 
 
-def _strata(v):
-    t = v.members.withColumn("correct", F.expr("if((hero LIKE '%1%') = (won = 1), 1, 0)"))
-    t = t.groupBy("source", "uploader").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct"))
-    w = Window.partitionBy("source")
-    return t.select("source", (F.row_number().over(w.orderBy("uploader")) - 1).cast("long").alias("g"), F.count(F.lit(1)).over(w).alias("n_groups"), "n", "correct")
+_MET = "pm AS (SELECT f.match_id, sum(CASE WHEN side = 1 THEN weight ELSE -weight END) AS z, sum(CASE WHEN family = 'H' THEN CASE WHEN side = 1 THEN weight ELSE -weight END ELSE 0 END) AS zh FROM features f LEFT JOIN weights USING (family, key) GROUP BY 1), sc AS (SELECT v.match_id, source, CASE source WHEN 'own' THEN uploader WHEN 'others' THEN uploader % 12 ELSE uploader % 4 END AS grp, CASE WHEN winner = 1 THEN 1 ELSE 0 END AS label, 1 / (1 + exp(-coalesce(z, 0))) AS pa, 1 / (1 + exp(-coalesce(zh, 0))) AS pb FROM valid v LEFT JOIN pm USING (match_id))"
 
 
-_BOOT = """sg AS (SELECT source, uploader, count(*) AS n, sum(CASE WHEN (hero LIKE '%1%') = (won = 1) THEN 1 ELSE 0 END) AS correct FROM members GROUP BY 1, 2), gi AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY uploader) - 1 AS g, count(*) OVER (PARTITION BY source) AS n_groups, n, correct FROM sg),
-dr AS (SELECT source, sample, CAST('0x' || substr(md5('boot:' || source || ':' || sample || ':' || slot), 1, 12) AS BIGINT) % n_groups AS g FROM (SELECT DISTINCT source, n_groups FROM gi), range(200) r(sample), LATERAL (SELECT unnest(range(n_groups)) AS slot)),
-bs AS (SELECT source, sample, sum(correct) / sum(n) AS accuracy FROM dr JOIN gi USING (source, g) GROUP BY 1, 2)"""
+def _boot(sums: str) -> str:
+    """Common table expressions of resampled metrics, from ``sums``: (source, grp, n, accuracy, log_loss, brier)."""
+    metrics = ("accuracy", "log_loss", "brier")
+    ratio = ", ".join(f"sum({m}) / sum(n) AS {m}" for m in metrics)
+    ends = ", ".join(f"round(quantile_cont({m}, {q}), 4) AS {m}_{e}" for m in metrics for q, e in ((0.025, "low"), (0.975, "high")))
+    return f"""{_MET}, sg AS ({sums}), gi AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY grp) - 1 AS g, count(*) OVER (PARTITION BY source) AS n_groups FROM sg), pt AS (SELECT source, CAST(sum(n) AS BIGINT) AS n, max(n_groups) AS n_groups, {ratio} FROM gi GROUP BY 1),
+dr AS (SELECT source, sample, CAST('0x' || substr(md5('boot:' || source || ':' || sample || ':' || slot), 1, 12) AS BIGINT) % n_groups AS g FROM (SELECT source, n_groups FROM pt WHERE n_groups >= {M.FEW}), range({M.SAMPLES}) r(sample), LATERAL (SELECT unnest(range(n_groups)) AS slot)),
+bs AS (SELECT source, sample, {ratio} FROM dr JOIN gi USING (source, g) GROUP BY 1, 2), ci AS (SELECT source, {ends} FROM bs GROUP BY 1),
+rp AS (SELECT source, n, n_groups, CASE WHEN n_groups < {M.FEW} THEN 'omitted_too_few_groups' WHEN n_groups < {M.SOME} THEN 'exploratory_few_groups' ELSE 'available' END AS status, {", ".join(f"round({m}, 4) AS {m}" for m in metrics)}, ci.* EXCLUDE (source) FROM pt LEFT JOIN ci USING (source))"""
 
 
-@query("g07_cluster_bootstrap", f"WITH {_BOOT} SELECT source, round(quantile_cont(accuracy, 0.025), 6) AS low, round(quantile_cont(accuracy, 0.975), 6) AS high FROM bs GROUP BY 1")
-def _(v):
-    return M.bootstrap(_strata(v), "source")
+def _loss(p: str) -> str:
+    return f"sum(CASE WHEN ({p} >= 0.5) = (label = 1) THEN 1e0 ELSE 0 END) AS accuracy, sum(-(label * ln({p}) + (1 - label) * ln(1 - {p}))) AS log_loss, sum(({p} - label) ** 2) AS brier"
 
 
-_MET = "pm AS (SELECT f.match_id, sum(CASE WHEN side = 1 THEN weight ELSE -weight END) AS z, sum(CASE WHEN family = 'H' THEN CASE WHEN side = 1 THEN weight ELSE -weight END ELSE 0 END) AS zh FROM features f LEFT JOIN weights USING (family, key) GROUP BY 1), sc AS (SELECT v.match_id, source, CASE WHEN winner = 1 THEN 1 ELSE 0 END AS label, 1 / (1 + exp(-coalesce(z, 0))) AS pa, 1 / (1 + exp(-coalesce(zh, 0))) AS pb FROM valid v LEFT JOIN pm USING (match_id))"
+_DELTA = "SELECT source, grp, n, accuracy - a2 AS accuracy, log_loss - l2 AS log_loss, brier - b2 AS brier FROM (SELECT source, grp, count(*) AS n, " + _loss("pa") + " FROM sc GROUP BY 1, 2) JOIN (SELECT source, grp, accuracy AS a2, log_loss AS l2, brier AS b2 FROM (SELECT source, grp, " + _loss("pb") + " FROM sc GROUP BY 1, 2)) USING (source, grp)"
 
 
-@query("g08_paired_delta", f"WITH {_MET} SELECT source, round(avg(-(label * ln(pa) + (1 - label) * ln(1 - pa))) - avg(-(label * ln(pb) + (1 - label) * ln(1 - pb))), 6) AS delta_log_loss, CASE WHEN round(avg(-(label * ln(pa) + (1 - label) * ln(1 - pa))) - avg(-(label * ln(pb) + (1 - label) * ln(1 - pb))), 6) < 0 THEN 'better' ELSE 'not better' END AS verdict FROM sc GROUP BY 1")
-def _(v):
-    rows = v.valid.select("match_id", "source", F.expr("if(winner = 1, 1, 0)").alias("label"))
+def _scored(v):
+    """Two models' probabilities of each valid match; groups are uploaders, fewer for two of the sources."""
+    rows = v.valid.select("match_id", "source", F.expr("CASE source WHEN 'own' THEN uploader WHEN 'others' THEN uploader % 12 ELSE uploader % 4 END").alias("grp"), F.expr("if(winner = 1, 1, 0)").alias("label"))
     a = M.predict(v.features, v.weights).withColumnRenamed("p", "pa")
     b = M.predict(v.features, v.weights.filter("family = 'H'")).withColumnRenamed("p", "pb")
-    return G.paired_delta(rows.join(a, "match_id", "left").join(b, "match_id", "left").na.fill(0.5, ["pa", "pb"]), "source")
+    return rows.join(a, "match_id", "left").join(b, "match_id", "left").na.fill(0.5, ["pa", "pb"])
+
+
+@query("g07_cluster_bootstrap", f"WITH {_boot('SELECT source, grp, count(*) AS n, ' + _loss('pa') + ' FROM sc GROUP BY 1, 2')} SELECT * FROM rp")
+def _(v):
+    return M.bootstrap(M.loss_sums(_scored(v), "source", "grp", "pa"), "source", "grp", ("accuracy", "log_loss", "brier"))
+
+
+@query("g08_paired_delta", f"WITH {_boot(_DELTA)} SELECT *, CASE WHEN accuracy_low > 0 AND brier_high < 0 AND log_loss_high < 0 THEN 'better on all three' ELSE 'inconclusive' END AS verdict FROM rp")
+def _(v):
+    return G.paired_delta(_scored(v), "source", "grp")

@@ -12,6 +12,7 @@ from matchloom.operators import models as M
 from matchloom.plans.features import _CF
 from matchloom.plans.groups import _MET
 from matchloom.plans.registry import query
+from matchloom.session import materialize
 
 
 def _label(v):
@@ -71,19 +72,34 @@ def _(v):
 def _(v):
     a = _backtest(v, ("H", "S")).withColumnRenamed("p", "pa")
     b = _backtest(v, ("H", "S"), source="external").select("match_id", F.col("p").alias("pb"))
-    t = a.join(b, "match_id").withColumn("all", F.lit("all"))
-    return G.paired_delta(t, "all")
+    t = a.join(b, "match_id").withColumn("all", F.lit("all")).join(v.valid.select("match_id", "uploader"), "match_id")
+    return G.paired_delta(t, "all", "uploader")
 
 
-@query("m07_choice_logit_two_steps", f"""WITH {_CF}, g1 AS (SELECT key, 0.5e0 * sum((CASE WHEN option = chosen THEN 1e0 ELSE 0 END - 1e0 / 3) * cf.value) / (SELECT count(*) FROM accepted) AS w FROM cf JOIN accepted USING (event_id) GROUP BY 1),
+@query("m07_choice_logit_two_steps", f"""WITH {_CF}, g1 AS (SELECT key, 0.25e0 * sum((CASE WHEN option = chosen THEN 1e0 ELSE 0 END - 1e0 / 3) * cf.value) / (SELECT count(*) FROM accepted) AS w FROM cf JOIN accepted USING (event_id) GROUP BY 1),
 u AS (SELECT event_id, option, sum(value * w) AS u FROM cf JOIN g1 USING (key) GROUP BY 1, 2), pr AS (SELECT event_id, option, exp(u) / sum(exp(u)) OVER (PARTITION BY event_id) AS p FROM u),
 g2 AS (SELECT key, sum((CASE WHEN option = chosen THEN 1e0 ELSE 0 END - p) * cf.value) / (SELECT count(*) FROM accepted) AS g FROM cf JOIN pr USING (event_id, option) JOIN accepted USING (event_id) GROUP BY 1)
-SELECT key, round(w + 0.5e0 / 1.02e0 * (g - 0.05e0 * w), 6) AS weight FROM g1 JOIN g2 USING (key)""")
+SELECT key, round(w + 0.25e0 / sqrt(1.01e0) * (g - 0.05e0 * w), 6) AS weight FROM g1 JOIN g2 USING (key)""")
 def _(v):
     f = E.option_features(v.accepted, v.offers, v.pool)
     return M.choice_fit(f, v.accepted.select("event_id", "chosen"), 2).select("key", F.round("weight", 6).alias("weight"))
 
 
+def _choice_split(v):
+    """Features and choices of accepted events, those of held-out sessions apart."""
+    f = materialize(E.option_features(v.accepted, v.offers, v.pool), "choice_features")
+    held = G.hash_holdout(v.accepted.select("session").distinct(), "session", 5).filter("held")
+    test = v.accepted.join(held, "session", "left_semi")
+    return f, v.accepted.join(held, "session", "left_anti"), test
+
+
+@query("m07_choice_logit")
+def _(v):
+    """All steps, over the events of sessions that aren't held out."""
+    f, train, _ = _choice_split(v)
+    return M.choice_fit(f, train.select("event_id", "chosen")).select("key", F.round("weight", 6).alias("weight"))
+
+
 _SOFT = "sm AS (SELECT event_id, unnest([0, 1, 2]) AS option, unnest([exp(score0 - mx), exp(score1 - mx), exp(score2 - mx)]) / (exp(score0 - mx) + exp(score1 - mx) + exp(score2 - mx)) AS p FROM (SELECT *, greatest(score0, score1, score2) AS mx FROM choice))"
 
 
@@ -107,6 +123,14 @@ def _(v):
     return M.evidence_gate(v.accepted, v.accepted.join(held, "session", "left_semi"))
 
 
+@query("m10_quality_gate")
+def _(v):
+    f, train, test = _choice_split(v)
+    w = M.choice_fit(f, train.select("event_id", "chosen"))
+    p = M.choice_scores(f, test.select("event_id", "chosen"), w)
+    return M.quality_gate(M.evidence_gate(v.accepted, test), p)
+
+
 _STATE = "b AS (SELECT item AS key, CAST(sum(CASE WHEN option = chosen THEN 1 ELSE 0 END) AS DOUBLE) AS value, count(*) AS n FROM offers WHERE event_id % 4 <> 3 GROUP BY 1), a AS (SELECT item AS key, CAST(sum(CASE WHEN option = chosen THEN 1 ELSE 0 END) AS DOUBLE) AS value, count(*) AS n FROM offers GROUP BY 1)"
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.operators import features as E
+from matchloom.operators import validate as V
 from matchloom.plans.registry import query
-from matchloom.session import materialize
+from matchloom.session import materialize, shared_dir
 from matchloom.streaming import folds as Z
 
 _COLS = ["event_id", "session", "round", "user_id", "ts", "received_at", "event_type", "chosen", "recommended"]
@@ -17,18 +20,24 @@ def _stream(v, rows=None, order="event_id"):
     return Z.read(v.spark, Z.landing(rows if rows is not None else v.events.select(*_COLS), order))
 
 
-@query("z01_stream_quarantine", "SELECT CASE WHEN event_type = 'error' AND n_items > 0 THEN 'duplicate_offer' ELSE 'accepted' END AS reason, count(*) AS n, max(event_id) AS last_id FROM choice GROUP BY 1")
+@query("z01_stream_quarantine", "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n, max(event_id) AS last_id FROM reasons GROUP BY 1")
 def _(v):
-    s = _stream(v).withColumn("reason", F.when(F.col("event_type") == "error", "duplicate_offer").otherwise("accepted"))
-    return Z.collect_stream(s.select("event_id", "reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    """Events that carry their offers and their pool are validated as they arrive and go to one of two sinks."""
+    items = v.offers.groupBy("event_id").agg(F.collect_list("item").alias("items"), F.first("round_type").alias("round_type"))
+    own = v.pool.groupBy("event_id").agg(F.collect_list(F.struct("pool_type", "pool_item")).alias("own"))
+    rows = v.events.select("event_id").join(items, "event_id").join(own, "event_id", "left")
+    s = V.arriving_reasons(_stream(v, rows))
+    return Z.quarantine(s).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
 
 
 @query("z02_stream_dedup", "SELECT event_type, count(*) AS n FROM choice GROUP BY 1")
 def _(v):
+    """Repeated events, and other events of the same session and round, are dropped inside the stream."""
     e = v.events.select(*_COLS)
-    s = _stream(v, e.unionByName(e.filter("event_id % 3 = 0")), "ts").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "7 days").dropDuplicatesWithinWatermark(["event_id"])
-    t = Z.collect_stream(s.select("event_id", "event_type", "session", "round"))
-    return t.dropDuplicates(["session", "round"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    again = e.filter("event_id % 3 = 0").unionByName(e.filter("event_id % 5 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000).withColumn("ts", F.expr("timestampadd(SECOND, 1, ts)")))
+    s = _stream(v, e.unionByName(again), "ts").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "7 days")
+    s = s.dropDuplicatesWithinWatermark(["event_id"]).dropDuplicatesWithinWatermark(["session", "round"])
+    return Z.collect_stream(s.select("event_id", "event_type", "session", "round")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("z03_stream_time_bounds", "SELECT ts BETWEEN received_at - INTERVAL 7 DAYS AND received_at + INTERVAL 5 MINUTES AS in_time, count(*) AS n FROM choice GROUP BY 1")
@@ -49,7 +58,7 @@ _ROUNDS = "SELECT round, count(*) AS events, count(*) FILTER (chosen = recommend
 @query("s08_checkpoint_state", _ROUNDS)
 def _(v):
     f = _fold(v)
-    f.apply(v.events.select(*_COLS), f.version)  # an old batch number adds nothing
+    f.apply(v.events.select(*_COLS), f.versions.last())  # an old batch number adds nothing
     return f.state()
 
 
@@ -65,18 +74,28 @@ def _(v):
     return Z.collect_stream(s).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
 
 
-@query("z06_replay_check", "SELECT 0 AS differences")
+@query("z06_replay_check", "SELECT 0 AS differences, count(DISTINCT round) AS groups, count(*) AS events FROM choice")
 def _(v):
-    state = _fold(v).state()
+    """State after a stream that was stopped half-way, gone on with by another object and run once more, beside a batch recount."""
+    root = f"{shared_dir(v.spark)}/replay-{uuid.uuid4().hex}"
+    values = {"events": F.lit(1), "accepted": F.expr("if(chosen = recommended, 1, 0)")}
+    rows = v.events.select(*_COLS)
+    for part in (rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), None):
+        if part is not None:
+            Z.landing(part, "event_id", 3, f"{root}/landing")
+        Z.drain(Z.read(v.spark, f"{root}/landing"), Z.Fold(v.spark, ["round"], values, f"{root}/fold").apply, checkpoint=f"{root}/progress")
+    state = Z.Fold(v.spark, ["round"], values, f"{root}/fold").state()
     batch = v.events.groupBy("round").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.expr("chosen = recommended")).alias("accepted"))
-    return state.exceptAll(batch).unionByName(batch.exceptAll(state)).agg(F.count(F.lit(1)).cast("int").alias("differences"))
+    apart = state.exceptAll(batch).unionByName(batch.exceptAll(state)).agg(F.count(F.lit(1)).cast("int").alias("differences"))
+    return apart.crossJoin(state.agg(F.count(F.lit(1)).alias("groups"), F.sum("events").alias("events")))  # one row each
 
 
-@query("z07_retention", "SELECT count(*) AS kept, min(id) AS first_kept FROM submissions WHERE id NOT IN (SELECT id FROM submissions WHERE id <= 2000 AND received_at < (SELECT max(received_at) FROM submissions) - INTERVAL 14 DAYS ORDER BY id LIMIT 300)")
+@query("z07_retention", "SELECT count(*) AS kept, min(id) AS first_kept FROM submissions WHERE id NOT IN (SELECT id FROM submissions WHERE id <= (SELECT max(id) // 2 FROM submissions) AND received_at < (SELECT max(received_at) FROM submissions) - INTERVAL 14 DAYS ORDER BY id LIMIT 10000)")
 def _(v):
+    """Rows up to the cursor (half-way) that are older than 14 days go, oldest first, ten thousand at most in a run."""
     s = v.submissions
-    last = s.agg((F.max("received_at") - F.expr("INTERVAL 14 DAYS")).alias("limit"))
-    gone = s.filter("id <= 2000").crossJoin(F.broadcast(last)).filter("received_at < limit").select("id").orderBy("id").limit(300)
+    last = s.agg((F.max("received_at") - F.expr("INTERVAL 14 DAYS")).alias("limit"), F.expr("max(id) div 2 AS cursor"))
+    gone = s.crossJoin(F.broadcast(last)).filter("id <= cursor AND received_at < limit").select("id").orderBy("id").limit(10_000)
     return s.join(gone, "id", "left_anti").agg(F.count(F.lit(1)).alias("kept"), F.min("id").alias("first_kept"))
 
 
@@ -108,29 +127,22 @@ def _(v):
     return v.events.crossJoin(F.broadcast(last)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("received_at < last - INTERVAL 14 DAYS")).alias("old"))
 
 
-@query("m11_online_choice_model")
-def _(v):
+def _online(v):
+    """The model after all accepted events have streamed by in four arrivals, each a micro-batch, so that no event is split."""
+    root = f"{shared_dir(v.spark)}/arrivals-{uuid.uuid4().hex}"
     f = materialize(E.option_features(v.accepted, v.offers, v.pool).join(v.accepted.select("event_id", "chosen"), "event_id"), "online")
-    held: dict = {"state": None}
+    cuts = [float("-inf"), *f.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.001), float("inf")]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        Z.landing(f.filter((F.col("event_id") > low) & (F.col("event_id") <= high)), "event_id", 1, f"{root}/landing")
+        Z.drain(Z.read(v.spark, f"{root}/landing", 1 << 30), Z.Online(v.spark, f"{root}/model").apply, checkpoint=f"{root}/progress")
+    return Z.Online(v.spark, f"{root}/model")
 
-    def step(batch, number):
-        rows = materialize(batch, "batch")
-        state, _ = Z.ftrl_step(held["state"], rows.drop("chosen"), rows.select("event_id", "chosen").distinct())
-        held["state"] = materialize(state, "ftrl")
 
-    Z.drain(Z.read(v.spark, Z.landing(f, "event_id", 4)), step)
-    return held["state"].select("key", F.round("z", 4).alias("z"), F.round("n", 4).alias("n"))
+@query("m11_online_choice_model")
+def _(v):
+    return _online(v).versions.read().select("key", F.round("z", 4).alias("z"), F.round("n", 4).alias("n"))
 
 
 @query("m12_prequential_scores")
 def _(v):
-    f = materialize(E.option_features(v.accepted, v.offers, v.pool), "online")
-    chosen = materialize(v.accepted.select("event_id", "chosen"), "chosen")
-    state, out = None, None
-    for part in range(3):
-        own = chosen.filter(F.pmod("event_id", F.lit(3)) == part)
-        state, p = Z.ftrl_step(state, f.join(own.select("event_id"), "event_id"), own)
-        state = materialize(state, "ftrl")
-        p = p.filter("y = 1").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.log("p")), 4).alias("log_loss"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    return _online(v).scores().filter("y = 1").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.log("p")), 4).alias("log_loss"))

@@ -23,11 +23,12 @@ def _(v):
 _NAMES = "nm AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE length(name) >= 5 AND regexp_matches(name, '^[ -~]+$')), tq AS (SELECT DISTINCT token FROM tk WHERE length(token) >= 5 AND regexp_matches(token, '^[ -~]+$'))"
 
 
-@query("t02_fuzzy_names", f"""WITH {_TOK}, {_NAMES}, pr AS (SELECT token, name, round(least(1.0, 1 - levenshtein(token, name) * 1e0 / greatest(length(token), length(name)) + CASE WHEN contains(name, token) OR contains(token, name) THEN 0.1e0 ELSE 0 END), 6) AS score FROM tq, nm WHERE abs(length(token) - length(name)) <= 2 AND len(list_intersect(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)), list_transform(range(1, length(name)), lambda i: substr(name, i, 2)))) > 0)
-SELECT token, name, score FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, name) AS rn FROM pr WHERE score >= 0.6) WHERE rn = 1""")
+@query("t02_fuzzy_names", f"""WITH {_TOK}, {_NAMES}, tg AS (SELECT DISTINCT token, unnest(list_transform(range(1, length(token)), lambda i: substr(token, i, 2))) AS g FROM tq), ng AS (SELECT DISTINCT name, unnest(list_transform(range(1, length(name)), lambda i: substr(name, i, 2))) AS g FROM nm), pp AS (SELECT DISTINCT token, name FROM tg JOIN ng USING (g) WHERE least(length(token), length(name)) * 1e0 / greatest(length(token), length(name)) >= 0.7),
+pr AS (SELECT token, name, round(greatest(1 - levenshtein(token, name) * 1e0 / greatest(length(token), length(name)), CASE WHEN contains(name, token) OR contains(token, name) THEN least(length(token), length(name)) * 1e0 / greatest(length(token), length(name)) ELSE 0 END), 6) AS score FROM pp)
+SELECT token, name, score, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, name) AS rn FROM pr WHERE score >= 0.7) WHERE rn <= 5""")
 def _(v):
     names = v.table("benchmark").select(F.explode(F.split("text", " ")).alias("name")).filter("length(name) >= 5 AND name rlike '^[ -~]+$'")
-    return X.fuzzy(_tokens(v).filter("length(token) >= 5 AND token rlike '^[ -~]+$'"), names)
+    return X.fuzzy(_tokens(v).filter("length(token) >= 5 AND token rlike '^[ -~]+$'"), names, 0.7, 5)
 
 
 @query("t03_noise_lines", r"SELECT log, pos, score < 0.3 OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 2 AS noise FROM log_lines")
@@ -53,9 +54,22 @@ def _(v):
     return X.stitch(v.log_lines)
 
 
-@query("t06_side_votes", "WITH n AS (SELECT log, name, side, count(*) AS n FROM log_lines GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER (PARTITION BY log, name) AS total, row_number() OVER (PARTITION BY log, name ORDER BY n DESC, side) AS rn FROM n) SELECT log, name, CASE WHEN n >= 0.65 * total THEN side END AS vote FROM r WHERE rn = 1")
+_SIDED = "ls AS (SELECT *, CASE WHEN pos % 7 = 0 THEN NULL ELSE side END AS tag FROM log_lines), n AS (SELECT log, name, tag, count(*) AS n, count(*) FILTER (pos <= 40) AS early FROM ls WHERE tag IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER (PARTITION BY log, name) AS total, row_number() OVER (PARTITION BY log, name ORDER BY n DESC, tag) AS rn, count(*) FILTER (early > 0) OVER (PARTITION BY log, name) AS firsts, max(CASE WHEN early > 0 THEN tag END) OVER (PARTITION BY log, name) AS anchor FROM n), vt AS (SELECT log, name, CASE WHEN n >= 0.65 * total THEN tag WHEN firsts = 1 THEN anchor END AS vote FROM r WHERE rn = 1)"
+
+
+def _tagged(v):
+    """Lines of which every seventh lost its side."""
+    return v.log_lines.withColumn("side", F.expr("if(pos % 7 = 0, null, side)"))
+
+
+@query("t06_side_votes", f"WITH {_SIDED} SELECT log, name, vote FROM vt")
+def _(v):
+    return X.side_votes(_tagged(v))
+
+
+@query("t06_backfilled_sides", f"WITH {_SIDED} SELECT ls.log, pos, coalesce(vote, tag) AS fixed, CASE WHEN vote IS NOT NULL AND tag IS NULL THEN 'filled' WHEN vote <> tag THEN 'corrected' ELSE 'kept' END AS change FROM ls LEFT JOIN vt ON vt.log = ls.log AND vt.name IS NOT DISTINCT FROM ls.name")
 def _(v):
-    return X.side_votes(v.log_lines)
+    return X.backfill_sides(_tagged(v)).select("log", "pos", "fixed", "change")
 
 
 @query("t07_owned_tokens", f"WITH {_TOK} SELECT token, min(side) AS side FROM tk JOIN log_lines USING (log, pos) GROUP BY 1 HAVING count(DISTINCT side) = 1")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from matchloom.operators import validate as V
 from matchloom.plans.registry import query
 
-_V01 = "v01 AS (SELECT match_id, CASE WHEN n1 <> 3 OR n2 <> 3 THEN 'team_size' END AS reason FROM matches)"
+_V01 = """kn AS (SELECT m.*, h.hero IS NULL OR a.skill IS NULL OR b.skill IS NULL AS unknown FROM raw_members m LEFT JOIN heroes h USING (hero) LEFT JOIN skills a ON a.skill = m.s1 LEFT JOIN skills b ON b.skill = m.s2),
+pm AS (SELECT match_id, count(*) FILTER (unknown) AS unknown, count(*) FILTER (s1 IS NULL OR s2 IS NULL) AS empty, count(*) - count(DISTINCT side || ':' || hero) AS dups FROM kn GROUP BY 1),
+v01 AS (SELECT match_id, CASE WHEN winner IS NULL OR winner NOT IN (1, 2) THEN 'winner' WHEN n1 <> 3 OR n2 <> 3 THEN 'team_size' WHEN coalesce(empty, 0) > 0 THEN 'skills' WHEN coalesce(dups, 0) > 0 THEN 'duplicate_hero' WHEN coalesce(unknown, 0) > 0 THEN 'unknown_name' WHEN season <= 0 THEN 'season' END AS reason FROM raw_matches LEFT JOIN pm USING (match_id))"""
 
 
 @query("v01_match_validation", f"WITH {_V01} SELECT match_id, reason FROM v01")
 def _(v):
-    return V.match_reasons(v.matches, v.slots, v.heroes, v.skills).select("match_id", "reason")
+    return V.match_reasons(v.raw_matches, v.raw_members, v.heroes, v.skills).select("match_id", "reason")
 
 
 @query("v02_availability", "SELECT m.match_id, m.season, m.side, m.hero, h.season AS intro FROM members m JOIN heroes h USING (hero) WHERE m.season < h.season")
@@ -39,10 +41,17 @@ def _(v):
     return t.select("match_id", "side", reason.alias("reason"))
 
 
-@query("v05_submission_rows", "SELECT id, CASE WHEN fingerprint IS NULL THEN 'hash' WHEN strlen(uploader_name) > 6 THEN 'size' END AS reason FROM (SELECT *, CASE WHEN match_id % 17 = 0 THEN NULL ELSE fingerprint END AS f FROM submissions) WHERE f IS NOT NULL OR fingerprint IS NULL")
+@query("v05_submission_rows", """SELECT id, CASE WHEN NOT regexp_full_match(uuid, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'uuid' WHEN season IS NULL THEN 'catalog' WHEN strlen(uploader_name) > 6 THEN 'size' WHEN stored_hash IS NULL OR length(stored_hash) <> 64 THEN 'hash_format' WHEN stored_hash <> fingerprint THEN 'hash' END AS reason FROM submissions""")
 def _(v):
-    t = v.submissions.filter("match_id % 17 <> 0 OR fingerprint IS NULL")
-    return t.select("id", V.first_reason((F.col("fingerprint").rlike("^[0-9a-f]{64}$"), "hash"), (F.octet_length("uploader_name") <= 6, "size")).alias("reason"))
+    """The stored hash is held against the one recomputed from the match's members."""
+    from matchloom.operators.identity import semantic_fingerprint
+
+    again = semantic_fingerprint(v.members).select("match_id", F.col("fingerprint").alias("recomputed"))
+    t = v.submissions.drop("fingerprint").join(again, "match_id", "left")
+    return t.select("id", V.first_reason(
+        (F.col("uuid").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid"), (F.col("season").isNotNull(), "catalog"), (F.octet_length("uploader_name") <= 6, "size"),
+        (F.col("stored_hash").rlike("^[0-9a-f]{64}$"), "hash_format"), (F.col("stored_hash") == F.col("recomputed"), "hash"),
+    ).alias("reason"))
 
 
 @query("v06_event_validation", "SELECT event_id, session, round, reason FROM reasons")
@@ -57,9 +66,15 @@ def _(v):
     return t.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id")).crossJoin(F.broadcast(cursor))
 
 
-@query("v08_logical_uniqueness", "SELECT lower(uploader_name) AS name, CAST(received_at AS DATE) AS day, count(*) AS n FROM submissions GROUP BY 1, 2 HAVING count(*) > 1")
+_ARRIVED = "ar AS (SELECT 'E' || event_id AS id, session, round FROM choice UNION ALL SELECT 'e' || event_id, session || '-again', round FROM choice WHERE event_id % 50 = 0 UNION ALL SELECT 'N' || event_id, session, round FROM choice WHERE event_id % 77 = 0)"
+
+
+@query("v08_logical_uniqueness", f"WITH {_ARRIVED} SELECT 'event_id' AS rule, lower(id) AS key, count(*) AS n FROM ar GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT 'session_round', session || '|' || round, count(*) FROM ar GROUP BY 1, 2 HAVING count(*) > 1")
 def _(v):
-    return v.submissions.groupBy(F.lower("uploader_name").alias("name"), F.to_date("received_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Arrivals that repeat an event, in another case or as another event of the same session and round."""
+    e = v.events.select(F.concat(F.lit("E"), "event_id").alias("id"), "session", "round", "event_id")
+    t = e.unionByName(e.filter("event_id % 50 = 0").withColumn("id", F.lower("id")).withColumn("session", F.concat("session", F.lit("-again")))).unionByName(e.filter("event_id % 77 = 0").withColumn("id", F.concat(F.lit("N"), "event_id")))
+    return V.repeated_keys(t, event_id=F.lower("id"), session_round=F.concat_ws("|", "session", F.col("round").cast("string")))
 
 
 @query("v09_display_names", "SELECT id, length(uploader_name) <= 80 AS fits, trim(uploader_name) <> '' AS named FROM submissions")
@@ -88,10 +103,13 @@ def _(v):
     return v.members.select("match_id", "side", "slot", F.explode(F.array_distinct(F.transform(F.split(text, r"\s*[/／]\s*"), lambda x: F.trim(x)))).alias("alternative"))
 
 
-@query("v13_exclusion_reasons", "SELECT CASE WHEN season IS NULL THEN 'unknown_season' WHEN n1 <> 3 OR n2 <> 3 THEN 'incomplete_team' ELSE 'kept' END AS reason, count(*) AS n FROM matches GROUP BY 1")
+@query("v13_exclusion_reasons", """WITH tc AS (SELECT match_id, count(*) FILTER (s1 IS NULL OR s2 IS NULL) + count(*) - count(DISTINCT side || ':' || hero) AS bad FROM raw_members GROUP BY 1)
+SELECT CASE WHEN winner IS NULL OR winner NOT IN (1, 2) THEN 'unknown_result' WHEN n1 <> 3 OR n2 <> 3 THEN 'incomplete_team' WHEN bad > 0 THEN 'incomplete_tactics' ELSE 'kept' END AS reason, count(*) AS n FROM raw_matches LEFT JOIN tc USING (match_id) GROUP BY 1""")
 def _(v):
-    reason = V.first_reason((F.col("season").isNotNull(), "unknown_season"), ((F.col("n1") == 3) & (F.col("n2") == 3), "incomplete_team"))
-    return v.matches.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    bad = F.count_if(F.col("s1").isNull() | F.col("s2").isNull()) + F.count(F.lit(1)) - F.count_distinct("side", "hero")
+    t = v.raw_matches.join(v.raw_members.groupBy("match_id").agg(bad.alias("bad")), "match_id", "left")
+    reason = V.first_reason((F.col("winner").isin(1, 2), "unknown_result"), ((F.col("n1") == 3) & (F.col("n2") == 3), "incomplete_team"), (F.col("bad") == 0, "incomplete_tactics"))
+    return t.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("v14_draftable_skills", "SELECT skill, color = 'orange' AS in_rounds FROM skills WHERE skill NOT IN (SELECT signature FROM heroes) AND NOT shadow")
@@ -120,13 +138,26 @@ def _(v):
     return v.events.select("event_id", F.expr("ts BETWEEN received_at - INTERVAL 7 DAYS AND received_at + INTERVAL 5 MINUTES").alias("in_time"))
 
 
-@query("v18_plan_warnings", "SELECT match_id, side, skill, count(DISTINCT slot) AS members FROM carried GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query("v18_plan_warnings", """WITH eq AS (SELECT DISTINCT match_id, side, slot, hero, s0, unnest([s1, s2]) AS skill FROM raw_members)
+SELECT 'repeated_skill' AS warning, match_id, side, skill, count(DISTINCT slot) AS members FROM eq WHERE skill IS NOT NULL GROUP BY 2, 3, 4 HAVING count(DISTINCT slot) > 1 UNION ALL SELECT 'own_signature', match_id, side, skill, 1 FROM eq WHERE skill = s0""")
 def _(v):
-    return v.carried.groupBy("match_id", "side", "skill").agg(F.count_distinct("slot").alias("members"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    """A skill that several of a plan's members carry, and a hero that carries its own signature."""
+    t = v.raw_members.select("match_id", "side", "slot", "s0", F.explode(F.array_distinct(F.array("s1", "s2"))).alias("skill")).filter("skill IS NOT NULL")
+    many = t.groupBy("match_id", "side", "skill").agg(F.count_distinct("slot").alias("members")).filter("members > 1").withColumn("warning", F.lit("repeated_skill"))
+    own = t.filter("skill = s0").select("match_id", "side", "skill", F.lit(1).cast("long").alias("members"), F.lit("own_signature").alias("warning"))
+    return many.unionByName(own)
+
+
+_TABLE = "gt AS (SELECT *, CASE WHEN place % 17 = 0 THEN NULL ELSE 'meta' END AS category, CASE WHEN champion THEN 'champions' ELSE 'ladder' END AS section, CASE WHEN champion AND place % 3 <> 0 THEN 'champions' ELSE 'ladder' END AS source, substr(sha256(roster), 1, 12) AS id, CASE WHEN place % 13 = 0 THEN 1 ELSE 2 END AS n_slots FROM guide)"
 
 
-@query("v19_guide_rules", "SELECT place, 'members' AS rule, len(list_distinct(string_split(roster, ','))) = 3 AS ok FROM guide UNION ALL SELECT place, 'tier', tier IN ('S', 'A', 'B') FROM guide UNION ALL SELECT place, 'unique_id', (SELECT count(*) FROM guide g WHERE g.roster = o.roster) = 1 FROM guide o")
+@query("v19_guide_rules", f"""WITH {_TABLE} SELECT place, 'members' AS rule, len(list_distinct(string_split(roster, ','))) = 3 AS ok FROM gt UNION ALL SELECT place, 'tier', tier IN ('S', 'A', 'B') FROM gt UNION ALL SELECT place, 'tier_and_category', (tier IS NULL) = (category IS NULL) FROM gt UNION ALL SELECT place, 'section_and_source', section = source FROM gt
+UNION ALL SELECT place, 'content_id', id = substr(sha256(roster), 1, 12) FROM gt UNION ALL SELECT place, 'unique_id', (SELECT count(*) FROM gt g WHERE g.id = o.id) = 1 FROM gt o UNION ALL SELECT place, 'slots', n_slots = 2 FROM gt""")
 def _(v):
-    g = v.guide.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(F.sha2("roster", 256))))
-    rules = F.array(F.struct(F.lit("members").alias("rule"), (F.size(F.array_distinct(F.split("roster", ","))) == 3).alias("ok")), F.struct(F.lit("tier").alias("rule"), F.col("tier").isin("S", "A", "B").alias("ok")), F.struct(F.lit("unique_id").alias("rule"), (F.col("same") == 1).alias("ok")))
-    return g.select("place", F.explode(rules).alias("r")).select("place", "r.rule", "r.ok")
+    g = v.guide.selectExpr("*", "if(place % 17 = 0, null, 'meta') AS category", "if(champion, 'champions', 'ladder') AS section", "if(champion AND place % 3 <> 0, 'champions', 'ladder') AS source", "substring(sha2(roster, 256), 1, 12) AS id", "if(place % 13 = 0, 1, 2) AS n_slots")
+    g = g.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    rules = {
+        "members": F.size(F.array_distinct(F.split("roster", ","))) == 3, "tier": F.col("tier").isin("S", "A", "B"), "tier_and_category": F.col("tier").isNull() == F.col("category").isNull(), "section_and_source": F.col("section") == F.col("source"),
+        "content_id": F.col("id") == F.substring(F.sha2("roster", 256), 1, 12), "unique_id": F.col("same") == 1, "slots": F.col("n_slots") == 2,
+    }
+    return V.rule_rows(g, "place", rules)

@@ -150,7 +150,11 @@ class Views:
         t = self.matches.join(self.fingerprints, "match_id", "left")
         again = t.filter("match_id % 13 = 0").withColumn("copy", F.explode(F.expr("sequence(1, 3)")))
         t = t.withColumn("copy", F.lit(0)).unionByName(again)
-        return t.selectExpr("match_id * 4 + copy AS id", "match_id", "copy", "if(uploader % 8 = 0, '', concat('name', uploader)) AS uploader_name", "captured_at AS received_at", "season", "source", "n1", "n2", "fingerprint", "winner")
+        return t.selectExpr(
+            "match_id * 4 + copy AS id", "match_id", "copy", "if(uploader % 8 = 0, '', concat('name', uploader)) AS uploader_name", "captured_at AS received_at", "season", "source", "n1", "n2", "fingerprint", "winner",
+            "if((match_id * 4 + copy) % 23 = 0, concat('x', match_id), regexp_replace(md5(cast(match_id * 4 + copy AS string)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5')) AS uuid",
+            "CASE WHEN match_id % 17 = 0 THEN reverse(fingerprint) WHEN match_id % 19 = 0 THEN substring(fingerprint, 1, 63) ELSE fingerprint END AS stored_hash",
+        )
 
     @cached_property
     def fingerprints(self) -> DataFrame:
@@ -168,6 +172,19 @@ class Views:
             "source", "uploader", "timestampadd(MINUTE, copy * 7, captured_at) AS captured_at",
         ), "reports")
 
+    @cached_property
+    def raw_members(self) -> DataFrame:
+        """Members as they may arrive: some with an unknown name, a hero twice, their own signature as a skill or a slot left empty."""
+        hero = "CASE WHEN match_id % 29 = 0 AND slot = 1 THEN 'Nobody' WHEN match_id % 31 = 0 AND slot = 2 THEN first ELSE hero END"
+        first = self.slots.filter("slot = 1").select("match_id", "side", F.col("hero").alias("first"))
+        t = self.slots.join(first, ["match_id", "side"])
+        return t.selectExpr("match_id", "side", "slot", f"{hero} AS hero", "s0", "if(match_id % 43 = 0 AND slot = 1, s0, s1) AS s1", "if(match_id % 14 = 0 AND slot = 3, null, s2) AS s2")
+
+    @cached_property
+    def raw_matches(self) -> DataFrame:
+        """Match headers as they may arrive: some without a winner, with a wrong one or with season 0."""
+        return self.matches.selectExpr("match_id", "CASE WHEN match_id % 9 = 0 THEN null WHEN match_id % 37 = 0 THEN 3 ELSE winner END AS winner", "if(match_id % 41 = 0, 0, season) AS season", "source", "n1", "n2")
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """Cumulative: the snapshot of a season holds all matches up to it; in the last one some winners differ."""
@@ -236,7 +253,8 @@ SQL: dict[str, str] = {
     "accepted": "SELECT * EXCLUDE (reason) FROM reasons WHERE reason IS NULL",
     "team_text": "SELECT match_id, side, string_agg(hero || ':' || s0 || ':' || s1 || ':' || s2, ';' ORDER BY slot) AS team, max(winner) AS winner, max(uploader) AS uploader FROM members GROUP BY 1, 2",
     "fingerprints": """SELECT a.match_id, sha256(concat_ws('|', 'v1', CAST(a.uploader AS VARCHAR), CASE WHEN b.team < a.team THEN b.team ELSE a.team END, CASE WHEN b.team < a.team THEN a.team ELSE b.team END, CASE WHEN a.team = b.team THEN '1' WHEN b.team < a.team THEN CAST(3 - a.winner AS VARCHAR) ELSE CAST(a.winner AS VARCHAR) END)) AS fingerprint FROM team_text a JOIN team_text b ON a.match_id = b.match_id AND a.side = 1 AND b.side = 2""",
-    "submissions": """SELECT match_id * 4 + copy AS id, match_id, copy, CASE WHEN uploader % 8 = 0 THEN '' ELSE 'name' || uploader END AS uploader_name, captured_at AS received_at, season, source, n1, n2, fingerprint, winner FROM (SELECT *, 0 AS copy FROM matches UNION ALL SELECT *, unnest([1, 2, 3]) FROM matches WHERE match_id % 13 = 0) LEFT JOIN fingerprints USING (match_id)""",
+    "submissions": """SELECT match_id * 4 + copy AS id, match_id, copy, CASE WHEN uploader % 8 = 0 THEN '' ELSE 'name' || uploader END AS uploader_name, captured_at AS received_at, season, source, n1, n2, fingerprint, winner,
+  CASE WHEN (match_id * 4 + copy) % 23 = 0 THEN 'x' || match_id ELSE regexp_replace(md5(CAST(match_id * 4 + copy AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') END AS uuid, CASE WHEN match_id % 17 = 0 THEN reverse(fingerprint) WHEN match_id % 19 = 0 THEN substr(fingerprint, 1, 63) ELSE fingerprint END AS stored_hash FROM (SELECT *, 0 AS copy FROM matches UNION ALL SELECT *, unnest([1, 2, 3]) FROM matches WHERE match_id % 13 = 0) LEFT JOIN fingerprints USING (match_id)""",
     "reports": """SELECT match_id * 4 + copy AS id, CASE WHEN copy = 1 THEN 3 - side ELSE side END AS side, slot, hero, s0, CASE WHEN copy >= 2 AND side = 1 AND slot = 1 THEN 'X' || copy ELSE s1 END AS s1, CASE WHEN copy = 3 AND side = 1 AND slot = 2 THEN 'X9' ELSE s2 END AS s2, source, uploader, captured_at + to_minutes(CAST(copy * 7 AS INT)) AS captured_at
   FROM (SELECT *, 0 AS copy FROM members UNION ALL SELECT *, unnest([1, 2, 3]) FROM members WHERE match_id % 13 = 0)""",
     "states": """SELECT id, r1, r2, CASE WHEN flip THEN k2 ELSE k1 END AS ka, CASE WHEN flip THEN k1 ELSE k2 END AS kb FROM (SELECT a.id, least(a.roster, b.roster) AS r1, greatest(a.roster, b.roster) AS r2, a.skills AS k1, b.skills AS k2, a.roster > b.roster OR (a.roster = b.roster AND a.skills > b.skills) AS flip
@@ -249,6 +267,8 @@ SQL: dict[str, str] = {
     "firsts": "SELECT min(id) AS id, r1, r2, ka, kb FROM states GROUP BY r1, r2, ka, kb",
     "visits": """SELECT id, first_value(id) OVER (PARTITION BY part, visit ORDER BY captured_at, id) AS first FROM (SELECT *, sum(CASE WHEN prev IS NULL OR captured_at - prev > INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY captured_at, id ROWS UNBOUNDED PRECEDING) AS visit
   FROM (SELECT *, lag(captured_at) OVER (PARTITION BY part ORDER BY captured_at, id) AS prev FROM (SELECT DISTINCT id, captured_at, CASE source WHEN 'own' THEN 'own' WHEN 'others' THEN 'others:' || uploader ELSE 'external:' || id END AS part FROM reports)))""",
+    "raw_members": "SELECT s.match_id, s.side, s.slot, CASE WHEN s.match_id % 29 = 0 AND s.slot = 1 THEN 'Nobody' WHEN s.match_id % 31 = 0 AND s.slot = 2 THEN f.hero ELSE s.hero END AS hero, s.s0, CASE WHEN s.match_id % 43 = 0 AND s.slot = 1 THEN s.s0 ELSE s.s1 END AS s1, CASE WHEN s.match_id % 14 = 0 AND s.slot = 3 THEN NULL ELSE s.s2 END AS s2 FROM slots s JOIN slots f ON f.match_id = s.match_id AND f.side = s.side AND f.slot = 1",
+    "raw_matches": "SELECT match_id, CASE WHEN match_id % 9 = 0 THEN NULL WHEN match_id % 37 = 0 THEN 3 ELSE winner END AS winner, CASE WHEN match_id % 41 = 0 THEN 0 ELSE season END AS season, source, n1, n2 FROM matches",
     "snapshots": "SELECT snapshot, match_id AS id, season, CASE WHEN snapshot = 7 AND match_id % 997 = 0 THEN 3 - winner ELSE winner END AS winner FROM (SELECT *, unnest(range(season, 8)) AS snapshot FROM matches WHERE season IS NOT NULL)",
     "rosters": "SELECT match_id, side, string_agg(hero, ',' ORDER BY hero) AS roster, max(won) AS won FROM members GROUP BY 1, 2",
     "guide": "SELECT roster, place, CASE WHEN place <= 10 THEN 'S' WHEN place <= 25 THEN 'A' ELSE 'B' END AS tier, place % 4 = 0 AS champion FROM (SELECT roster, row_number() OVER (ORDER BY count(*) DESC, roster) AS place FROM rosters GROUP BY 1) WHERE place <= 40",

@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from matchloom.session import shared_dir
 
 
-def landing(rows: DataFrame, order: str, files: int = 8) -> str:
-    """Writes rows as a folder of files that arrive in order, as a landing zone would hold them."""
-    path = f"{shared_dir(rows.sparkSession)}/landing-{uuid.uuid4().hex}"
+def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None) -> str:
+    """Writes rows as a folder of files that arrive in order, as a landing zone would hold them.
+
+    Rows are cut into ``files`` ranges of ``order`` in one pass; each range then arrives as a whole, by as many tasks as
+    it has splits. Given a ``path``, files are added to what has landed there."""
+    spark = rows.sparkSession
+    path = path or f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
     t = rows.withColumn("_o", F.unix_micros(F.col(order).cast("timestamp")).cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double"))
-    cuts = t.approxQuantile("_o", [i / files for i in range(1, files)], 0.001)
-    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
-        t.filter((F.col("_o") > low) & (F.col("_o") <= high)).drop("_o").coalesce(1).write.mode("append").parquet(path)
+    cuts = t.approxQuantile("_o", [i / files for i in range(1, files)], 0.001) if files > 1 else []
+    place = sum((F.when(F.col("_o") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    staged = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    t.withColumn("_k", place).drop("_o").write.partitionBy("_k").parquet(staged)
+    for k in sorted(r["_k"] for r in spark.read.parquet(staged).select("_k").distinct().collect()):  # ``files`` numbers at most
+        spark.read.schema(rows.schema).parquet(f"{staged}/_k={k}").write.mode("append").parquet(path)
     return path
 
 
@@ -25,9 +32,11 @@ def read(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs a stream over all that has landed; ``each`` gets (micro-batch, number)."""
-    place = f"{shared_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Runs a stream over all that has landed; ``each`` gets (micro-batch, number).
+
+    With a ``checkpoint`` folder of its own a later call goes on after the last finished micro-batch."""
+    place = checkpoint or f"{shared_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -40,27 +49,100 @@ def collect_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
+def quarantine(stream: DataFrame) -> DataFrame:
+    """Rows without a ``reason`` go to one sink, the others to another; both together."""
+    spark = stream.sparkSession
+    out = f"{shared_dir(spark)}/arrived-{uuid.uuid4().hex}"
+
+    def both(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            for name, part in (("accepted", rows.filter("reason IS NULL")), ("quarantine", rows.filter("reason IS NOT NULL"))):
+                part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    drain(stream, both)
+    sink = lambda name: spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/{name}")
+    return sink("accepted").unionByName(sink("quarantine"))
+
+
+class Versions:
+    """A table in a folder of the shared store, written anew by each micro-batch; a version counts once its marker is there.
+
+    Nothing is kept in the object: another one on the same folder, in another process, goes on from the last version.
+    The version before it stays, older ones are deleted."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = lambda n: (lambda f, q: f.exists(q))(*self._fs(f"{self.root}/{n}/_SUCCESS"))
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and done(n))
+
+    def last(self) -> int:
+        return max(self._numbers(), default=-1)
+
+    def read(self) -> DataFrame | None:
+        n = self.last()
+        return self.spark.read.parquet(f"{self.root}/version={n}") if n >= 0 else None
+
+    def write(self, table: DataFrame, number: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.root}/version={number}")
+        for n in self._numbers()[:-2]:
+            fs, p = self._fs(f"{self.root}/version={n}")
+            fs.delete(p, True)
+
+
 class Fold:
     """Additive counters kept by micro-batches: each writes a new version of the state, the marker last.
 
-    A batch number at or under the state's is not folded again, so replays add nothing."""
+    A batch number at or under the state's is not folded again, so replays add nothing, also after a restart."""
 
-    def __init__(self, spark: SparkSession, keys: list[str], values: dict[str, Column]):
-        self.spark, self.keys, self.values = spark, keys, values
-        self.root = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
-        self.version = -1
+    def __init__(self, spark: SparkSession, keys: list[str], values: dict[str, Column], root: str | None = None):
+        self.keys, self.values, self.versions = keys, values, Versions(spark, root)
 
     def state(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/version={self.version}") if self.version >= 0 else None
+        return self.versions.read()
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        if number <= self.version:
+        if number <= self.versions.last():
             return
         now = batch.groupBy(*self.keys).agg(*[F.sum(c).alias(n) for n, c in self.values.items()])
         if (old := self.state()) is not None:
             now = now.unionByName(old).groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in self.values])
-        now.write.mode("overwrite").parquet(f"{self.root}/version={number}")
-        self.version = number
+        self.versions.write(now, number)
+
+
+class Online:
+    """The choice model's state under a folder, and each micro-batch's scores from before its update.
+
+    Rows: (event_id, option, key, value, chosen); all rows of an event come in one micro-batch."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+        self.versions = Versions(spark, f"{self.root}/state")
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        if number <= self.versions.last():
+            return
+        rows = batch.persist()
+        try:
+            state, scored = ftrl_step(self.versions.read(), rows.drop("chosen"), rows.select("event_id", "chosen").distinct())
+            scored.write.mode("overwrite").parquet(f"{self.root}/scores/batch={number}")
+            self.versions.write(state, number)
+        finally:
+            rows.unpersist()
+
+    def scores(self) -> DataFrame:
+        """(batch, event_id, option, p, y)."""
+        return self.spark.read.parquet(f"{self.root}/scores")
 
 
 def ftrl_step(state: DataFrame | None, features: DataFrame, chosen: DataFrame, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.1, l2: float = 1.0) -> tuple[DataFrame, DataFrame]:

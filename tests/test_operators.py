@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_capture_times(spark):
 
 
 def test_reading_matches_keeps_reasons(spark):
-    place = f"{shared_dir(spark)}/matches"
+    place = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
     team = '[{"name":"a","skills":["x","y","z"]},{"name":"b","skills":[]},{"name":"c","skills":[]}]'
     rows = [f'{{"1":{team},"2":{team},"winner":"1","season":3}}', f'{{"1":{team},"2":[],"winner":"2"}}', "{broken", f'{{"1":{team},"2":{team},"winner":"3"}}']
     for r in rows:  # a file for each document
@@ -89,7 +90,7 @@ def test_split_batches_fold_to_the_same_totals(spark):
 
 
 def test_publish_leaves_the_old_version_on_failure(spark):
-    root = f"{shared_dir(spark)}/published"
+    root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
     first = publish(spark.range(3), root)
     with pytest.raises(ValueError):
         publish(spark.range(5), root, check=lambda _: False)
@@ -99,3 +100,92 @@ def test_publish_leaves_the_old_version_on_failure(spark):
 def test_stitch_drops_near_lines(spark):
     t = spark.createDataFrame([(1, 1, "Attack on the gate"), (1, 2, "Attack on the gats"), (1, 3, "Retreat now"), (1, 4, None)], "log long, pos int, text string")
     assert [r["kept"] for r in X.stitch(t).orderBy("pos").collect()] == [True, False, True, True]
+
+
+def test_a_stopped_stream_goes_on(spark):
+    root = f"{shared_dir(spark)}/stopped-{uuid.uuid4().hex}"
+    rows = spark.range(200).withColumn("k", F.col("id") % 3)
+    fold = lambda: Z.Fold(spark, ["k"], {"n": F.lit(1), "s": F.col("id")}, f"{root}/fold")
+
+    def breaks(batch, number):
+        if number == 2:
+            raise OSError("lost")
+        fold().apply(batch, number)
+
+    Z.landing(rows.filter("id < 120"), "id", 4, f"{root}/in")
+    with pytest.raises(Exception, match="lost"):
+        Z.drain(Z.read(spark, f"{root}/in"), breaks, checkpoint=f"{root}/progress")
+    assert fold().versions.last() == 1
+    Z.landing(rows.filter("id >= 120"), "id", 2, f"{root}/in")
+    for _ in range(2):
+        Z.drain(Z.read(spark, f"{root}/in"), fold().apply, checkpoint=f"{root}/progress")
+    want = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    assert sorted(map(tuple, fold().state().collect())) == sorted(map(tuple, want.collect()))
+    assert len(fold().versions._numbers()) == 2
+
+
+def test_choice_fit_equals_plain_steps(spark):
+    import random
+
+    r = random.Random(3)
+    feats, chosen = {}, {}
+    for e in range(40):
+        chosen[e] = r.randrange(3)
+        for o in range(3):
+            for k in r.sample("abcdef", 3):
+                feats[e, o, k] = round(r.uniform(-1, 1), 3)
+    w = dict.fromkeys("abcdef", 0.0)
+    for step in range(60):
+        g = dict.fromkeys(w, 0.0)
+        for e, c in chosen.items():
+            u = [math.exp(sum(w[k] * x for (i, j, k), x in feats.items() if (i, j) == (e, o))) for o in range(3)]
+            for (i, o, k), x in feats.items():
+                if i == e:
+                    g[k] += ((o == c) - u[o] / sum(u)) * x
+        for k in w:
+            w[k] += 0.25 / math.sqrt(1 + step / 100) * (g[k] / len(chosen) - 0.05 * w[k])
+    t = spark.createDataFrame([(*k, x) for k, x in feats.items()], "event_id long, option int, key string, value double")
+    y = spark.createDataFrame(list(chosen.items()), "event_id long, chosen int")
+    got = M.choice_fit(t, y, 60)
+    assert {x["key"]: x["weight"] for x in got.collect()} == pytest.approx(w, abs=1e-9)
+    p = {x["event_id"]: x["p"] for x in M.choice_scores(t, y, got).collect()}
+    assert len(p) == 40 and all(0 < x < 1 for x in p.values())
+
+
+def test_mirror_matchups_take_the_better_pairing(spark):
+    from matchloom.operators.near import matchup_replacements
+
+    def match(i, one, two):
+        return [(i, s, h, *k) for s, team in ((1, one), (2, two)) for h, k in team.items()]
+
+    a, b = {"x": ("1", "2"), "y": ("3", "4"), "z": ("5", "6")}, {"x": ("7", "8"), "y": ("9", "10"), "z": ("11", "12")}
+    near, far, other = a | {"x": ("1", "99")}, a | {"x": ("1", "99"), "y": ("3", "98")}, {"q": ("1", "2"), "y": ("3", "4"), "z": ("5", "6")}
+    rows = match(1, a, b) + match(2, b, a) + match(3, b, near) + match(4, far, b) + match(5, other, b) + match(6, b, other) + match(7, a, a)
+    t = spark.createDataFrame(rows, "id long, side int, hero string, s1 string, s2 string")
+    got = {(r["a"], r["b"]): r["replaced"] for r in matchup_replacements(t).collect()}
+    assert got == {(1, 2): 0, (1, 3): 1, (3, 4): 1, (5, 6): 0}
+
+
+def test_groups_of_sessions_and_near_matches(spark):
+    rows = [(1, "own", 1, "2024-01-01 23:50:00"), (2, "own", 2, "2024-01-02 00:15:00"), (3, "own", 1, "2024-01-02 01:00:00"), (4, "others", 1, "2024-01-01 10:00:00"), (5, "others", 1, "2024-01-01 10:30:00"), (6, "others", 2, "2024-01-01 10:31:00"), (7, "external", 1, "2024-01-01 10:00:00"), (8, "external", 1, "2024-01-01 10:00:00")]
+    t = spark.createDataFrame(rows, "id long, source string, uploader int, at string").withColumn("captured_at", F.to_timestamp("at"))
+    assert {r["id"]: r["first"] for r in G.session_links(t).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    near = spark.createDataFrame([(2, 7)], "a long, b long")
+    assert {r["id"]: r["component"] for r in G.evaluation_groups(t, near).collect()} == {1: 1, 2: 1, 7: 1, 3: 3, 4: 4, 5: 4, 6: 6, 8: 8}
+    ids = lambda d: {r["group_id"] for r in G.group_ids(spark.createDataFrame(d, "g int, m int"), "g", "m").collect()}
+    assert ids([(1, 5), (1, 6), (2, 7)]) == ids([(9, 7), (3, 6), (3, 5)]) and ids([(1, 5)]) != ids([(1, 6)])
+
+
+def test_a_planted_leak_is_found(spark):
+    rosters = spark.createDataFrame([(1, "r"), (2, "r"), (3, "s")], "match_id long, roster string")
+    matches = rosters.select("match_id")
+    split = {r["match_id"]: r["split"] for r in G.locked_split(matches, rosters, matches.filter("match_id = 1")).collect()}
+    assert split == {1: "test", 2: "excluded", 3: "train"}
+
+
+def test_few_groups_have_no_interval(spark):
+    rows = [(s, g, i % 2, 0.6) for s, n in (("few", 4), ("some", 10), ("many", 25)) for g in range(n) for i in range(3)]
+    t = spark.createDataFrame(rows, "s string, g int, label int, p double")
+    got = {r["s"]: r for r in M.bootstrap(M.loss_sums(t, "s", "g"), "s", "g", ("accuracy", "log_loss", "brier"), 50).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"few": "omitted_too_few_groups", "some": "exploratory_few_groups", "many": "available"}
+    assert got["few"]["accuracy_low"] is None and got["many"]["accuracy_low"] <= got["many"]["accuracy"] <= got["many"]["accuracy_high"]

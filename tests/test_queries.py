@@ -7,7 +7,7 @@ from matchloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"m01_paired_fit", "m04_backtest", "m05_grid_search", "m06_controlled_comparison"}
+SLOW = {"m01_paired_fit", "m04_backtest", "m05_grid_search", "m06_controlled_comparison", "m07_choice_logit", "m10_quality_gate"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
