@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.windows import numbered
+
 #: Strength of the smoothing prior, and of the selection adjustment (fixed values).
 SMOOTHING, SELECTION, CLIP, HERO_STRENGTH, SKILL_STRENGTH = 5, 20.0, 2.0, 0.4, 0.3
 SLOTS = {"H": 6, "S": 12}
@@ -110,7 +112,7 @@ def hll_registers(rows: DataFrame, key: str, p: int = 10) -> DataFrame:
 def leaderboard(rows: DataFrame, name: str) -> DataFrame:
     """Named contributors by accepted rows."""
     t = rows.filter(F.trim(name) != "").groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), name)).cast("long"))
+    return numbered(t, "rank", F.desc("n"), F.asc(name))
 
 
 def softmax(events: DataFrame) -> DataFrame:

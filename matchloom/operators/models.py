@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.windows import numbered
+from matchloom.session import materialize
+
 
 def feature_index(selected: DataFrame) -> DataFrame:
-    """A number for each selected feature, by key; the dictionary is small beside the matches."""
-    return selected.withColumn("i", F.row_number().over(Window.orderBy("family", "key")) - 1)
+    """A number from 0 for each selected feature, by family and key."""
+    return numbered(selected, "i", F.asc("family"), F.asc("key")).withColumn("i", (F.col("i") - 1).cast("int"))
 
 
 def design_matrix(features: DataFrame, selected: DataFrame) -> DataFrame:
     """sparse rows (match_id, indices, values) of paired differences, sorted by index."""
+    return _matrix(features, feature_index(selected))
+
+
+def _matrix(features: DataFrame, index: DataFrame) -> DataFrame:
     from matchloom.operators.features import paired_difference
 
-    index = feature_index(selected)
     t = paired_difference(features).join(index.select("family", "key", "i"), ["family", "key"])
     g = t.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("i", "diff"))).alias("x"))
     return g.select("match_id", F.transform("x", lambda p: p["i"]).alias("indices"), F.transform("x", lambda p: p["diff"].cast("double")).alias("values"))
@@ -26,29 +33,32 @@ def design_matrix(features: DataFrame, selected: DataFrame) -> DataFrame:
 def fit_paired(matrix: DataFrame, outcomes: DataFrame, n_features: int, c: float = 0.05, max_iter: int = 100):
     """Paired logistic fit with an L2 penalty and a free intercept; None for degenerate outcomes.
 
+    Rows go to the fit as text in the format that Spark ML reads sparse vectors from, so no Python touches them.
     Returns (weights as a list, intercept)."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    to_vector = F.udf(lambda i, x: SparseVector(n_features, i, x), VectorUDT())
-    rows = outcomes.join(matrix, "match_id", "left").select("label", to_vector(F.coalesce("indices", F.array().cast("array<int>")), F.coalesce("values", F.array().cast("array<double>"))).alias("features"))
-    rows = rows.persist()
-    try:
-        n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
-        if not n or ones in (0, n):
-            return None
-        m = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
-        return [float(x) for x in m.coefficients], float(m.intercept)
-    finally:
-        rows.unpersist()
+    from matchloom.session import shared_dir
+
+    spark = matrix.sparkSession
+    n, ones = outcomes.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or ones in (0, n):
+        return None
+    parts = F.transform(F.arrays_zip("indices", "values"), lambda p: F.concat_ws(":", (p["indices"] + 1).cast("string"), p["values"].cast("string")))
+    line = F.concat_ws(" ", F.array_insert(F.coalesce(parts, F.array().cast("array<string>")), 1, F.col("label").cast("string")))
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    outcomes.join(matrix, "match_id", "left").select(line.alias("value")).write.text(path)
+    rows = spark.read.format("libsvm").option("numFeatures", n_features).load(path)
+    m = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
+    return [float(x) for x in m.coefficients], float(m.intercept)
 
 
 def fit_weights(features: DataFrame, selected: DataFrame, outcomes: DataFrame, c: float = 0.05) -> DataFrame:
     """(family, key, weight) of a fit on the matches of ``outcomes`` (match_id, label)."""
     spark = features.sparkSession
-    index = feature_index(selected).select("family", "key", "i").persist()
+    index = materialize(feature_index(selected).select("family", "key", "i"), "index")
     n = index.count()
-    fitted = fit_paired(design_matrix(features.join(outcomes.select("match_id"), "match_id", "left_semi"), selected), outcomes, n, c) if n else None
+    fitted = fit_paired(_matrix(features.join(outcomes.select("match_id"), "match_id", "left_semi"), index), outcomes, n, c) if n else None
+    # a fit's weights are one vector on the driver
     w = spark.createDataFrame([(i, x) for i, x in enumerate(fitted[0])] if fitted else [], "i int, weight double")
     return index.join(w, "i", "left").select("family", "key", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
@@ -108,8 +118,6 @@ def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most:
     ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). The ``most`` features with the
     largest support are fitted, so their weights are a short list that each step sends to the tasks; a task adds up its
     events' gradients and a step's result is a row for each feature. Events are written once, a row each."""
-    from matchloom.session import materialize
-
     spark = features.sparkSession
     n = chosen.count()
     held = features.join(chosen, "event_id", "left_semi")

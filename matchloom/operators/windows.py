@@ -14,6 +14,20 @@ def sessionize(rows: DataFrame, by: str, ts: str, tie: str, minutes: int) -> Dat
     return t.withColumn("visit", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """Adds the place of each row in an order of all rows, from 1, without a window over all of them.
+
+    Rows are sorted into ranges; a range's rows are numbered in it and start after the ranges before. Ranges are as many
+    as shuffle partitions, so the table of their sizes is short."""
+    from matchloom.session import materialize
+
+    t = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    t = materialize(t.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order))), "numbered")
+    sizes = t.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return t.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_r", "_before")
+
+
 def runs(rows: DataFrame, by: str, n: str) -> DataFrame:
     """Runs of consecutive integers."""
     t = rows.withColumn("island", F.col(n) - F.row_number().over(Window.partitionBy(by).orderBy(n)))

@@ -58,20 +58,35 @@ def _(v):
     return M.point_metrics(_backtest(v, ("H", "S", "HP", "HS")))
 
 
+#: Candidates of each stage of the search.
+_C, _SINGLE, _PAIR = (0.01, 0.05, 0.2), (3, 5, 8), (8, 12)
+
+
 @query("m05_grid_search")
 def _(v):
-    out = None
-    for c in (0.01, 0.05):
-        for single, pair in ((5, 8), (8, 12)):
-            t = M.point_metrics(_backtest(v, ("H", "S"), c, single, pair)).withColumn("config", F.lit(f"c={c} floors={single}/{pair}"))
-            out = t if out is None else out.unionByName(t)
-    return out.orderBy("log_loss", "brier", F.desc("accuracy"), "config").limit(1)
+    """Stages: the penalty, then the support floors, then pairs of skills or not; each starts from the best so far."""
+    scored = {}
+
+    def loss(config):
+        c, single, pair, families = config
+        if config not in scored:
+            r = M.point_metrics(_backtest(v, families, c, single, pair)).first()
+            scored[config] = (r["log_loss"], r["brier"], -r["accuracy"], config)
+        return scored[config]
+
+    whole = ("H", "S", "HP", "HS", "SP")
+    best = min(((c, 5, 8, whole) for c in _C), key=loss)
+    best = min(((best[0], s, p, whole) for s in _SINGLE for p in _PAIR), key=loss)
+    best = min(((*best[:3], f) for f in (whole, whole[:-1])), key=loss)
+    rows = [(f"c={k[0]} floors={k[1]}/{k[2]} families={','.join(k[3])}", *x[:2], -x[2], k == best) for k, x in scored.items()]
+    return v.spark.createDataFrame(rows, "config string, log_loss double, brier double, accuracy double, chosen boolean")
 
 
 @query("m06_controlled_comparison")
 def _(v):
-    a = _backtest(v, ("H", "S")).withColumnRenamed("p", "pa")
-    b = _backtest(v, ("H", "S"), source="external").select("match_id", F.col("p").alias("pb"))
+    whole = ("H", "S", "HP", "HS", "SP")
+    a = _backtest(v, whole).withColumnRenamed("p", "pa")
+    b = _backtest(v, whole, source="external").select("match_id", F.col("p").alias("pb"))
     t = a.join(b, "match_id").withColumn("all", F.lit("all")).join(v.valid.select("match_id", "uploader"), "match_id")
     return G.paired_delta(t, "all", "uploader")
 
