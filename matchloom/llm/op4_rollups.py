@@ -7,8 +7,9 @@ marker ``_SUCCESS`` there last. A batch whose marker exists is not applied again
 off is overwritten, so retries and replays change nothing. ``totals`` adds the committed deltas;
 ``compact`` writes their sum as a base that names the batches it holds, and later reads skip those.
 
-Only narrow rows are shuffled: changes are counted inside tasks before they move. Cases: null keys are
-groups of their own; repeated rows count each time (the state is a bag); null counts are zero; groups
+One writer applies batches at a time; readers may read meanwhile. Only narrow rows are shuffled: changes
+are counted inside tasks before they move. Cases: null keys are groups of their own; very long texts are
+counted whole; repeated rows count each time (the state is a bag); null counts are zero; groups
 whose totals are all zero stay out; an empty batch commits and adds nothing; other columns are not read.
 """
 
@@ -87,25 +88,30 @@ class Rollup:
         delta.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
         return True
 
-    def totals(self) -> DataFrame:
+    def _open(self) -> list[str]:
+        """Committed batches that the base doesn't hold."""
         held = set(self._in_base())
-        paths = [f"{self.root}/deltas/batch={b}" for b in self._children("deltas", "batch") if b not in held]
-        parts = [self.spark.read.schema(_SCHEMA).parquet(p) for p in paths]
-        if base := self._base():
-            parts.append(self.spark.read.schema(_SCHEMA).parquet(f"{base}/totals"))
-        every = self.spark.createDataFrame([], _SCHEMA)
-        for p in parts:
-            every = every.unionByName(p)
-        out = every.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return [b for b in self._children("deltas", "batch") if b not in held]
+
+    def _sum(self, batches: list[str], base: str | None) -> DataFrame:
+        """Totals of the base and of the named batches: one read of all their folders."""
+        paths = [f"{self.root}/deltas/batch={b}" for b in batches] + ([f"{base}/totals"] if base else [])
+        rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
+        out = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return out.filter("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        return self._sum(self._open(), self._base())
+
     def compact(self) -> None:
-        """Writes the sum of all committed deltas; the version's marker comes last."""
-        versions = self._children("base", "version")
-        version = max(map(int, versions), default=0) + 1
-        path, batches = f"{self.root}/base/version={version}", self.committed()
-        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").write.mode("overwrite").parquet(f"{path}/batches")
+        """Writes the sum of the deltas committed by now; the version's marker comes last.
+
+        Base and batches are listed once: what is summed is what the version names, whatever is committed meanwhile."""
+        base, batches, held = self._base(), self._open(), self._in_base()
+        version = max(map(int, self._children("base", "version")), default=0) + 1
+        path = f"{self.root}/base/version={version}"
+        self._sum(batches, base).write.mode("overwrite").parquet(f"{path}/totals")
+        self.spark.createDataFrame([(b,) for b in [*held, *batches]], "batch string").write.mode("overwrite").parquet(f"{path}/batches")
         fs, p = self._fs(f"{path}/_SUCCESS")
         fs.create(p).close()
 
