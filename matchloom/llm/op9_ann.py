@@ -12,11 +12,16 @@ The radius is learned on the sample: the smallest at which ``RECALL`` of the sam
 lie within it. A shard that holds fewer than k codes within r widens the radius for that query, so a
 query always gets k rows if there are so many.
 
-Scale: rows are dealt to shards by Spark; the queries come in blocks of at most ``BLOCK`` vectors, and
-each block is sent to all shards. A shard returns k rows for each query. Cases: vectors that are null,
-empty, of another length than most, zero, or with null or non-finite parts take no part; equal
-vectors tie by the smaller id; repeated ids are separate candidates, but a query skips rows with its
-own id; an empty table gives no rows.
+Scale: rows are dealt evenly to shards of about ``SHARD`` vectors and queries to blocks of at most
+``BLOCK``; a task holds one shard against one block, so its memory is bounded, and no vector but the
+fit's sample passes through the driver. A task returns k rows for each query. Recall is below one where
+neighbours lie beyond the radius; it is measured against brute force in the tests.
+
+Cases: vectors that are null, empty, of another length than most, zero, or with null or non-finite
+parts take no part; equal vectors tie by the smaller id; repeated ids are separate candidates, but a
+query skips rows with its own id; a query row that repeats id and vector is searched once, one that
+repeats the id with another vector is a query of its own and gives its own k rows; an empty table gives
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ BITS = 256
 #: Vectors of the sample that rotations and radius are learned on, and of its queries.
 SAMPLE, PROBES = 4096, 256
 RECALL = 0.985
-#: Queries sent to the shards at once.
-BLOCK = 8192
+#: Vectors of a shard and queries of a block that one task holds, about.
+SHARD, BLOCK = 65_536, 8192
 _MASKS = [np.array([m for m in range(256) if m.bit_count() <= r], np.uint8) for r in range(9)]
 
 
@@ -122,38 +127,40 @@ class Index:
         return at[np.bitwise_count(self.codes[at] ^ code).sum(axis=1) <= radius]
 
 
-def _search_task(shared, k: int):
-    def run(batches):
-        ids, parts = [], []
-        for b in batches:
-            ids.append(b.column(0).to_numpy())
-            parts.append(_matrix(b.column(1)))
-        if not ids or not sum(map(len, ids)):
-            return
-        ids, x = np.concatenate(ids), np.vstack([p for p in parts if len(p)])
-        unit = _unit(x)
-        model, q_ids, q = shared.value
-        index, q_unit = Index(encode(model, unit)), _unit(q)
-        q_codes = encode(model, q_unit)
-        out = ([], [], [])
-        for i in range(len(q_ids)):
-            radius = model["radius"]
-            while True:
-                at = index.within(q_codes[i], radius)
-                own = at[ids[at] != q_ids[i]]
-                if len(own) >= k or radius >= BITS:
-                    break
-                radius = min(BITS, radius + BITS // 16)
-            score = unit[own] @ q_unit[i]
-            if len(own) > k:  # ties at the edge stay for the order by id
-                own_cut = np.partition(score, len(score) - k)[len(score) - k]
-                own = own[score >= own_cut - 1e-9]
-            score = (unit[own] * q_unit[i]).sum(axis=1)  # the same for equal rows wherever they stand
-            best = np.lexsort((ids[own], -score))[:k]
-            out[0].append(np.full(len(best), q_ids[i]))
-            out[1].append(ids[own[best]])
-            out[2].append(score[best])
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+def nearest(model: dict, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int):
+    """For each query its place, and ids and scores of the nearest k rows that the index finds."""
+    unit = _unit(x)
+    index, q_unit = Index(encode(model, unit)), _unit(q)
+    q_codes = encode(model, q_unit)
+    for i in range(len(q_ids)):
+        radius = model["radius"]
+        while True:
+            at = index.within(q_codes[i], radius)
+            own = at[ids[at] != q_ids[i]]
+            if len(own) >= k or radius >= BITS:
+                break
+            radius = min(BITS, radius + BITS // 16)
+        score = unit[own] @ q_unit[i]
+        if len(own) > k:  # ties at the edge stay for the order by id
+            edge = np.partition(score, len(score) - k)[len(score) - k]
+            own = own[score >= edge - 1e-9]
+        score = (unit[own] * q_unit[i]).sum(axis=1)  # the same for equal rows wherever they stand
+        best = np.lexsort((ids[own], -score))[:k]
+        yield i, ids[own[best]], score[best]
+
+
+def _tile_task(shared, k: int):
+    """One shard against one block of queries."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        if rows.num_rows and queries.num_rows:
+            keys, q_ids = queries["query"].to_numpy(), queries["query_id"].to_numpy()
+            for i, ids, score in nearest(shared.value, rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), q_ids, _matrix(queries["embedding"]), k):
+                for c, x in zip(out, (np.full(len(ids), keys[i]), np.full(len(ids), q_ids[i]), ids, score), strict=True):
+                    c.append(x)
+        kinds = (np.int64, np.int64, np.int64, np.float64)
+        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in zip(out, kinds, strict=True)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
@@ -162,24 +169,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, model: dict | Non
     """(query_id, rank, vec_id, score): the k nearest rows found for each row of ``queries``."""
     spark = vectors.sparkSession
     v = materialize(usable(vectors), "vectors")
+    q = materialize(usable(queries).dropDuplicates(["vec_id", "embedding"]).withColumn("query", F.monotonically_increasing_id()), "queries")
     model = model or fit(v)
-    schema = "query_id long, vec_id long, score double"
     if model is None:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    shards = v.repartition(n_parts(spark), F.xxhash64("vec_id", "embedding"))
-    q = materialize(usable(queries).withColumn("block", F.lit(0)), "queries")
-    blocks = max(1, -(-q.count() // BLOCK))
-    found = None
-    for i in range(blocks):
-        mine = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select("vec_id", "embedding").toArrow()
-        if not mine.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((model, mine["vec_id"].to_numpy(), _matrix(mine["embedding"])))
-        part = shards.mapInArrow(_search_task(shared, k), schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards, blocks = max(n_parts(spark), -(-v.count() // SHARD)), max(1, -(-q.count() // BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # rows are dealt by their place in the written table, so a vector that repeats meets no single task
+    rows = v.select("vec_id", "embedding", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(shards)).cast("int").alias("shard"), numbers(blocks).alias("block"))
+    asked = q.select(F.col("vec_id").alias("query_id"), "query", "embedding", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), numbers(shards).alias("shard"))
+    shared = spark.sparkContext.broadcast(model)
+    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_tile_task(shared, k), "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -187,8 +188,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     return search(v, v.filter(F.col("vec_id") % EVERY == 0))
 
-
-SQL = f"""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= {K}"""
