@@ -2,23 +2,26 @@
 
 Document evidence: shares of a text (symbols, capitals, digits, repeated words and lines, words a
 line, mean word length) feed a logistic regression that Spark ML fits on at most about
-``TRAINING_DOCS`` labelled documents, drawn by a hash of the id. Site evidence: labelled documents and
-the classifier's probabilities are summed by host and path in grouped aggregations. A Beta prior at
-each level, its strength fitted by moments from the spread of the sites, shrinks paths toward their
-host and hosts toward all documents, so sparse sites stay near the global rate. The posterior of a
-document adds its own log-odds to its path's log-odds over the global ones; the site's share in it is
-bounded by ``SITE_LIMIT``, so that a bad site can tip only documents that are doubtful themselves.
-Rejected: posterior under ``MIN_QUALITY``.
+``TRAINING_DOCS`` labelled documents, drawn by a hash of the id. Site evidence: every document's
+probability, at half weight, and every label, whole, are summed by host and path in grouped
+aggregations. A Beta prior at each level, its strength fitted by moments from the spread of the sites,
+shrinks paths toward their host and hosts toward all documents, so sparse sites stay near the global
+rate. A document's own probability is taken out of its site's sums first (its label, where it has one,
+stays: that is knowledge of the site). The posterior of a document adds its own log-odds to its path's
+log-odds over the global ones; the site's share in it is bounded by ``SITE_LIMIT``, so that a bad site
+can tip only documents that are doubtful themselves. Rejected: posterior under ``MIN_QUALITY``, where
+losing a good document costs ``COST`` times as much as keeping a bad one.
 
 Host and path are expressions of the caller's table; for ``documents`` they are source and language.
-Site tables have a row for each path; they are joined as broadcasts up to ``MAX_SITES`` rows, beyond
-that by salted keys (``SALTS`` rows for each path), so one site's documents spread over tasks. Texts
-are not shuffled while broadcasts hold.
+Texts are scanned once and not shuffled: rows with their evidence are written and read again. Sites that
+hold a thousandth of the documents or more are joined by broadcast (a thousand at most), the others by
+a shuffle.
 
 Cases: a null or empty text has all shares zero and, like every text under five words, no evidence
-of its own (it is kept); null hosts and paths are sites of their own; labels without a document,
-repeated labels (the smaller counts) and rows without a label are fine; with no label, or one class
-only, everything is kept. All columns of ``docs`` pass through, whatever their names.
+of its own (it is kept); very long texts are scanned whole; null hosts and paths are sites of their own;
+repeated rows and ties get equal results; labels without a document, repeated labels (the smaller
+counts) and rows without a label are fine; with no label, or one class only, everything is kept; an
+empty table gives no rows. All columns of ``docs`` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import free_name, materialize, small_batches, table, uniform
+from matchloom.llm.common import free_name, materialize, small_batches, table, uniform, with_hot_keys
 from matchloom.llm.textscan import Scan, base_counts, slices
 
 TRAINING_DOCS = 20_000
-MIN_QUALITY = 0.2
+COST = 4.0
+MIN_QUALITY = 1 / (1 + COST)
 SITE_LIMIT = 2.0
-MAX_SITES, SALTS = 200_000, 16
+#: Weight of an unlabelled document's probability beside a label.
+SOFT = 0.5
 FEATURES = ("symbols", "capitals", "digits", "repeats", "dup_lines", "line_words", "word_length", "marks")
 
 
@@ -111,29 +116,36 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return min(1000.0, max(2.0, within / between))
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, site): log-odds of a path over the global ones, from rows (host, path, quality, p).
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, dict]:
+    """(host, path, docs, good, n, host_good, host_n) of each site, and the numbers that hold for all.
 
-    A labelled row counts as one, another by its probability at half weight."""
-    w = F.when(F.col("quality").isNotNull(), 1.0).otherwise(0.5)
-    good = F.coalesce(F.col("quality").cast("double"), F.col("p"))
-    paths = materialize(evidence.groupBy("host", "path").agg(F.sum(w * good).alias("good"), F.sum(w).alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    ``evidence``: rows (host, path, quality, p). Each counts by its probability ``p`` at weight SOFT, a label as one more."""
+    known = F.col("quality").isNotNull()
+    good = SOFT * F.col("p") + F.when(known, F.col("quality").cast("double")).otherwise(0.0)
+    paths = materialize(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("docs"), F.sum(good).alias("good"), F.sum(SOFT + known.cast("double")).alias("n")), "paths")
+    hosts = materialize(paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"), F.count(F.lit(1)).alias("paths")), "hosts")
+    total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
     mean = min(1 - 1e-6, max(1e-6, total["good"] / total["n"])) if total["n"] else 0.5
-    up, low = _strength(hosts, mean), _strength(paths, mean)
-    host_rate = hosts.select(F.col("host").alias("h"), ((F.col("good") + up * mean) / (F.col("n") + up)).alias("host_rate"))
-    t = paths.join(host_rate, F.col("host").eqNullSafe(F.col("h")))
-    rate = (F.col("good") + low * F.col("host_rate")) / (F.col("n") + low)
-    odds = lambda p: F.log(p / (1 - p))
+    up, low = _strength(hosts.selectExpr("host_good AS good", "host_n AS n"), mean), _strength(paths, mean)
+    return with_hot_keys(paths, hosts, ["host"], "paths"), {"mean": mean, "up": up, "low": low}
+
+
+def site_odds(own: Column, numbers: dict) -> Column:
+    """Log-odds of a row's path over the global ones, from the columns of ``site_sums`` less the row's own probability."""
+    mean, up, low = numbers["mean"], numbers["up"], numbers["low"]
+    less = lambda c: F.greatest(F.col(c) - SOFT * own, F.lit(0.0))
+    count = lambda c: F.greatest(F.col(c) - SOFT, F.lit(0.0))
+    host = (less("host_good") + up * mean) / (count("host_n") + up)
+    rate = (less("good") + low * host) / (count("n") + low)
     rate = F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
-    site = odds(rate) - math.log(mean / (1 - mean))
-    return t.select("host", "path", F.least(F.greatest(site, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT)).alias("site"))
+    site = F.log(rate / (1 - rate)) - math.log(mean / (1 - mean))
+    return F.least(F.greatest(site, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, max_docs: int = TRAINING_DOCS) -> tuple[DataFrame, str]:
-    """All rows and columns of ``docs`` with a posterior probability of good quality, and that column's name."""
-    names = {k: free_name(docs, f"_{k}") for k in ("x", "n", "host", "path", "z", "posterior")}
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, max_docs: int = TRAINING_DOCS, carry: list[str] | None = None) -> tuple[DataFrame, str]:
+    """All rows of ``docs`` with a posterior probability of good quality, and that column's name; columns: ``carry``, by default all."""
+    names = {k: free_name(docs, f"_{k}") for k in ("x", "n", "posterior")}
+    carry = docs.columns if carry is None else carry
     host, path = host if host is not None else F.col("source"), path if path is not None else F.col("lang")
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, max_docs / max(known.count(), 1))
@@ -143,23 +155,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     rows = ids.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     weights = fit(materialize(with_features(rows.select("text", "quality"), "x", "n").filter("n >= 5").select("x", "quality"), "training"))
     if weights is None:
-        return docs.withColumn(names["posterior"], F.lit(1.0)), names["posterior"]
+        return docs.select(*carry, F.lit(1.0).alias(names["posterior"])), names["posterior"]
     t = with_features(docs, names["x"], names["n"])
-    t = t.withColumn(names["z"], log_odds(F.col(names["x"]), F.col(names["n"]), weights)).withColumn(names["host"], host).withColumn(names["path"], path).drop(names["x"])
-    narrow = materialize(t.select(F.col("doc_id"), F.col(names["host"]).alias("host"), F.col(names["path"]).alias("path"), F.col(names["z"]).alias("z")), "evidence")
-    evidence = narrow.join(known, F.col("doc_id") == F.col("label_id"), "left").select("host", "path", "quality", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
-    sites = materialize(site_posteriors(evidence), "sites")
-    sites = sites.select(F.col("host").alias(names["host"] + "2"), F.col("path").alias(names["path"] + "2"), F.col("site").alias(names["z"] + "2"))
-    same = F.col(names["host"]).eqNullSafe(F.col(names["host"] + "2")) & F.col(names["path"]).eqNullSafe(F.col(names["path"] + "2"))
-    if sites.count() <= MAX_SITES:
-        joined = t.join(F.broadcast(sites), same, "left")
-    else:
-        salt = names["n"] + "_salt"
-        spread = sites.withColumn(salt + "2", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = t.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(spread, same & (F.col(salt) == F.col(salt + "2")), "left").drop(salt, salt + "2")
-    z = F.col(names["z"]) + F.when(F.col(names["n"]) >= 5, F.coalesce(F.col(names["z"] + "2"), F.lit(0.0))).otherwise(F.lit(0.0))
-    out = joined.withColumn(names["posterior"], 1 / (1 + F.exp(-z)))
-    return out.select(*docs.columns, names["posterior"]), names["posterior"]
+    row = F.struct(*[F.col(c) for c in carry]).alias("row")
+    t = materialize(t.select(row, "doc_id", host.alias("host"), path.alias("path"), log_odds(F.col(names["x"]), F.col(names["n"]), weights).alias("z"), (F.col(names["n"]) >= 5).alias("judged")), "evidence")
+    p = 1 / (1 + F.exp(-F.col("z")))
+    evidence = t.select("doc_id", "host", "path", p.alias("p")).join(known, F.col("doc_id") == F.col("label_id"), "left")
+    sites, numbers = site_sums(evidence.select("host", "path", "quality", "p"))
+    t = with_hot_keys(t, materialize(sites, "sites"), ["host", "path"], "docs")
+    z = F.col("z") + F.when(F.col("judged"), site_odds(p, numbers)).otherwise(F.lit(0.0))
+    return t.select("row.*", (1 / (1 + F.exp(-z))).alias(names["posterior"])), names["posterior"]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_QUALITY) -> DataFrame:
@@ -170,5 +175,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_QUALI
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    t, p = classify(docs, table(spark, sf_dir, "labels"))
+    t, p = classify(docs, table(spark, sf_dir, "labels"), carry=["doc_id", "source", "lang"])
     return t.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), F.round(p, 6).alias("quality"), (F.col(p) >= MIN_QUALITY).alias("kept"))
