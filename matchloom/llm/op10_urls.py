@@ -1,17 +1,23 @@
 """Operator 10, URL filters: allow and block rules, then a path-template tree of each host.
 
-Everything is DataFrame operations. A page's path is cut into segments, and each host's tree is built
-level by level. At each node a child segment is variable if it looks like a number or a code, or if
-the node has many children for its pages; variable segments become ``*`` and are counted together,
-so a template's rows stay few. Branches of one parent whose labelled purity doesn't differ by a
-two-proportion test from the parent's other branches are merged: they share a purity. A template's
-smoothed purity shrinks toward its parent's, the host's toward all pages'; one without a label has
-that of its deepest ancestor with one. A template below ``MIN_PURITY`` is blocked.
-
-Counts are aggregated by (host, template) before any join, so a hot host costs a row for each of its
-templates and task. The template table is joined by key; Spark broadcasts it only under its own size
-limit. Cases: null urls or urls without "://" have an empty host and path and count as one host;
-repeated rows and ties get equal verdicts; without labels all pages are allowed by the method.
+Everything is DataFrame operations. A page's path is cut into segments, of any number; segments that look
+like a number or a code become ``*`` at once. Distinct (host, path) shapes then grow each host's tree level
+by level: where a node has many children for its pages, they all become ``*`` and are counted together. A
+node with fewer than ``MANY`` shapes can have no such node below, so its shapes keep the rest of their
+segments and leave the loop; rounds are as many as the deepest path that ``MANY`` shapes share.
+
+A template's purity is the share of good labelled pages, smoothed from the root down: each level shrinks
+toward the one above, the host toward all pages, so a template without a label has the purity of its
+deepest labelled ancestor. Branches of one parent that are statistically alike are merged and share their
+counts: those that don't differ from their parent's rate by a two-proportion test, and those that differ to
+the same side and stand in the same tenth of purity. A template below ``MIN_PURITY`` is blocked.
+
+A hot host, node or path doesn't meet in one task: what a table is joined with is aggregated first, keys
+with a thousandth of the rows or more (a thousand at most) are joined by broadcast and only the others by a
+shuffle. Cases: null urls or urls without "://" have an empty host and path and count as one host; very
+long urls and paths are taken whole; repeated rows and ties get equal verdicts; a null or empty host or
+path is a key as any; without labels all pages are allowed by the method; an empty table gives no rows;
+other columns than page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, table
+from matchloom.llm.common import materialize, table, with_hot_keys
 
 #: Host, path start, verdict.
 RULES = (
@@ -29,7 +35,6 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-DEPTH = 4
 #: A node with this many children, and so many for each page, has variable children.
 MANY, SHARE = 8, 0.5
 #: Prior pages at each level of smoothing, the merging test's z, and the purity below which templates are blocked.
@@ -60,64 +65,76 @@ def _looks_variable(seg: Column) -> Column:
     return seg.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$|^[0-9a-fA-F-]{12,}$|^[^0-9]*[0-9]{4,}[^/]*$")
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, path) rows get ``t1`` to ``t<depth>``: the template down to each level, host first.
-
-    Levels are decided one after another, from pages already generalised above."""
+def shapes(urls: DataFrame) -> DataFrame:
+    """(host, path) rows get ``shape``: the path's segments, those that look variable as ``*``."""
     segs = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = urls.withColumn("_segs", segs).withColumn("t0", F.col("host"))
-    for k in range(1, depth + 1):
-        seg = F.get("_segs", F.lit(k - 1)) if k < depth else F.when(F.size("_segs") >= depth, F.array_join(F.slice("_segs", depth, 1 << 20), "/"))
-        rows = rows.withColumn("_seg", F.when(seg.isNull(), None).when(_looks_variable(seg), F.lit("*")).otherwise(seg))
-        children = rows.filter("_seg is not null").groupBy(f"t{k - 1}", "_seg").agg(F.count(F.lit(1)).alias("n"))
-        wide = children.groupBy(f"t{k - 1}").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pages")).filter((F.col("kids") >= MANY) & (F.col("kids") >= SHARE * F.col("pages"))).select(F.col(f"t{k - 1}").alias("_wide"))
-        rows = rows.join(wide, F.col(f"t{k - 1}") == F.col("_wide"), "left")
-        step = F.when(F.col("_wide").isNotNull(), F.lit("*")).otherwise(F.col("_seg"))
-        rows = rows.withColumn(f"t{k}", F.when(F.col("_seg").isNull(), F.col(f"t{k - 1}")).otherwise(F.concat(f"t{k - 1}", F.lit("/"), step))).drop("_seg", "_wide")
-    return rows.drop("_segs")
-
-
-def purities(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(template, purity): smoothed share of good pages, from rows (t0..t<depth>, quality)."""
-    good = F.sum(F.col("quality").cast("double")).alias("good")
-    counts = materialize(labelled.filter("quality is not null").groupBy(*[f"t{k}" for k in range(depth + 1)]).agg(good, F.count(F.lit(1)).cast("double").alias("n")), "templates")
-    total = counts.agg(F.sum("good").alias("g"), F.sum("n").alias("m"))
-    upper = counts.groupBy("t0").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).crossJoin(F.broadcast(total))  # one row
-    level = upper.select(F.col("t0").alias("template"), ((F.col("good") + PRIOR * F.col("g") / F.col("m")) / (F.col("n") + PRIOR)).alias("purity"))
-    out = level
-    for k in range(1, depth + 1):
-        own = counts.filter(F.col(f"t{k}") != F.col(f"t{k - 1}")).groupBy(F.col(f"t{k - 1}").alias("parent"), F.col(f"t{k}").alias("template")).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-        all_ = own.groupBy("parent").agg(F.sum("good").alias("pg"), F.sum("n").alias("pn"))
-        t = own.join(all_, "parent").withColumn("rest", F.col("pn") - F.col("n"))
-        p, q, pool = F.col("good") / F.col("n"), F.try_divide(F.col("pg") - F.col("good"), F.col("rest")), F.col("pg") / F.col("pn")
-        differs = F.coalesce(F.abs(p - q) > Z * F.sqrt(pool * (1 - pool) * (1 / F.col("n") + F.try_divide(F.lit(1.0), F.col("rest")))), F.lit(False))
-        t = t.withColumn("apart", differs)
-        merged = t.filter("not apart").groupBy("parent").agg(F.sum("good").alias("mg"), F.sum("n").alias("mn"))
-        t = t.join(merged, "parent", "left").join(level.withColumnRenamed("template", "parent"), "parent")
-        g, n = F.when(F.col("apart"), F.col("good")).otherwise(F.col("mg")), F.when(F.col("apart"), F.col("n")).otherwise(F.col("mn"))
-        now = t.select("template", ((g + PRIOR * F.col("purity")) / (n + PRIOR)).alias("purity"))
-        level = materialize(now.unionByName(level), "purity") if k < depth else now.unionByName(level)
-        out = level
-    return out.groupBy("template").agg(F.min("purity").alias("purity"))
+    return urls.withColumn("shape", F.array_join(F.transform(segs, lambda x: F.when(_looks_variable(x), F.lit("*")).otherwise(x)), "/"))
+
+
+def templates(each: DataFrame) -> DataFrame:
+    """(host, shape, n) rows, distinct, get ``template``: host and segments, the variable ones as ``*``."""
+    rows = each.withColumn("node", F.col("host")).withColumn("left", F.filter(F.split("shape", "/"), lambda x: x != ""))
+    out = rows.filter(F.size("left") == 0).select(*each.columns, F.col("node").alias("template"))
+    rows = rows.filter(F.size("left") > 0)
+    while not rows.isEmpty():
+        rows = materialize(rows, "level")
+        kids = rows.groupBy("node", F.get("left", F.lit(0)).alias("seg")).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("rows"))
+        stats = kids.groupBy("node").agg(F.count(F.lit(1)).alias("kids"), F.sum("pages").alias("pages"), F.sum("rows").alias("rows"))
+        stats = stats.select("node", ((F.col("kids") >= MANY) & (F.col("kids") >= SHARE * F.col("pages"))).alias("wide"), (F.col("rows") < MANY).alias("small"), "rows")
+        t = materialize(with_hot_keys(rows, materialize(stats, "nodes"), ["node"], "rows"), "level")
+        whole = t.filter("small").withColumn("template", F.concat_ws("/", "node", F.array_join("left", "/")))
+        t = t.filter("not small").withColumn("node", F.concat_ws("/", "node", F.when(F.col("wide"), F.lit("*")).otherwise(F.get("left", F.lit(0))))).withColumn("left", F.slice("left", 2, 1 << 30))
+        ended = t.filter(F.size("left") == 0).withColumn("template", F.col("node"))
+        out = out.unionByName(whole.select(*each.columns, "template")).unionByName(ended.select(*each.columns, "template"))
+        rows = t.filter(F.size("left") > 0).drop("wide", "small")
+    return out
+
+
+def purities(leaves: DataFrame) -> DataFrame:
+    """(template, purity) from distinct rows (template, host, good, n): labelled pages of each, good ones among them."""
+    below = F.filter(F.split(F.expr("substring(template, length(host) + 2)"), "/"), lambda x: x != "")
+    depth = F.sequence(F.lit(0), F.size("segs"))
+    node = lambda k: F.concat_ws("/", "host", F.when(k > 0, F.array_join(F.slice("segs", 1, k), "/")))
+    t = leaves.withColumn("segs", below).select("template", "host", "good", "n", F.explode(F.transform(depth, lambda k: F.struct(k.alias("level"), node(k).alias("node"), F.when(k > 0, node(k - 1)).alias("parent")))).alias("x"))
+    t = materialize(t.select("template", "good", "n", "x.level", "x.node", "x.parent"), "lines")
+    nodes = t.groupBy("level", "node", "parent").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("under"))
+    nodes = materialize(nodes.withColumn("known", (F.col("n") > 0).cast("int")), "nodes")
+    every = nodes.filter("level = 0").agg(F.sum("good").alias("g"), F.sum("n").alias("m")).first()
+    start = every["g"] / every["m"] if every["m"] else 1.0
+    labelled = nodes.filter("n > 0 and parent is not null")
+    above = labelled.groupBy("level", "parent").agg(F.sum("good").alias("pg"), F.sum("n").alias("pn"), F.count(F.lit(1)).alias("sons"))
+    s = with_hot_keys(labelled.select("level", "node", "parent", "good", "n"), above, ["level", "parent"], "sons")
+    rate, all_ = F.col("good") / F.col("n"), F.col("pg") / F.col("pn")
+    rest = F.col("pn") - F.col("n")
+    other = F.try_divide(F.col("pg") - F.col("good"), rest)
+    apart = F.coalesce(F.abs(rate - other) > Z * F.sqrt(all_ * (1 - all_) * (1 / F.col("n") + F.try_divide(F.lit(1.0), rest))), F.lit(False))
+    kind = F.when(~apart, F.lit(-1)).otherwise(F.floor(F.least(rate, F.lit(0.999)) * 10) + F.when(rate > other, 100).otherwise(0)).cast("int")
+    s = materialize(s.select("level", "node", "parent", "good", "n", kind.alias("kind")), "kinds")
+    merged = s.groupBy("level", "parent", "kind").agg(F.sum("good").alias("mg"), F.sum("n").alias("mn"), F.count(F.lit(1)).alias("sons"))
+    own = with_hot_keys(s.select("level", "node", "parent", "kind"), materialize(merged, "merged"), ["level", "parent", "kind"], "sons").select("level", "node", "mg", "mn")
+    stats = nodes.select("level", "node", "under", "good", "n").join(own, ["level", "node"], "left")
+    stats = stats.select("level", "node", "under", F.coalesce("mg", "good").alias("good"), F.coalesce("mn", "n").alias("n"))
+    found = with_hot_keys(t.select("template", "level", "node"), materialize(stats, "stats"), ["level", "node"], "under")
+    line = found.groupBy("template").agg(F.sort_array(F.collect_list(F.struct("level", "good", "n"))).alias("line"))
+    fold = F.aggregate("line", F.lit(float(start)), lambda p, x: (x["good"] + F.lit(PRIOR) * p) / (x["n"] + F.lit(PRIOR)))
+    return line.select("template", fold.alias("purity"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_purity: float = MIN_PURITY) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity); ``labels`` has (page_id, quality)."""
-    url = F.col("url")
-    host, path = parts(url)
-    own = match_rules(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
-    tree = materialize(templates(own), "urls")
-    known = labels.filter("page_id is not null").groupBy("page_id").agg(F.min("quality").alias("quality"))
-    table_ = purities(tree.join(known, "page_id"))
-    # a template with no label of its own takes the purity of its deepest ancestor that has one; a row for each template
-    levels = [f"t{k}" for k in range(DEPTH, -1, -1)]
-    own = tree.select(*levels).distinct()  # a template has one ancestor at each level
-    for t in levels:
-        own = own.join(table_.select(F.col("template").alias(t), F.col("purity").alias(f"_{t}")), t, "left")
-    out = tree.join(own.select(levels[0], F.coalesce(*[f"_{t}" for t in levels]).alias("purity")), levels[0])
-    low = F.coalesce(F.col("purity") < min_purity, F.lit(False))
-    verdict = F.coalesce("rule_verdict", F.when(low, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col(levels[0]).alias("template"), "purity")
+    host, path = parts(F.col("url"))
+    known = labels.filter("page_id is not null and quality is not null").groupBy("page_id").agg(F.min("quality").cast("double").alias("quality"))
+    own = shapes(match_rules(pages.select("page_id", host.alias("host"), path.alias("path")), rules))
+    own = materialize(own.join(known, "page_id", "left"), "urls")
+    each = own.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("quality"), F.lit(0.0)).alias("good"), F.count("quality").cast("double").alias("m"))
+    tree = materialize(templates(materialize(each, "shapes")), "templates")
+    leaves = materialize(tree.groupBy("template", "host").agg(F.sum("good").alias("good"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("shapes")), "leaves")
+    purity = purities(leaves.select("template", "host", "good", "n"))
+    table_ = materialize(leaves.select("template", "shapes").join(purity, "template"), "purities")
+    judged = materialize(with_hot_keys(tree.select("host", "shape", "n", "template"), table_, ["template"], "shapes"), "judged")
+    out = with_hot_keys(own.drop("quality"), judged, ["host", "shape"], "n")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("purity") < min_purity, F.lit("block")).otherwise(F.lit("allow")))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
