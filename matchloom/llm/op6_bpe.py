@@ -7,8 +7,8 @@ two tokens' edges alone. Appending bytes only adds entries, and after an edit on
 edit on are computed again. Pieces come from the vocabulary's split pattern; ``append`` and ``edit``
 split again from the last piece before the change and stop where old and new pieces agree.
 
-Spark deals the rows; each task encodes whole texts and keeps the codes of recent pieces (a bounded
-memory). Cases: null counts as an empty text (no tokens); repeated rows get equal results; very long
+Spark deals the rows; each task encodes whole texts and keeps the codes of recent pieces (memory bounded
+in bytes, ``REMEMBERED``). Cases: null counts as an empty text (no tokens); repeated rows get equal results; very long
 texts and pieces are encoded whole, in time proportional to their length.
 """
 
@@ -27,8 +27,8 @@ from matchloom.llm.common import small_batches, table
 from matchloom.llm.textscan import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces whose codes a task remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Bytes of pieces and codes that a worker remembers, about, in each of two generations, and pairs of tokens.
+REMEMBERED, PAIRS = 40_000_000, 250_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -113,7 +113,7 @@ class Vocabulary:
                 i -= 1
             else:
                 j -= 1
-        if len(self._pairs) > 600_000:
+        if len(self._pairs) > PAIRS:
             self._pairs.clear()
         self._pairs[key] = ok
         return ok
@@ -228,45 +228,58 @@ def load(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
-@lru_cache(maxsize=2)
-def _held(path: str, pattern: str) -> tuple[Vocabulary, dict, dict]:
-    return load(path, pattern), {}, {}
+class Codes:
+    """Ids of recent pieces, as text, in two generations of bounded size. Each piece's ids are decoded when it is learnt, and must give its bytes."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.new, self.old, self.size = v, {}, {}, 0
+
+    def _keep(self, p: str, c: str) -> None:
+        self.new[p] = c
+        self.size += 200 + len(p) + len(c)
+
+    def learn(self, pieces: set[str]) -> dict:
+        """A table with the codes of all pieces."""
+        if self.size >= REMEMBERED:  # codes not used since the last turn go
+            self.new, self.old, self.size = {}, self.new, 0
+        fresh = []
+        for p in pieces:
+            if p not in self.new:
+                if (c := self.old.get(p)) is not None:
+                    self._keep(p, c)
+                else:
+                    fresh.append(p.encode())
+        fresh.sort()
+        for b, ids in zip(fresh, self.v.encode_sorted(fresh), strict=True):
+            if self.v.decode(ids) != b:
+                raise ValueError("the vocabulary doesn't decode what it encodes")
+            self._keep(b.decode(), " ".join(map(str, ids)))
+        return self.new
+
+
+@lru_cache(maxsize=1)
+def _held(path: str, pattern: str) -> tuple[Vocabulary, Codes]:
+    v = load(path, pattern)
+    return v, Codes(v)
 
 
 def _task(path: str, pattern: str):
     def run(batches):
-        v, new, old = _held(path, pattern)
+        v, codes = _held(path, pattern)
         split = v.split.findall
-
-        def learn(pieces: set[str]) -> None:
-            """Codes of all pieces: (ids as text, number of ids, decoded bytes)."""
-            fresh = []
-            for p in pieces:
-                if p not in new:
-                    if (c := old.get(p)) is not None:
-                        new[p] = c
-                    else:
-                        fresh.append(p.encode())
-            fresh.sort()
-            for b, ids in zip(fresh, v.encode_sorted(fresh), strict=True):
-                new[b.decode()] = (" ".join(map(str, ids)), len(ids), v.decode(ids))
-
         for whole in batches:
             for b in slices(whole, "text"):
-                if len(new) >= REMEMBERED:  # codes not used since the last turn go
-                    old.clear()
-                    old.update(new)
-                    new.clear()
                 every = [split(t.as_py() or "") for t in b.column(1)]
-                learn(set().union(*every))
+                new = codes.learn(set().union(*every))
                 n_tokens, ids_sha, decoded_sha = [], [], []
                 for pieces in every:
                     ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
                     for i in range(0, len(pieces), 50_000):
-                        got = [new[p] for p in pieces[i : i + 50_000]]
-                        ids.update((b" " if i else b"") + " ".join([c[0] for c in got]).encode())
-                        decoded.update(b"".join([c[2] for c in got]))
-                        n += sum([c[1] for c in got])
+                        part = pieces[i : i + 50_000]
+                        got = " ".join([new[p] for p in part])
+                        ids.update((b" " if i else b"") + got.encode())
+                        decoded.update("".join(part).encode())
+                        n += got.count(" ") + 1
                     n_tokens.append(n)
                     ids_sha.append(ids.hexdigest())
                     decoded_sha.append(decoded.hexdigest())

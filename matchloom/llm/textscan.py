@@ -56,7 +56,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def slices(batch: pa.RecordBatch, col: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, col: str = "text", limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with at most about ``limit`` bytes of text each (one row at least)."""
     i = batch.schema.get_field_index(col)
     n = batch.num_rows
