@@ -48,7 +48,7 @@ PERCENT = 85
 COUNTERS, MARKS = 1 << 18, 1 << 25
 STAR_ROUNDS = 3
 #: Sets of one pivot that one task compares, and members of one shingle that one task holds against the others.
-DEAL, BLOCK = 512, 4096
+DEAL, BLOCK = 128, 4096
 
 
 def shingle_sets(col: pa.Array, k: int = K) -> list[np.ndarray]:
