@@ -1,58 +1,5 @@
-"""A training corpus from ``documents``: five stages, each over all that the one before kept.
+"""The training corpus pipeline, as its caller imports it."""
 
-Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as
-the next one's ``docs``. All but the last return the columns of documents."""
+from matchloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from matchloom.llm import op3_classifier, op5_mixing, op6_bpe, op7_pii, op8_jaccard
-from matchloom.llm.common import materialize, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return op3_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by n-gram similarity stays."""
-    return op8_jaccard.keep_one(docs)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
-    return op7_pii.redact(docs, op7_pii.train(docs))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics meet their target weights."""
-    return op5_mixing.mix(docs)[0].select(*docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, as counts and digests."""
-    return op6_bpe.digest(docs)
-
-
-STAGES: list[tuple[str, Callable]] = [
-    ("quality_classifier", quality),
-    ("ngram_jaccard", near_duplicates),
-    ("pii", personal_data),
-    ("mixing", mixing),
-    ("byte_bpe", tokens),
-]
-
-#: The classifier is fitted by iteration and components and BPE are loops: SQL can't express the stages.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
