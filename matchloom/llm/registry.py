@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from matchloom.llm import (
     op1_quality,
     op2_licenses,
@@ -16,6 +15,7 @@ from matchloom.llm import (
     op8_jaccard,
     op9_ann,
     op10_urls,
+    pipeline,
 )
 
 _MODULES = {
@@ -33,9 +33,9 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     own = {name: m.SQL for name, m in _MODULES.items() if getattr(m, "SQL", None)}
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return own | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
