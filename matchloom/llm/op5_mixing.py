@@ -1,20 +1,19 @@
 """Operator 5, mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
-Documents are counted into cells (source, language, topic) with their tokens. Raking finds a factor for
-each value of each marginal, so that the cells' tokens times their factors have the targets' marginals
-and the documents' own association. Factors are made right for one marginal after another, until all
-marginals are within ``TOLERANCE`` of their targets (summed distance of shares). Where the cells can't
-meet the targets the distance stops falling; the fit then ends and warns with the distance left
-(``residual`` measures it). A document of a cell is kept with probability min(1, c * fitted / tokens),
+Documents are counted into cells (source, language, topic) with their tokens. Raking multiplies the
+cells' weights so that one marginal after another meets its target shares, until all of them are within
+``TOLERANCE`` (summed distance of shares); what comes out has the documents' own association and the
+targets' marginals. Where the cells can't meet the targets, or only slowly, the fit ends after ``ROUNDS``
+and warns with the distance left (``residual`` measures it). A document of a cell is kept with probability min(1, c * fitted / tokens),
 with c set so that the expected tokens are ``KEEP`` of all; the draw is a hash of the id, so runs repeat.
 
 Default targets flatten each marginal: shares to the power ``FLATTEN``, so a source with a third of
 all tokens is cut back and small ones gain. Topic is the text's form: notices, contacts, lists, prose.
 
 Only built-in functions run. Cells are aggregated before anything is shuffled, so a hot source costs
-a row for each cell and task. A step reads the cells and three tables of factors and writes one of them
-anew, so plans stay as small as one step's; cells and factors are joined by key, broadcast only under
-Spark's own size limit. Cases: null sources and languages are groups of their own; a null text counts
+a row for each cell and task. A step adds up the cells by one marginal, joins the sums back and writes
+the cells anew, so a plan is never larger than one step's; joins are by key, broadcast only under Spark's
+own size limit. Cases: null sources and languages are groups of their own; a null text counts
 as empty; very long texts are counted whole; texts without a word have weight zero and are kept with
 probability one where their whole cell has none; rows without an id share a draw; repeated rows share
 theirs; an empty table gives none; all columns pass through, whatever their names.
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import free_name, materialize, table, uniform
 
-#: Distance of all shares from their targets that ends the rounds, and the fall of the distance in a round that goes on.
-TOLERANCE, FALL = 1e-10, 0.999
+#: Distance of all shares from their targets that ends the fit, and the most rounds of one.
+TOLERANCE, ROUNDS = 1e-10, 20
 FLATTEN = 0.7
 KEEP = 0.8
 SEED = "mix"
@@ -71,46 +70,30 @@ def flat_targets(cell: DataFrame, flatten: float = FLATTEN) -> dict[str, DataFra
     return out
 
 
-def _by_value(cell: DataFrame, m: str, names: dict[str, DataFrame]) -> DataFrame:
-    """(value, now): the cells' tokens times the factors of the marginals in ``names``, by the values of marginal ``m``."""
-    t, fitted = cell, F.col("tokens").cast("double")
-    for k, f in names.items():
-        t = t.join(f.select(F.col("value").alias(f"_v_{k}"), F.col("factor").alias(f"_f_{k}")), F.col(k).eqNullSafe(F.col(f"_v_{k}")), "left")
-        fitted = fitted * F.coalesce(f"_f_{k}", F.lit(0.0))
-    return t.groupBy(F.col(m).alias("value")).agg(F.sum(fitted).alias("now"))
-
-
-def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells with ``fitted``: shares of all tokens that meet the targets, as near as the cells allow.
 
-    Goes on until the marginals are within ``tolerance`` or come no nearer; ``rounds`` may end it earlier."""
-    target = {m: materialize(t.select("value", "share"), "target") for m, t in targets.items()}
-    factor = {m: t.select("value", F.lit(1.0).alias("factor")) for m, t in target.items()}
-    before, turn, off = float("inf"), 0, float("inf")
-    while rounds is None or turn < rounds:
-        steps = []
+    Goes on until the marginals are within ``tolerance``, for ``rounds`` at most."""
+    t, share = cell, {m: f"_share_{m}" for m in MARGINALS}
+    for m in MARGINALS:
+        own = targets[m].select(F.col("value").alias("_v"), F.col("share").alias(share[m]))
+        t = t.join(own, F.col(m).eqNullSafe(F.col("_v")), "left").drop("_v")
+    t = materialize(t.withColumn("fitted", F.col("tokens").cast("double")), "rake")
+    turn, off = 0, 0.0
+    while turn < rounds:
         for m in MARGINALS:
-            now = _by_value(cell, m, {k: f for k, f in factor.items() if k != m}).toDF("_value", "now")
-            old = factor[m].toDF("_old", "was")
-            t = target[m].join(now, F.col("value").eqNullSafe(F.col("_value")), "left").join(old, F.col("value").eqNullSafe(F.col("_old")), "left")
-            reached = F.coalesce(F.col("now") * F.col("was"), F.lit(0.0))
-            new = t.select("value", F.coalesce(F.try_divide(F.col("share"), F.col("now")), F.lit(0.0)).alias("factor"), F.abs(reached - F.col("share")).alias("off"))
-            new = materialize(new, "factor")
-            steps.append(new.agg(F.sum("off").alias("off")))
-            factor[m] = new.select("value", "factor")
+            now = t.groupBy(F.col(m).alias("_v")).agg(F.sum("fitted").alias("_now"))
+            t = t.join(now, F.col(m).eqNullSafe(F.col("_v")), "left").withColumn("fitted", F.col("fitted") * F.coalesce(F.try_divide(F.col(share[m]), F.col("_now")), F.lit(0.0)))
+            t = materialize(t.drop("_v", "_now"), "rake")
         turn += 1
-        if turn > 1:  # before the first round nothing has been fitted
-            off = reduce(DataFrame.unionAll, steps).agg(F.max("off")).first()[0] or 0.0
-            if off <= tolerance or off > FALL * before:
-                break
-            before = off
-    if turn > 1 and off > tolerance:
-        warnings.warn(f"raking ended {off:.2e} from its targets after {turn} rounds", stacklevel=2)
-    t, fitted = cell, F.col("tokens").cast("double")
-    for k, f in factor.items():
-        t = t.join(f.select(F.col("value").alias(f"_v_{k}"), F.col("factor").alias(f"_f_{k}")), F.col(k).eqNullSafe(F.col(f"_v_{k}")), "left")
-        fitted = fitted * F.coalesce(f"_f_{k}", F.lit(0.0))
-    return materialize(t.select(*cell.columns, fitted.alias("fitted")), "rake")
+        each = [t.groupBy(m).agg(F.abs(F.sum("fitted") - F.coalesce(F.first(share[m]), F.lit(0.0))).alias("off")).agg(F.sum("off").alias("off")) for m in MARGINALS]
+        off = reduce(DataFrame.unionAll, each).agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
+            break
+    fitted = t.drop(*share.values())
+    if off > tolerance:
+        warnings.warn(f"raking ended {max(residual(fitted, targets).values()):.2e} from its targets after {turn} rounds", stacklevel=2)
+    return fitted
 
 
 def residual(fitted: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
@@ -141,7 +124,7 @@ def probabilities(fitted: DataFrame, keep: float = KEEP) -> DataFrame:
     return t.withColumn("p", p).drop("_ratio")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int | None = None) -> tuple[DataFrame, str, str]:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, str, str]:
     """The sampled rows of ``docs`` with all columns, their topic and probability; those two columns' names."""
     cell = materialize(cells(docs), "cells")
     p = probabilities(rake(cell, targets or flat_targets(cell), rounds), keep)
@@ -159,8 +142,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "source", "lang", F.col(form).alias("topic"), tokens(F.col("text")).cast("long").alias("n_tokens"), F.round(p, 6).alias("p"))
 
 
-#: Rounds and steps that the SQL unrolls; more than the operator needs on tables of any size tried, and further ones change nothing.
-_SQL_ROUNDS, _SQL_STEPS = 12, 8
+#: Steps of the cap that the SQL unrolls; those past the last that changes anything change nothing, as do rounds past the tolerance.
+_SQL_STEPS = 8
 
 
 def _sql() -> str:
@@ -174,7 +157,7 @@ def _sql() -> str:
     for m in MARGINALS:
         ctes.append(f"t_{m} AS (SELECT {m} AS v, pow(CAST(sum(tokens) AS DOUBLE), {FLATTEN}) / sum(pow(CAST(sum(tokens) AS DOUBLE), {FLATTEN})) OVER () AS share FROM f0 GROUP BY 1)")
     k = 0
-    for _ in range(_SQL_ROUNDS):
+    for _ in range(ROUNDS):
         for m in MARGINALS:
             ctes.append(f"f{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, fitted * share / sum(fitted) OVER (PARTITION BY {m}) AS fitted FROM f{k} JOIN t_{m} ON {m} IS NOT DISTINCT FROM v)")
             k += 1
