@@ -189,3 +189,60 @@ def test_few_groups_have_no_interval(spark):
     got = {r["s"]: r for r in M.bootstrap(M.loss_sums(t, "s", "g"), "s", "g", ("accuracy", "log_loss", "brier"), 50).collect()}
     assert {k: r["status"] for k, r in got.items()} == {"few": "omitted_too_few_groups", "some": "exploratory_few_groups", "many": "available"}
     assert got["few"]["accuracy_low"] is None and got["many"]["accuracy_low"] <= got["many"]["accuracy"] <= got["many"]["accuracy_high"]
+
+
+def test_groups_that_share_rosters_equal_union_find(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = [(m, f"r{r.randrange(60)}") for m in range(80) for _ in range(2)] + [(100 + i, "hot") for i in range(30)] + [(7, "hot")]
+    root = {m: m for m, _ in pairs}
+
+    def find(m):
+        while root[m] != m:
+            m = root[m]
+        return m
+
+    first: dict = {}
+    for m, x in pairs:
+        a, b = find(m), find(first.setdefault(x, m))
+        root[max(a, b)] = min(a, b)
+    rosters = spark.createDataFrame(pairs, "match_id long, roster string")
+    got = {x["match_id"]: x["component"] for x in G.roster_groups(rosters.select("match_id").distinct(), rosters).collect()}
+    assert got == {m: min(k for k in root if find(k) == find(m)) for m in root}
+
+
+def test_online_model_equals_plain_updates(spark):
+    import random
+
+    r, z, n, scores = random.Random(6), {}, {}, {}
+    model = Z.Online(spark)
+    for batch in range(3):
+        rows, g, p = [], {}, {}
+        for e in range(10 * batch, 10 * batch + 10):
+            c = r.randrange(3)
+            feats = [{k: round(r.uniform(-1, 1), 3) for k in r.sample("abcd", 2)} for _ in range(3)]
+            rows += [(e, o, k, x, c) for o in range(3) for k, x in feats[o].items()]
+            w = {k: 0.0 if abs(z.get(k, 0.0)) <= 0.1 else -(z[k] - math.copysign(0.1, z[k])) / ((1 + math.sqrt(n[k])) / 0.1 + 1) for k in "abcd"}
+            u = [math.exp(sum(w[k] * x for k, x in f.items())) for f in feats]
+            for o in range(3):
+                p[e, o] = u[o] / sum(u)
+                for k, x in feats[o].items():
+                    g[k] = g.get(k, 0.0) + (p[e, o] - (o == c)) * x
+        for k, x in g.items():
+            old = n.get(k, 0.0)
+            n[k] = old + x * x
+            z[k] = z.get(k, 0.0) + x - (math.sqrt(n[k]) - math.sqrt(old)) / 0.1 * w[k]
+        scores |= p
+        t = spark.createDataFrame(rows, "event_id long, option int, key string, value double, chosen int")
+        for _ in range(2):  # a batch that comes again adds nothing
+            Z.Online(spark, model.root).apply(t, batch)
+    assert {x["key"]: (x["z"], x["n"]) for x in model.versions.read().collect()} == {k: (pytest.approx(z[k]), pytest.approx(n[k])) for k in z}
+    assert {(x["event_id"], x["option"]): x["p"] for x in model.scores().collect()} == {k: pytest.approx(x) for k, x in scores.items()}
+
+
+def test_places_in_an_order_of_all_rows(spark):
+    from matchloom.operators.windows import numbered
+
+    t = spark.range(500).withColumn("k", F.col("id") * 7919 % 500)
+    assert [x["n"] for x in numbered(t, "n", F.desc("k")).orderBy(F.desc("k")).collect()] == list(range(1, 501))
