@@ -183,14 +183,15 @@ def published_state(before: DataFrame, after: DataFrame) -> DataFrame:
     return t.select("key", F.when(fresh, F.col("value")).otherwise(F.coalesce("v0", F.lit(0.0))).alias("value"), F.when(fresh, F.col("n")).otherwise(F.coalesce("n0", F.lit(0))).alias("n"))
 
 
-def explain_choice(features: DataFrame, weights: DataFrame, a: int, b: int) -> DataFrame:
-    """The feature that speaks most for option a over option b, by event."""
-    va = features.filter(F.col("option") == a).select("event_id", "key", F.col("value").alias("va"))
-    vb = features.filter(F.col("option") == b).select("event_id", "key", F.col("value").alias("vb"))
-    t = va.join(vb, ["event_id", "key"], "full").join(weights, "key")
-    gain = F.round(F.col("weight") * (F.coalesce("va", F.lit(0.0)) - F.coalesce("vb", F.lit(0.0))), 6)
-    t = t.withColumn("gain", gain).filter("gain > 0").groupBy("event_id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "key")).alias("m"))
-    return t.select("event_id", F.col("m.key").alias("key"), (-F.col("m.g")).alias("gain"))
+def explain_choice(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(event_id, a, b, key, gain): the feature that speaks most for option a over option b, for every two options of an event."""
+    pairs = F.expr("filter(transform(sequence(0, 2), o -> struct(o AS other)), x -> x.other <> option)")
+    t = features.join(weights, "key").select("event_id", "option", "key", "weight", "value", F.explode(pairs).alias("x"))
+    side = lambda a, b, v: t.select("event_id", F.col(a).alias("a"), F.col(b).alias("b"), "key", "weight", v.alias("v"))
+    both = side("option", "x.other", F.col("value")).unionByName(side("x.other", "option", -F.col("value")))
+    t = both.groupBy("event_id", "a", "b", "key", "weight").agg(F.round(F.col("weight") * F.sum("v"), 6).alias("gain")).filter("gain > 0")
+    m = t.groupBy("event_id", "a", "b").agg(F.min(F.struct((-F.col("gain")).alias("g"), "key")).alias("m"))
+    return m.select("event_id", "a", "b", F.col("m.key").alias("key"), (-F.col("m.g")).alias("gain"))
 
 
 #: Resamples, and groups under which intervals are left out or called exploratory (fixed values).

@@ -169,10 +169,10 @@ def _(v):
 
 
 @query("m15_choice_explanation", f"""WITH {_CF}, w AS (SELECT key, round((sum(CASE WHEN option = chosen THEN 1e0 ELSE 0 END) - count(*) / 3e0) / (count(*) + 10e0), 6) AS weight FROM cf JOIN accepted USING (event_id) GROUP BY 1),
-d AS (SELECT event_id, key, round(weight * sum(CASE WHEN option = 0 THEN value ELSE -value END), 6) AS gain FROM cf JOIN w USING (key) WHERE option IN (0, 1) GROUP BY event_id, key, weight)
-SELECT event_id, key, gain FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gain DESC, key) AS rn FROM d WHERE gain > 0) WHERE rn = 1""")
+pr(a, b) AS (VALUES (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)), d AS (SELECT event_id, a, b, key, round(weight * sum(CASE WHEN option = a THEN value ELSE -value END), 6) AS gain FROM cf JOIN w USING (key), pr WHERE option IN (a, b) GROUP BY event_id, a, b, key, weight)
+SELECT event_id, a, b, key, gain FROM (SELECT *, row_number() OVER (PARTITION BY event_id, a, b ORDER BY gain DESC, key) AS rn FROM d WHERE gain > 0) WHERE rn = 1""")
 def _(v):
     f = E.option_features(v.accepted, v.offers, v.pool)
     t = f.join(v.accepted.select("event_id", "chosen"), "event_id")
     w = t.groupBy("key").agg(F.round((F.sum(F.expr("if(option = chosen, 1.0D, 0.0D)")) - F.count(F.lit(1)) / 3.0) / (F.count(F.lit(1)) + 10.0), 6).alias("weight"))
-    return M.explain_choice(f, w, 0, 1)
+    return M.explain_choice(f, w)
