@@ -15,6 +15,7 @@ from matchloom.llm import (
     op8_jaccard,
     op9_ann,
     op10_urls,
+    op11_spelling,
     pipeline,
 )
 
@@ -29,6 +30,7 @@ _MODULES = {
     "op8_ngram_jaccard": op8_jaccard,
     "op9_nearest_codes": op9_ann,
     "op10_url_filters": op10_urls,
+    "op11_spelling_variants": op11_spelling,
 }
 
 
