@@ -16,6 +16,7 @@ from matchloom.llm import (
     op9_ann,
     op10_urls,
     op11_spelling,
+    op12_alignment,
     pipeline,
 )
 
@@ -31,6 +32,7 @@ _MODULES = {
     "op9_nearest_codes": op9_ann,
     "op10_url_filters": op10_urls,
     "op11_spelling_variants": op11_spelling,
+    "op12_token_alignment": op12_alignment,
 }
 
 
