@@ -17,6 +17,7 @@ from matchloom.llm import (
     op10_urls,
     op11_spelling,
     op12_alignment,
+    op13_toxicity,
     pipeline,
 )
 
@@ -33,6 +34,7 @@ _MODULES = {
     "op10_url_filters": op10_urls,
     "op11_spelling_variants": op11_spelling,
     "op12_token_alignment": op12_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 
