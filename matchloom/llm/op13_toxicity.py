@@ -127,7 +127,7 @@ def _sentence_hashes(s: Sentences) -> np.ndarray:
 
 
 def _sentence_task(batches) -> Iterator[pa.RecordBatch]:
-    """Sentences of training texts with their buckets: (key, doc, toxic, buckets); ``doc`` is a hash of the text's sentences."""
+    """Sentences of training texts: (key, doc, toxic, sentence); ``doc`` is a hash of the text's sentences."""
     for whole in batches:
         for b in slices(whole, "text"):
             s = sentences(b.column(0))
@@ -137,21 +137,20 @@ def _sentence_task(batches) -> Iterator[pa.RecordBatch]:
             key = _sentence_hashes(s)
             doc = np.zeros(b.num_rows, np.uint64)
             np.add.at(doc, s.doc, key.view(np.uint64))
-            row, bucket = windows(s)
-            u = np.unique(row * BUCKETS + bucket)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(u // BUCKETS, np.arange(len(key) + 1)), pa.int32()), pa.array(u % BUCKETS, pa.int32()))
-            yield pa.record_batch([pa.array(key), pa.array(doc.view(np.int64)[s.doc]), pa.array(toxic[s.doc]), lists], names=["key", "doc", "toxic", "buckets"])
+            text = [s.data[i:j].tobytes().decode() for i, j in zip(s.start.tolist(), s.end.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(key), pa.array(doc.view(np.int64)[s.doc]), pa.array(toxic[s.doc]), pa.array(text, pa.string())], names=["key", "doc", "toxic", "sentence"])
 
 
 def _count_task(batches) -> Iterator[pa.RecordBatch]:
     """Documents of both classes that hold a bucket, summed over a partition: (bucket, toxic, other)."""
     n = np.zeros((2, BUCKETS), np.int64)
-    for b in batches:
-        toxic, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-        row, bucket = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
-        u = np.unique(row * BUCKETS + bucket)
-        for k in (0, 1):
-            n[k] += np.bincount(u[toxic[u // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
+    for whole in batches:
+        for b in slices(whole, "text"):
+            toxic, s = b.column(1).to_numpy(zero_copy_only=False), sentences(b.column(0))
+            row, bucket = windows(s)
+            u = np.unique(s.doc[row] * BUCKETS + bucket)
+            for k in (0, 1):
+                n[k] += np.bincount(u[toxic[u // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
     some = np.flatnonzero(n.sum(axis=0))
     for i in range(0, len(some), 50_000):
         at = some[i : i + 50_000]
@@ -161,15 +160,16 @@ def _count_task(batches) -> Iterator[pa.RecordBatch]:
 def features(training: DataFrame, min_z: float = MIN_Z, max_features: int = MAX_FEATURES) -> np.ndarray:
     """Buckets whose share of documents is surely larger among toxic ones, surest first. ``training``: (text, toxic)."""
     small_batches(training.sparkSession)
-    found = training.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_sentence_task, "key long, doc long, toxic long, buckets array<int>")
+    found = training.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_sentence_task, "key long, doc long, toxic long, sentence string")
     # a sentence of both kinds of documents is no evidence for toxicity
-    once = found.groupBy("key").agg(F.min("toxic").alias("toxic"), F.min("doc").alias("doc"), F.first("buckets").alias("buckets"))
-    docs = materialize(once.groupBy("doc", "toxic").agg(F.flatten(F.collect_list("buckets")).alias("buckets")), "training")
+    once = found.groupBy("key").agg(F.min("toxic").alias("toxic"), F.min("doc").alias("doc"), F.first("sentence").alias("sentence"))
+    # a training document's own sentences again, at most its text
+    docs = materialize(once.groupBy("doc", "toxic").agg(F.array_join(F.collect_list("sentence"), "\n").alias("text")), "training")
     total = docs.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not total["t"] or total["t"] == total["n"]:
         return np.zeros(0, np.int64)
     t, c = float(total["t"]), float(total["n"] - total["t"])
-    counts = docs.select("toxic", "buckets").mapInArrow(_count_task, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    counts = docs.select("text", "toxic").mapInArrow(_count_task, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     a, n, q = F.col("a"), F.col("a") + F.col("b"), t / (t + c)
     other = F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - q)))).otherwise(F.lit(0.0))
     z = F.sqrt(F.greatest(2 * (a * F.log(a / (n * q)) + other), F.lit(0.0)))
