@@ -99,14 +99,30 @@ def bounded_counts(rows: DataFrame, name: str, floor: int, most: int) -> DataFra
     return t.groupBy(F.coalesce("kept", F.lit("other")).alias(name)).agg(F.sum("n").alias("n"))
 
 
-def hll_registers(rows: DataFrame, key: str, p: int = 10) -> DataFrame:
-    """A10: mergeable registers; the first ten bits of the hash choose one, the zeros that lead the next 32 set it."""
+def hll_rank(key, p: int = 10) -> tuple:
+    """A10: the register of a key, the first ``p`` bits of its hash, and its rank, one more than the zeros that lead the rest of 64 bits."""
     h = F.sha2(F.col(key).cast("string"), 256)
     head = F.conv(F.substring(h, 1, 3), 16, 10).cast("long")
-    rest = F.shiftleft(head.bitwiseAND(3), 52).bitwiseOR(F.conv(F.substring(h, 4, 13), 16, 10).cast("long"))
-    high = F.shiftright(rest, 22)
-    t = rows.select(F.shiftright(head, 12 - p).alias("register"), high.alias("high")).filter("high > 0")
-    return t.groupBy("register").agg(F.max(32 - F.floor(F.log2(F.col("high").cast("double")))).alias("rank"))
+    rest = F.shiftleft(head.bitwiseAND((1 << (12 - p)) - 1), 52).bitwiseOR(F.conv(F.substring(h, 4, 13), 16, 10).cast("long"))
+    return F.shiftright(head, 12 - p), F.lit(65 - p) - F.when(rest > 0, F.char_length(F.bin(rest))).otherwise(0)
+
+
+def hll_registers(rows: DataFrame, key: str, p: int = 10) -> DataFrame:
+    """A10: registers that can be merged by their maximum: (register, rank)."""
+    register, rank = hll_rank(key, p)
+    return rows.select(register.alias("register"), rank.cast("long").alias("rank")).groupBy("register").agg(F.max("rank").alias("rank"))
+
+
+def hll_estimate(registers: DataFrame, events: DataFrame, p: int = 10) -> DataFrame:
+    """A10: one row (estimate, registers): the harmonic estimate, linear counting while it is under 2.5 a register and
+    some are empty, and never more than the number of ``events``, one row (n)."""
+    m = 1 << p
+    t = registers.agg(F.count(F.lit(1)).alias("filled"), F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("weight"))
+    empty = m - F.col("filled")
+    raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / (F.col("weight") + empty)
+    linear = m * F.log(m / F.when(empty > 0, empty))
+    best = F.round(F.when((raw <= 2.5 * m) & (empty > 0), linear).otherwise(raw)).cast("long")
+    return t.crossJoin(F.broadcast(events)).select(F.least(best, F.col("n")).alias("estimate"), F.col("filled").alias("registers"))  # one row each
 
 
 def leaderboard(rows: DataFrame, name: str) -> DataFrame:

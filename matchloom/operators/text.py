@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, deque
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,35 +85,61 @@ def cut_after(lines: DataFrame, ends: Column) -> DataFrame:
     return lines.join(last, "log", "left").filter(F.col("last").isNull() | (F.col("pos") <= F.col("last"))).drop("last")
 
 
-def stitch(lines: DataFrame, window: int = 45, similar: float = 0.86) -> DataFrame:
-    """T05, greedy form: a line is dropped if it is similar to a kept line among the last ``window`` ones.
+class _Recent:
+    """The last kept lines of a log, by length: only lines whose lengths allow the wanted ratio are ever compared.
 
-    The order matters, so a log's lines come to one task in order; the task streams over its rows and holds the last
-    ``window`` kept lines only, whatever a log's length. An empty line is a line as any."""
-    from difflib import SequenceMatcher
+    A ratio of r needs 2 * min(lengths) >= r * (sum of lengths), so a line of n characters meets lines of n * r / (2 - r) to
+    n * (2 - r) / r characters; a count of common characters then bounds the ratio from above."""
 
-    import pandas as pd
+    def __init__(self, size: int, ratio: float):
+        self.size, self.ratio, self.order = size, ratio, deque()
+        self.by_length: dict[int, Counter] = {}
 
-    def alike(a: str, b: str) -> bool:
-        if a == b:
+    def has_like(self, line: str) -> bool:
+        n, r = len(line), self.ratio
+        low, high = math.ceil(n * r / (2 - r) - 1e-9), math.floor(n * (2 - r) / r + 1e-9)
+        near = [self.by_length[k] for k in range(low, high + 1) if k in self.by_length]
+        if any(line in c for c in near):
             return True
-        if abs(len(a) - len(b)) > max(3, 0.35 * max(len(a), len(b))):
-            return False
-        m = SequenceMatcher(None, a, b)
-        return m.real_quick_ratio() >= similar and m.quick_ratio() >= similar and m.ratio() >= similar
-
-    def scan(parts):
-        log, kept = None, []
-        for pdf in parts:
-            flags = []
-            for own, text in zip(pdf["log"], pdf["norm"], strict=True):
+        own = Counter(line)
+        for old in (t for c in near for t in c):
+            if 2 * (own & Counter(old)).total() >= r * (n + len(old)) and SequenceMatcher(None, line, old).ratio() >= r:
+                return True
+        return False
+
+    def add(self, line: str) -> None:
+        self.order.append(line)
+        self.by_length.setdefault(len(line), Counter())[line] += 1
+        if len(self.order) > self.size:
+            gone = self.order.popleft()
+            c = self.by_length[len(gone)]
+            c[gone] -= 1
+            if not c[gone]:
+                del c[gone]
+            if not c:
+                del self.by_length[len(gone)]
+
+
+def _kept(window: int, similar: float):
+    def scan(parts: Iterator) -> Iterator:
+        log, recent = None, _Recent(window, similar)
+        for part in parts:
+            kept = []
+            for own, line in zip(part["log"], part["norm"], strict=True):
                 if own != log:
-                    log, kept = own, []
-                new = not any(alike(text, k) for k in kept)
-                if new:
-                    kept = [*kept[1 - window :], text]
-                flags.append(new)
-            yield pd.DataFrame({"log": pdf["log"], "pos": pdf["pos"], "kept": flags})
+                    log, recent = own, _Recent(window, similar)
+                kept.append(bool(line) and not recent.has_like(line))
+                if kept[-1]:
+                    recent.add(line)
+            yield part[["log", "pos"]].assign(kept=kept)
+
+    return scan
+
+
+def stitch(lines: DataFrame, window: int = 45, similar: float = 0.86) -> DataFrame:
+    """T05, greedy form: a line is dropped if it is empty or as similar as ``similar`` to one of the last ``window`` kept lines.
 
+    What is kept depends on what was kept before, so a log's lines come to one task in order; the task holds the window
+    only, whatever a log's length."""
     t = lines.withColumn("norm", normalized(F.coalesce("text", F.lit("")))).select("log", "pos", "norm")
-    return t.repartition("log").sortWithinPartitions("log", "pos").mapInPandas(scan, "log long, pos int, kept boolean")
+    return t.repartition("log").sortWithinPartitions("log", "pos").mapInPandas(_kept(window, similar), "log long, pos int, kept boolean")

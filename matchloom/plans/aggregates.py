@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import aggregate as A
 from matchloom.plans.registry import query
+from matchloom.streaming import folds as Z
 
 
 @query("a01_smoothed_win_rates", """WITH i AS (SELECT 'hero' AS kind, hero AS name, won, 0 AS shadow FROM members UNION ALL SELECT 'skill', skill, won, CASE WHEN CAST(substr(skill, 2) AS INT) % 10 = 9 THEN 1 ELSE 0 END FROM carried),
@@ -75,12 +76,25 @@ def _(v):
     return v.events.agg(F.count_distinct("session").alias("sessions"), F.count(F.lit(1)).alias("events"))
 
 
-@query("a10_hll_registers", """WITH h AS (SELECT DISTINCT sha256(session) AS h FROM choice), b AS (SELECT CAST('0x' || substr(h, 1, 3) AS BIGINT) AS i, CAST('0x' || substr(h, 4, 13) AS BIGINT) AS rest FROM h)
-SELECT CAST(i >> 2 AS BIGINT) AS register, max(CASE WHEN ((i & 3) << 52 | rest) = 0 THEN 55 ELSE 54 - CAST(floor(log2(((i & 3) << 52 | rest) >> 22)) AS BIGINT) - 22 END) AS rank FROM b WHERE ((i & 3) << 52 | rest) >> 22 > 0 GROUP BY 1""")
+_HLL = """h AS (SELECT DISTINCT sha256(session) AS h FROM choice), b AS (SELECT CAST('0x' || substr(h, 1, 3) AS BIGINT) AS i, CAST('0x' || substr(h, 4, 13) AS BIGINT) AS low FROM h),
+rg AS (SELECT CAST(i >> 2 AS BIGINT) AS register, max(CASE WHEN ((i & 3) << 52 | low) = 0 THEN 55 ELSE 55 - length(bin((i & 3) << 52 | low)) END) AS rank FROM b GROUP BY 1)"""
+
+
+@query("a10_hll_registers", f"WITH {_HLL} SELECT register, rank FROM rg")
 def _(v):
     return A.hll_registers(v.events, "session")
 
 
+@query("a10_estimated_sessions", f"""WITH {_HLL}, e AS (SELECT count(*) AS filled, sum(2e0 ** -rank) + 1024 - count(*) AS weight FROM rg), r AS (SELECT *, 0.7213e0 / (1 + 1.079e0 / 1024) * 1024 * 1024 / weight AS raw FROM e)
+SELECT least(CAST(round(CASE WHEN raw <= 2560 AND filled < 1024 THEN 1024 * ln(1024e0 / (1024 - filled)) ELSE raw END) AS BIGINT), (SELECT count(*) FROM choice)) AS estimate, filled AS registers FROM r""")
+def _(v):
+    """Registers folded by their maximum over the micro-batches of a stream, then the estimate."""
+    register, rank = A.hll_rank("session")
+    f = Z.Fold(v.spark, ["register"], {"rank": F.col("rank").cast("long")}, how=F.max)
+    Z.drain(Z.read(v.spark, Z.landing(v.events.select("event_id", "session"), "event_id")).select(register.alias("register"), rank.alias("rank")), f.apply)
+    return A.hll_estimate(f.state(), v.events.agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("a10_hll_sketch")
 def _(v):
     return v.events.agg(F.hll_sketch_estimate(F.hll_sketch_agg("session", F.lit(10))).alias("estimate"))

@@ -101,12 +101,12 @@ class Versions:
 
 
 class Fold:
-    """Additive counters kept by micro-batches: each writes a new version of the state, the marker last.
+    """Counters kept by micro-batches, added up or merged by another aggregate (``how``): each writes a new version of the state, the marker last.
 
     A batch number at or under the state's is not folded again, so replays add nothing, also after a restart."""
 
-    def __init__(self, spark: SparkSession, keys: list[str], values: dict[str, Column], root: str | None = None):
-        self.keys, self.values, self.versions = keys, values, Versions(spark, root)
+    def __init__(self, spark: SparkSession, keys: list[str], values: dict[str, Column], root: str | None = None, how: Callable = F.sum):
+        self.keys, self.values, self.how, self.versions = keys, values, how, Versions(spark, root)
 
     def state(self) -> DataFrame | None:
         return self.versions.read()
@@ -114,9 +114,9 @@ class Fold:
     def apply(self, batch: DataFrame, number: int) -> None:
         if number <= self.versions.last():
             return
-        now = batch.groupBy(*self.keys).agg(*[F.sum(c).alias(n) for n, c in self.values.items()])
+        now = batch.groupBy(*self.keys).agg(*[self.how(c).alias(n) for n, c in self.values.items()])
         if (old := self.state()) is not None:
-            now = now.unionByName(old).groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in self.values])
+            now = now.unionByName(old).groupBy(*self.keys).agg(*[self.how(n).alias(n) for n in self.values])
         self.versions.write(now, number)
 
 
@@ -155,8 +155,10 @@ def ftrl_step(state: DataFrame | None, features: DataFrame, chosen: DataFrame, a
     old = keys.join(state, "key", "left") if state is not None else keys.withColumns({"z": F.lit(None).cast("double"), "n": F.lit(None).cast("double")})
     old = old.select("key", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("n", F.lit(0.0)).alias("n")).withColumn("w", w)
     u = features.join(old.select("key", "w"), "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("w")).alias("u"))
-    total = u.groupBy("event_id").agg(F.sum(F.exp("u")).alias("total"))
-    p = u.join(total, "event_id").join(chosen, "event_id").select("event_id", "option", (F.exp("u") / F.col("total")).alias("p"), F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0).alias("y"))
+    # shifted by the event's largest score, so that no score overflows
+    u = u.join(u.groupBy("event_id").agg(F.max("u").alias("top")), "event_id").select("event_id", "option", F.exp(F.col("u") - F.col("top")).alias("e"))
+    total = u.groupBy("event_id").agg(F.sum("e").alias("total"))
+    p = u.join(total, "event_id").join(chosen, "event_id").select("event_id", "option", (F.col("e") / F.col("total")).alias("p"), F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0).alias("y"))
     g = features.join(p, ["event_id", "option"]).groupBy("key").agg(F.sum((F.col("p") - F.col("y")) * F.col("value")).alias("g"))
     t = old.join(g, "key").withColumn("n2", F.col("n") + F.col("g") * F.col("g"))
     t = t.select("key", (F.col("z") + F.col("g") - (F.sqrt("n2") - F.sqrt("n")) / alpha * F.col("w")).alias("z"), F.col("n2").alias("n"))

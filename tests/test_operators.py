@@ -99,7 +99,66 @@ def test_publish_leaves_the_old_version_on_failure(spark):
 
 def test_stitch_drops_near_lines(spark):
     t = spark.createDataFrame([(1, 1, "Attack on the gate"), (1, 2, "Attack on the gats"), (1, 3, "Retreat now"), (1, 4, None)], "log long, pos int, text string")
-    assert [r["kept"] for r in X.stitch(t).orderBy("pos").collect()] == [True, False, True, True]
+    assert [r["kept"] for r in X.stitch(t).orderBy("pos").collect()] == [True, False, True, False]
+
+
+def test_stitch_equals_a_plain_scan(spark):
+    """Noisy repeats of lines of many lengths, in two logs, against comparing each line with all kept ones of the window."""
+    import random
+    from difflib import SequenceMatcher
+
+    r, rows, want = random.Random(1), [], []
+    base = ["".join(r.choice("abcdefg") for _ in range(r.choice([1, 2, 5, 9, 14, 30]))) for _ in range(60)]
+    for log in (1, 2):
+        kept = []
+        for pos in range(300):
+            line = list(r.choice(base))
+            for _ in range(r.choice([0, 0, 1, 2])):
+                line.insert(r.randrange(len(line) + 1), r.choice("abxyz"))
+            line = "".join(line)
+            rows.append((log, pos, line))
+            new = all(SequenceMatcher(None, line, k).ratio() < 0.86 for k in kept[-7:])
+            if new:
+                kept.append(line)
+            want.append((log, pos, new))
+    t = spark.createDataFrame(rows, "log long, pos int, text string").repartition(3)
+    assert sorted(map(tuple, X.stitch(t, window=7).collect())) == want
+    assert {k for _, _, k in want} == {True, False}
+
+
+def test_registers_fold_by_maximum(spark):
+    """Batches that overlap give one batch's registers; the estimate by hand, also beyond linear counting and capped."""
+    import hashlib
+
+    from matchloom.operators import aggregate as A
+
+    def by_hand(keys, events):
+        reg = {}
+        for k in keys:
+            x = int.from_bytes(hashlib.sha256(str(k).encode()).digest()[:8], "big")
+            reg[x >> 54] = max(reg.get(x >> 54, 0), 55 - (x & (1 << 54) - 1).bit_length())
+        e = 0.7213 / (1 + 1.079 / 1024) * 1024**2 / (sum(2.0**-v for v in reg.values()) + 1024 - len(reg))
+        if e <= 2560 and len(reg) < 1024:
+            e = 1024 * math.log(1024 / (1024 - len(reg)))
+        return reg, min(round(e), events)
+
+    for n, events in ((0, 0), (1, 1), (500, 10**6), (20_000, 10**6), (20_000, 7)):
+        t = spark.range(n).select(F.col("id").cast("string").alias("k"))
+        f = Z.Fold(spark, ["register"], {"rank": F.col("rank")}, how=F.max)
+        register, rank = A.hll_rank("k")
+        rows = t.select(register.alias("register"), rank.cast("long").alias("rank"), "k")
+        for i, part in enumerate((rows.filter("k < '5'"), rows.filter("k >= '3'"), rows.filter("k > '7'"))):
+            f.apply(part, i)
+        reg, want = by_hand(range(n), events)
+        assert {r["register"]: r["rank"] for r in f.state().collect()} == reg
+        assert A.hll_estimate(f.state(), spark.range(1).select(F.lit(events).cast("long").alias("n"))).first()["estimate"] == want
+
+
+def test_online_step_survives_large_scores(spark):
+    state = spark.createDataFrame([("a", -5000.0, 1.0), ("b", 5000.0, 1.0)], "key string, z double, n double")
+    rows = spark.createDataFrame([(1, 0, "a", 9.0), (1, 1, "b", 9.0), (1, 2, "a", 8.0)], "event_id long, option int, key string, value double")
+    now, p = Z.ftrl_step(state, rows, spark.createDataFrame([(1, 1)], "event_id long, chosen int"))
+    assert sum(r["p"] for r in p.collect()) == pytest.approx(1.0) and all(math.isfinite(r["z"]) for r in now.collect())
 
 
 def test_a_stopped_stream_goes_on(spark):
