@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchloom.operators import identity as D
 from matchloom.operators.near import matchup_replacements, skill_replacements
 from matchloom.plans.registry import query
+from matchloom.session import materialize, shared_dir
+from matchloom.sources.stored import KeyedStore
 
 
 @query("d01_semantic_fingerprint", "SELECT match_id, fingerprint FROM fingerprints")
@@ -63,11 +67,18 @@ def _(v):
     return matchup_replacements(v.reports)
 
 
-@query("d09_idempotent_insert", "SELECT match_id, count(*) AS arrivals, CASE WHEN count(*) = 1 THEN 'accepted' WHEN count(DISTINCT content) = 1 THEN 'duplicate' ELSE 'conflict' END AS status FROM (SELECT match_id, copy % 2 || '-' || (match_id % 2) * copy AS content FROM submissions) GROUP BY 1")
+@query("d09_idempotent_insert", """WITH c AS (SELECT *, coalesce(CAST(season AS VARCHAR), '') || '|' || winner AS content FROM snapshots), h AS (SELECT id, arg_min(content, snapshot) AS holder FROM c GROUP BY 1)
+SELECT id, min(snapshot) AS stored, any_value(holder) AS content, count(*) FILTER (content = holder) - 1 AS duplicates, count(*) FILTER (content <> holder) AS conflicts FROM c JOIN h USING (id) GROUP BY 1""")
 def _(v):
-    content = F.concat_ws("-", (F.col("copy") % 2).cast("string"), ((F.col("match_id") % 2) * F.col("copy")).cast("string"))
-    t = v.submissions.groupBy("match_id").agg(F.count(F.lit(1)).alias("arrivals"), F.count_distinct(F.sha2(content, 256)).alias("contents"))
-    return t.select("match_id", "arrivals", F.when(F.col("arrivals") == 1, "accepted").when(F.col("contents") == 1, "duplicate").otherwise("conflict").alias("status"))
+    """Snapshots arrive in three batches; then all of it arrives again, and adds nothing."""
+    rows = v.snapshots.select("id", "snapshot", F.concat_ws("|", F.coalesce(F.col("season").cast("string"), F.lit("")), F.col("winner").cast("string")).alias("content"))
+    rows = materialize(rows, "snapshots")
+    store = KeyedStore(v.spark, f"{shared_dir(v.spark)}/keyed-{uuid.uuid4().hex}", "id bigint, snapshot int, content string", "id", "content")
+    for again in (False, True):
+        for batch, part in enumerate(("snapshot <= 2", "snapshot > 2 AND snapshot <= 5", "snapshot > 5")):
+            KeyedStore(v.spark, store.root, store.schema, "id", "content").insert(rows.filter(part if not again else "true"), "snapshot", batch)
+    n = store.log().groupBy("id").agg(F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.count_if(F.col("status") == "conflict").alias("conflicts"))
+    return store.read().join(n, "id").select("id", F.col("snapshot").alias("stored"), "content", "duplicates", "conflicts")
 
 
 @query("d11_champion_groups", "SELECT CAST((place - 1) // 3 AS INT) AS grp, count(DISTINCT roster) AS builds, count(DISTINCT roster) = 3 AS complete FROM guide GROUP BY 1")

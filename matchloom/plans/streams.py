@@ -11,6 +11,7 @@ from matchloom.operators import features as E
 from matchloom.operators import validate as V
 from matchloom.plans.registry import query
 from matchloom.session import materialize, shared_dir
+from matchloom.sources.stored import AgedTable
 from matchloom.streaming import folds as Z
 
 _COLS = ["event_id", "session", "round", "user_id", "ts", "received_at", "event_type", "chosen", "recommended"]
@@ -90,13 +91,21 @@ def _(v):
     return apart.crossJoin(state.agg(F.count(F.lit(1)).alias("groups"), F.sum("events").alias("events")))  # one row each
 
 
-@query("z07_retention", "SELECT count(*) AS kept, min(id) AS first_kept FROM submissions WHERE id NOT IN (SELECT id FROM submissions WHERE id <= (SELECT max(id) // 2 FROM submissions) AND received_at < (SELECT max(received_at) FROM submissions) - INTERVAL 14 DAYS ORDER BY id LIMIT 10000)")
+@query("z07_retention", """WITH g AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM submissions WHERE id <= (SELECT max(id) // 2 FROM submissions) AND received_at < (SELECT max(received_at) FROM submissions) - INTERVAL 14 DAYS), r(run) AS (VALUES (1), (2))
+SELECT run, (SELECT count(*) FROM g WHERE (rn - 1) // 400 = run - 1) AS removed, (SELECT count(*) FROM submissions WHERE id NOT IN (SELECT id FROM g WHERE rn <= 400 * run)) AS kept, (SELECT min(id) FROM submissions WHERE id NOT IN (SELECT id FROM g WHERE rn <= 400 * run)) AS first_kept FROM r""")
 def _(v):
-    """Rows up to the cursor (half-way) that are older than 14 days go, oldest first, ten thousand at most in a run."""
-    s = v.submissions
-    last = s.agg((F.max("received_at") - F.expr("INTERVAL 14 DAYS")).alias("limit"), F.expr("max(id) div 2 AS cursor"))
-    gone = s.crossJoin(F.broadcast(last)).filter("id <= cursor AND received_at < limit").select("id").orderBy("id").limit(10_000)
-    return s.join(gone, "id", "left_anti").agg(F.count(F.lit(1)).alias("kept"), F.min("id").alias("first_kept"))
+    """Two runs of at most 400 rows over a stored table; rows up to the cursor (half-way) that are older than 14 days go."""
+    s = v.submissions.select("id", "received_at", "fingerprint")
+    t = AgedTable(v.spark, f"{shared_dir(v.spark)}/aged-{uuid.uuid4().hex}", s.schema.simpleString()[7:-1].replace(":", " "), "id", "received_at", width=1 << 12)
+    t.load(s)
+    last = s.agg(F.max("id").alias("id"), (F.max("received_at") - F.expr("INTERVAL 14 DAYS")).cast("string").alias("before")).first()
+    t.used_up_to(last["id"] // 2)
+    out = []
+    for run in (1, 2):
+        removed = t.purge(last["id"] // 2, last["before"], 400)
+        now = t.read().agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).first()
+        out.append((run, removed, now["n"], now["id"]))
+    return v.spark.createDataFrame(out, "run int, removed long, kept long, first_kept long")
 
 
 @query("z08_published_increment", "SELECT round, count(*) FILTER (event_id % 2 = 1 OR round = 3) AS increment FROM choice GROUP BY 1")
