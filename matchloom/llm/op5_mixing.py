@@ -1,18 +1,18 @@
 """Operator 5, mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Documents are counted into cells (source, language, topic) with their tokens. Raking multiplies the
-cells' weights so that one marginal after another meets its target shares, until all of them are within
+cells' weights by a factor for each value of each marginal, so that one marginal after another meets its target shares, until all of them are within
 ``TOLERANCE`` (summed distance of shares); what comes out has the documents' own association and the
-targets' marginals. Where the cells can't meet the targets, or only slowly, the fit ends after ``ROUNDS``
-and warns with the distance left (``residual`` measures it). A document of a cell is kept with probability min(1, c * fitted / tokens),
+targets' marginals. There is no limit of rounds: where the cells can't meet the targets, the fit ends when the distance has not
+got smaller by ``PROGRESS`` in ``PATIENCE`` rounds, and a warning gives the distance left (``residual`` measures it). A document of a cell is kept with probability min(1, c * fitted / tokens),
 with c set so that the expected tokens are ``KEEP`` of all; the draw is a hash of the id, so runs repeat.
 
 Default targets flatten each marginal: shares to the power ``FLATTEN``, so a source with a third of
-all tokens is cut back and small ones gain. Topic is the text's form: notices, contacts, lists, prose.
+all tokens is cut back and small ones gain. Topic is the text's form: notice, contact, short or prose.
 
 Only built-in functions run. Cells are aggregated before anything is shuffled, so a hot source costs
-a row for each cell and task. A step adds up the cells by one marginal, joins the sums back and writes
-the cells anew, so a plan is never larger than one step's; joins are by key, broadcast only under Spark's
+a row for each cell and task. Cells never change: a round is one job that sums them by each marginal in turn, with the other marginals'
+newest factors, and writes the factors only (a row for each value); the round before is deleted. So a plan is never larger than one round's; joins are by key, broadcast only under Spark's
 own size limit. Cases: null sources and languages are groups of their own; a null text counts
 as empty; very long texts are counted whole; texts without a word have weight zero and are kept with
 probability one where their whole cell has none; rows without an id share a draw; repeated rows share
@@ -21,16 +21,17 @@ theirs; an empty table gives none; all columns pass through, whatever their name
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import free_name, materialize, table, uniform
+from matchloom.llm.common import free_name, materialize, shared_dir, table, uniform
 
-#: Distance of all shares from their targets that ends the fit, and the most rounds of one.
-TOLERANCE, ROUNDS = 1e-10, 20
+#: Distance of all shares from their targets that ends the fit; a fit that got nearer by less than PROGRESS of it in PATIENCE rounds is as near as it comes.
+TOLERANCE, PROGRESS, PATIENCE = 1e-10, 0.1, 12
 FLATTEN = 0.7
 KEEP = 0.8
 SEED = "mix"
@@ -70,29 +71,55 @@ def flat_targets(cell: DataFrame, flatten: float = FLATTEN) -> dict[str, DataFra
     return out
 
 
-def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``fitted``: shares of all tokens that meet the targets, as near as the cells allow.
-
-    Goes on until the marginals are within ``tolerance``, for ``rounds`` at most."""
-    t, share = cell, {m: f"_share_{m}" for m in MARGINALS}
-    for m in MARGINALS:
-        own = targets[m].select(F.col("value").alias("_v"), F.col("share").alias(share[m]))
-        t = t.join(own, F.col(m).eqNullSafe(F.col("_v")), "left").drop("_v")
-    t = materialize(t.withColumn("fitted", F.col("tokens").cast("double")), "rake")
-    turn, off = 0, 0.0
-    while turn < rounds:
+def _written(df: DataFrame, old: str | None) -> tuple[DataFrame, str]:
+    """``df`` as a table of its own in the shared folder; the folder ``old``, which it was made from, goes."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/rake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(old)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def rake(cell: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with ``fitted``: shares of all tokens that meet the targets, as near as the cells allow."""
+    share = {m: targets[m].select(F.col("value").alias("_v"), F.col("share").alias("_share")) for m in MARGINALS}
+    value = {m: F.col(m).eqNullSafe(F.col("_v")) for m in MARGINALS}
+
+    def times(rows: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+        out = rows.withColumn("fitted", F.col("tokens").cast("double"))
+        for m, f in factors.items():
+            f = f.select(F.col("value").alias("_v"), F.col("factor").alias("_f"))
+            out = out.join(f, value[m], "left").withColumn("fitted", F.col("fitted") * F.coalesce("_f", F.lit(0.0))).drop("_v", "_f")
+        return out
+
+    def first(m: str) -> DataFrame:
+        return cell.select(F.col(m).alias("value")).distinct().withColumns({"factor": F.lit(1.0), "off": F.lit(0.0)})
+
+    def step(m: str, factors: dict[str, DataFrame]) -> DataFrame:
+        now = times(cell, {k: f for k, f in factors.items() if k != m}).groupBy(m).agg(F.sum("fitted").alias("now"))
+        now = now.join(share[m], value[m], "left").drop("_v").withColumn("_share", F.coalesce("_share", F.lit(0.0)))
+        old = factors[m].select(F.col("value").alias("_v"), F.col("factor").alias("_old"))
+        return now.join(old, value[m], "left").select(F.col(m).alias("value"), F.coalesce(F.try_divide("_share", "now"), F.lit(0.0)).alias("factor"), F.abs(F.col("_old") * F.col("now") - F.col("_share")).alias("off"))
+
+    def tagged(factors: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f.select(F.lit(m).alias("m"), F.col("value").cast("string").alias("value"), "factor", "off") for m, f in factors.items()])
+
+    t, path = _written(tagged({m: first(m) for m in MARGINALS}), None)
+    best, since = float("inf"), 0
+    while since < PATIENCE:
+        factors = {m: t.filter(F.col("m") == m) for m in MARGINALS}
         for m in MARGINALS:
-            now = t.groupBy(F.col(m).alias("_v")).agg(F.sum("fitted").alias("_now"))
-            t = t.join(now, F.col(m).eqNullSafe(F.col("_v")), "left").withColumn("fitted", F.col("fitted") * F.coalesce(F.try_divide(F.col(share[m]), F.col("_now")), F.lit(0.0)))
-            t = materialize(t.drop("_v", "_now"), "rake")
-        turn += 1
-        each = [t.groupBy(m).agg(F.abs(F.sum("fitted") - F.coalesce(F.first(share[m]), F.lit(0.0))).alias("off")).agg(F.sum("off").alias("off")) for m in MARGINALS]
-        off = reduce(DataFrame.unionAll, each).agg(F.max("off")).first()[0] or 0.0
+            factors = factors | {m: step(m, factors)}
+        t, path = _written(tagged(factors), path)
+        off = t.groupBy("m").agg(F.sum("off").alias("off")).agg(F.max("off")).first()[0] or 0.0
         if off <= tolerance:
             break
-    fitted = t.drop(*share.values())
-    if off > tolerance:
-        warnings.warn(f"raking ended {max(residual(fitted, targets).values()):.2e} from its targets after {turn} rounds", stacklevel=2)
+        best, since = (off, 0) if off < (1 - PROGRESS) * best else (best, since + 1)
+    fitted = materialize(times(cell, {m: t.filter(F.col("m") == m) for m in MARGINALS}), "raked")
+    left = max(residual(fitted, targets).values())
+    if left > 10 * tolerance:
+        warnings.warn(f"raking ended {left:.2e} from its targets, which the cells can't meet", stacklevel=2)
     return fitted
 
 
@@ -124,10 +151,10 @@ def probabilities(fitted: DataFrame, keep: float = KEEP) -> DataFrame:
     return t.withColumn("p", p).drop("_ratio")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, str, str]:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> tuple[DataFrame, str, str]:
     """The sampled rows of ``docs`` with all columns, their topic and probability; those two columns' names."""
     cell = materialize(cells(docs), "cells")
-    p = probabilities(rake(cell, targets or flat_targets(cell), rounds), keep)
+    p = probabilities(rake(cell, targets or flat_targets(cell)), keep)
     names = {k: free_name(docs, f"_{k}") for k in ("p", "s", "l", "t", "topic")}
     p = p.select(F.col("source").alias(names["s"]), F.col("lang").alias(names["l"]), F.col("topic").alias(names["t"]), F.col("p").alias(names["p"]))
     t = docs.withColumn(names["topic"], topic(F.col("text")))
@@ -142,8 +169,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "source", "lang", F.col(form).alias("topic"), tokens(F.col("text")).cast("long").alias("n_tokens"), F.round(p, 6).alias("p"))
 
 
-#: Steps of the cap that the SQL unrolls; those past the last that changes anything change nothing, as do rounds past the tolerance.
-_SQL_STEPS = 8
+#: Rounds and steps of the cap that the SQL unrolls; those past the last that changes anything change nothing, as do rounds past the tolerance.
+_SQL_ROUNDS, _SQL_STEPS = 30, 8
 
 
 def _sql() -> str:
@@ -157,7 +184,7 @@ def _sql() -> str:
     for m in MARGINALS:
         ctes.append(f"t_{m} AS (SELECT {m} AS v, pow(CAST(sum(tokens) AS DOUBLE), {FLATTEN}) / sum(pow(CAST(sum(tokens) AS DOUBLE), {FLATTEN})) OVER () AS share FROM f0 GROUP BY 1)")
     k = 0
-    for _ in range(ROUNDS):
+    for _ in range(_SQL_ROUNDS):
         for m in MARGINALS:
             ctes.append(f"f{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, fitted * share / sum(fitted) OVER (PARTITION BY {m}) AS fitted FROM f{k} JOIN t_{m} ON {m} IS NOT DISTINCT FROM v)")
             k += 1
