@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from test_llm import docs, empty, prose, rows  # noqa: F401
 
-from matchloom.llm import op1_quality, op11_spelling, op12_alignment, op13_toxicity
+from matchloom.llm import op1_quality, op5_mixing, op7_pii, op11_spelling, op12_alignment, op13_toxicity
 
 SF = "/root/testdata/sf0.001"
 LETTERS = [chr(x) for x in [*range(97, 123), *range(0xC0, 0x100)]]
@@ -232,3 +232,59 @@ def test_both_ways_to_score_held_out_are_equal(spark, docs):  # noqa: F811
     assert a.keys() == b.keys()
     for k in a:
         assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-4)) for x, y in zip(a[k], b[k], strict=True)), k
+
+
+def test_raking_reports_targets_that_cells_cannot_meet(spark):
+    cells = spark.createDataFrame([("a", "en", "p", 1, 100), ("b", "de", "q", 1, 100)], "source string, lang string, topic string, docs long, tokens long")
+    share = lambda x: spark.createDataFrame(list(x.items()), "value string, share double")
+    targets = {"source": share({"a": 0.9, "b": 0.1}), "lang": share({"en": 0.2, "de": 0.8}), "topic": share({"p": 0.5, "q": 0.5})}
+    with pytest.warns(UserWarning, match="cells can't meet"):
+        fitted = op5_mixing.rake(cells, targets)
+    assert max(op5_mixing.residual(fitted, targets).values()) > 0.1
+
+
+def test_raking_goes_on_until_it_is_there(spark):
+    """A slow fit: two sources that share their languages almost fully."""
+    cells = spark.createDataFrame([("a", "en", "p", 1, 9990), ("a", "de", "p", 1, 10), ("b", "en", "p", 1, 10), ("b", "de", "p", 1, 9990), (None, "de", "p", 1, 3)], "source string, lang string, topic string, docs long, tokens long")
+    share = lambda x: spark.createDataFrame(list(x.items()), "value string, share double")
+    targets = {"source": share({"a": 0.7, "b": 0.2, None: 0.1}), "lang": share({"en": 0.6, "de": 0.4}), "topic": share({"p": 1.0})}
+    fitted = op5_mixing.rake(cells, targets)
+    assert max(op5_mixing.residual(fitted, targets).values()) < 1e-8
+    got = {(r["source"], r["lang"]): r["fitted"] / r["tokens"] for r in fitted.collect()}
+    assert got["a", "en"] * got["b", "de"] == pytest.approx(got["a", "de"] * got["b", "en"], rel=1e-6)  # the cells' own association stays
+
+
+PLAIN = [
+    "password: hunter2xyz", "my pwd = Tr0ub4dor", "Password is sunshine99!", "passcode: k1tt3ns", "passwort: Berlin2019", "token: zx81-spectrum", "PIN: 48120 ", "login password:qwerty77",
+    "write to john [at] example [dot] com", "mail jane.roe(at)mail(dot)example(dot)org", "info[at]shop[dot]de",
+    "SSN 123-45-6789", "ssn: 987-65-4320", "social security number 219-09-9999", "national insurance number QQ 12 34 56 C", "NIF 12345678Z", "passport no. 533380006", "CPF 111.444.777-35", "passport X1234567",
+    "phone 020 7946 0958", "call 555-867-5309", "tel. (030) 901820", "Telefon: 0171 2345678", "teléfono 912 34 56 78", "call me on 0161 496 0000", "mobile: 07700 900982", "phone 212.555.0198",
+    "born 12/05/1987", "date of birth: 1990-03-14", "geboren am 03.11.1975", "born on 4 July 1976", "née le 21 mars 1962", "DOB 7/8/1964", "birthday: May 9, 1993",
+]
+
+
+def test_plain_personal_data_is_found(spark):
+    """Short passwords, spelled-out contacts, ids, local phones and dates of birth; and texts full of numbers that aren't personal."""
+    model = op7_pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    missed = []
+    for k, x in enumerate(PLAIN):
+        text = f"{prose(15)} {x} {prose(15)}"
+        value = re.search(r"hunter2xyz|Tr0ub4dor|sunshine99|k1tt3ns|Berlin2019|zx81-spectrum|48120|qwerty77|\S+ ?[\[(]at[\])] ?\S+(?: [\[(]dot[\])] \S+)*|QQ 12.*|[A-Z]?[0-9].*|May 9, 1993", x)[0].strip()
+        at = text.index(x) + x.index(value)
+        if not any(s <= at and at + len(value) <= e for s, e, _ in op7_pii.spans(text, model)[1]):
+            missed.append(x)
+    r = random.Random(4)
+    clean = [
+        lambda: f"the score was {r.randrange(9)}-{r.randrange(9)} after {r.randrange(90)} minutes", lambda: f"founded in {r.randrange(1800, 2020)} with {r.randrange(500)} members", lambda: f"on {r.randrange(1, 28)}/{r.randrange(1, 12)}/{r.randrange(1990, 2024)} it rained {r.randrange(40)} mm",
+        lambda: f"prices rose {r.randrange(30)}% to ${r.randrange(1, 900)}.{r.randrange(10, 99)}", lambda: f"chapter {r.randrange(30)}, page {r.randrange(400)}", lambda: f"version {r.randrange(9)}.{r.randrange(30)}.{r.randrange(9)} of the file", lambda: f"about {r.randrange(1, 99)},{r.randrange(100, 999)} people came at {r.randrange(24)}:{r.randrange(10, 59)}", lambda: "the password is required and the phone rang twice",
+    ]
+    hit = [t for t in (f"{prose(20)} {clean[i % len(clean)]()} {prose(20)}" for i in range(200)) if op7_pii.spans(t, model)[1]]
+    assert len(missed) <= 0.1 * len(PLAIN) and len(hit) <= 10, (missed, [re.findall(r"[^.]*[0-9][^.]*", t) for t in hit[:8]], len(hit))
+
+
+def test_calibration_by_kind():
+    bins = [(0.1, 0, 50), (0.2, 3, 10), (0.3, 2, 10), (0.6, 9, 10), (0.9, 10, 10)]
+    curve = op7_pii.isotonic(bins)
+    assert [p for _, p in curve] == sorted(p for _, p in curve) and curve[1] == (0.2, 0.25)
+    got = op7_pii.thresholds([("secret", s, g, n) for s, g, n in bins] + [("number", 0.3, 60, 60), ("number", 0.1, 0, 60)])
+    assert got["secret"] == 0.6 and got["number"] == 0.3 and got["contact"] == 0.3
