@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import aggregate as A
 from matchloom.operators import features as E
+from matchloom.operators import grid as B
 from matchloom.operators import groups as G
 from matchloom.operators import identity as D
 from matchloom.operators import models as M
+from matchloom.plans.aggregates import _SEASONS
 from matchloom.plans.features import _CF
 from matchloom.plans.groups import _MET
 from matchloom.plans.registry import query
@@ -58,28 +60,59 @@ def _(v):
     return M.point_metrics(_backtest(v, ("H", "S", "HP", "HS")))
 
 
-#: Candidates of each stage of the search.
-_C, _SINGLE, _PAIR = (0.01, 0.05, 0.2), (3, 5, 8), (8, 12)
+_PRIOR = f"""WITH {_SEASONS}, ob AS (SELECT 'H' AS family, hero AS name, count(*) AS observed FROM members WHERE season IS NOT NULL GROUP BY 2 UNION ALL SELECT 'S', skill, count(*) FROM carried WHERE season IS NOT NULL GROUP BY 2),
+ad AS (SELECT family, name AS key, (CASE WHEN family = 'H' THEN 0.4e0 ELSE 0.3e0 END) * greatest(-2e0, least(2e0, ln((coalesce(observed, 0) + 20e0) / (expected + 20e0)))) AS adjustment FROM ex LEFT JOIN ob USING (family, name) WHERE expected > 0),
+fw AS (SELECT coalesce(w.family, ad.family) AS family, coalesce(w.key, ad.key) AS key, coalesce(weight, 0) + coalesce(adjustment, 0) AS weight, w.key IS NOT NULL AS fitted FROM weights w FULL JOIN ad ON w.family = ad.family AND w.key = ad.key)"""
 
 
-@query("m05_grid_search")
+def _counts(v, matches=None):
+    """Observed and expected appearances of the catalog's items, over some matches."""
+    valid, members, carried = v.valid, v.members, v.carried
+    if matches is not None:
+        valid, members, carried = (t.join(matches.select("match_id"), "match_id", "left_semi") for t in (valid, members, carried))
+    return materialize(B.item_counts(A.expected_appearances(valid, v.heroes, v.skills), members, carried), "items")
+
+
+@query("m02_prior_weights", f"{_PRIOR} SELECT family, key, round(weight, 6) AS weight, fitted FROM fw WHERE fitted OR abs(weight) >= 1e-6")
 def _(v):
-    """Stages: the penalty, then the support floors, then pairs of skills or not; each starts from the best so far."""
-    scored = {}
+    """Weights with the selection prior; items that are too rare for a fitted weight have one by the prior alone."""
+    return B.with_prior(v.weights, _counts(v)).select("family", "key", F.round("weight", 6).alias("weight"), "fitted")
 
-    def loss(config):
-        c, single, pair, families = config
-        if config not in scored:
-            r = M.point_metrics(_backtest(v, families, c, single, pair)).first()
-            scored[config] = (r["log_loss"], r["brier"], -r["accuracy"], config)
-        return scored[config]
 
-    whole = ("H", "S", "HP", "HS", "SP")
-    best = min(((c, 5, 8, whole) for c in _C), key=loss)
-    best = min(((best[0], s, p, whole) for s in _SINGLE for p in _PAIR), key=loss)
-    best = min(((*best[:3], f) for f in (whole, whole[:-1])), key=loss)
-    rows = [(f"c={k[0]} floors={k[1]}/{k[2]} families={','.join(k[3])}", *x[:2], -x[2], k == best) for k, x in scored.items()]
-    return v.spark.createDataFrame(rows, "config string, log_loss double, brier double, accuracy double, chosen boolean")
+@query("m02_prior_predictions", f"{_PRIOR}, z AS (SELECT match_id, sum(CASE WHEN side = 1 THEN weight ELSE -weight END) AS z FROM features JOIN fw USING (family, key) WHERE fitted OR abs(weight) >= 1e-6 GROUP BY 1) SELECT match_id, round(1 / (1 + exp(-greatest(-30, least(30, coalesce(z, 0))))), 6) AS p FROM valid LEFT JOIN z USING (match_id)")
+def _(v):
+    p = M.predict(v.features, B.with_prior(v.weights, _counts(v)))
+    return v.valid.select("match_id").join(p, "match_id", "left").select("match_id", F.round(F.coalesce("p", F.lit(0.5)), 6).alias("p"))
+
+
+def _search(v):
+    m = v.valid.join(_held(v), "uploader").select("match_id", "held", F.expr("if(winner = 1, 1, 0)").alias("label"))
+    m = materialize(m, "split")
+    train = m.filter("NOT held")
+    return B.Search(v.features, train.drop("held"), m.filter("held").drop("held"), _counts(v, train))
+
+
+@query("m05_grid_search")
+def _(v):
+    """All configurations of the staged search with their development scores."""
+    s = _search(v)
+    best = s.run()
+    rows = [(*c, *x.values(), c == best) for c, x in s.scores.items()]
+    t = v.spark.createDataFrame(rows, "c double, single int, pair int, skill_pairs boolean, hero double, skill double, smoothing double, clip double, log_loss double, brier double, accuracy double, chosen boolean")
+    return t.withColumns({m: F.round(m, 6) for m in ("log_loss", "brier", "accuracy")})
+
+
+@query("m05_fits_are_optimal", "SELECT unnest([5e-2, 1e-1, 2e-1, 5e-1]) AS c, count(*) AS columns, true AS optimal FROM (SELECT family, key FROM features GROUP BY family, key HAVING count(DISTINCT match_id) >= CASE WHEN family IN ('H', 'S') THEN 3 ELSE 5 END)")
+def _(v):
+    """Fits of four penalties in one descent; their gradients, by aggregations that share nothing with the fit, are as good as 0."""
+    label = _label(v).select("match_id", "label")
+    s = B.Search(v.features, label, label.limit(0), _counts(v))
+    out = None
+    for c, w in zip(B.PENALTIES, B.fit_many(s.rows, [[True] * len(s.columns)] * len(B.PENALTIES), B.PENALTIES), strict=True):
+        weights = v.spark.createDataFrame([(i, float(x)) for i, x in enumerate(w[:-1])], "i int, weight double")
+        t = B.slope_left(s.rows, weights, float(w[-1]), c).agg(F.lit(c).alias("c"), F.count_if(F.col("i") >= 0).alias("columns"), (F.max(F.abs("slope")) < 1e-5).alias("optimal"))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @query("m06_controlled_comparison")
