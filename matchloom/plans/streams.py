@@ -116,18 +116,37 @@ def _(v):
     return new.join(old, "round", "left").select("round", F.when(F.col("reset"), F.col("after")).otherwise(F.col("after") - F.coalesce("before", F.lit(0))).alias("increment"))
 
 
-@query("z09_pending_cap", "SELECT id FROM submissions ORDER BY id LIMIT 520")
+@query("z09_pending_cap", """WITH RECURSIVE f AS (SELECT k, (SELECT count(*) FROM submissions WHERE (id * 6) // ((SELECT max(id) FROM submissions) + 1) <= k) AS arrived FROM range(6) r(k)),
+s AS (SELECT CAST(0 AS BIGINT) AS k, arrived, CAST(0 AS BIGINT) AS done, least(500, arrived) AS pending, arrived - least(500, arrived) AS waiting FROM f WHERE k = 0
+UNION ALL SELECT f.k, f.arrived, s.done + least(20, s.pending), s.pending - least(20, s.pending) + least(500 - s.pending + least(20, s.pending), f.arrived - s.done - s.pending), f.arrived - s.done - s.pending - least(500 - s.pending + least(20, s.pending), f.arrived - s.done - s.pending) FROM s JOIN f ON f.k = s.k + 1)
+SELECT CAST(k AS INT) AS batch, arrived, CAST(done AS BIGINT) AS done, CAST(pending AS BIGINT) AS pending, CAST(waiting AS BIGINT) AS waiting FROM s""")
 def _(v):
-    processed = v.submissions.orderBy("id").limit(20).count()
-    return v.submissions.orderBy("id").limit(processed + 500).select("id")
+    """Six arrivals, each by an object of its own that goes on where the last one stopped; the first one comes twice."""
+    root = f"{shared_dir(v.spark)}/queue-{uuid.uuid4().hex}"
+    s = v.submissions.select("id")
+    s = materialize(s.crossJoin(F.broadcast(s.agg((F.max("id") + 1).alias("m")))).selectExpr("id", "id * 6 div m AS k"), "arrivals")
+    for k in range(6):
+        a = Z.Admission(v.spark, f"{root}/state")
+        for _ in range(2 if k == 0 else 1):
+            a.apply(s.filter(F.col("k") == k), k)
+    return Z.Admission(v.spark, f"{root}/state").log()
 
 
 @query("z10_client_queue", "SELECT user_id, count(*) AS queued, min(event_id) AS oldest FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, ts, max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE rn <= 50 AND ts >= last - INTERVAL 7 DAYS GROUP BY 1")
 def _(v):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = v.table("events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    t = v.table("events").withColumn("rn", F.row_number().over(w)).filter("rn <= 50").join(last, "user_id")
-    return t.filter("ts >= last - INTERVAL 7 DAYS").groupBy("user_id").agg(F.count(F.lit(1)).alias("queued"), F.min("event_id").alias("oldest"))
+    """Events arrive in order of time, some twice; the stream stops half-way and goes on from its state."""
+    root = f"{shared_dir(v.spark)}/queues-{uuid.uuid4().hex}"
+    e = v.table("events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    e = materialize(e.unionByName(e.filter("event_id % 5 = 0")), "queue")
+    middle = e.agg(F.percentile_approx(F.unix_micros("at"), 0.5)).first()[0]
+    parts = []
+    for k, part in enumerate((F.unix_micros("at") <= middle, F.unix_micros("at") > middle)):
+        Z.landing(e.filter(part), "at", 2, f"{root}/landing")
+        out = f"{root}/out{k}"
+        Z.drain(Z.client_queues(Z.read(v.spark, f"{root}/landing")), lambda df, n, out=out: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), "update", f"{root}/progress")
+        parts.append(v.spark.read.parquet(out))
+    t = parts[0].unionByName(parts[1]).filter("queued > 0")
+    return t.groupBy("user_id").agg(F.max_by(F.struct("queued", "oldest"), F.struct("last", "batch")).alias("q")).select("user_id", "q.queued", "q.oldest")
 
 
 @query("z11_old_rows", "SELECT count(*) AS n, count(*) FILTER (received_at < (SELECT max(received_at) FROM choice) - INTERVAL 14 DAYS) AS old FROM choice")

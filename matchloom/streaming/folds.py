@@ -120,6 +120,84 @@ class Fold:
         self.versions.write(now, number)
 
 
+class Admission:
+    """At most ``most`` rows wait for the consumer; rows that find no room wait in the landing order and are lost never.
+
+    State, one version a micro-batch: (id, state), state one of waiting, pending, done. A micro-batch first takes what the
+    consumer has finished (the ``pace`` oldest pending rows), then admits rows by id while there is room. Ids of waiting rows are persisted,
+    so back-pressure survives a restart; a micro-batch that is sent again finds its version there."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, most: int = 500, pace: int = 20):
+        self.spark, self.most, self.pace = spark, most, pace
+        self.root = root or f"{shared_dir(spark)}/admission-{uuid.uuid4().hex}"
+        self.versions = Versions(spark, f"{self.root}/state")
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        if number <= self.versions.last():
+            return
+        new = batch.select(F.col("id").cast("long").alias("id"), F.lit("waiting").alias("state"))
+        old = self.versions.read()
+        t = new if old is None else old.unionByName(new.join(old.select("id"), "id", "left_anti"))
+        n = {r["state"]: r["count"] for r in t.groupBy("state").count().collect()}
+        finished = min(self.pace, n.get("pending", 0))
+        room = self.most - n.get("pending", 0) + finished
+        # the smallest ids of a state: a top-k of at most ``most`` rows
+        first = lambda state, k, then: t.filter(F.col("state") == state).orderBy("id").limit(k).select(F.col("id").alias("_id"), F.lit(then).alias("_then"))
+        moved = first("pending", finished, "done").unionByName(first("waiting", room, "pending"))
+        now = t.join(F.broadcast(moved), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_then", "state").alias("state"))
+        self.versions.write(now, number)
+        arrived = n.get("waiting", 0) + n.get("pending", 0) + n.get("done", 0)
+        admitted = min(room, n.get("waiting", 0))
+        row = (number, arrived, n.get("done", 0) + finished, n.get("pending", 0) - finished + admitted, n.get("waiting", 0) - admitted)
+        self.spark.createDataFrame([row], "batch int, arrived long, done long, pending long, waiting long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/{number}")
+
+    def log(self) -> DataFrame:
+        """(batch, arrived, done, pending, waiting): totals after each micro-batch."""
+        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/log")
+
+
+def client_queues(stream: DataFrame, most: int = 50, days: int = 7) -> DataFrame:
+    """(user_id, queued, oldest, last, at) after every change of a client's queue, by arbitrary state.
+
+    A client's state is a list of its last ``most`` events with different ids that are no older than ``days`` before its newest one. A timer of
+    event time clears the queue of a client that has been silent for so long after the watermark has passed. Rows: (user_id, event_id, at)."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    span = days * 86_400_000_000
+
+    class Queue(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getListState("held", "event_id long, ts long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = dict(self.held.get()) if self.held.exists() else {}
+            for part in rows:
+                for e, at in zip(part["event_id"].tolist(), part["at"].astype("datetime64[us]").astype("int64").tolist(), strict=True):
+                    held.setdefault(e, at)
+            newest = max(held.values())
+            kept = sorted((at, e) for e, at in held.items() if at >= newest - span)[-most:]
+            self.held.put([(e, at) for at, e in kept])
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer((newest + span) // 1000 + 1)
+            yield pd.DataFrame({"user_id": [key[0]], "queued": [len(kept)], "oldest": [min(e for _, e in kept)], "last": [newest]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last = max(at for _, at in self.held.get())
+            self.held.clear()
+            yield pd.DataFrame({"user_id": [key[0]], "queued": [0], "oldest": [None], "last": [last + span]}).astype({"oldest": "Int64"})
+
+        def close(self) -> None:
+            pass
+
+    # arbitrary state needs the embedded store
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s = stream.withWatermark("at", "0 seconds").groupBy("user_id")
+    return s.transformWithStateInPandas(Queue(), "user_id long, queued long, oldest long, last long", "update", "eventTime")
+
+
 class Online:
     """The choice model's state under a folder, and each micro-batch's scores from before its update.
 
