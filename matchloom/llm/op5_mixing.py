@@ -1,7 +1,7 @@
 """Operator 5, mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Documents are counted into cells (source, language, topic) with their tokens. Raking multiplies the
-cells' weights by a factor for each value of each marginal, so that one marginal after another meets its target shares, until all of them are within
+cells' weights so that one marginal after another meets its target shares, until all of them are within
 ``TOLERANCE`` (summed distance of shares); what comes out has the documents' own association and the
 targets' marginals. There is no limit of rounds: where the cells can't meet the targets, the fit ends when the distance has not
 got smaller by ``PROGRESS`` in ``PATIENCE`` rounds, and a warning gives the distance left (``residual`` measures it). A document of a cell is kept with probability min(1, c * fitted / tokens),
@@ -11,9 +11,9 @@ Default targets flatten each marginal: shares to the power ``FLATTEN``, so a sou
 all tokens is cut back and small ones gain. Topic is the text's form: notice, contact, short or prose.
 
 Only built-in functions run. Cells are aggregated before anything is shuffled, so a hot source costs
-a row for each cell and task. Cells never change: a round is one job that sums them by each marginal in turn, with the other marginals'
-newest factors, and writes the factors only (a row for each value); the round before is deleted. So a plan is never larger than one round's; joins are by key, broadcast only under Spark's
-own size limit. Cases: null sources and languages are groups of their own; a null text counts
+a row for each cell and task. A step adds up the cells by one marginal, joins the sums back and writes the cells anew; the cells
+before are deleted. So a plan is never larger than one step's; joins are by key, broadcast only under Spark's own size limit.
+How far a marginal was from its target when its step began is read off the written cells, without another shuffle. Cases: null sources and languages are groups of their own; a null text counts
 as empty; very long texts are counted whole; texts without a word have weight zero and are kept with
 probability one where their whole cell has none; rows without an id share a draw; repeated rows share
 theirs; an empty table gives none; all columns pass through, whatever their names.
@@ -83,40 +83,27 @@ def _written(df: DataFrame, old: str | None) -> tuple[DataFrame, str]:
 
 def rake(cell: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
     """Cells with ``fitted``: shares of all tokens that meet the targets, as near as the cells allow."""
-    share = {m: targets[m].select(F.col("value").alias("_v"), F.col("share").alias("_share")) for m in MARGINALS}
-    value = {m: F.col(m).eqNullSafe(F.col("_v")) for m in MARGINALS}
-
-    def times(rows: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-        out = rows.withColumn("fitted", F.col("tokens").cast("double"))
-        for m, f in factors.items():
-            f = f.select(F.col("value").alias("_v"), F.col("factor").alias("_f"))
-            out = out.join(f, value[m], "left").withColumn("fitted", F.col("fitted") * F.coalesce("_f", F.lit(0.0))).drop("_v", "_f")
-        return out
-
-    def first(m: str) -> DataFrame:
-        return cell.select(F.col(m).alias("value")).distinct().withColumns({"factor": F.lit(1.0), "off": F.lit(0.0)})
-
-    def step(m: str, factors: dict[str, DataFrame]) -> DataFrame:
-        now = times(cell, {k: f for k, f in factors.items() if k != m}).groupBy(m).agg(F.sum("fitted").alias("now"))
-        now = now.join(share[m], value[m], "left").drop("_v").withColumn("_share", F.coalesce("_share", F.lit(0.0)))
-        old = factors[m].select(F.col("value").alias("_v"), F.col("factor").alias("_old"))
-        return now.join(old, value[m], "left").select(F.col(m).alias("value"), F.coalesce(F.try_divide("_share", "now"), F.lit(0.0)).alias("factor"), F.abs(F.col("_old") * F.col("now") - F.col("_share")).alias("off"))
-
-    def tagged(factors: dict[str, DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [f.select(F.lit(m).alias("m"), F.col("value").cast("string").alias("value"), "factor", "off") for m, f in factors.items()])
-
-    t, path = _written(tagged({m: first(m) for m in MARGINALS}), None)
+    t, share, seen = cell, {m: f"_share_{m}" for m in MARGINALS}, {m: f"_seen_{m}" for m in MARGINALS}
+    for m in MARGINALS:
+        own = targets[m].select(F.col("value").alias("_v"), F.col("share").alias(share[m]))
+        t = t.join(own, F.col(m).eqNullSafe(F.col("_v")), "left").drop("_v").withColumn(seen[m], F.lit(0.0))
+    t, path = _written(t.withColumn("fitted", F.col("tokens").cast("double")), None)
+    # the cells of a value sum to its share after its step, so their parts of the distance sum to the value's
+    apart = [F.sum(F.abs(F.try_divide(F.col(seen[m]), F.col(share[m])) - 1) * F.col(f"_after_{m}")) for m in MARGINALS]
+    t, path = _written(t.withColumns({f"_after_{m}": F.lit(0.0) for m in MARGINALS}), path)
+    columns = t.columns
     best, since = float("inf"), 0
     while since < PATIENCE:
-        factors = {m: t.filter(F.col("m") == m) for m in MARGINALS}
         for m in MARGINALS:
-            factors = factors | {m: step(m, factors)}
-        t, path = _written(tagged(factors), path)
-        off = t.groupBy("m").agg(F.sum("off").alias("off")).agg(F.max("off")).first()[0] or 0.0
+            now = t.groupBy(F.col(m).alias("_v")).agg(F.sum("fitted").alias("_now"))
+            after = F.col("fitted") * F.coalesce(F.try_divide(F.col(share[m]), F.col("_now")), F.lit(0.0))
+            t = t.join(now, F.col(m).eqNullSafe(F.col("_v")), "left").withColumns({"fitted": after, seen[m]: F.col("_now"), f"_after_{m}": after})
+            t, path = _written(t.select(*columns), path)
+        off = max(x or 0.0 for x in t.agg(*apart).first())
         if off <= tolerance:
             break
         best, since = (off, 0) if off < (1 - PROGRESS) * best else (best, since + 1)
-    fitted = materialize(times(cell, {m: t.filter(F.col("m") == m) for m in MARGINALS}), "raked")
+    fitted = t.drop(*share.values(), *seen.values(), *[f"_after_{m}" for m in MARGINALS])
     left = max(residual(fitted, targets).values())
     if left > 10 * tolerance:
         warnings.warn(f"raking ended {left:.2e} from its targets, which the cells can't meet", stacklevel=2)
