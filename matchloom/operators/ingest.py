@@ -39,10 +39,15 @@ def schema_contract(rows: DataFrame, expected: dict[str, str], unique: tuple[str
 
 
 def capture_time(name: Column) -> Column:
-    """The time in a file's name: 2025-08-31-160345, epoch milliseconds, or 2025-08-31 at 4.03.45 PM."""
+    """The time in a file's name: 2025-08-31-160345, epoch milliseconds, or 2025-08-31 at 4.03.45 PM, in any case and
+    with any kind of space (a narrow one, U+202F, on recent systems)."""
     dated = F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}-\d{6})", 1), F.lit("")), F.lit("yyyy-MM-dd-HHmmss"))
     millis = F.timestamp_millis(F.nullif(F.regexp_extract(name, r"(?<!\d)(\d{12,13})(?!\d)", 1), F.lit("")).cast("long"))
-    spoken = F.try_to_timestamp(F.concat_ws(" ", F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}) at \d{1,2}\.\d{2}\.\d{2} [AP]M", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"at (\d{1,2}\.\d{2}\.\d{2} [AP]M)", 1), F.lit(""))), F.lit("yyyy-MM-dd h.mm.ss a"))
+    plain = F.upper(F.translate(name, "\u202f\u00a0\u2009", "   "))
+    clock = F.regexp_extract(plain, r"\d{4}-\d{2}-\d{2} AT (\d{1,2}\.\d{2}\.\d{2}) *[AP]M", 1)
+    half = F.regexp_extract(plain, r" AT \d{1,2}\.\d{2}\.\d{2} *([AP]M)", 1)
+    day = F.regexp_extract(plain, r"(\d{4}-\d{2}-\d{2}) AT \d", 1)
+    spoken = F.try_to_timestamp(F.nullif(F.concat_ws(" ", day, clock, half), F.lit("  ")), F.lit("yyyy-MM-dd h.mm.ss a"))
     return F.coalesce(dated, millis, spoken)
 
 
@@ -59,3 +64,15 @@ def join_points(lines: DataFrame, by: str, order: str, starts: Column, text: str
     t = lines.withColumn("point", F.sum(starts.cast("int")).over(w)).filter("point > 0")
     rows = F.sort_array(F.collect_list(F.struct(order, text)))
     return t.groupBy(by, "point").agg(F.array_join(F.transform(rows, lambda x: x[text]), " ").alias("text"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def asset_check(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Files of a folder against a manifest (name, size, sha256): (name, status, size), status ok, changed, missing or extra.
+
+    A file's name is its path under the folder without Spark's part name; bytes are read by the tasks, one file at a time."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    found = found.select(F.regexp_extract("path", r"([^/]+)/part-[^/]*$", 1).alias("name"), F.col("length").alias("_size"), F.sha2("content", 256).alias("_sha")).filter("_size > 0")
+    t = manifest.withColumn("_listed", F.lit(True)).join(found, "name", "full")
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("sha256").eqNullSafe(F.col("_sha"))
+    status = F.when(F.col("_listed").isNull(), "extra").when(F.col("_sha").isNull(), "missing").when(same, "ok").otherwise("changed")
+    return t.select("name", status.alias("status"), F.col("_size").alias("size"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchloom.operators import identity as D
 from matchloom.operators import ingest as S
 from matchloom.plans.registry import query
-from matchloom.session import shared_dir
+from matchloom.session import materialize, shared_dir
 from matchloom.sources.sinks import publish
 
 
@@ -15,8 +17,6 @@ from matchloom.sources.sinks import publish
 def _(v):
     side = lambda i: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == i, F.struct("slot", F.struct(F.col("hero").alias("name"), F.array("s0", "s1", "s2").alias("skills")).alias("m"))))), lambda x: x["m"])
     docs = v.members.groupBy("match_id", "season", "winner").agg(side(1).alias("1"), side(2).alias("2"))
-    import uuid
-
     path = f"{shared_dir(v.spark)}/json-{uuid.uuid4().hex}"
     docs.select("1", "2", F.col("winner").cast("string").alias("winner"), "season", F.array(F.col("match_id").cast("string")).alias("fuzzy_match_failures")).write.json(path)
     t = v.spark.read.schema(S.MATCH_JSON).json(path)
@@ -40,11 +40,21 @@ def _(v):
     return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
-@query("s04_manifest_check", "SELECT CAST(c_nationkey AS INT) AS part, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(c_name), 1, 8) AS BIGINT)) AS BIGINT) AS digest, true AS ok FROM customer GROUP BY 1")
+@query("s04_asset_check", """WITH a AS (SELECT c_custkey // 200 AS k, string_agg(c_name || ' ' || c_mktsegment, ';' ORDER BY c_custkey) || chr(10) AS text FROM customer GROUP BY 1)
+SELECT 'asset=' || k AS name, CASE WHEN k % 7 = 3 THEN 'changed' WHEN k % 7 = 5 THEN 'missing' ELSE 'ok' END AS status, CASE WHEN k % 7 <> 5 THEN strlen(text) END AS size FROM a
+UNION ALL SELECT 'asset=' || (1000000 + k), 'extra', strlen(text) FROM a WHERE k % 7 = 6""")
 def _(v):
-    t = v.table("customer").groupBy(F.col("c_nationkey").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha2("c_name", 256), 1, 8), 16, 10).cast("long")).alias("digest"))
-    manifest = t.select("part", F.col("n").alias("n0"), F.col("digest").alias("d0"))
-    return t.join(manifest, "part").select("part", "n", "digest", (F.col("n").eqNullSafe(F.col("n0")) & F.col("digest").eqNullSafe(F.col("d0"))).alias("ok"))
+    """Files of 200 customers each; of every seven, one has a byte that its manifest doesn't know, one is missing, and one has a copy under a name that isn't listed."""
+    path = f"{shared_dir(v.spark)}/assets-{uuid.uuid4().hex}"
+    row = F.struct("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["text"]), ";")
+    t = materialize(v.table("customer").groupBy(F.expr("c_custkey div 200").alias("k")).agg(lines.alias("value")), "assets")
+    byte = F.concat(F.expr("if(k % 7 = 3, 'x', substring(value, 1, 1))"), F.expr("substring(value, 2)"))
+    files = t.filter("k % 7 <> 5").select(F.col("k").alias("asset"), byte.alias("value")).unionByName(t.filter("k % 7 = 6").select((F.col("k") + 1_000_000).alias("asset"), "value"))
+    files.repartition("asset").write.partitionBy("asset").text(path)
+    text = F.concat("value", F.lit("\n"))
+    manifest = t.select(F.concat(F.lit("asset="), F.col("k")).alias("name"), F.octet_length(text).alias("size"), F.sha2(text, 256).alias("sha256"))
+    return S.asset_check(v.spark, path, manifest).withColumn("size", F.col("size").cast("long"))
 
 
 @query("s05_rows_after_cursor", "SELECT id, match_id FROM submissions WHERE id > 100 ORDER BY id LIMIT 500")
@@ -57,9 +67,11 @@ def _(v):
     return S.bounds(v.submissions, "id")
 
 
-@query("s07_schema_contract", "SELECT unnest(['column event_id', 'column ts', 'column user_id', 'column props', 'unique event_id']) AS item, true AS ok")
+@query("s07_schema_contract", """SELECT unnest(['column event_id', 'column ts', 'column user_id', 'column props', 'column session']) AS item, unnest([true, true, false, true, false]) AS ok UNION ALL
+SELECT 'unique event_id', count(*) = count(DISTINCT event_id) FROM events UNION ALL SELECT 'unique user_id', count(*) = count(DISTINCT user_id) FROM events""")
 def _(v):
-    return S.schema_contract(v.table("events"), {"event_id": "bigint", "ts": dict(v.table("events").dtypes)["ts"], "user_id": "bigint", "props": "string"}, ("event_id",))
+    """A contract that the table breaks: a type, a column and a key of it are wrong."""
+    return S.schema_contract(v.table("events"), {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "string", "props": "string", "session": "string"}, ("event_id", "user_id"))
 
 
 @query("s09_published_artifact", "SELECT family, count(*) AS n, round(sum(weight), 4) AS total FROM weights GROUP BY 1")
@@ -71,7 +83,7 @@ def _(v):
 @query("s10_capture_times", """SELECT match_id, captured_at AS captured FROM matches WHERE match_id % 3 < 2 UNION ALL SELECT match_id, date_trunc('second', captured_at) FROM matches WHERE match_id % 3 = 2""")
 def _(v):
     c = F.col("captured_at")
-    name = F.when(F.col("match_id") % 3 == 0, F.concat(F.date_format(c, "yyyy-MM-dd-HHmmss"), F.lit(".json"))).when(F.col("match_id") % 3 == 1, F.concat(F.lit("img_"), F.unix_millis(c.cast("timestamp")), F.lit(".png"))).otherwise(F.concat(F.lit("Screen "), F.date_format(c, "yyyy-MM-dd"), F.lit(" at "), F.date_format(c, "h.mm.ss a"), F.lit(".png")))
+    name = F.when(F.col("match_id") % 3 == 0, F.concat(F.date_format(c, "yyyy-MM-dd-HHmmss"), F.lit(".json"))).when(F.col("match_id") % 3 == 1, F.concat(F.lit("img_"), F.unix_millis(c.cast("timestamp")), F.lit(".png"))).otherwise(F.concat(F.lit("Screen "), F.date_format(c, "yyyy-MM-dd"), F.lit(" at "), F.date_format(c, "h.mm.ss"), F.expr("if(match_id % 2 = 0, ' ', '\u202f')"), F.expr("if(match_id % 5 < 2, lower(date_format(captured_at, 'a')), date_format(captured_at, 'a'))"), F.lit(".png")))
     return v.matches.select("match_id", S.capture_time(name).alias("captured"))
 
 

@@ -68,11 +68,15 @@ def _(v):
     return _fold(v).state()
 
 
-@query("z05_session_windows", "SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, visit, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY 1, 2 HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events)) GROUP BY 1")
+@query("z05_session_windows", """WITH l AS (SELECT source, uploader, captured_at AS ts, lag(captured_at) OVER (PARTITION BY source, uploader ORDER BY captured_at) AS prev FROM matches), s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY source, uploader ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM l)
+SELECT source, uploader, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS matches FROM (SELECT source, uploader, visit, count(*) AS n FROM s GROUP BY 1, 2, 3 HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(captured_at) FROM matches) - INTERVAL 1 DAY) GROUP BY 1, 2""")
 def _(v):
-    s = _stream(v, order="ts").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
-    s = s.groupBy(F.session_window("at", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "n")
-    return Z.collect_stream(s).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
+    """Sessions of 30 minutes by source and contributor; every seventeenth match arrives twelve hours late, within the watermark's day."""
+    m = v.matches.select("match_id", "source", "uploader", F.col("captured_at").cast("timestamp").alias("at"))
+    m = m.withColumn("arrives", F.expr("if(match_id % 17 = 0, at + INTERVAL 12 HOURS, at)"))
+    s = _stream(v, m, order="arrives").withWatermark("at", "1 day")
+    s = s.groupBy(F.session_window("at", "30 minutes"), "source", "uploader").agg(F.count(F.lit(1)).alias("n")).select("source", "uploader", "n")
+    return Z.collect_stream(s).groupBy("source", "uploader").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("matches"))
 
 
 @query("z06_replay_check", "SELECT 0 AS differences, count(DISTINCT round) AS groups, count(*) AS events FROM choice")

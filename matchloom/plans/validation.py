@@ -41,15 +41,20 @@ def _(v):
     return t.select("match_id", "side", reason.alias("reason"))
 
 
-@query("v05_submission_rows", """SELECT id, CASE WHEN NOT regexp_full_match(uuid, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'uuid' WHEN season IS NULL THEN 'catalog' WHEN strlen(uploader_name) > 6 THEN 'size' WHEN stored_hash IS NULL OR length(stored_hash) <> 64 THEN 'hash_format' WHEN stored_hash <> fingerprint THEN 'hash' END AS reason FROM submissions""")
+#: Bytes of a record at most (fixed value).
+RECORD_BYTES = 16 * 1024
+
+
+@query("v05_submission_rows", """SELECT id, CASE WHEN NOT regexp_full_match(uuid, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'uuid' WHEN season IS NULL THEN 'catalog' WHEN strlen(CASE WHEN id % 37 = 0 THEN repeat(fingerprint, 300) ELSE fingerprint END) > 16384 THEN 'size' WHEN stored_hash IS NULL OR length(stored_hash) <> 64 THEN 'hash_format' WHEN stored_hash <> fingerprint THEN 'hash' END AS reason FROM submissions""")
 def _(v):
-    """The stored hash is held against the one recomputed from the match's members."""
+    """Records of at most 16 KiB; the stored hash is held against the one recomputed from the match's members."""
     from matchloom.operators.identity import semantic_fingerprint
 
     again = semantic_fingerprint(v.members).select("match_id", F.col("fingerprint").alias("recomputed"))
-    t = v.submissions.drop("fingerprint").join(again, "match_id", "left")
+    record = F.expr("if(id % 37 = 0, repeat(fingerprint, 300), fingerprint)")
+    t = v.submissions.withColumn("record", record).drop("fingerprint").join(again, "match_id", "left")
     return t.select("id", V.first_reason(
-        (F.col("uuid").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid"), (F.col("season").isNotNull(), "catalog"), (F.octet_length("uploader_name") <= 6, "size"),
+        (F.col("uuid").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid"), (F.col("season").isNotNull(), "catalog"), (F.coalesce(F.octet_length("record"), F.lit(0)) <= RECORD_BYTES, "size"),
         (F.col("stored_hash").rlike("^[0-9a-f]{64}$"), "hash_format"), (F.col("stored_hash") == F.col("recomputed"), "hash"),
     ).alias("reason"))
 
@@ -77,10 +82,20 @@ def _(v):
     return V.repeated_keys(t, event_id=F.lower("id"), session_round=F.concat_ws("|", "session", F.col("round").cast("string")))
 
 
-@query("v09_display_names", "SELECT id, length(uploader_name) <= 80 AS fits, trim(uploader_name) <> '' AS named FROM submissions")
+#: Names as they come: some with characters that aren't seen, or separate lines; a joiner is fine.
+_NAMES = "CASE id % 9 WHEN 1 THEN uploader_name || {0}(8203) WHEN 2 THEN uploader_name || {0}(8232) WHEN 3 THEN {0}(8233) || uploader_name WHEN 4 THEN uploader_name || {0}(8205) WHEN 5 THEN repeat(uploader_name, 20) WHEN 6 THEN uploader_name || {0}(7) WHEN 7 THEN {0}(8205) ELSE uploader_name END"
+
+
+@query("v09_display_names", f"""WITH n AS (SELECT id, {_NAMES.format('chr')} AS name FROM submissions) SELECT id, length(name) <= 80 AND NOT regexp_matches(replace(name, chr(8205), ''), '[\\p{{Cc}}\\p{{Cf}}\\p{{Zl}}\\p{{Zp}}]') AS fits, trim(replace(name, chr(8205), '')) <> '' AS named FROM n""")
 def _(v):
-    hidden = F.col("uploader_name").rlike(r"[\p{Cc}\p{Cf}&&[^‍]]")
-    return v.submissions.select("id", ((F.char_length("uploader_name") <= 80) & ~hidden).alias("fits"), (F.trim(F.translate("uploader_name", "‍", "")) != "").alias("named"))
+    """Control, format, surrogate and line or paragraph separating characters are refused, but for the joiner."""
+    letter = lambda k: f"decode(encode('{chr(k)}', 'utf-8'), 'utf-8')"
+    sql = _NAMES
+    for k in (8203, 8232, 8233, 8205, 7):
+        sql = sql.replace(f"{{0}}({k})", letter(k))
+    name = F.expr(sql)
+    hidden = name.rlike(r"[\p{Cc}\p{Cf}\p{Cs}\p{Zl}\p{Zp}&&[^\u200d]]")
+    return v.submissions.select("id", ((F.char_length(name) <= 80) & ~hidden).alias("fits"), (F.trim(F.translate(name, "\u200d", "")) != "").alias("named"))
 
 
 @query("v10_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS utc FROM events")
