@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from test_llm import docs, empty, prose, rows  # noqa: F401
 
-from matchloom.llm import op1_quality, op5_mixing, op7_pii, op11_spelling, op12_alignment, op13_toxicity
+from matchloom.llm import op1_quality, op5_mixing, op7_pii, op9_ann, op11_spelling, op12_alignment, op13_toxicity
 
 SF = "/root/testdata/sf0.001"
 LETTERS = [chr(x) for x in [*range(97, 123), *range(0xC0, 0x100)]]
@@ -288,3 +288,48 @@ def test_calibration_by_kind():
     assert [p for _, p in curve] == sorted(p for _, p in curve) and curve[1] == (0.2, 0.25)
     got = op7_pii.thresholds([("secret", s, g, n) for s, g, n in bins] + [("number", 0.3, 60, 60), ("number", 0.1, 0, 60)])
     assert got["secret"] == 0.6 and got["number"] == 0.3 and got["contact"] == 0.3
+
+
+def clustered(n=6000, d=48, centres=300, seed=3):
+    g = np.random.default_rng(seed)
+    c = g.normal(size=(centres, d))
+    return c[g.integers(0, centres, n)] + 0.15 * g.normal(size=(n, d))
+
+
+def test_lists_prune_clustered_vectors(spark):
+    x = clustered()
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    model = op9_ann.fit(op9_ann.usable(df))
+    assert model["lists"]["share"] <= 0.2, model["lists"]
+    asked = df.filter("vec_id % 50 = 0")
+    got = {}
+    for r in op9_ann.search(df, asked, model=model).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(x), 50):
+        s = unit @ unit[i]
+        s[i] = -2
+        want = set(np.argsort(-s)[:5].tolist())
+        rows_ = sorted(got[i])
+        assert [a for a, _, _ in rows_] == [1, 2, 3, 4, 5]
+        assert all(c == pytest.approx(s[b], abs=1e-12) for _, b, c in rows_)
+        hits += len(want & {b for _, b, _ in rows_})
+    assert hits >= 0.9 * 5 * len(got)
+
+
+def test_both_ways_find_the_same(spark):
+    """Whatever the lists find within the radius is what a plain scan of the codes finds; queries with too few rows get them from the tiles."""
+    x = clustered(800, 32, 40)
+    x[700:] = np.random.default_rng(9).normal(size=(100, 32)) * 3  # loners
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    model = op9_ann.fit(op9_ann.usable(df))
+    how = model["lists"] | {"share": 0.1}
+    v = op9_ann.usable(df).withColumn("at", op9_ann.F.col("vec_id"))
+    q = v.filter("vec_id % 10 = 0").withColumnRenamed("at", "query")
+    pairs = {(r["query_id"], r["vec_id"]) for r in op9_ann.by_lists(v, q, model).collect()}
+    codes = op9_ann.encode(model, op9_ann._unit(x))[:, : how["bits"] // 8]
+    far = np.bitwise_count(codes[::10][:, None, :] ^ codes[None]).sum(axis=2)
+    assert pairs == {(10 * i, j) for i, j in zip(*np.nonzero(far <= how["radius"]), strict=True) if 10 * i != j}
+    got = op9_ann.search(df, df.filter("vec_id % 10 = 0"), model=model | {"lists": how}).groupBy("query_id").count().collect()
+    assert len(got) == 80 and {r["count"] for r in got} == {5}
