@@ -9,7 +9,8 @@ split again from the last piece before the change and stop where old and new pie
 
 Spark deals the rows; each task encodes whole texts and keeps the codes of recent pieces (memory bounded
 in bytes, ``REMEMBERED``). Cases: null counts as an empty text (no tokens); repeated rows get equal results; very long
-texts and pieces are encoded whole, in time proportional to their length.
+texts and pieces are encoded whole, in time proportional to their length. Of pairs of equal rank the leftmost merges first, as
+in the public library; an empty table gives no rows; other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

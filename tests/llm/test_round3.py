@@ -333,3 +333,9 @@ def test_both_ways_find_the_same(spark):
     assert pairs == {(10 * i, j) for i, j in zip(*np.nonzero(far <= how["radius"]), strict=True) if 10 * i != j}
     got = op9_ann.search(df, df.filter("vec_id % 10 = 0"), model=model | {"lists": how}).groupBy("query_id").count().collect()
     assert len(got) == 80 and {r["count"] for r in got} == {5}
+
+
+def test_names_without_a_value_propose_nothing():
+    """An id's name before many groups of capitals, with a digit far behind."""
+    for t in ("iban AB CD EF GH IJ KL MN OP QR ST 7", "passport no - ABC. 12", "ssn: x" * 3000, "account " * 2000 + "1", "ID NO A B C D E F G H I J 5"):
+        assert all(0 <= s < e <= len(t) for s, e, _ in op7_pii.candidates(t))
