@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.components import connected_components
+from matchloom.session import materialize
 
 
 def roster_groups(matches: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -22,8 +23,8 @@ def session_links(reports: DataFrame, minutes: int = 30) -> DataFrame:
     """(id, first): each report with the first of its capture session.
 
     Reports of one source (of one uploader, for uploads by others) are a session while gaps are at most ``minutes``;
-    an external report is its own. A source's sessions are found by a sort within days: a day's first reports tell
-    whether its predecessor's last one is near, so no window holds all of a source."""
+    an external report is its own. A source's runs are found by a sort within days: a day's first reports tell
+    whether its predecessor's last one is near. Runs that go on over midnight are joined by ``last_start``, so no window holds all of a source."""
     part = F.when(F.col("source") == "own", "own").when(F.col("source") == "others", F.concat_ws(":", F.lit("others"), F.col("uploader").cast("string"))).otherwise(F.concat_ws(":", F.lit("external"), F.col("id").cast("string")))
     t = reports.select("id", "captured_at", part.alias("part")).distinct().withColumn("day", F.to_date("captured_at"))
     ends = t.groupBy("part", "day").agg(F.max("captured_at").alias("last"))
@@ -36,13 +37,26 @@ def session_links(reports: DataFrame, minutes: int = 30) -> DataFrame:
     t = t.withColumn("visit", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = t.groupBy("part", "day", "visit").agg(F.min(F.struct("captured_at", "id", "new")).alias("head"), F.max("captured_at").alias("tail"))
     # a run that starts without a new session goes on from the last run of the day before
-    days = Window.partitionBy("part").orderBy("day", "visit")
-    runs = runs.withColumn("session", F.sum(F.col("head.new")).over(days.rowsBetween(Window.unboundedPreceding, 0)))
-    first = runs.groupBy("part", "session").agg(F.min("head").alias("h")).select("part", "session", F.col("h.id").alias("first"))
-    named = runs.select("part", "day", "visit", "session").join(first, ["part", "session"]).select("part", "day", "visit", "first")
+    named = last_start(runs.select("part", "day", "visit", F.when(F.col("head.new") == 1, F.col("head.id")).alias("start")), "part", ("day", "visit"), "start").withColumnRenamed("start", "first")
     return t.join(named, ["part", "day", "visit"]).select("id", "first")
 
 
+def last_start(rows: DataFrame, by: str, order: tuple[str, ...], start: str) -> DataFrame:
+    """``rows`` with ``start`` filled from the last row of the same key, in order, that has one: a scan over ranges, not keys.
+
+    Rows are sorted into ranges of about equal size, whatever their keys. A range is filled on its own; what is still open at its
+    beginning comes from the key's last start in the ranges before, of which there is a row for each range and key that meet."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = materialize(rows.repartitionByRange(n, by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    place = F.struct(*order)
+    tails = t.groupBy("_range", by).agg(F.max_by(F.col(start), F.when(F.col(start).isNotNull(), place)).alias("_tail"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges at most
+    carried = tails.select("_range", by, F.last("_tail", ignorenulls=True).over(before).alias("_carried"))
+    own = Window.partitionBy("_range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn(start, F.last(start, ignorenulls=True).over(own)).join(carried, ["_range", by])
+    return t.withColumn(start, F.coalesce(start, "_carried")).select(*rows.columns)
+
+
 def evaluation_groups(reports: DataFrame, near: DataFrame) -> DataFrame:
     """(id, component): sessions and near-duplicate matches, merged wherever they meet."""
     edges = session_links(reports).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(near.select("a", "b"))

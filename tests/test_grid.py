@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import grid as B
+from matchloom.operators import models as M
 from matchloom.plans import models as P
+from matchloom.plans import registry
 from matchloom.sources.projection import Views
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +90,57 @@ def test_search_equals_plain_loops(spark):
     assert best in s.scores and len(s.scores) == 4 + 8 + 1 + 15 + 8
     stages = [[c for c in s.scores if c.shape == (20.0, 2.0) and (c.hero, c.skill) == (0.4, 0.3)], [c for c in s.scores if c.fit == best.fit]]
     assert s.scores[best]["log_loss"] <= min(s.scores[c]["log_loss"] for c in stages[1]) + 1e-9
+
+
+def plain_model(v, families, c=0.05, single=5, pair=8, leave_out=None):
+    """Held-out matches with label and probability, from dense matrices."""
+    split = {r["match_id"]: (r["held"], r["label"], r["source"]) for r in v.valid.join(P._held(v), "uploader").select("match_id", "held", "source", F.expr("if(winner = 1, 1, 0)").alias("label")).collect()}
+    diff, seen = {}, {}
+    train, test = [m for m in sorted(split) if not split[m][0] and split[m][2] != leave_out], [m for m in sorted(split) if split[m][0]]
+    known = set(train)
+    for r in v.features.filter(F.col("family").isin(*families)).select("match_id", "side", "family", "key").collect():
+        k = (r["family"], r["key"])
+        diff.setdefault(r["match_id"], {}).setdefault(k, 0)
+        diff[r["match_id"]][k] += 1 if r["side"] == 1 else -1
+        if r["match_id"] in known:
+            seen.setdefault(k, set()).add(r["match_id"])
+    cols = sorted(k for k, n in seen.items() if len(n) >= (single if k[0] in ("H", "S") else pair))
+    dense = lambda ms: np.array([[diff.get(m, {}).get(k, 0) for k in cols] for m in ms], dtype=float).reshape(len(ms), len(cols))
+    w = newton(dense(train), np.array([split[m][1] for m in train]), c)
+    # predictions leave the intercept out: a match has no first side by itself
+    return np.array([split[m][1] for m in test]), 1 / (1 + np.exp(-np.clip(dense(test) @ w[:-1], -30, 30)))
+
+
+def metrics(y, p):
+    return {"accuracy": np.mean((p >= 0.5) == (y == 1)), "log_loss": -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), "brier": np.mean((p - y) ** 2)}
+
+
+def test_backtest_equals_plain_fit(spark):
+    v = Views(spark, SF)
+    got = registry.queries()["m04_backtest"](spark, SF).first()
+    y, p = plain_model(v, ("H", "S", "HP", "HS"))
+    assert got["n"] == len(y)
+    for m, x in metrics(y, p).items():
+        assert got[m] == pytest.approx(x, abs=2e-3), m
+
+
+def test_controlled_comparison_equals_plain_fits(spark):
+    v = Views(spark, SF)
+    whole = ("H", "S", "HP", "HS", "SP")
+    got = registry.queries()["m06_controlled_comparison"](spark, SF).first()
+    (y, a), (_, b) = plain_model(v, whole), plain_model(v, whole, leave_out="external")
+    assert got["n"] == len(y)
+    for m in ("accuracy", "log_loss", "brier"):
+        assert got[m] == pytest.approx(metrics(y, a)[m] - metrics(y, b)[m], abs=2e-3), m
+
+
+def test_quality_gate(spark):
+    evidence = lambda status: spark.createDataFrame([(300, 50, 40, 40, status)], "events long, sessions long, disagreements long, held_out long, status string")
+    p = lambda *x: spark.createDataFrame([(v,) for v in x], "p double")
+    even = 1 / 3
+    assert M.quality_gate(evidence("ready"), p(0.6, 0.5)).first()["status"] == "ready"
+    assert M.quality_gate(evidence("ready"), p(even, even)).first()["status"] == "below_quality"
+    just = math.exp(-(math.log(3) - 0.01)) + 1e-9
+    assert M.quality_gate(evidence("ready"), p(just)).first()["status"] == "ready" and M.quality_gate(evidence("ready"), p(just - 1e-6)).first()["status"] == "below_quality"
+    got = M.quality_gate(evidence("collecting"), p(0.9, 0.0)).first()
+    assert got["status"] == "collecting" and math.isfinite(got["log_loss"])

@@ -305,3 +305,13 @@ def test_places_in_an_order_of_all_rows(spark):
 
     t = spark.range(500).withColumn("k", F.col("id") * 7919 % 500)
     assert [x["n"] for x in numbered(t, "n", F.desc("k")).orderBy(F.desc("k")).collect()] == list(range(1, 501))
+
+
+def test_starts_are_carried_over_ranges(spark):
+    """One key holds nearly all rows and seldom starts, so its starts pass through many ranges."""
+    rows = [("own", i, 0, i if i in (0, 170, 171, 390) else None) for i in range(400)] + [("x", 5, 1, 7), ("x", 6, 0, None), ("y", 1, 0, 9)]
+    t = spark.createDataFrame(rows, "part string, day int, visit int, start int").repartition(3)
+    got = {(r["part"], r["day"]): r["start"] for r in G.last_start(t, "part", ("day", "visit"), "start").collect()}
+    assert len(got) == len(rows)
+    assert all(got["own", i] == (0 if i < 170 else 170 if i < 171 else 171 if i < 390 else 390) for i in range(400))
+    assert got["x", 5] == got["x", 6] == 7 and got["y", 1] == 9
