@@ -35,7 +35,7 @@ def _(v):
 
 @query("g01_near_team_components")
 def _(v):
-    return connected_components(skill_replacements(v.members), "a", "b").groupBy("component").agg(F.count(F.lit(1)).alias("teams"))
+    return connected_components(skill_replacements(v.reports.withColumnRenamed("id", "match_id")), "a", "b").groupBy("component").agg(F.count(F.lit(1)).alias("teams"))
 
 
 @query("g02_stable_group_ids", f"WITH RECURSIVE {_GROUPS}, hs AS (SELECT component, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(CAST(id AS VARCHAR)), 1, 12)) AS BIGINT)) AS VARCHAR) AS p, CAST(sum(CAST(('0x' || substr(sha256(CAST(id AS VARCHAR)), 13, 12)) AS BIGINT)) AS VARCHAR) AS q FROM comp GROUP BY 1) SELECT substr(sha256(p || ':' || q || ':' || n), 1, 16) AS group_id, n FROM hs")
@@ -65,6 +65,14 @@ def _(v):
     return v.rosters.join(s, "match_id").groupBy("roster").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
+@query("g05_leaks_of_a_plain_split", "SELECT roster, count(*) FILTER (match_id % 10 = 0) AS tests, count(*) FILTER (match_id % 10 <> 0) AS trains FROM (SELECT DISTINCT roster, match_id FROM rosters JOIN valid USING (match_id)) GROUP BY 1 HAVING count(*) FILTER (match_id % 10 = 0) > 0 AND count(*) FILTER (match_id % 10 <> 0) > 0")
+def _(v):
+    """The check on a split that excludes nothing: rosters on both sides of it."""
+    t = v.rosters.select("roster", "match_id").distinct().join(v.valid.select("match_id"), "match_id")
+    test = F.col("match_id") % 10 == 0
+    return t.groupBy("roster").agg(F.count_if(test).alias("tests"), F.count_if(~test).alias("trains")).filter("tests > 0 AND trains > 0")
+
+
 @query("g06_session_holdout", "SELECT session, (CAST('0x' || substr(sha256(session), 1, 16) AS UBIGINT) % 5) = 0 AS held FROM choice GROUP BY 1")
 def _(v):
     return G.hash_holdout(v.events.select("session").distinct(), "session", 5)

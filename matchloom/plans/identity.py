@@ -53,13 +53,14 @@ def _(v):
     return b.groupBy(F.sha2("roster", 256).alias("build")).agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.min("tier").alias("best_tier"), F.count(F.lit(1)).alias("overlap"), F.min("match_id").alias("first_match"))
 
 
-_STATES = """st AS (SELECT DISTINCT match_id, side, roster, skills FROM (SELECT match_id, side, string_agg(hero, ',' ORDER BY hero) AS roster, list_sort(list(hero || ':' || s1) || list(hero || ':' || s2)) AS skills FROM members GROUP BY 1, 2))"""
+_STATES = """st AS (SELECT DISTINCT id AS match_id, side, roster, skills FROM (SELECT id, side, string_agg(hero, ',' ORDER BY hero) AS roster, list_sort(list(hero || ':' || s1) || list(hero || ':' || s2)) AS skills FROM reports GROUP BY 1, 2))"""
 
 
 @query("d08_near_duplicate_teams", f"""WITH {_STATES} SELECT a.match_id * 2 + a.side AS a, b.match_id * 2 + b.side AS b, greatest(len(list_filter(list_distinct(a.skills), lambda x: NOT list_contains(b.skills, x))), len(list_filter(list_distinct(b.skills), lambda x: NOT list_contains(a.skills, x)))) AS replaced
 FROM st a JOIN st b ON a.roster = b.roster AND a.match_id * 2 + a.side < b.match_id * 2 + b.side WHERE greatest(len(list_filter(list_distinct(a.skills), lambda x: NOT list_contains(b.skills, x))), len(list_filter(list_distinct(b.skills), lambda x: NOT list_contains(a.skills, x)))) <= 1""")
 def _(v):
-    return skill_replacements(v.members, most=1).selectExpr("a", "b", "CAST(replaced AS BIGINT) AS replaced")
+    """Teams of all reports, among them later ones with one and with two skills replaced."""
+    return skill_replacements(v.reports.withColumnRenamed("id", "match_id"), most=1).selectExpr("a", "b", "CAST(replaced AS BIGINT) AS replaced")
 
 
 @query("d08_near_duplicate_matches", "SELECT a, b, replaced FROM near_matches")
