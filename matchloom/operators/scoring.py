@@ -171,6 +171,104 @@ def disjoint_pairs(trio: DataFrame, keep: int, cap: int) -> DataFrame:
     return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).select("pool_id", F.array_join("t", ",").alias("first"), F.array_join("t2", ",").alias("second"), "total", "rank")
 
 
+#: Heroes of a pool, and pairs of trios that are kept of one, at most (fixed values).
+POOL, PARTITIONS = 15, 160
+
+
+def pool_weights(pool: DataFrame, weights: DataFrame, most: int = POOL) -> DataFrame:
+    """(pool_id, heroes, single, pair): a pool's heroes in order, at most ``most``, and their weights alone and by two, as arrays.
+
+    Weights meet 15 heroes and 105 pairs of a pool, not the six parts of each of its 455 trios."""
+    p = pool.groupBy("pool_id").agg(F.slice(F.sort_array(F.collect_set("hero")), 1, most).alias("heroes"))
+    one = p.select("pool_id", F.posexplode("heroes").alias("i", "key"))
+    n = F.size("heroes")
+    two = p.select("pool_id", "heroes", F.explode(F.sequence(F.lit(0), n * n - 1)).alias("x")).filter("x div size(heroes) < x % size(heroes)")
+    two = two.select("pool_id", F.col("x").alias("i"), F.concat_ws("|", F.expr("heroes[x div size(heroes)]"), F.expr("heroes[x % size(heroes)]")).alias("key"))
+    h, hp = _weights(weights, "H"), _weights(weights, "HP")
+
+    def listed(rows: DataFrame, own: DataFrame, name: str) -> DataFrame:
+        t = rows.join(own, "key", "left").groupBy("pool_id").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("weight", F.lit(0.0)).alias("w")))).alias("x"))
+        return t.select("pool_id", F.transform("x", lambda r: r["w"]).alias(name))
+
+    return p.join(listed(one, h, "single"), "pool_id").join(listed(two, hp, "pair"), "pool_id")
+
+
+def _trio_table(n: int, single, pair):
+    """Trios of a pool, strongest first: strength, heroes' places and bit masks; equal ones in the order of their heroes."""
+    import numpy as np
+
+    i, j, k = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)], dtype=np.int64).reshape(-1, 3).T
+    at = np.zeros((n, n), np.int64)
+    at[np.triu_indices(n, 1)] = np.arange(n * (n - 1) // 2)
+    strength = np.round(single[i] + single[j] + single[k] + pair[at[i, j]] + pair[at[i, k]] + pair[at[j, k]], 6) if len(i) else np.zeros(0)
+    order = np.argsort(-strength, kind="stable")
+    i, j, k = i[order], j[order], k[order]
+    return strength[order], np.stack([i, j, k], axis=1), (1 << i) | (1 << j) | (1 << k)
+
+
+def best_pairs(strength, masks, most: int):
+    """The ``most`` best pairs (first, second) of trios without a common hero, best first: a heap of each trio's next partner.
+
+    Trios come strongest first, so a trio's partners only get weaker, and a trio enters once the one before it has been met: nothing
+    under the bound is ever formed."""
+    from heapq import heappop, heappush
+
+    heap, out = [], []
+
+    def push(a: int, b: int) -> None:
+        if b < len(strength):
+            heappush(heap, (-round(float(strength[a] + strength[b]), 6), a, b))
+
+    push(0, 1)
+    while heap and len(out) < most:
+        total, a, b = heappop(heap)
+        if not masks[a] & masks[b]:
+            out.append((a, b, -total))
+        push(a, b + 1)
+        if b == a + 1:
+            push(a + 1, a + 2)
+    return out
+
+
+def large_pool_pairs(pools: DataFrame, most: int = PARTITIONS) -> DataFrame:
+    """R11 on pools of up to 15: (pool_id, first, second, total, rank). ``pools``: rows of ``pool_weights``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for pool_id, heroes, single, pair in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2), b.column(3), strict=True):
+                strength, places, masks = _trio_table(len(heroes), single.values.to_numpy(), pair.values.to_numpy())
+                name = [",".join(heroes[x] for x in t) for t in places.tolist()]
+                rows += [(pool_id, name[x], name[y], total, rank + 1) for rank, (x, y, total) in enumerate(best_pairs(strength, masks.tolist(), most))]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32())
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["pool_id", "first", "second", "total", "rank"])
+
+    return pools.select("pool_id", "heroes", "single", "pair").mapInArrow(run, "pool_id long, first string, second string, total double, rank int")
+
+
+def large_pool_trios(pools: DataFrame) -> DataFrame:
+    """R10 on pools of up to 15: (pool_id, trios, best, strength): how many trios a pool has, and its best one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, n, best, top = [], [], [], []
+            for pool_id, heroes, single, pair in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2), b.column(3), strict=True):
+                strength, places, _ = _trio_table(len(heroes), single.values.to_numpy(), pair.values.to_numpy())
+                if len(strength):
+                    ids.append(pool_id)
+                    n.append(len(strength))
+                    best.append(",".join(heroes[x] for x in places[0].tolist()))
+                    top.append(float(strength[0]))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(best, pa.string()), pa.array(top, pa.float64())], names=["pool_id", "trios", "best", "strength"])
+
+    return pools.select("pool_id", "heroes", "single", "pair").mapInArrow(run, "pool_id long, trios long, best string, strength double")
+
+
 def band(pairs: DataFrame, width: float) -> DataFrame:
     """Candidates within a band below their pool's best, in order."""
     w = Window.partitionBy("pool_id")

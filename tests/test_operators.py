@@ -315,3 +315,21 @@ def test_starts_are_carried_over_ranges(spark):
     assert len(got) == len(rows)
     assert all(got["own", i] == (0 if i < 170 else 170 if i < 171 else 171 if i < 390 else 390) for i in range(400))
     assert got["x", 5] == got["x", 6] == 7 and got["y", 1] == 9
+
+
+def test_best_pairs_equal_all_pairs():
+    import random
+    from itertools import combinations
+
+    import numpy as np
+
+    from matchloom.operators import scoring as R
+
+    r = random.Random(6)
+    for n in (0, 2, 3, 5, 6, 9, 15):
+        single = np.array([round(r.choice([0.1, 0.2, r.random()]), 6) for _ in range(n)])
+        pair = np.array([round(r.choice([0.0, 0.0, r.random()]), 6) for _ in range(n * (n - 1) // 2)])
+        strength, places, masks = R._trio_table(n, single, pair)
+        assert len(strength) == n * (n - 1) * (n - 2) // 6
+        every = [(-round(float(strength[a] + strength[b]), 6), a, b) for a, b in combinations(range(len(strength)), 2) if not set(places[a].tolist()) & set(places[b].tolist())]
+        assert R.best_pairs(strength, masks.tolist(), 160) == [(a, b, -t) for t, a, b in sorted(every)[:160]]
