@@ -68,7 +68,7 @@ def _(v):
     return _fold(v).state()
 
 
-@query("z05_session_windows", """WITH l AS (SELECT source, uploader, captured_at AS ts, lag(captured_at) OVER (PARTITION BY source, uploader ORDER BY captured_at) AS prev FROM matches), s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY source, uploader ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM l)
+@query("z05_session_windows", """WITH l AS (SELECT source, uploader, captured_at AS ts, lag(captured_at) OVER (PARTITION BY source, uploader ORDER BY captured_at) AS prev FROM matches), s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY source, uploader ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM l)
 SELECT source, uploader, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS matches FROM (SELECT source, uploader, visit, count(*) AS n FROM s GROUP BY 1, 2, 3 HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(captured_at) FROM matches) - INTERVAL 1 DAY) GROUP BY 1, 2""")
 def _(v):
     """Sessions of 30 minutes by source and contributor; every seventeenth match arrives twelve hours late, within the watermark's day."""

@@ -7,7 +7,8 @@ from matchloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"m01_paired_fit", "m04_backtest", "m05_grid_search", "m06_controlled_comparison", "m07_choice_logit", "m10_quality_gate"}
+#: Their values are tested in test_grid.py.
+ELSEWHERE = {"m04_backtest", "m05_grid_search", "m06_controlled_comparison"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -15,9 +16,9 @@ def test_same_as_sql(spark, name):
     assert_same(QUERIES[name](spark, SF), SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - ELSEWHERE))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
