@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.session import materialize
+from matchloom.session import materialize, shuffled
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -21,9 +21,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(low, both["u"] == low["x"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(shuffled(low), both["u"] == low["x"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        both = large.join(least, large["u"] == least["x"])
+        both = large.join(shuffled(least), large["u"] == least["x"])
         small = both.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         e = materialize(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -33,4 +33,4 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     else:
         raise RuntimeError(f"components still changed after {max_rounds} rounds")
     found = e.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(shuffled(found), nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))

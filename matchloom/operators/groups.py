@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.components import connected_components
-from matchloom.session import materialize
+from matchloom.session import materialize, shuffled
 
 
 def roster_groups(matches: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def roster_groups(matches: DataFrame, rosters: DataFrame) -> DataFrame:
     first = rosters.groupBy("roster").agg(F.min("match_id").alias("first"))
     edges = rosters.join(first, "roster").select(F.col("first").alias("a"), F.col("match_id").alias("b"))
     cc = connected_components(edges, "a", "b")
-    return matches.select("match_id").join(cc, F.col("match_id") == F.col("node"), "left").select("match_id", F.coalesce("component", "match_id").alias("component"))
+    return matches.select("match_id").join(shuffled(cc), F.col("match_id") == F.col("node"), "left").select("match_id", F.coalesce("component", "match_id").alias("component"))
 
 
 def session_links(reports: DataFrame, minutes: int = 30) -> DataFrame:
@@ -31,14 +31,14 @@ def session_links(reports: DataFrame, minutes: int = 30) -> DataFrame:
     gap = F.expr(f"INTERVAL {minutes} MINUTES")
     w = Window.partitionBy("part", "day").orderBy("captured_at", "id")
     before = ends.select(F.col("part").alias("p"), F.date_add("day", 1).alias("d"), F.col("last").alias("eve"))
-    t = t.join(before, (F.col("part") == F.col("p")) & (F.col("day") == F.col("d")), "left")
+    t = t.join(shuffled(before), (F.col("part") == F.col("p")) & (F.col("day") == F.col("d")), "left")
     prev = F.coalesce(F.lag("captured_at").over(w), F.col("eve"))
     t = t.withColumn("new", F.coalesce(F.col("captured_at") - prev > gap, F.lit(True)).cast("int"))
     t = t.withColumn("visit", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = t.groupBy("part", "day", "visit").agg(F.min(F.struct("captured_at", "id", "new")).alias("head"), F.max("captured_at").alias("tail"))
     # a run that starts without a new session goes on from the last run of the day before
     named = last_start(runs.select("part", "day", "visit", F.when(F.col("head.new") == 1, F.col("head.id")).alias("start")), "part", ("day", "visit"), "start").withColumnRenamed("start", "first")
-    return t.join(named, ["part", "day", "visit"]).select("id", "first")
+    return t.join(shuffled(named), ["part", "day", "visit"]).select("id", "first")
 
 
 def last_start(rows: DataFrame, by: str, order: tuple[str, ...], start: str) -> DataFrame:
@@ -61,7 +61,7 @@ def evaluation_groups(reports: DataFrame, near: DataFrame) -> DataFrame:
     """(id, component): sessions and near-duplicate matches, merged wherever they meet."""
     edges = session_links(reports).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(near.select("a", "b"))
     cc = connected_components(edges, "a", "b")
-    return reports.select("id").distinct().join(cc, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    return reports.select("id").distinct().join(shuffled(cc), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def group_ids(rows: DataFrame, group: str, member: str) -> DataFrame:
