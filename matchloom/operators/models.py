@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.windows import numbered
-from matchloom.session import materialize
+from matchloom.session import materialize, shuffled
 
 
 def feature_index(selected: DataFrame) -> DataFrame:
@@ -120,11 +120,11 @@ def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most:
     events' gradients and a step's result is a row for each feature. Events are written once, a row each."""
     spark = features.sparkSession
     n = chosen.count()
-    held = features.join(chosen, "event_id", "left_semi")
+    held = features.join(shuffled(chosen), "event_id", "left_semi")
     top = held.groupBy("key").agg(F.count(F.lit(1)).alias("support")).orderBy(F.desc("support"), "key").limit(most)
     keys = [r["key"] for r in top.orderBy("key").collect()]
     index = spark.createDataFrame(list(enumerate(keys)), "i int, key string")
-    rows = held.join(F.broadcast(index), "key").groupBy("event_id").agg(F.collect_list(F.struct("option", "i", "value")).alias("x")).join(chosen, "event_id")
+    rows = held.join(F.broadcast(index), "key").groupBy("event_id").agg(F.collect_list(F.struct("option", "i", "value")).alias("x")).join(shuffled(chosen), "event_id")
     field = lambda c, t: F.transform("x", lambda y: y[c].cast(t)).alias(c)
     rows = materialize(rows.select(F.col("chosen").cast("int").alias("chosen"), field("option", "int"), field("i", "int"), field("value", "double")), "choice")
     weights = [0.0] * len(keys)
@@ -139,7 +139,7 @@ def choice_scores(features: DataFrame, chosen: DataFrame, weights: DataFrame) ->
     """(event_id, p): the model's probability of the chosen option."""
     options = chosen.withColumn("option", F.explode(F.sequence(F.lit(0), F.lit(2))))
     u = features.join(weights, "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("weight")).alias("u"))
-    t = options.join(u, ["event_id", "option"], "left").groupBy("event_id", "chosen").agg(F.sort_array(F.collect_list(F.struct("option", F.coalesce("u", F.lit(0.0)).alias("u")))).alias("x"))
+    t = options.join(shuffled(u), ["event_id", "option"], "left").groupBy("event_id", "chosen").agg(F.sort_array(F.collect_list(F.struct("option", F.coalesce("u", F.lit(0.0)).alias("u")))).alias("x"))
     top = F.array_max(F.transform("x", lambda y: y["u"]))
     e = F.transform("x", lambda y: F.exp(y["u"] - top))
     return t.select("event_id", (F.get(e, F.col("chosen")) / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)).alias("p"))
@@ -185,11 +185,10 @@ def published_state(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def explain_choice(features: DataFrame, weights: DataFrame) -> DataFrame:
     """(event_id, a, b, key, gain): the feature that speaks most for option a over option b, for every two options of an event."""
-    pairs = F.expr("filter(transform(sequence(0, 2), o -> struct(o AS other)), x -> x.other <> option)")
-    t = features.join(weights, "key").select("event_id", "option", "key", "weight", "value", F.explode(pairs).alias("x"))
-    side = lambda a, b, v: t.select("event_id", F.col(a).alias("a"), F.col(b).alias("b"), "key", "weight", v.alias("v"))
-    both = side("option", "x.other", F.col("value")).unionByName(side("x.other", "option", -F.col("value")))
-    t = both.groupBy("event_id", "a", "b", "key", "weight").agg(F.round(F.col("weight") * F.sum("v"), 6).alias("gain")).filter("gain > 0")
+    t = features.join(weights, "key").groupBy("event_id", "key", "weight").agg(*[F.sum(F.when(F.col("option") == o, F.col("value")).otherwise(0.0)).alias(f"v{o}") for o in range(3)])
+    gain = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col("weight") * (F.col(f"v{a}") - F.col(f"v{b}")), 6).alias("gain"))
+    pairs = F.array(*[gain(a, b) for a in range(3) for b in range(3) if a != b])
+    t = t.select("event_id", "key", F.explode(F.filter(pairs, lambda x: x["gain"] > 0)).alias("x")).select("event_id", "key", "x.*")
     m = t.groupBy("event_id", "a", "b").agg(F.min(F.struct((-F.col("gain")).alias("g"), "key")).alias("m"))
     return m.select("event_id", "a", "b", F.col("m.key").alias("key"), (-F.col("m.g")).alias("gain"))
 

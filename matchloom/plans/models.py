@@ -14,7 +14,7 @@ from matchloom.plans.aggregates import _SEASONS
 from matchloom.plans.features import _CF
 from matchloom.plans.groups import _MET
 from matchloom.plans.registry import query
-from matchloom.session import materialize
+from matchloom.session import materialize, shuffled
 
 
 def _label(v):
@@ -137,8 +137,8 @@ def _choice_split(v):
     """Features and choices of accepted events, those of held-out sessions apart."""
     f = materialize(E.option_features(v.accepted, v.offers, v.pool), "choice_features")
     held = G.hash_holdout(v.accepted.select("session").distinct(), "session", 5).filter("held")
-    test = v.accepted.join(held, "session", "left_semi")
-    return f, v.accepted.join(held, "session", "left_anti"), test
+    test = v.accepted.join(shuffled(held), "session", "left_semi")
+    return f, v.accepted.join(shuffled(held), "session", "left_anti"), test
 
 
 @query("m07_choice_logit")
@@ -168,7 +168,7 @@ def _(v):
 @query("m10_evidence_gate", "WITH h AS (SELECT count(*) AS held_out FROM accepted WHERE (CAST('0x' || substr(sha256(session), 1, 16) AS UBIGINT) % 5) = 0), e AS (SELECT count(*) AS events, count(DISTINCT session) AS sessions, count(*) FILTER (chosen <> recommended) AS disagreements FROM accepted) SELECT events, sessions, disagreements, held_out, CASE WHEN events >= 240 AND sessions >= 40 AND disagreements >= 30 AND held_out >= 36 THEN 'ready' ELSE 'collecting' END AS status FROM e, h")
 def _(v):
     held = G.hash_holdout(v.accepted.select("session").distinct(), "session", 5).filter("held")
-    return M.evidence_gate(v.accepted, v.accepted.join(held, "session", "left_semi"))
+    return M.evidence_gate(v.accepted, v.accepted.join(shuffled(held), "session", "left_semi"))
 
 
 @query("m10_quality_gate")
@@ -206,6 +206,6 @@ pr(a, b) AS (VALUES (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)), d AS (SELEC
 SELECT event_id, a, b, key, gain FROM (SELECT *, row_number() OVER (PARTITION BY event_id, a, b ORDER BY gain DESC, key) AS rn FROM d WHERE gain > 0) WHERE rn = 1""")
 def _(v):
     f = E.option_features(v.accepted, v.offers, v.pool)
-    t = f.join(v.accepted.select("event_id", "chosen"), "event_id")
+    t = f.join(shuffled(v.accepted.select("event_id", "chosen")), "event_id")
     w = t.groupBy("key").agg(F.round((F.sum(F.expr("if(option = chosen, 1.0D, 0.0D)")) - F.count(F.lit(1)) / 3.0) / (F.count(F.lit(1)) + 10.0), 6).alias("weight"))
     return M.explain_choice(f, w)
