@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.operators import features as E
 from matchloom.operators import validate as V
 from matchloom.plans.registry import query
-from matchloom.session import materialize, shared_dir
+from matchloom.session import materialize, shared_dir, shuffled
 from matchloom.sources.stored import AgedTable
 from matchloom.streaming import folds as Z
 
@@ -162,7 +162,7 @@ def _(v):
 def _online(v):
     """The model after all accepted events have streamed by in four arrivals, each a micro-batch, so that no event is split."""
     root = f"{shared_dir(v.spark)}/arrivals-{uuid.uuid4().hex}"
-    f = materialize(E.option_features(v.accepted, v.offers, v.pool).join(v.accepted.select("event_id", "chosen"), "event_id"), "online")
+    f = materialize(E.option_features(v.accepted, v.offers, v.pool).join(shuffled(v.accepted.select("event_id", "chosen")), "event_id"), "online")
     cuts = [float("-inf"), *f.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.001), float("inf")]
     for low, high in zip(cuts, cuts[1:], strict=False):
         Z.landing(f.filter((F.col("event_id") > low) & (F.col("event_id") <= high)), "event_id", 1, f"{root}/landing")

@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.session import shared_dir
+from matchloom.session import shared_dir, shuffled
 
 
 def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None) -> str:
     """Writes rows as a folder of files that arrive in order, as a landing zone would hold them.
 
-    Rows are cut into ``files`` ranges of ``order`` in one pass; each range then arrives as a whole, by as many tasks as
-    it has splits. Given a ``path``, files are added to what has landed there."""
+    Rows are cut into ``files`` ranges of ``order`` in one pass; each range then arrives as a whole, as one micro-batch of
+    ``read``: rows of a range that came in a later micro-batch than others of it would be late for the watermark. For that all arrivals of a
+    folder have the same number of files, more for larger ranges; those that have fewer are filled up with empty ones.
+    Given a ``path``, files are added to what has landed there."""
     spark = rows.sparkSession
     path = path or f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
     t = rows.withColumn("_o", F.unix_micros(F.col(order).cast("timestamp")).cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double"))
@@ -23,13 +25,44 @@ def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None
     place = sum((F.when(F.col("_o") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     staged = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     t.withColumn("_k", place).drop("_o").write.partitionBy("_k").parquet(staged)
-    for k in sorted(r["_k"] for r in spark.read.parquet(staged).select("_k").distinct().collect()):  # ``files`` numbers at most
-        spark.read.schema(rows.schema).parquet(f"{staged}/_k={k}").write.mode("append").parquet(path)
+    sizes = {r["_k"]: r["count"] for r in spark.read.parquet(staged).groupBy("_k").count().collect()}  # ``files`` numbers at most
+    fs, folder = _folder(spark, path)
+    held = _arrival_files(spark, path)
+    each = held or max([1, *(-(-n // FILE_ROWS) for n in sizes.values())])
+    if not held:
+        fs.mkdirs(_folder(spark, f"{path}/{_MARK}{each}")[1])
+    count = lambda: sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(folder))
+    nothing = spark.createDataFrame([], rows.schema)
+    for k in sorted(sizes):
+        before = count()
+        part = spark.read.schema(rows.schema).parquet(f"{staged}/_k={k}")
+        (part.repartition(each) if each > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range(before + each - count()):
+            nothing.write.mode("append").parquet(path)
     return path
 
 
-def read(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+#: Rows of a landed file, about (fixed value).
+FILE_ROWS = 250_000
+_MARK = "_arrival-"
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _arrival_files(spark: SparkSession, path: str) -> int:
+    """Files of each arrival in a landing folder; 0 if nothing has landed."""
+    fs, p = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return max([0, *(int(n.removeprefix(_MARK)) for n in names if n.startswith(_MARK))])
+
+
+def read(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
+    """A stream over what has landed, an arrival a micro-batch unless ``per_trigger`` gives a number of files."""
+    n = per_trigger or _arrival_files(spark, path) or 1
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
@@ -77,8 +110,7 @@ class Versions:
         self.spark, self.root = spark, root or f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
 
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return _folder(self.spark, path)
 
     def _numbers(self) -> list[int]:
         fs, p = self._fs(self.root)
@@ -234,10 +266,10 @@ def ftrl_step(state: DataFrame | None, features: DataFrame, chosen: DataFrame, a
     old = old.select("key", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("n", F.lit(0.0)).alias("n")).withColumn("w", w)
     u = features.join(old.select("key", "w"), "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("w")).alias("u"))
     # shifted by the event's largest score, so that no score overflows
-    u = u.join(u.groupBy("event_id").agg(F.max("u").alias("top")), "event_id").select("event_id", "option", F.exp(F.col("u") - F.col("top")).alias("e"))
+    u = u.join(shuffled(u.groupBy("event_id").agg(F.max("u").alias("top"))), "event_id").select("event_id", "option", F.exp(F.col("u") - F.col("top")).alias("e"))
     total = u.groupBy("event_id").agg(F.sum("e").alias("total"))
-    p = u.join(total, "event_id").join(chosen, "event_id").select("event_id", "option", (F.col("e") / F.col("total")).alias("p"), F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0).alias("y"))
-    g = features.join(p, ["event_id", "option"]).groupBy("key").agg(F.sum((F.col("p") - F.col("y")) * F.col("value")).alias("g"))
+    p = u.join(shuffled(total), "event_id").join(shuffled(chosen), "event_id").select("event_id", "option", (F.col("e") / F.col("total")).alias("p"), F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0).alias("y"))
+    g = features.join(shuffled(p), ["event_id", "option"]).groupBy("key").agg(F.sum((F.col("p") - F.col("y")) * F.col("value")).alias("g"))
     t = old.join(g, "key").withColumn("n2", F.col("n") + F.col("g") * F.col("g"))
     t = t.select("key", (F.col("z") + F.col("g") - (F.sqrt("n2") - F.sqrt("n")) / alpha * F.col("w")).alias("z"), F.col("n2").alias("n"))
     rest = state.join(keys, "key", "left_anti") if state is not None else None
