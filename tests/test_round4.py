@@ -61,3 +61,20 @@ def test_odd_choice_events(spark):
     want = [y for o, x in enumerate((-0.1, 0.0, 0.1)) for y in score(1, 1, o, x)] + [y for o in range(3) for y in score(2, 4, o, 0.0)]
     want += [(1, o, k, 1.0) for o, i in ((0, "A"), (3, "B")) for k in (f"item|hero|{i}", f"pool_item|hero|C|hero|{i}")]
     assert got == sorted(want)
+
+
+def test_pairs_of_large_pools_come_in_short_batches():
+    """A task holds the pairs of a few pools at a time, not of a batch of thousands."""
+    import pyarrow as pa
+
+    from matchloom.operators import scoring as R
+
+    n, heroes = 120, [f"h{i:02}" for i in range(8)]
+    weights = lambda size: [[(7 * p + 3 * i) % 11 / 10 for i in range(size)] for p in range(n)]
+    pools = pa.record_batch([pa.array(range(n), pa.int64()), pa.array([heroes] * n), pa.array(weights(8), pa.list_(pa.float64())), pa.array(weights(28), pa.list_(pa.float64()))], names=["pool_id", "heroes", "single", "pair"])
+    parts = list(R._pairs_task(160)([pools]))
+    assert max(b.num_rows for b in parts) <= 160 * 50
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert len(rows) == 160 * n and {r["pool_id"] for r in rows} == set(range(n))
+    lone = pa.Table.from_batches(list(R._pairs_task(160)([pools.slice(77, 1)]))).to_pylist()
+    assert [r for r in rows if r["pool_id"] == 77] == lone
