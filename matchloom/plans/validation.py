@@ -157,10 +157,7 @@ def _(v):
 SELECT 'repeated_skill' AS warning, match_id, side, skill, count(DISTINCT slot) AS members FROM eq WHERE skill IS NOT NULL GROUP BY 2, 3, 4 HAVING count(DISTINCT slot) > 1 UNION ALL SELECT 'own_signature', match_id, side, skill, 1 FROM eq WHERE skill = s0""")
 def _(v):
     """A skill that several of a plan's members carry, and a hero that carries its own signature."""
-    t = v.raw_members.select("match_id", "side", "slot", "s0", F.explode(F.array_distinct(F.array("s1", "s2"))).alias("skill")).filter("skill IS NOT NULL")
-    many = t.groupBy("match_id", "side", "skill").agg(F.count_distinct("slot").alias("members")).filter("members > 1").withColumn("warning", F.lit("repeated_skill"))
-    own = t.filter("skill = s0").select("match_id", "side", "skill", F.lit(1).cast("long").alias("members"), F.lit("own_signature").alias("warning"))
-    return many.unionByName(own)
+    return V.plan_warnings(v.raw_members)
 
 
 _TABLE = "gt AS (SELECT *, CASE WHEN place % 17 = 0 THEN NULL ELSE 'meta' END AS category, CASE WHEN champion THEN 'champions' ELSE 'ladder' END AS section, CASE WHEN champion AND place % 3 <> 0 THEN 'champions' ELSE 'ladder' END AS source, substr(sha256(roster), 1, 12) AS id, CASE WHEN place % 13 = 0 THEN 1 ELSE 2 END AS n_slots FROM guide)"
