@@ -11,7 +11,7 @@ from matchloom.operators import features as E
 from matchloom.operators import validate as V
 from matchloom.plans.registry import query
 from matchloom.session import materialize, shared_dir, shuffled
-from matchloom.sources.stored import AgedTable
+from matchloom.sources.stored import AgedTable, range_width
 from matchloom.streaming import folds as Z
 
 _COLS = ["event_id", "session", "round", "user_id", "ts", "received_at", "event_type", "chosen", "recommended"]
@@ -99,10 +99,10 @@ def _(v):
 SELECT run, (SELECT count(*) FROM g WHERE (rn - 1) // 400 = run - 1) AS removed, (SELECT count(*) FROM submissions WHERE id NOT IN (SELECT id FROM g WHERE rn <= 400 * run)) AS kept, (SELECT min(id) FROM submissions WHERE id NOT IN (SELECT id FROM g WHERE rn <= 400 * run)) AS first_kept FROM r""")
 def _(v):
     """Two runs of at most 400 rows over a stored table; rows up to the cursor (half-way) that are older than 14 days go."""
-    s = v.submissions.select("id", "received_at", "fingerprint")
-    t = AgedTable(v.spark, f"{shared_dir(v.spark)}/aged-{uuid.uuid4().hex}", s.schema.simpleString()[7:-1].replace(":", " "), "id", "received_at", width=1 << 12)
-    t.load(s)
+    s = materialize(v.submissions.select("id", "received_at", "fingerprint"), "submissions")
     last = s.agg(F.max("id").alias("id"), (F.max("received_at") - F.expr("INTERVAL 14 DAYS")).cast("string").alias("before")).first()
+    t = AgedTable(v.spark, f"{shared_dir(v.spark)}/aged-{uuid.uuid4().hex}", s.schema.simpleString()[7:-1].replace(":", " "), "id", "received_at", width=range_width(last["id"]))
+    t.load(s)
     t.used_up_to(last["id"] // 2)
     out = []
     for run in (1, 2):

@@ -19,15 +19,25 @@ from pyspark.sql import functions as F
 from matchloom.session import materialize
 
 
+#: Ranges of ids that an aged table is kept in, at most, and the least width of one (fixed values).
+RANGES, WIDTH = 256, 1 << 12
+
+
+def range_width(last: int) -> int:
+    """The width of ranges up to the id ``last``: their number doesn't grow with the table."""
+    return max(WIDTH, -(-(last + 1) // RANGES))
+
+
 class Conflict(RuntimeError):
     """Another writer has changed the table since it was read."""
 
 
 class StoredTable:
-    """``schema``: DDL of the rows; ``place``: SQL of a row's place, a whole number; places are few (their folders are named in one file)."""
+    """``schema``: DDL of the rows; ``place``: SQL of a row's place, a whole number; places are few (their folders are named in one file);
+    ``key``: a column that splits a large place."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, place: str):
-        self.spark, self.root, self.schema, self.place = spark, root.rstrip("/"), schema, place
+    def __init__(self, spark: SparkSession, root: str, schema: str, place: str, key: str):
+        self.spark, self.root, self.schema, self.place, self.key = spark, root.rstrip("/"), schema, place, key
 
     def _path(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -75,8 +85,9 @@ class StoredTable:
         """New folders with all rows of ``places``: the argument of ``commit``."""
         name = f"data-{uuid.uuid4().hex}"
         columns = self.spark.createDataFrame([], self.schema).columns
-        # a place's rows go to as many tasks as they have splits: a large place isn't one task's
-        rows.select(*columns, F.expr(self.place).alias("_place")).write.partitionBy("_place").parquet(f"{self.root}/{name}")
+        # tasks get ranges of places and keys: a large place isn't one task's, and a task doesn't write a file for every place
+        t = rows.select(*columns, F.expr(self.place).alias("_place")).repartitionByRange("_place", self.key)
+        t.write.partitionBy("_place").parquet(f"{self.root}/{name}")
         have = {n.removeprefix("_place=") for n in self._names(name) if n.startswith("_place=")}
         return {str(k): f"{name}/_place={k}" if str(k) in have else "" for k in places}
 
@@ -102,8 +113,8 @@ class KeyedStore(StoredTable):
     """Rows with a unique key. ``content``: the column that tells whether two rows of a key are the same."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str, content: str, buckets: int = 16):
-        super().__init__(spark, root, schema, f"pmod(xxhash64({key}), {buckets})")
-        self.key, self.content = key, content
+        super().__init__(spark, root, schema, f"pmod(xxhash64({key}), {buckets})", key)
+        self.content = content
 
     def insert(self, rows: DataFrame, order: str, batch: int) -> None:
         """Adds the first row, by ``order``, of each key that the table lacks; logs every arrival as accepted, duplicate or conflict.
@@ -136,8 +147,8 @@ class AgedTable(StoredTable):
     """Rows with rising ids, in ranges of ``width`` ids, that go once they are old and have been used."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str, arrived: str, width: int):
-        super().__init__(spark, root, schema, f"{key} div {width}")
-        self.key, self.arrived, self.width = key, arrived, width
+        super().__init__(spark, root, schema, f"{key} div {width}", key)
+        self.arrived, self.width = arrived, width
 
     def load(self, rows: DataFrame) -> None:
         old = self.version()

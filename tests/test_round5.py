@@ -46,3 +46,19 @@ def test_odd_plans(spark):
     rows = [(1, 1, 1, "SIG", "a", "a"), (1, 1, 2, "SIG", "SIG", "a"), (1, 1, 3, "X", "SIG", None), (1, 2, 1, "Y", None, None), (1, 2, 2, "Y", "b", "b")]
     t = V.plan_warnings(spark.createDataFrame(rows, "match_id long, side int, slot int, s0 string, s1 string, s2 string"))
     assert sorted((r["warning"], r["side"], r["skill"], r["members"]) for r in t.collect()) == [("own_signature", 1, "SIG", 1), ("repeated_skill", 1, "SIG", 2), ("repeated_skill", 1, "a", 2)]
+
+
+def test_an_aged_table_has_few_ranges_and_files(spark):
+    """However large its ids; rows that come in no order don't cost a file for each task and range."""
+    import uuid
+
+    from matchloom.sources.stored import RANGES, AgedTable, range_width
+
+    last = 10**8 - 1
+    rows = spark.range(0, 10**8, 10**5).selectExpr("id", "timestamp_seconds(id) AS at").repartition(8)
+    t = AgedTable(spark, f"{S.shared_dir(spark)}/aged-{uuid.uuid4().hex}", "id bigint, at timestamp", "id", "at", width=range_width(last))
+    t.load(rows)
+    assert len(t.version()["folders"]) <= RANGES and t.read().count() == 1000
+    assert len(t.read().inputFiles()) < 2 * RANGES
+    t.used_up_to(last)
+    assert t.purge(last, "2100-01-01", 7) == 7 and t.read().agg(F.min("id")).first()[0] == 7 * 10**5
