@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom import session as S
+from matchloom.operators import features as E
 from matchloom.operators import scoring as R
 from matchloom.operators import validate as V
 from matchloom.sources.projection import Views
@@ -62,3 +63,11 @@ def test_an_aged_table_has_few_ranges_and_files(spark):
     assert len(t.read().inputFiles()) < 2 * RANGES
     t.used_up_to(last)
     assert t.purge(last, "2100-01-01", 7) == 7 and t.read().agg(F.min("id")).first()[0] == 7 * 10**5
+
+
+def test_counts_and_differences_come_from_lists(v):
+    """Weights and supports take one shuffle of sums, differences none; both are those of the long rows."""
+    counts, d = E.feature_counts(v.lists), E.list_differences(v.lists)
+    assert _plan(counts).count("Exchange") == 1 and _plan(d).count("Exchange") == 0
+    assert counts.select("family", "key", "support").exceptAll(E.support(v.features)).count() == 0 < counts.count()
+    assert d.exceptAll(E.paired_difference(v.features)).count() == 0 == E.paired_difference(v.features).exceptAll(d).count()
