@@ -19,13 +19,13 @@ def feature_index(selected: DataFrame) -> DataFrame:
 
 def design_matrix(features: DataFrame, selected: DataFrame) -> DataFrame:
     """sparse rows (match_id, indices, values) of paired differences, sorted by index."""
-    return _matrix(features, feature_index(selected))
+    from matchloom.operators.features import paired_difference
 
+    return _matrix(paired_difference(features), feature_index(selected))
 
-def _matrix(features: DataFrame, index: DataFrame) -> DataFrame:
-    from matchloom.operators.features import paired_difference
 
-    t = paired_difference(features).join(index.select("family", "key", "i"), ["family", "key"])
+def _matrix(differences: DataFrame, index: DataFrame) -> DataFrame:
+    t = differences.join(index.select("family", "key", "i"), ["family", "key"])
     g = t.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("i", "diff"))).alias("x"))
     return g.select("match_id", F.transform("x", lambda p: p["i"]).alias("indices"), F.transform("x", lambda p: p["diff"].cast("double")).alias("values"))
 
@@ -54,10 +54,17 @@ def fit_paired(matrix: DataFrame, outcomes: DataFrame, n_features: int, c: float
 
 def fit_weights(features: DataFrame, selected: DataFrame, outcomes: DataFrame, c: float = 0.05) -> DataFrame:
     """(family, key, weight) of a fit on the matches of ``outcomes`` (match_id, label)."""
-    spark = features.sparkSession
+    from matchloom.operators.features import paired_difference
+
+    return fit_differences(paired_difference(features), selected, outcomes, c)
+
+
+def fit_differences(differences: DataFrame, selected: DataFrame, outcomes: DataFrame, c: float = 0.05) -> DataFrame:
+    """``fit_weights`` from paired differences."""
+    spark = differences.sparkSession
     index = materialize(feature_index(selected).select("family", "key", "i"), "index")
     n = index.count()
-    fitted = fit_paired(_matrix(features.join(outcomes.select("match_id"), "match_id", "left_semi"), index), outcomes, n, c) if n else None
+    fitted = fit_paired(_matrix(differences.join(outcomes.select("match_id"), "match_id", "left_semi"), index), outcomes, n, c) if n else None
     # a fit's weights are one vector on the driver
     w = spark.createDataFrame([(i, x) for i, x in enumerate(fitted[0])] if fitted else [], "i int, weight double")
     return index.join(w, "i", "left").select("family", "key", F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -67,7 +74,12 @@ def predict(features: DataFrame, weights: DataFrame) -> DataFrame:
     """(match_id, p) from paired differences; logits clipped to +-30."""
     from matchloom.operators.features import paired_difference
 
-    z = paired_difference(features).join(weights.select("family", "key", "weight"), ["family", "key"], "left").groupBy("match_id").agg(F.sum(F.col("diff") * F.coalesce("weight", F.lit(0.0))).alias("z"))
+    return predict_differences(paired_difference(features), weights)
+
+
+def predict_differences(differences: DataFrame, weights: DataFrame) -> DataFrame:
+    """``predict`` from paired differences."""
+    z = differences.join(weights.select("family", "key", "weight"), ["family", "key"], "left").groupBy("match_id").agg(F.sum(F.col("diff") * F.coalesce("weight", F.lit(0.0))).alias("z"))
     z = z.withColumn("z", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z"))))
     return z.select("match_id", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
 

@@ -102,8 +102,8 @@ _DELTA = "SELECT source, grp, n, accuracy - a2 AS accuracy, log_loss - l2 AS log
 def _scored(v):
     """Two models' probabilities of each valid match; groups are uploaders, fewer for two of the sources."""
     rows = v.valid.select("match_id", "source", F.expr("CASE source WHEN 'own' THEN uploader WHEN 'others' THEN uploader % 12 ELSE uploader % 4 END").alias("grp"), F.expr("if(winner = 1, 1, 0)").alias("label"))
-    a = M.predict(v.features, v.weights).withColumnRenamed("p", "pa")
-    b = M.predict(v.features, v.weights.filter("family = 'H'")).withColumnRenamed("p", "pb")
+    a = M.predict_differences(v.differences, v.weights).withColumnRenamed("p", "pa")
+    b = M.predict_differences(v.differences, v.weights.filter("family = 'H'")).withColumnRenamed("p", "pb")
     return rows.join(a, "match_id", "left").join(b, "match_id", "left").na.fill(0.5, ["pa", "pb"])
 
 

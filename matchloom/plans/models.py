@@ -28,18 +28,18 @@ def _held(v):
 @query("m01_paired_fit")
 def _(v):
     rows = _label(v).select("match_id", "label")
-    return M.fit_weights(v.features, E.select_features(v.support, 5, 8), rows).select("family", "key", F.round("weight", 4).alias("weight"))
+    return M.fit_differences(v.differences, E.select_features(v.support, 5, 8), rows).select("family", "key", F.round("weight", 4).alias("weight"))
 
 
 @query("m02_predictions", f"WITH {_MET} SELECT match_id, round(pa, 6) AS p FROM sc")
 def _(v):
-    p = M.predict(v.features, v.weights)
+    p = M.predict_differences(v.differences, v.weights)
     return _label(v).join(p, "match_id", "left").select("match_id", F.round(F.coalesce("p", F.lit(0.5)), 6).alias("p"))
 
 
 @query("m03_point_metrics", f"WITH {_MET} SELECT source, count(*) AS n, round(avg(CASE WHEN (pa >= 0.5) = (label = 1) THEN 1e0 ELSE 0 END), 6) AS accuracy, round(avg(-(label * ln(pa) + (1 - label) * ln(1 - pa))), 6) AS log_loss, round(avg((pa - label) ** 2), 6) AS brier, round(greatest(avg(label), 1 - avg(label)), 6) AS majority FROM sc GROUP BY 1")
 def _(v):
-    t = _label(v).join(M.predict(v.features, v.weights), "match_id", "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
+    t = _label(v).join(M.predict_differences(v.differences, v.weights), "match_id", "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
     return M.point_metrics(t, "source")
 
 
@@ -48,10 +48,10 @@ def _backtest(v, families, c=0.05, single=5, pair=8, source=None):
     m = v.valid.join(_held(v), "uploader")
     train = m.filter("NOT held").filter(F.col("source") != source if source else F.lit(True)).select("match_id", F.expr("if(winner = 1, 1, 0)").alias("label"))
     test = m.filter("held").select("match_id", F.expr("if(winner = 1, 1, 0)").alias("label"))
-    feats = v.features.filter(F.col("family").isin(*families))
-    own = feats.join(train.select("match_id"), "match_id", "left_semi")
-    w = M.fit_weights(own, E.select_features(E.support(own), single, pair), train, c)
-    p = M.predict(feats, w)
+    some = F.col("family").isin(*families)
+    own = v.lists.join(train.select("match_id"), "match_id", "left_semi")
+    w = M.fit_differences(E.list_differences(own).filter(some), E.select_features(E.feature_counts(own).filter(some), single, pair), train, c)
+    p = M.predict_differences(v.differences.filter(some), w)
     return test.join(p, "match_id", "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
 
 
@@ -81,7 +81,7 @@ def _(v):
 
 @query("m02_prior_predictions", f"{_PRIOR}, z AS (SELECT match_id, sum(CASE WHEN side = 1 THEN weight ELSE -weight END) AS z FROM features JOIN fw USING (family, key) WHERE fitted OR abs(weight) >= 1e-6 GROUP BY 1) SELECT match_id, round(1 / (1 + exp(-greatest(-30, least(30, coalesce(z, 0))))), 6) AS p FROM valid LEFT JOIN z USING (match_id)")
 def _(v):
-    p = M.predict(v.features, B.with_prior(v.weights, _counts(v)))
+    p = M.predict_differences(v.differences, B.with_prior(v.weights, _counts(v)))
     return v.valid.select("match_id").join(p, "match_id", "left").select("match_id", F.round(F.coalesce("p", F.lit(0.5)), 6).alias("p"))
 
 
