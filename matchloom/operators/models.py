@@ -150,7 +150,7 @@ def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most:
 def choice_scores(features: DataFrame, chosen: DataFrame, weights: DataFrame) -> DataFrame:
     """(event_id, p): the model's probability of the chosen option."""
     options = chosen.withColumn("option", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    u = features.join(weights, "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("weight")).alias("u"))
+    u = features.join(F.broadcast(weights), "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("weight")).alias("u"))  # MOST_FEATURES weights at most
     t = options.join(shuffled(u), ["event_id", "option"], "left").groupBy("event_id", "chosen").agg(F.sort_array(F.collect_list(F.struct("option", F.coalesce("u", F.lit(0.0)).alias("u")))).alias("x"))
     top = F.array_max(F.transform("x", lambda y: y["u"]))
     e = F.transform("x", lambda y: F.exp(y["u"] - top))
@@ -197,7 +197,8 @@ def published_state(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def explain_choice(features: DataFrame, weights: DataFrame) -> DataFrame:
     """(event_id, a, b, key, gain): the feature that speaks most for option a over option b, for every two options of an event."""
-    t = features.join(weights, "key").groupBy("event_id", "key", "weight").agg(*[F.sum(F.when(F.col("option") == o, F.col("value")).otherwise(0.0)).alias(f"v{o}") for o in range(3)])
+    # keys are pairs of catalog items at most; the features of all events are not sent, however small their files look
+    t = features.join(F.broadcast(weights), "key").groupBy("event_id", "key", "weight").agg(*[F.sum(F.when(F.col("option") == o, F.col("value")).otherwise(0.0)).alias(f"v{o}") for o in range(3)])
     gain = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col("weight") * (F.col(f"v{a}") - F.col(f"v{b}")), 6).alias("gain"))
     pairs = F.array(*[gain(a, b) for a in range(3) for b in range(3) if a != b])
     t = t.select("event_id", "key", F.explode(F.filter(pairs, lambda x: x["gain"] > 0)).alias("x")).select("event_id", "key", "x.*")

@@ -259,18 +259,19 @@ def ftrl_step(state: DataFrame | None, features: DataFrame, chosen: DataFrame, a
     """Scores a micro-batch with the state before it, then updates the state (key, z, n) once.
 
     Gradients of all events are summed by key before the update, so the order of a batch's events doesn't
-    matter. Returns (state, scored events)."""
+    matter. Keys are pairs of catalog items at most, however many events there are, so the weights are sent to the events' tasks: a batch's
+    events, many more than the size of their compressed files tells, never pass the driver. Returns (state, scored events)."""
     w = F.when(F.abs("z") <= l1, 0.0).otherwise(-(F.col("z") - F.signum("z") * l1) / ((beta + F.sqrt("n")) / alpha + l2))
     keys = features.select("key").distinct()
     old = keys.join(state, "key", "left") if state is not None else keys.withColumns({"z": F.lit(None).cast("double"), "n": F.lit(None).cast("double")})
     old = old.select("key", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("n", F.lit(0.0)).alias("n")).withColumn("w", w)
-    u = features.join(old.select("key", "w"), "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("w")).alias("u"))
+    u = features.join(F.broadcast(old.select("key", "w")), "key").groupBy("event_id", "option").agg(F.sum(F.col("value") * F.col("w")).alias("u"))
     # shifted by the event's largest score, so that no score overflows
     u = u.join(shuffled(u.groupBy("event_id").agg(F.max("u").alias("top"))), "event_id").select("event_id", "option", F.exp(F.col("u") - F.col("top")).alias("e"))
     total = u.groupBy("event_id").agg(F.sum("e").alias("total"))
     p = u.join(shuffled(total), "event_id").join(shuffled(chosen), "event_id").select("event_id", "option", (F.col("e") / F.col("total")).alias("p"), F.when(F.col("option") == F.col("chosen"), 1.0).otherwise(0.0).alias("y"))
     g = features.join(shuffled(p), ["event_id", "option"]).groupBy("key").agg(F.sum((F.col("p") - F.col("y")) * F.col("value")).alias("g"))
-    t = old.join(g, "key").withColumn("n2", F.col("n") + F.col("g") * F.col("g"))
+    t = old.join(shuffled(g), "key").withColumn("n2", F.col("n") + F.col("g") * F.col("g"))
     t = t.select("key", (F.col("z") + F.col("g") - (F.sqrt("n2") - F.sqrt("n")) / alpha * F.col("w")).alias("z"), F.col("n2").alias("n"))
     rest = state.join(keys, "key", "left_anti") if state is not None else None
     return (t.unionByName(rest) if rest is not None else t), p
