@@ -13,7 +13,7 @@ Bands: limits of a document's surprise (minus the mean log-probability of a char
 model: with the whole context, which shows texts that are too repetitive or in no known language, and with none (the model's lowest order), which shows
 texts made of unusual characters even if much of the corpus is junk of the same kind, whose contexts the whole model knows. They are learnt from
 labelled documents: the upper limit is the cut above which bad documents outweigh ``COST`` times the good ones the most, the
-lower limit likewise from below. At most about ``LABELS`` labelled rows count, drawn by a hash of the id. A limit that no label
+lower limit likewise from below. All labelled rows count. A limit that no label
 speaks for is the ``QUANTILES`` of the language's documents, moved out by ``MARGIN``. Short texts get a wider band: their surprise may be off by ``SHORT`` / sqrt(characters).
 
 Size: the model has at most ``MAX_BROADCAST`` rows if it is sent to the tasks; a larger one is joined
@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, small_batches, table, uniform, with_hot_keys
+from matchloom.llm.common import materialize, small_batches, table, with_hot_keys
 from matchloom.llm.textscan import Scan, base_counts, slices, text_buffer
+from matchloom.session import shuffled
 
 ORDER = 4
 BITS = 15
@@ -40,8 +41,8 @@ BITS = 15
 MAX_BROADCAST = 4_000_000
 #: What a short text adds to its band (by 1/sqrt(characters)).
 SHORT = 4.0
-#: Losing a good document costs so many bad ones kept; labelled rows that teach the bands, about, at most.
-COST, LABELS = 20.0, 20_000
+#: Losing a good document costs so many bad ones kept; width of the bins in which labelled rows are added up.
+COST, BIN = 20.0, 0.005
 QUANTILES, MARGIN = (0.001, 0.999), 0.1
 HALVES = 2
 #: Bytes of text that are cut into n-grams at once, and n-grams of a language that a task holds.
@@ -303,10 +304,16 @@ def score_held_out(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataF
 
 
 def _cut(labelled: DataFrame, value: F.Column, sign: int, name: str) -> DataFrame:
-    """(lang, name): the limit, half way between two values, beyond which bad documents outweigh good ones the most; no row where they never do."""
-    w = Window.partitionBy("lang").orderBy(F.col("v").desc())  # labelled rows only: about LABELS at most
+    """(lang, name): the limit, half way between two values, beyond which bad documents outweigh good ones the most; no row where they never do.
+
+    Gains are added up from above in two steps, bins of ``BIN`` and values inside a bin, so no task holds a language's labelled rows."""
     t = labelled.select("lang", (sign * value).alias("v"), "good").groupBy("lang", "v").agg(F.sum(F.when(F.col("good"), -COST).otherwise(1.0)).alias("gain"))
-    t = t.select("lang", "v", F.sum("gain").over(w).alias("gain"), F.lead("v").over(w).alias("next"))
+    t = t.withColumn("bin", F.floor(F.col("v") / BIN))
+    bins = Window.partitionBy("lang").orderBy(F.col("bin").desc())  # a language has a few thousand bins
+    b = t.groupBy("lang", "bin").agg(F.sum("gain").alias("own"), F.max("v").alias("top"))
+    b = b.select("lang", "bin", (F.sum("own").over(bins) - F.col("own")).alias("above"), F.lead("top").over(bins).alias("below"))
+    w = Window.partitionBy("lang", "bin").orderBy(F.col("v").desc())
+    t = t.join(b, ["lang", "bin"]).select("lang", "v", (F.col("above") + F.sum("gain").over(w)).alias("gain"), F.coalesce(F.lead("v").over(w), "below").alias("next"))
     best = t.groupBy("lang").agg(F.max(F.struct("gain", "v", "next")).alias("b")).filter("b.gain > 0")
     return best.select("lang", (sign * (F.col("b.v") + F.coalesce("b.next", F.col("b.v") - MARGIN)) / 2).alias(name))
 
@@ -320,9 +327,7 @@ def bands(scored: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     if labels is None:
         return limits
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
-    share = min(1.0, LABELS / max(known.count(), 1))
-    sample = known.filter(uniform("band", "label_id") < share)  # a bounded table
-    labelled = materialize(own.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("lang", "s", "s1", "a", (F.col("quality") == 1).alias("good")), "labelled")
+    labelled = materialize(own.join(shuffled(known), F.col("doc_id") == F.col("label_id")).select("lang", "s", "s1", "a", (F.col("quality") == 1).alias("good")), "labelled")
     for value, low, high in (("s", "low", "high"), ("s1", "low1", "high1")):
         limits = limits.join(_cut(labelled, F.col(value) - F.col("a"), 1, "_cut_high"), "lang", "left").join(_cut(labelled, F.col(value) + F.col("a"), -1, "_cut_low"), "lang", "left")
         limits = limits.withColumns({low: F.coalesce("_cut_low", low), high: F.coalesce("_cut_high", high)}).drop("_cut_low", "_cut_high")
