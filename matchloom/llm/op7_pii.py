@@ -17,8 +17,8 @@ Calibration: on a held-out quarter, isotonic regression maps the trees' scores t
 lowest score whose calibrated chance is ``CHANCE``. Kinds with under ``FEW`` held-out rows use the curve of all kinds. Selected spans don't overlap each other or a base span;
 a selected secret is never a part of another one that would be selected.
 
-Training reads at most about ``TRAINING_DOCS`` documents, drawn by a hash of the id; everything else
-reads whole texts of all documents. Cases: null counts as empty (no spans); very long texts are scanned
+Training reads whole texts of all documents, as everything else does; equal rows (features, kind, label) are one row with a weight, so trees and
+curves count all of them. Cases: null counts as empty (no spans); very long texts are scanned
 whole, with spans kept in sorted lists; spans that tie in probability are taken longest first; an empty table or one
 with no positive or no negative candidate gets base spans only; repeated rows get equal results;
 ``redact`` keeps all other columns, whatever their names.
@@ -38,10 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, small_batches, table, uniform
+from matchloom.llm.common import materialize, small_batches, table
 
-#: Documents that the training sample holds, about.
-TRAINING_DOCS = 20_000
 #: Calibrated chance that a selected span needs; held-out rows that a kind's own curve needs.
 CHANCE, FEW = 0.5, 50
 TREES, DEPTH = 20, 4
@@ -211,24 +209,25 @@ def examples(t: str) -> list[tuple[str, str, float]]:
     """Made-up spans for the words of a text: (words before it, value, label). The same text draws the same."""
     r = random.Random(crc32(t.encode()))
     n, mixed = r.randrange, _LETTERS + _LETTERS.upper() + "0123456789" * 2
-    key = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    key = lambda chars, k: "".join(r.choices(chars, k=k))
+    one = lambda *ways: r.choice(ways)()
     digits = lambda k: key("0123456789", k)
     word = key(_LETTERS, n(4, 9))
-    common = (f"{n(1900, 2100)}", f"{n(1, 1000)}", f"{n(24)}:{n(60):02}", f"{n(10000) / 100}", f"{n(1000, 10**7):,}", f"v{n(10)}.{n(30)}.{n(10)}", f"{n(101)}%", f"${n(1, 10**6):,}.{n(100):02}", f"{n(1, 100)}th", f"{n(1, 500)}{r.choice(['kg', 'px', 'km', 'nd', 'x', 'GB'])}", f"{r.choice(_LETTERS).upper()}{n(1, 99)}", f"{key(_LETTERS, n(3, 9))}{n(1, 99)}", f"{key(_LETTERS, 5).upper()}-{n(1, 99)}", f"{n(10000, 99999)}")
-    secret = (key(mixed, n(16, 65)), key("0123456789abcdef", r.choice([32, 40, 64])), f"{key(_LETTERS, 2)}-{key(mixed, n(20, 49))}", ".".join(key(mixed + "-_", n(20, 90)) for _ in range(3)), f"{key(_LETTERS, 2).upper()}{n(10, 99)}" + "".join(f" {n(1000, 10000)}" for _ in range(4)))
+    common = lambda: one(lambda: f"{n(1900, 2100)}", lambda: f"{n(1, 1000)}", lambda: f"{n(24)}:{n(60):02}", lambda: f"{n(10000) / 100}", lambda: f"{n(1000, 10**7):,}", lambda: f"v{n(10)}.{n(30)}.{n(10)}", lambda: f"{n(101)}%", lambda: f"${n(1, 10**6):,}.{n(100):02}", lambda: f"{n(1, 100)}th", lambda: f"{n(1, 500)}{r.choice(['kg', 'px', 'km', 'nd', 'x', 'GB'])}", lambda: f"{r.choice(_LETTERS).upper()}{n(1, 99)}", lambda: f"{key(_LETTERS, n(3, 9))}{n(1, 99)}", lambda: f"{key(_LETTERS, 5).upper()}-{n(1, 99)}", lambda: f"{n(10000, 99999)}")
+    secret = lambda: one(lambda: key(mixed, n(16, 65)), lambda: key("0123456789abcdef", r.choice([32, 40, 64])), lambda: f"{key(_LETTERS, 2)}-{key(mixed, n(20, 49))}", lambda: ".".join(key(mixed + "-_", n(20, 90)) for _ in range(3)), lambda: f"{key(_LETTERS, 2).upper()}{n(10, 99)}" + "".join(f" {n(1000, 10000)}" for _ in range(4)))
     month = r.choice(["January", "March", "May", "August", "Oktober", "mars", "junio", "Dezember"])
-    date = r.choice([f"{n(1, 32)}/{n(1, 13)}/{n(1930, 2015)}", f"{n(1930, 2015)}-{n(1, 13):02}-{n(1, 32):02}", f"{n(1, 32):02}.{n(1, 13):02}.{n(1930, 2015)}", f"{n(1, 29)} {month} {n(1930, 2015)}", f"{month} {n(1, 29)}, {n(1930, 2015)}"])
-    phone = r.choice([f"0{digits(2)} {digits(4)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(4)} {digits(6)}", f"0{digits(1)}" + "".join(f" {digits(2)}" for _ in range(4)), f"0{digits(9)}", f"[{digits(3)}] {digits(3)} {digits(4)}", r.choice(" .-").join(digits(r.choice([2, 2, 3, 4])) for _ in range(4)), f"({digits(3)}) {digits(n(5, 9))}", f"{digits(3)} {digits(n(5, 8))}"])
-    number = r.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{key(_LETTERS, 2).upper()} {digits(2)} {digits(2)} {digits(2)} {key(_LETTERS, 1).upper()}", f"{digits(8)}{key(_LETTERS, 1).upper()}", f"{digits(9)}", f"{key(_LETTERS, 1).upper()}{digits(8)}", f"{digits(3)}.{digits(3)}.{digits(3)}-{digits(2)}"])
-    password = r.choice([f"{word}{digits(n(1, 5))}", f"{word.title()}{n(10)}{r.choice('!?#')}", f"{word}{digits(1)}{key(_LETTERS, n(2, 6))}", "".join({"o": "0", "e": "3", "a": "4", "i": "1"}.get(c, c) for c in word).title() + digits(1), key(mixed + "!#_-", n(6, 14)), digits(n(4, 9))])
+    date = lambda: one(lambda: f"{n(1, 32)}/{n(1, 13)}/{n(1930, 2015)}", lambda: f"{n(1930, 2015)}-{n(1, 13):02}-{n(1, 32):02}", lambda: f"{n(1, 32):02}.{n(1, 13):02}.{n(1930, 2015)}", lambda: f"{n(1, 29)} {month} {n(1930, 2015)}", lambda: f"{month} {n(1, 29)}, {n(1930, 2015)}")
+    phone = lambda: one(lambda: f"0{digits(2)} {digits(4)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"0{digits(4)} {digits(6)}", lambda: f"0{digits(1)}" + "".join(f" {digits(2)}" for _ in range(4)), lambda: f"0{digits(9)}", lambda: f"[{digits(3)}] {digits(3)} {digits(4)}", lambda: r.choice(" .-").join(digits(r.choice([2, 2, 3, 4])) for _ in range(4)), lambda: f"({digits(3)}) {digits(n(5, 9))}", lambda: f"{digits(3)} {digits(n(5, 8))}")
+    number = lambda: one(lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"{key(_LETTERS, 2).upper()} {digits(2)} {digits(2)} {digits(2)} {key(_LETTERS, 1).upper()}", lambda: f"{digits(8)}{key(_LETTERS, 1).upper()}", lambda: f"{digits(9)}", lambda: f"{key(_LETTERS, 1).upper()}{digits(8)}", lambda: f"{digits(3)}.{digits(3)}.{digits(3)}-{digits(2)}")
+    password = lambda: one(lambda: f"{word}{digits(n(1, 5))}", lambda: f"{word.title()}{n(10)}{r.choice('!?#')}", lambda: f"{word}{digits(1)}{key(_LETTERS, n(2, 6))}", lambda: "".join({"o": "0", "e": "3", "a": "4", "i": "1"}.get(c, c) for c in word).title() + digits(1), lambda: key(mixed + "!#_-", n(6, 14)), lambda: digits(n(4, 9)))
     name = lambda kind: r.choice([x for x in NAMES[kind].split("|") if "[" not in x])
     named = lambda kind: r.choice([str, str.title, str.upper])(name(kind)) + r.choice([" ", ": ", " = ", ":", " is ", ". ", " no. "])
-    sure = r.choice([("secret", password), ("secret", password), ("contact", phone), ("id", number), ("birth", date)])
-    out = [("", r.choice(common), 0.0), ("", r.choice(secret), 1.0), (named(sure[0]), sure[1], 1.0)]
-    if sure[0] == "secret":
-        out += [(named("secret"), r.choice([key(_LETTERS, n(3, 10)), "required", "none"]), 0.0), ("", f"{word}{n(1, 99)}", 0.0)]
-    elif sure[0] == "birth":
-        out.append((r.choice(["", "on ", "since ", "until ", "am ", "le ", "el "]), date, 0.0))
+    kind, form = r.choice([("secret", password), ("secret", password), ("contact", phone), ("id", number), ("birth", date)])
+    out = [("", common(), 0.0), ("", secret(), 1.0), (named(kind), sure := form(), 1.0)]
+    if kind == "secret":
+        out += [(named("secret"), one(lambda: key(_LETTERS, n(3, 10)), lambda: "required", lambda: "none"), 0.0), ("", f"{word}{n(1, 99)}", 0.0)]
+    elif kind == "birth":
+        out.append((r.choice(["", "on ", "since ", "until ", "am ", "le ", "el "]), sure, 0.0))
     return out
 
 
@@ -301,21 +300,19 @@ def _tree(node) -> tuple:
     return (int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def train(docs: DataFrame, max_docs: int = TRAINING_DOCS) -> dict | None:
-    """Trees, their weights and each kind's threshold; None where the sample can't teach anything."""
+def train(docs: DataFrame) -> dict | None:
+    """Trees, their weights and each kind's threshold; None where the documents can't teach anything."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     small_batches(docs.sparkSession)
-    n = docs.count()
-    share = min(1.0, max_docs / max(n, 1))
-    rows = docs.filter(uniform("pii", "doc_id") < share).select("text").mapInArrow(_training_task, "x array<double>, label double, kind string")
+    rows = docs.select("text").mapInArrow(_training_task, "x array<double>, label double, kind string").groupBy("x", "label", "kind").agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows = materialize(rows.withColumn("held", F.pmod(F.xxhash64(F.col("x")), F.lit(4)) == 0), "pii").withColumn("features", array_to_vector("x"))
     fit, held = rows.filter("not held"), rows.filter("held")
     if fit.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1).fit(fit)
-    seen = model.transform(held).select("kind", "label", F.floor(vector_to_array("probability")[1] * 200).alias("bin")).groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1, weightCol="n").fit(fit)
+    seen = model.transform(held).select("kind", "label", "n", F.floor(vector_to_array("probability")[1] * 200).alias("bin")).groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     # at most 201 rows a kind
     return {"trees": [_tree(t._call_java("rootNode")) for t in model.trees], "weights": list(model.treeWeights), "thresholds": thresholds([(x["kind"], x["bin"] / 200, x["good"], x["n"]) for x in seen])}
 
