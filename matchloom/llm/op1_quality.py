@@ -142,16 +142,45 @@ def train(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _packed_task(batches):
+    """Keys and probabilities of each language, order and kind as bytes, 12 for each row."""
+    names = ["lang", "k", "is_ctx", "keys", "logps"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    held: dict[tuple, list] = {}
+
+    def sent() -> pa.RecordBatch:
+        rows = [(*x, *(np.concatenate(c).tobytes() for c in zip(*parts, strict=True))) for x, parts in held.items()]
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    n = 0
+    for b in batches:
+        lang, k, c, key, p = (b.column(b.schema.get_field_index(x)) for x in ("lang", "k", "is_ctx", "key", "logp"))
+        lang, key, p = lang.dictionary_encode(), key.to_numpy(), p.to_numpy()
+        group = (lang.indices.to_numpy().astype(np.int64) * (ORDER + 1) + k.to_numpy()) * 2 + c.to_numpy()
+        for g in np.unique(group):
+            own = group == g
+            held.setdefault((lang.dictionary[int(g) // 2 // (ORDER + 1)].as_py(), int(g) // 2 % (ORDER + 1), int(g) % 2), []).append((key[own], p[own]))
+        n += b.num_rows
+        if n >= HELD:
+            yield sent()
+            held, n = {}, 0
+    if n:
+        yield sent()
+
+
 def pack(model: DataFrame) -> dict:
-    """Sorted key arrays by language, order and kind."""
-    t = model.toArrow()
-    langs, k, c = np.array(t["lang"].to_pylist(), dtype=object), t["k"].to_numpy(), t["is_ctx"].to_numpy()
-    key, p, out = t["key"].to_numpy(), t["logp"].to_numpy().astype(np.float32), {}
-    for lang in set(langs):
+    """Sorted key arrays by language, order and kind. Tasks make bytes of the rows, so the driver has no object for a row."""
+    parts: dict[tuple, list] = {}
+    rows = model.select("lang", "k", "is_ctx", "key", "logp").mapInArrow(_packed_task, "lang string, k int, is_ctx int, keys binary, logps binary")
+    for b in rows.toArrow().to_batches():
+        for i, x in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+            parts.setdefault(x, []).append(tuple(np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((3, np.int64), (4, np.float32))))
+    out = {}
+    for lang in {x[0] for x in parts}:
         for i in range(1, ORDER + 1):
             for j in (0, 1):
-                at = np.flatnonzero((langs == lang) & (k == i) & (c == j))
-                at = at[np.argsort(key[at], kind="stable")]
+                key, p = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.float32)), *parts.pop((lang, i, j), []), strict=True))
+                at = np.argsort(key, kind="stable")
                 out[lang, i, j] = (key[at], p[at])
     return out
 
