@@ -8,7 +8,7 @@ edit on are computed again. Pieces come from the vocabulary's split pattern; ``a
 split again from the last piece before the change and stop where old and new pieces agree.
 
 Spark deals the rows; each task encodes whole texts and keeps the codes of recent pieces (memory bounded
-in bytes, ``REMEMBERED``). Cases: null counts as an empty text (no tokens); repeated rows get equal results; very long
+in bytes, ``REMEMBERED``) until it ends: a worker serves later steps too, and keeps only the vocabulary for them. Cases: null counts as an empty text (no tokens); repeated rows get equal results; very long
 texts and pieces are encoded whole, in time proportional to their length. Of pairs of equal rank the leftmost merges first, as
 in the public library; an empty table gives no rows; other columns than doc_id and text are not read, whatever their names.
 """
@@ -28,8 +28,8 @@ from matchloom.llm.common import small_batches, table
 from matchloom.llm.textscan import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of pieces and codes that a worker remembers, about, in each of two generations, and pairs of tokens.
-REMEMBERED, PAIRS = 40_000_000, 250_000
+#: Bytes of pieces and codes that a task remembers, about, in each of two generations, pairs of tokens, and edges of tokens.
+REMEMBERED, PAIRS, EDGES = 40_000_000, 250_000, 20_000
 
 
 def default_paths() -> tuple[str, str]:
@@ -91,6 +91,8 @@ class Vocabulary:
                 if (h := self.halves(token)) is None:
                     break
                 end, token = token, h[side]
+            if len(self._edges) > EDGES:
+                self._edges.clear()
             self._edges[key] = out
         return self._edges[key]
 
@@ -119,6 +121,11 @@ class Vocabulary:
         self._pairs[key] = ok
         return ok
 
+    def forget(self) -> None:
+        """Drops what was worked out for pairs of tokens; it is worked out again when it is needed."""
+        self._pairs.clear()
+        self._edges.clear()
+
     def encode_piece(self, b: bytes) -> list[int]:
         whole = self.ranks.get(b)
         return [whole] if whole is not None else Prefixes(self, b).ids()
@@ -259,44 +266,53 @@ class Codes:
 
 
 @lru_cache(maxsize=1)
-def _held(path: str, pattern: str) -> tuple[Vocabulary, Codes]:
-    v = load(path, pattern)
-    return v, Codes(v)
-
-
-def _task(path: str, pattern: str):
-    def run(batches):
-        v, codes = _held(path, pattern)
-        split = v.split.findall
-        for whole in batches:
-            for b in slices(whole, "text"):
-                every = [split(t.as_py() or "") for t in b.column(1)]
-                new = codes.learn(set().union(*every))
-                n_tokens, ids_sha, decoded_sha = [], [], []
-                for pieces in every:
-                    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-                    for i in range(0, len(pieces), 50_000):
-                        part = pieces[i : i + 50_000]
-                        got = " ".join([new[p] for p in part])
-                        ids.update((b" " if i else b"") + got.encode())
-                        decoded.update("".join(part).encode())
-                        n += got.count(" ") + 1
-                    n_tokens.append(n)
-                    ids_sha.append(ids.hexdigest())
-                    decoded_sha.append(decoded.hexdigest())
-                yield pa.record_batch([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run
-
-
-def _ids_task(path: str, pattern: str):
-    def run(batches):
-        v = _held(path, pattern)[0]
-        for b in batches:
-            ids = [v.encode(t.as_py() or "") for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return run
+def _held(path: str, pattern: str) -> Vocabulary:
+    return load(path, pattern)
+
+
+def _released(run):
+    """A task that leaves nothing but the vocabulary in its worker, which stays for other tasks."""
+
+    def task(path: str, pattern: str):
+        def over(batches):
+            v = _held(path, pattern)
+            try:
+                yield from run(v, batches)
+            finally:
+                v.forget()
+
+        return over
+
+    return task
+
+
+@_released
+def _task(v: Vocabulary, batches):
+    codes, split = Codes(v), v.split.findall
+    for whole in batches:
+        for b in slices(whole, "text"):
+            every = [split(t.as_py() or "") for t in b.column(1)]
+            new = codes.learn(set().union(*every))
+            n_tokens, ids_sha, decoded_sha = [], [], []
+            for pieces in every:
+                ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+                for i in range(0, len(pieces), 50_000):
+                    part = pieces[i : i + 50_000]
+                    got = " ".join([new[p] for p in part])
+                    ids.update((b" " if i else b"") + got.encode())
+                    decoded.update("".join(part).encode())
+                    n += got.count(" ") + 1
+                n_tokens.append(n)
+                ids_sha.append(ids.hexdigest())
+                decoded_sha.append(decoded.hexdigest())
+            yield pa.record_batch([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+@_released
+def _ids_task(v: Vocabulary, batches):
+    for b in batches:
+        ids = [v.encode(t.as_py() or "") for t in b.column(1)]
+        yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -306,14 +322,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     return docs.select("doc_id", "text").mapInArrow(_ids_task(path or p, pattern or r), "doc_id long, ids array<int>")
 
 
-def _decode_task(path: str, pattern: str):
-    def run(batches):
-        v = _held(path, pattern)[0]
-        for b in batches:
-            texts = [v.decode(i.as_py() or []).decode("utf-8", "replace") for i in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return run
+@_released
+def _decode_task(v: Vocabulary, batches):
+    for b in batches:
+        texts = [v.decode(i.as_py() or []).decode("utf-8", "replace") for i in b.column(1)]
+        yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
