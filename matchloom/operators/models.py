@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,27 +100,39 @@ def point_metrics(scored: DataFrame, *by: str) -> DataFrame:
 MOST_FEATURES, STEPS, L2, RATE = 5000, 200, 0.05, 0.25
 
 
-def _gradient_task(weights: list[float]):
-    """Sums of residual times value by feature, for a task's events: rows (chosen, options, indices, values)."""
+#: Events that a written block holds (fixed value).
+BLOCK = 1000
 
-    def run(batches):
+
+def _blocks_task(batches):
+    """Rows (chosen, option, i, value) of up to BLOCK events as one row of bytes each, with the events' numbers of features."""
+    import numpy as np
+    import pyarrow as pa
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, BLOCK):
+            b = whole.slice(start, BLOCK)
+            flat = lambda c, kind, b=b: b.column(c).flatten().to_numpy(zero_copy_only=False).astype(kind)
+            parts = [b.column("chosen").to_numpy().astype(np.int8), b.column("i").value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), flat("option", np.int8), flat("i", np.int32), flat("value", np.float64)]
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["chosen", "sizes", "option", "i", "value"])
+
+
+def _gradient_task(w):
+    """Sums of residual times value by feature, for a task's blocks."""
+
+    def run(blocks):
         import numpy as np
-        import pyarrow as pa
-
-        w, total = np.array(weights), np.zeros(len(weights))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sizes = b.column("i").value_lengths().to_numpy(zero_copy_only=False)
-            event = np.repeat(np.arange(b.num_rows), sizes)
-            flat = lambda c, b=b: b.column(c).flatten().to_numpy(zero_copy_only=False)
-            option, at, x = flat("option"), flat("i"), flat("value")
-            u = np.bincount(event * 3 + option, x * w[at], minlength=3 * b.num_rows).reshape(-1, 3)
+
+        total = np.zeros(len(w))
+        for b in blocks:
+            chosen, sizes, option, at, x = (np.frombuffer(b[c], kind) for c, kind in (("chosen", np.int8), ("sizes", np.int32), ("option", np.int8), ("i", np.int32), ("value", np.float64)))
+            event = np.repeat(np.arange(len(chosen)), sizes)
+            u = np.bincount(event * 3 + option, x * w[at], minlength=3 * len(chosen)).reshape(-1, 3)
             p = np.exp(u - u.max(axis=1, keepdims=True))
             r = -p / p.sum(axis=1, keepdims=True)
-            r[np.arange(b.num_rows), b.column("chosen").to_numpy()] += 1
+            r[np.arange(len(chosen)), chosen] += 1
             total += np.bincount(at, r[event, option] * x, minlength=len(w))
-        yield pa.record_batch([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(total)], names=["i", "g"])
+        yield total
 
     return run
 
@@ -128,8 +141,11 @@ def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most:
     """Conditional choice logit over three options by full-batch gradient steps with a falling rate: (key, weight).
 
     ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). The ``most`` features with the
-    largest support are fitted, so their weights are a short list that each step sends to the tasks; a task adds up its
-    events' gradients and a step's result is a row for each feature. Events are written once, a row each."""
+    largest support are fitted, so their weights are a short vector that each step sends to the tasks; a task adds up its
+    events' gradients, and the tasks' vectors are added up by tree. Events are written once, in blocks. A step is a job over the one plan that
+    reads them: steps that are queries of their own leave their plans, stages and result rows on the driver."""
+    import numpy as np
+
     spark = features.sparkSession
     n = chosen.count()
     held = features.join(shuffled(chosen), "event_id", "left_semi")
@@ -138,13 +154,13 @@ def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most:
     index = spark.createDataFrame(list(enumerate(keys)), "i int, key string")
     rows = held.join(F.broadcast(index), "key").groupBy("event_id").agg(F.collect_list(F.struct("option", "i", "value")).alias("x")).join(shuffled(chosen), "event_id")
     field = lambda c, t: F.transform("x", lambda y: y[c].cast(t)).alias(c)
-    rows = materialize(rows.select(F.col("chosen").cast("int").alias("chosen"), field("option", "int"), field("i", "int"), field("value", "double")), "choice")
-    weights = [0.0] * len(keys)
+    rows = rows.select(F.col("chosen").cast("int").alias("chosen"), field("option", "int"), field("i", "int"), field("value", "double"))
+    blocks = materialize(rows.mapInArrow(_blocks_task, "chosen binary, sizes binary, option binary, i binary, value binary"), "choice").rdd
+    weights = np.zeros(len(keys))
     for step in range(steps if keys else 0):
-        g = dict(rows.mapInArrow(_gradient_task(weights), "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect())
-        rate = RATE / (1 + step / 100) ** 0.5
-        weights = [w + rate * (g.get(i, 0.0) / max(n, 1) - L2 * w) for i, w in enumerate(weights)]
-    return index.select("i", "key").join(spark.createDataFrame(list(enumerate(weights)), "i int, weight double"), "i").select("key", "weight")
+        g = blocks.mapPartitions(_gradient_task(weights)).treeReduce(add)
+        weights = weights + RATE / (1 + step / 100) ** 0.5 * (g / max(n, 1) - L2 * weights)
+    return index.select("i", "key").join(spark.createDataFrame(list(enumerate(weights.tolist())), "i int, weight double"), "i").select("key", "weight")
 
 
 def choice_scores(features: DataFrame, chosen: DataFrame, weights: DataFrame) -> DataFrame:
