@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import materialize, small_batches, table, with_hot_keys
 from matchloom.llm.textscan import mix, slices, text_buffer
+from matchloom.session import shuffled
 
 MIN_LENGTH, MIN_COUNT, RATIO = 5, 3, 2
 #: One run in so many (by hash) loses a code point: the noise that the contract of the query plants.
@@ -266,7 +267,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     small_batches(words.sparkSession, 4096)
     index = words.mapInArrow(_key_task(entries, order), "key long, word string, n long")
     lookups = words.mapInArrow(_key_task(probes, order), "key long, word string, n long").toDF("key", "other", "other_n")
-    found = index.join(lookups, "key").filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    # Spark estimates lookups by the words' compressed files; they are ten rows a word and more, and are not sent
+    found = index.join(shuffled(lookups), "key").filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
     both = found.union(found.select("other", "other_n", "word", "n"))
     return both.repartition("word").dropDuplicates(["word", "other"])
 
@@ -279,7 +281,7 @@ def roots(forms: DataFrame) -> DataFrame:
     t = materialize(forms.select("word", F.coalesce("form", "word").alias("root")), "roots")
     while True:
         sizes = t.groupBy("root").agg(F.count(F.lit(1)).alias("pointers"))
-        hops = materialize(sizes.join(t.select(F.col("word").alias("root"), F.col("root").alias("next")), "root"), "hops")
+        hops = materialize(sizes.join(shuffled(t.select(F.col("word").alias("root"), F.col("root").alias("next"))), "root"), "hops")
         if hops.filter(F.col("next") != F.col("root")).isEmpty():
             return t
         t = materialize(with_hot_keys(t, hops, ["root"], "pointers").select("word", F.col("next").alias("root")), "roots")
@@ -289,10 +291,10 @@ def variants(docs: DataFrame, min_count: int = MIN_COUNT, ratio: float = RATIO)
     """(word, form, root, n, n_near, form_n) for every word of the vocabulary."""
     words = materialize(vocabulary(docs, min_count), "words")
     near = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("top"))
-    t = words.join(near, "word", "left")
+    t = words.join(shuffled(near), "word", "left")
     is_form = -F.col("top.less") >= ratio * F.col("n")
     t = materialize(t.select("word", F.when(is_form, F.col("top.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, -F.col("top.less")).alias("form_n")), "forms")
-    return t.join(roots(t), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return t.join(shuffled(roots(t)), "word").select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
