@@ -1,23 +1,24 @@
 """Paired models of many configurations at once (M02, M05): fits, selection priors, and the staged search.
 
 A configuration is a row: penalty, support floors, pairs of skills or not, and the selection prior's two strengths, smoothing and clip.
-All fits of a stage share one written table of sparse rows and one set of columns, those of the loosest floors; a
+All fits of a stage share one written table of sparse rows, taken from the matches' own lists, and one set of columns, those of the loosest floors; a
 configuration uses its own columns by a mask. An evaluation is one Spark job: tasks add up the losses and
-gradients of all configurations as a matrix, a second step adds the tasks' matrices, and the driver moves each configuration by its own L-BFGS until its
-gradient is small. Priors need no fit: an item's adjustment is added to its weight, also where the item is too rare to have one.
+gradients of all configurations as a matrix, the tasks' matrices are added up by tree, and the driver moves each configuration by its own L-BFGS until its
+gradient is small. Development matches are scored in the same way, one job for all configurations of a stage. Priors need no fit: an item's adjustment is added to its weight, also where the item is too rare to have one.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.features import paired_difference
-from matchloom.session import materialize
+from matchloom.session import materialize, shuffled
 
 
 class Config(NamedTuple):
@@ -77,70 +78,141 @@ def with_prior(weights: DataFrame, counts: DataFrame, config: Config = Config())
 # --- fits
 
 
-def sparse_rows(features: DataFrame, index: DataFrame, outcomes: DataFrame, parts: int = 64) -> DataFrame:
-    """(label, at, x) of every match of ``outcomes`` (match_id, label), written; matches without a feature stay."""
-    d = paired_difference(features).join(index.select("family", "key", "i"), ["family", "key"])
-    g = d.groupBy("match_id").agg(F.collect_list(F.struct("i", F.col("diff").cast("double").alias("d"))).alias("f"))
-    t = outcomes.join(g, "match_id", "left").withColumn("f", F.coalesce("f", F.expr("cast(array() AS array<struct<i:int,d:double>>)")))
-    rows = t.select(F.col("label").cast("int").alias("label"), F.transform("f", lambda p: p["i"]).alias("at"), F.transform("f", lambda p: p["d"]).alias("x"))
-    return materialize(rows.coalesce(parts), "sparse")
+def split_lists(lists: DataFrame, split: DataFrame | None) -> DataFrame:
+    """(label, held, plus, minus, both) of matches: features that only side 1 has, only side 2, or both.
 
+    ``lists``: rows of ``match_lists``; ``split``: (match_id, held, label), or none: all matches with their own outcome, none held out."""
+    parts = [F.array_except("a", "b").alias("plus"), F.array_except("b", "a").alias("minus"), F.array_intersect("a", "b").alias("both")]
+    if split is None:
+        return lists.select(F.col("won1").cast("int").alias("label"), F.lit(False).alias("held"), *parts)
+    return materialize(lists.join(shuffled(split), "match_id").select(F.col("label").cast("int").alias("label"), "held", *parts), "split_lists")
 
-def _slopes(w) -> Callable:
-    """Losses and gradients of all configurations over a task's rows: (k, loss, grad); the intercept is last."""
+
+def sparse_rows(own: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(label, at, x) of matches (rows of ``split_lists``), written: places of their differences in ``names``; matches without one stay."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(names, pa.string())
+        for b in batches:
+            sides = [b.column("plus"), b.column("minus")]
+            row = np.concatenate([np.repeat(np.arange(b.num_rows), c.value_lengths().to_numpy(zero_copy_only=False)) for c in sides])
+            at = np.concatenate([pc.fill_null(pc.index_in(c.flatten(), known), -1).to_numpy(zero_copy_only=False) for c in sides])
+            x = np.repeat([1.0, -1.0], [len(c.flatten()) for c in sides])
+            keep = np.flatnonzero(at >= 0)
+            keep = keep[np.argsort(row[keep], kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=b.num_rows))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c[keep], t)) for c, t in ((at, pa.int32()), (x, pa.float64()))]
+            yield pa.record_batch([b.column("label"), *lists], names=["label", "at", "x"])
+
+    return materialize(own.select("label", "plus", "minus").mapInArrow(run, "label int, at array<int>, x array<double>"), "sparse")
+
+
+def blocks(rows: DataFrame):
+    """Rows (label, at, x) as an RDD of bytes, an Arrow batch each, written; whole values in one byte. A step over them is a job, not a query."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        loss, grad = np.zeros(len(w)), np.zeros(w.shape)
         for b in batches:
-            y, lists = b.column(0).to_numpy().astype(float), b.column(1)
-            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at, x = lists.flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            small = x.astype(np.int8) if not len(x) or np.abs(x).max() < 128 else x
+            parts = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int8), b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32), small if np.array_equal(small, x) else x]
+            yield pa.record_batch([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["label", "sizes", "at", "x"])
+
+    return materialize(rows.mapInArrow(run, "label binary, sizes binary, at binary, x binary"), "blocks").rdd
+
+
+def _unpacked(b) -> tuple:
+    """(labels, the row of each value, its column, the values) of a block."""
+    import numpy as np
+
+    y, sizes, at = (np.frombuffer(b[c], kind) for c, kind in (("label", np.int8), ("sizes", np.int32), ("at", np.int32)))
+    x = np.frombuffer(b["x"], np.int8 if len(b["x"]) == len(at) else np.float64).astype(np.float64)
+    return y.astype(np.float64), np.repeat(np.arange(len(y)), sizes), at.astype(np.intp), x
+
+
+def _squares(size: int) -> Callable:
+    """A task's rows, and sums of squares by column."""
+
+    def run(blocks) -> Iterator:
+        import numpy as np
+
+        total = np.zeros(size + 1)
+        for b in blocks:
+            y, _, at, x = _unpacked(b)
+            total[:-1] += np.bincount(at, weights=x * x, minlength=size)
+            total[-1] += len(y)
+        yield total
+
+    return run
+
+
+def _slopes(w) -> Callable:
+    """Losses and gradients of all configurations over a task's rows, a row each: gradient, that of the intercept, loss."""
+
+    def run(blocks) -> Iterator:
+        import numpy as np
+
+        total = np.zeros((len(w), w.shape[1] + 1))
+        for b in blocks:
+            y, row, at, x = _unpacked(b)
             for k in range(len(w)):
-                z = w[k, -1] + np.bincount(row, weights=x * w[k, at], minlength=b.num_rows)
-                loss[k] += np.sum(np.logaddexp(0, z) - y * z)
+                z = w[k, -1] + np.bincount(row, weights=x * w[k, at], minlength=len(y))
+                total[k, -1] += np.sum(np.logaddexp(0, z) - y * z)
                 r = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
-                grad[k, :-1] += np.bincount(at, weights=x * r[row], minlength=w.shape[1] - 1)
-                grad[k, -1] += r.sum()
-        yield pa.record_batch([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(loss), pa.array(list(grad), pa.list_(pa.float64()))], names=["k", "loss", "grad"])
+                total[k, :-2] += np.bincount(at, weights=x * r[row], minlength=w.shape[1] - 1)
+                total[k, -2] += r.sum()
+        yield total
 
     return run
 
 
-def _added(batches) -> Iterator:
-    """Sums of losses and gradients by configuration."""
-    import numpy as np
-    import pyarrow as pa
+def _losses(w) -> Callable:
+    """Sums of rows, log losses, squared errors and hits of all configurations over a task's rows; logits are clipped to +-30."""
+
+    def run(blocks) -> Iterator:
+        import numpy as np
+
+        total = np.zeros((len(w), 4))
+        for b in blocks:
+            y, row, at, x = _unpacked(b)
+            for k in range(len(w)):
+                z = w[k, -1] + np.bincount(row, weights=x * w[k, at], minlength=len(y))
+                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                q = np.clip(p, 1e-12, 1 - 1e-12)
+                total[k] += len(y), -np.sum(y * np.log(q) + (1 - y) * np.log(1 - q)), np.sum((p - y) ** 2), np.sum((p >= 0.5) == (y == 1))
+        yield total
 
-    total: dict[int, list] = {}
-    for b in batches:
-        for k, loss, grad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            g = grad.values.to_numpy()
-            if k in total:
-                total[k][0] += loss
-                total[k][1] += g
-            else:
-                total[k] = [loss, np.array(g)]
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.float64()), pa.array([x[1] for x in total.values()], pa.list_(pa.float64()))], names=["k", "loss", "grad"])
+    return run
 
 
 class _Descent:
-    """L-BFGS of one configuration: ``ask`` gives the next point, ``tell`` takes its loss and gradient."""
+    """L-BFGS of one configuration: ``ask`` gives the next point, ``tell`` takes its loss and gradient.
+
+    ``curvature`` is the largest that each column's part of the loss can have. Steps are scaled by it: columns of rare
+    features are as far from their ends as those of frequent ones, however many rows there are."""
 
-    def __init__(self, size: int, tolerance: float):
+    def __init__(self, curvature, tolerance: float, start=None):
         import numpy as np
 
-        self.np, self.w, self.tolerance = np, np.zeros(size), tolerance
+        self.np, self.w, self.tolerance = np, np.zeros(len(curvature)) if start is None else start, tolerance
+        self.scale, self.idle = 1 / curvature, 0
         self.loss, self.g, self.past, self.step, self.done = math.inf, None, [], 1.0, False
-        self.d = np.zeros(size)
+        self.d = np.zeros(len(curvature))
 
     def ask(self):
         return self.w + self.step * self.d
 
     def tell(self, loss: float, g) -> None:
-        if self.g is not None and loss > self.loss + 1e-4 * self.step * float(self.g @ self.d):
+        # sums of many rows' losses differ in their last digits; a fit that they alone still move is done
+        noise = 1e-13 * abs(self.loss) if self.g is not None else 0.0
+        self.idle = 0 if loss < self.loss - noise else self.idle + 1
+        if self.g is not None and not loss <= self.loss + 1e-4 * self.step * float(self.g @ self.d) + noise:
             self.step /= 2
             self.done = self.step < 1e-12
             return
@@ -150,80 +222,91 @@ class _Descent:
                 self.past = [*self.past, (s, y)][-10:]
             self.w = self.w + s
         self.loss, self.g = loss, g
-        self.done = self.np.abs(g).max() <= self.tolerance
+        self.done = self.np.abs(g).max() <= self.tolerance or self.idle >= 50
         d, sums = -g, []
         for s, y in reversed(self.past):
             sums.append(s @ d / (s @ y))
             d = d - sums[-1] * y
+        d = d * self.scale
         if self.past:
             s, y = self.past[-1]
-            d = d * (s @ y) / (y @ y)
+            d = d * (s @ y) / (y @ (self.scale * y))
         for (s, y), a in zip(self.past, reversed(sums), strict=True):
             d = d + s * (a - y @ d / (s @ y))
-        self.d, self.step = d, 1.0 if self.past else 1.0 / max(1.0, float(self.np.abs(g).sum()))
+        self.d, self.step = d, 1.0
 
 
-def fit_many(rows: DataFrame, masks, penalties: Sequence[float], tolerance: float = 1e-6, evaluations: int = 200):
+def fit_many(rows: DataFrame, masks, penalties: Sequence[float], tolerance: float = 1e-6, starts=None):
     """Weights of each configuration, a row each, the free intercept last: mean log loss plus |w|^2 / (2 c n).
 
-    ``masks``: for each configuration, the columns that it may use; the others stay 0. ``tolerance`` is the largest part of the gradient that is left."""
+    ``rows``: (label, at, x). ``masks``: for each configuration, the columns that it may use; the others stay 0. ``tolerance`` is the
+    largest part of the gradient that is left. Evaluations end when each configuration's does, not at a number.
+    ``starts``: weights to start from, or None, for each configuration."""
     import numpy as np
 
     masks = np.asarray(masks, dtype=float)
-    n = rows.count()
-    descents = [_Descent(masks.shape[1] + 1, tolerance) for _ in masks]
-    for _ in range(evaluations if n else 0):
-        at = [k for k, d in enumerate(descents) if not d.done]
-        if not at:
-            break
+    packed = blocks(rows)
+    if packed.isEmpty():
+        return np.zeros((len(masks), masks.shape[1] + 1))
+    squares = packed.mapPartitions(_squares(masks.shape[1])).treeReduce(add)
+    n = int(squares[-1])
+    curvature = [np.append(squares[:-1] / 4 / n + 1 / (c * n), 0.25) for c in penalties]
+    starts = [w if w is None else w * np.append(m, 1.0) for w, m in zip(starts or [None] * len(masks), masks, strict=True)]
+    descents = [_Descent(h, tolerance, w) for h, w in zip(curvature, starts, strict=True)]
+    while at := [k for k, d in enumerate(descents) if not d.done]:
         w = np.stack([descents[k].ask() for k in at])
-        sums = rows.mapInArrow(_slopes(w), "k int, loss double, grad array<double>").repartition(8).mapInArrow(_added, "k int, loss double, grad array<double>").collect()
-        loss, grad = np.zeros(len(at)), np.zeros(w.shape)
-        for r in sums:
-            loss[r["k"]] += r["loss"]
-            grad[r["k"]] += np.array(r["grad"])
+        sums = packed.mapPartitions(_slopes(w)).treeReduce(add)
         for j, k in enumerate(at):
             own, strength = w[j, :-1], 1 / (penalties[k] * n)
-            g = grad[j] / n
+            g = sums[j, :-1] / n
             g[:-1] = (g[:-1] + strength * own) * masks[k]
-            descents[k].tell(loss[j] / n + strength / 2 * float(own @ own), g)
+            descents[k].tell(sums[j, -1] / n + strength / 2 * float(own @ own), g)
     return np.stack([d.w for d in descents])
 
 
-def slope_left(rows: DataFrame, weights: DataFrame, intercept: float, c: float) -> DataFrame:
-    """(i, slope): the gradient of a fit, by aggregations only; ``weights``: (i, weight). -1 is the intercept."""
-    t = rows.withColumn("m", F.monotonically_increasing_id())
-    long = t.select("m", F.explode(F.arrays_zip("at", "x")).alias("p")).select("m", F.col("p.at").alias("i"), F.col("p.x").alias("x"))
-    z = t.select("m", "label").join(long.join(weights, "i").groupBy("m").agg(F.sum(F.col("x") * F.col("weight")).alias("z")), "m", "left")
-    r = materialize(z.select("m", (1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + intercept))) - F.col("label")).alias("r")), "residuals")
+def slopes_left(rows: DataFrame, fits, penalties: Sequence[float]) -> DataFrame:
+    """(i, slope0, slope1, ...): the gradients of fits, a column each, by aggregations only; ``fits``: rows of weights, the intercept last, whose i is -1.
+
+    Weights are literals, so a row's sums need no join; each row's residuals meet its values, which are added up by column."""
     n = rows.count()
-    g = long.join(r, "m").groupBy("i").agg(F.sum(F.col("x") * F.col("r")).alias("g"))
-    g = weights.join(g, "i", "left").select("i", (F.coalesce("g", F.lit(0.0)) / n + F.col("weight") / (c * n)).alias("slope"))
-    return g.unionByName(r.agg(F.lit(-1).alias("i"), (F.sum("r") / n).alias("slope")))
+    w = [F.from_json(F.lit(json.dumps([float(x) for x in f[:-1]])), "array<double>") for f in fits]
+    dot = lambda a: F.aggregate(F.zip_with("at", "x", lambda i, x: x * F.get(a, i)), F.lit(0.0), lambda s, x: s + x)
+    z = [dot(a) + float(f[-1]) for f, a in zip(fits, w, strict=True)]
+    r = rows.select("at", "x", *[(1 / (1 + F.exp(-v)) - F.col("label")).alias(f"r{k}") for k, v in enumerate(z)])
+    names = [f"r{k}" for k in range(len(w))]
+    # the intercept is a column of ones
+    t = r.select(F.explode(F.arrays_zip(F.concat("at", F.array(F.lit(-1))).alias("i"), F.concat("x", F.array(F.lit(1.0))).alias("x"))).alias("p"), *names)
+    g = t.groupBy(F.col("p.i").alias("i")).agg(*[F.sum(F.col("p.x") * F.col(c)).alias(c) for c in names])
+    columns = rows.sparkSession.range(-1, len(fits[0]) - 1).select(F.col("id").cast("int").alias("i"))
+    own = lambda a, c: F.coalesce(F.get(a, F.nullif("i", F.lit(-1))), F.lit(0.0)) / (c * n)
+    return columns.join(g, "i", "left").select("i", *[(F.coalesce(f"r{k}", F.lit(0.0)) / n + own(a, c)).alias(f"slope{k}") for k, (a, c) in enumerate(zip(w, penalties, strict=True))])
 
 
 # --- the search
 
 
 class Search:
-    """Scores configurations on development matches. ``features``: long form of all matches; ``train`` and ``develop``: (match_id, label)."""
-
-    def __init__(self, features: DataFrame, train: DataFrame, develop: DataFrame, counts: DataFrame):
-        from matchloom.operators.features import support
-        from matchloom.operators.windows import numbered
-
-        own = features.join(train.select("match_id"), "match_id", "left_semi")
-        floor = F.when(F.col("family").isin(*SINGLE_FAMILIES), min(SINGLES)).otherwise(min(PAIRS))
-        index = numbered(support(own).filter(F.col("support") >= floor), "i", F.asc("family"), F.asc("key"))
-        self.index = materialize(index.select("family", "key", "support", (F.col("i") - 1).cast("int").alias("i")), "index")
+    """Scores configurations on development matches. ``lists`` and ``split`` as for ``split_lists``; ``counts``: rows of ``item_counts``, if priors are used."""
+
+    def __init__(self, lists: DataFrame, split: DataFrame | None = None, counts: DataFrame | None = None):
+        own = split_lists(lists, split)
+        train = own.filter("NOT held")
+        family = F.substring_index("f", ":", 1)
+        floor = F.when(family.isin(*SINGLE_FAMILIES), min(SINGLES)).otherwise(min(PAIRS))
+        support = train.select(F.explode(F.concat("plus", "minus", "both")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= floor)
         # a model's columns are one vector on the driver
-        self.columns = [(r["family"], r["support"]) for r in self.index.orderBy("i").collect()]
-        self.rows = sparse_rows(own, self.index, train)
-        test = features.join(develop.select("match_id"), "match_id", "left_semi")
-        self.differences = materialize(paired_difference(test), "differences")
-        self.develop, self.counts = develop, counts
+        found = sorted((*r["f"].split(":", 1), r["support"]) for r in support.collect())
+        self.columns = [(family, n) for family, _, n in found]
+        names = [f"{family}:{key}" for family, key, _ in found]
+        self.rows = sparse_rows(train, names)
         self.fits: dict[tuple, object] = {}
         self.scores: dict[Config, dict] = {}
+        self.counts = counts
+        if split is not None:
+            # the catalog's items that have no column come after those that have one
+            self.items = [(r["family"], f"{r['family']}:{r['key']}", r["observed"], r["expected"]) for r in counts.filter(F.col("family").isin(*SINGLE_FAMILIES)).collect()]
+            self.names = {x: i for i, x in enumerate(dict.fromkeys([*names, *(x[1] for x in self.items)]))}
+            self.develop = blocks(sparse_rows(own.filter("held"), list(self.names)))
 
     def mask(self, config: Config) -> list[bool]:
         return [s >= (config.single if f in SINGLE_FAMILIES else config.pair) and (config.skill_pairs or f != "SP") for f, s in self.columns]
@@ -232,36 +315,34 @@ class Search:
         todo = list(dict.fromkeys(c.fit for c in configs if c.fit not in self.fits))
         if todo:
             own = [Config(*f) for f in todo]
-            for f, w in zip(todo, fit_many(self.rows, [self.mask(c) for c in own], [c.c for c in own]), strict=True):
+            # a fit starts from the most similar one of its penalty
+            near = [max((g for g in self.fits if g[0] == f[0]), key=lambda g, f=f: sum(a == b for a, b in zip(f, g, strict=True)), default=None) for f in todo]
+            for f, w in zip(todo, fit_many(self.rows, [self.mask(c) for c in own], [c.c for c in own], starts=[self.fits.get(g) for g in near]), strict=True):
                 self.fits[f] = w
 
-    def logits(self, configs: Sequence[Config]) -> DataFrame:
-        """(match_id, label, z0, z1, ...): a column for each configuration, clipped to +-30."""
-        self._fit(configs)
-        fits, shapes = list(dict.fromkeys(c.fit for c in configs)), list(dict.fromkeys(c.shape for c in configs))
-        spark = self.index.sparkSession
-        values = [(i, *[float(self.fits[f][i]) for f in fits]) for i in range(len(self.columns))]
-        w = spark.createDataFrame(values, "i int, " + ", ".join(f"w{k} double" for k in range(len(fits))))
-        d = self.differences.join(self.index.join(w, "i"), ["family", "key"], "left").join(self.counts, ["family", "key"], "left")
-        sums = [F.sum(F.col("diff") * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"f{k}") for k in range(len(fits))]
-        for j, shape in enumerate(shapes):
-            sums += [F.sum(F.when((F.col("family") == family) & F.col("expected").isNotNull(), F.col("diff") * log_ratio(*shape)).otherwise(0.0)).alias(f"{family}{j}") for family in SINGLE_FAMILIES]
-        t = self.develop.join(d.groupBy("match_id").agg(*sums), "match_id", "left").na.fill(0.0)
-        z = lambda c: F.col(f"f{fits.index(c.fit)}") + float(self.fits[c.fit][-1]) + c.hero * F.col(f"H{shapes.index(c.shape)}") + c.skill * F.col(f"S{shapes.index(c.shape)}")
-        return t.select("match_id", "label", *[F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z(c))).alias(f"z{k}") for k, c in enumerate(configs)])
+    def _weights(self, config: Config):
+        """A configuration's weights of all columns and items with their prior, the intercept last."""
+        import numpy as np
+
+        fit, w = self.fits[config.fit], np.zeros(len(self.names) + 1)
+        w[: len(self.columns)], w[-1] = fit[:-1], fit[-1]
+        for family, name, observed, expected in self.items:
+            if expected is not None and expected > 0:
+                ratio = math.log((observed + config.smoothing) / (expected + config.smoothing))
+                w[self.names[name]] += (config.hero if family == "H" else config.skill) * max(-config.clip, min(config.clip, ratio))
+        return w
 
     def score(self, configs: Sequence[Config]) -> None:
+        import numpy as np
+
         todo = [c for c in dict.fromkeys(configs) if c not in self.scores]
         if not todo:
             return
-        aggs = []
-        for k in range(len(todo)):
-            p, y = 1 / (1 + F.exp(-F.col(f"z{k}"))), F.col("label")
-            q = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-            aggs += [F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias(f"l{k}"), F.avg(F.pow(p - y, 2)).alias(f"b{k}"), F.avg(F.when((p >= 0.5) == (y == 1), 1.0).otherwise(0.0)).alias(f"a{k}")]
-        r = self.logits(todo).agg(*aggs).first()
-        for k, c in enumerate(todo):
-            self.scores[c] = {"log_loss": r[f"l{k}"], "brier": r[f"b{k}"], "accuracy": r[f"a{k}"]}
+        self._fit(todo)
+        w = np.stack([self._weights(c) for c in todo])
+        sums = np.zeros((len(todo), 4)) if self.develop.isEmpty() else self.develop.mapPartitions(_losses(w)).treeReduce(add)
+        for c, (n, loss, brier, hits) in zip(todo, sums.tolist(), strict=True):
+            self.scores[c] = {"log_loss": loss / n, "brier": brier / n, "accuracy": hits / n} if n else dict.fromkeys(("log_loss", "brier", "accuracy"))
 
     def best(self, configs: Sequence[Config]) -> Config:
         """By log loss, Brier score, accuracy, then the configuration's own values."""

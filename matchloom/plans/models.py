@@ -88,8 +88,7 @@ def _(v):
 def _search(v):
     m = v.valid.join(_held(v), "uploader").select("match_id", "held", F.expr("if(winner = 1, 1, 0)").alias("label"))
     m = materialize(m, "split")
-    train = m.filter("NOT held")
-    return B.Search(v.features, train.drop("held"), m.filter("held").drop("held"), _counts(v, train))
+    return B.Search(v.lists, m, _counts(v, m.filter("NOT held")))
 
 
 @query("m05_grid_search")
@@ -105,14 +104,11 @@ def _(v):
 @query("m05_fits_are_optimal", "SELECT unnest([5e-2, 1e-1, 2e-1, 5e-1]) AS c, count(*) AS columns, true AS optimal FROM (SELECT family, key FROM features GROUP BY family, key HAVING count(DISTINCT match_id) >= CASE WHEN family IN ('H', 'S') THEN 3 ELSE 5 END)")
 def _(v):
     """Fits of four penalties in one descent; their gradients, by aggregations that share nothing with the fit, are as good as 0."""
-    label = _label(v).select("match_id", "label")
-    s = B.Search(v.features, label, label.limit(0), _counts(v))
-    out = None
-    for c, w in zip(B.PENALTIES, B.fit_many(s.rows, [[True] * len(s.columns)] * len(B.PENALTIES), B.PENALTIES), strict=True):
-        weights = v.spark.createDataFrame([(i, float(x)) for i, x in enumerate(w[:-1])], "i int, weight double")
-        t = B.slope_left(s.rows, weights, float(w[-1]), c).agg(F.lit(c).alias("c"), F.count_if(F.col("i") >= 0).alias("columns"), (F.max(F.abs("slope")) < 1e-5).alias("optimal"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    s = B.Search(v.lists)
+    slopes = B.slopes_left(s.rows, B.fit_many(s.rows, [[True] * len(s.columns)] * len(B.PENALTIES), B.PENALTIES), B.PENALTIES)
+    t = slopes.agg(F.count_if(F.col("i") >= 0).alias("columns"), *[F.max(F.abs(f"slope{k}")).alias(f"s{k}") for k in range(len(B.PENALTIES))])
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.col("columns"), (F.col(f"s{k}") < 1e-5).alias("optimal")) for k, c in enumerate(B.PENALTIES)])
+    return t.select(F.explode(each).alias("x")).select("x.*")
 
 
 @query("m06_controlled_comparison")
