@@ -104,17 +104,64 @@ MOST_FEATURES, STEPS, L2, RATE = 5000, 200, 0.05, 0.25
 BLOCK = 1000
 
 
-def _blocks_task(batches):
-    """Rows (chosen, option, i, value) of up to BLOCK events as one row of bytes each, with the events' numbers of features."""
+def _blocks_task(keys):
+    """Events' lists (chosen, x) as one row of bytes for up to BLOCK events: places in ``keys`` of the features of each event's three options
+    in turn, how many an option has, and values other than 1 with their places."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(keys, pa.string())
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(start, BLOCK)
+                x = b.column("x")
+                event = np.repeat(np.arange(b.num_rows), x.value_lengths().to_numpy(zero_copy_only=False))
+                option, f = x.flatten().flatten()
+                group = np.repeat(event * 3 + option.to_numpy(zero_copy_only=False), f.value_lengths().to_numpy(zero_copy_only=False))
+                key, value = f.flatten().flatten()
+                at = pc.fill_null(pc.index_in(key, known), -1).to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(at >= 0)
+                keep = keep[np.argsort(group[keep], kind="stable")]
+                value = value.to_numpy(zero_copy_only=False)[keep].astype(np.float64)
+                other = np.flatnonzero(value != 1)
+                parts = [b.column("chosen").to_numpy(zero_copy_only=False).astype(np.int8), np.bincount(group[keep], minlength=3 * b.num_rows).astype(np.int32), at[keep].astype(_place_type(len(keys))), other.astype(np.int32), value[other]]
+                yield pa.record_batch([pa.array([p.tobytes()], pa.binary()) for p in parts], names=list(_BLOCK))
+
+    return run
+
+
+#: Columns of a block.
+_BLOCK = ("chosen", "sizes", "i", "other", "value")
+
+
+def _place_type(n: int):
+    import numpy as np
+
+    return np.uint16 if n <= 1 << 16 else np.int32
+
+
+def _unpacked(b, n: int) -> tuple:
+    """A block's arrays; ``n`` is the number of keys."""
+    import numpy as np
+
+    return tuple(np.frombuffer(b[c], kind) for c, kind in zip(_BLOCK, (np.int8, np.int32, _place_type(n), np.int32, np.float64), strict=True))
+
+
+def _chances(sizes, at, other, value, w):
+    """Each event's probabilities of its three options."""
     import numpy as np
-    import pyarrow as pa
 
-    for whole in batches:
-        for start in range(0, whole.num_rows, BLOCK):
-            b = whole.slice(start, BLOCK)
-            flat = lambda c, kind, b=b: b.column(c).flatten().to_numpy(zero_copy_only=False).astype(kind)
-            parts = [b.column("chosen").to_numpy().astype(np.int8), b.column("i").value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), flat("option", np.int8), flat("i", np.int32), flat("value", np.float64)]
-            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["chosen", "sizes", "option", "i", "value"])
+    x = w[at]
+    x[other] *= value
+    u, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        u[some] = np.add.reduceat(x, (np.cumsum(sizes) - sizes)[some])  # options without a feature take no room
+    u = u.reshape(-1, 3)
+    p = np.exp(u - u.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def _gradient_task(w):
@@ -125,42 +172,66 @@ def _gradient_task(w):
 
         total = np.zeros(len(w))
         for b in blocks:
-            chosen, sizes, option, at, x = (np.frombuffer(b[c], kind) for c, kind in (("chosen", np.int8), ("sizes", np.int32), ("option", np.int8), ("i", np.int32), ("value", np.float64)))
-            event = np.repeat(np.arange(len(chosen)), sizes)
-            u = np.bincount(event * 3 + option, x * w[at], minlength=3 * len(chosen)).reshape(-1, 3)
-            p = np.exp(u - u.max(axis=1, keepdims=True))
-            r = -p / p.sum(axis=1, keepdims=True)
+            chosen, sizes, at, other, value = _unpacked(b, len(w))
+            r = -_chances(sizes, at, other, value, w)
             r[np.arange(len(chosen)), chosen] += 1
-            total += np.bincount(at, r[event, option] * x, minlength=len(w))
+            x = np.repeat(r.reshape(-1), sizes)
+            x[other] *= value
+            total += np.bincount(at, x, minlength=len(w))
         yield total
 
     return run
 
 
-def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most: int = MOST_FEATURES) -> DataFrame:
-    """Conditional choice logit over three options by full-batch gradient steps with a falling rate: (key, weight).
+def fit_lists(events: DataFrame, steps: int = STEPS, most: int = MOST_FEATURES) -> tuple:
+    """M07 from lists: (keys, weights). ``events``: (chosen, x), x the features of an event's options as ``option_lists`` gives them, written.
 
-    ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). The ``most`` features with the
-    largest support are fitted, so their weights are a short vector that each step sends to the tasks; a task adds up its
-    events' gradients, and the tasks' vectors are added up by tree. Events are written once, in blocks. A step is a job over the one plan that
-    reads them: steps that are queries of their own leave their plans, stages and result rows on the driver."""
+    Supports are counted out of the lists and blocks are made of a row each, so no event's features are shuffled."""
     import numpy as np
 
-    spark = features.sparkSession
-    n = chosen.count()
-    held = features.join(shuffled(chosen), "event_id", "left_semi")
-    top = held.groupBy("key").agg(F.count(F.lit(1)).alias("support")).orderBy(F.desc("support"), "key").limit(most)
-    keys = [r["key"] for r in top.orderBy("key").collect()]
-    index = spark.createDataFrame(list(enumerate(keys)), "i int, key string")
-    rows = held.join(F.broadcast(index), "key").groupBy("event_id").agg(F.collect_list(F.struct("option", "i", "value")).alias("x")).join(shuffled(chosen), "event_id")
-    field = lambda c, t: F.transform("x", lambda y: y[c].cast(t)).alias(c)
-    rows = rows.select(F.col("chosen").cast("int").alias("chosen"), field("option", "int"), field("i", "int"), field("value", "double"))
-    blocks = materialize(rows.mapInArrow(_blocks_task, "chosen binary, sizes binary, option binary, i binary, value binary"), "choice").rdd
+    n = events.count()
+    f = events.select(F.explode("x").alias("x")).select(F.explode("x.f.key").alias("key"))
+    top = f.groupBy("key").agg(F.count(F.lit(1)).alias("support")).orderBy(F.desc("support"), "key").limit(most)
+    keys = sorted(r["key"] for r in top.collect())
     weights = np.zeros(len(keys))
+    blocks = materialize(events.select("chosen", "x").mapInArrow(_blocks_task(keys), ", ".join(f"{c} binary" for c in _BLOCK)), "choice").rdd
     for step in range(steps if keys else 0):
         g = blocks.mapPartitions(_gradient_task(weights)).treeReduce(add)
         weights = weights + RATE / (1 + step / 100) ** 0.5 * (g / max(n, 1) - L2 * weights)
-    return index.select("i", "key").join(spark.createDataFrame(list(enumerate(weights.tolist())), "i int, weight double"), "i").select("key", "weight")
+    return keys, weights
+
+
+def list_scores(events: DataFrame, keys, weights) -> DataFrame:
+    """(p): the model's probability of the chosen option, for each event of lists (chosen, x)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for block in _blocks_task(keys)(batches):
+            chosen, sizes, at, other, value = _unpacked({c: block.column(c)[0].as_py() for c in _BLOCK}, len(keys))
+            yield pa.record_batch([pa.array(_chances(sizes, at, other, value, weights)[np.arange(len(chosen)), chosen])], names=["p"])
+
+    return events.select("chosen", "x").mapInArrow(run, "p double")
+
+
+def weight_rows(spark, keys, weights) -> DataFrame:
+    """(key, weight) of a fit; its weights are one short vector on the driver."""
+    return spark.createDataFrame(list(zip(keys, weights.tolist(), strict=True)), "key string, weight double")
+
+
+def choice_fit(features: DataFrame, chosen: DataFrame, steps: int = STEPS, most: int = MOST_FEATURES) -> DataFrame:
+    """Conditional choice logit over three options by full-batch gradient steps with a falling rate: (key, weight).
+
+    ``features``: (event_id, option, key, value); ``chosen``: (event_id, chosen). The ``most`` features with the
+    largest support are fitted, so their weights are a short vector that each step sends to the tasks; a task adds up its
+    events' gradients, and the tasks' vectors are added up by tree. Events are written once, in blocks. A step is a job over the one plan that
+    reads them: steps that are queries of their own leave their plans, stages and result rows on the driver."""
+    f = features.groupBy("event_id", "option").agg(F.collect_list(F.struct("key", "value")).alias("f"))
+    x = f.groupBy("event_id").agg(F.collect_list(F.struct("option", "f")).alias("x"))
+    # an event without features counts among the events
+    events = chosen.join(shuffled(x), "event_id", "left").select("chosen", F.coalesce("x", F.array().cast(x.schema["x"].dataType)).alias("x"))
+    return weight_rows(features.sparkSession, *fit_lists(materialize(events, "choice_lists"), steps, most))
 
 
 def choice_scores(features: DataFrame, chosen: DataFrame, weights: DataFrame) -> DataFrame:

@@ -125,23 +125,29 @@ u AS (SELECT event_id, option, sum(value * w) AS u FROM cf JOIN g1 USING (key) G
 g2 AS (SELECT key, sum((CASE WHEN option = chosen THEN 1e0 ELSE 0 END - p) * cf.value) / (SELECT count(*) FROM accepted) AS g FROM cf JOIN pr USING (event_id, option) JOIN accepted USING (event_id) GROUP BY 1)
 SELECT key, round(w + 0.25e0 / sqrt(1.01e0) * (g - 0.05e0 * w), 6) AS weight FROM g1 JOIN g2 USING (key)""")
 def _(v):
-    f = E.option_features(v.accepted, v.offers, v.pool)
-    return M.choice_fit(f, v.accepted.select("event_id", "chosen"), 2).select("key", F.round("weight", 6).alias("weight"))
+    return M.weight_rows(v.spark, *M.fit_lists(_choice_lists(v, v.accepted), 2)).select("key", F.round("weight", 6).alias("weight"))
+
+
+def _choice_lists(v, accepted):
+    """(chosen, held, x): what was chosen of accepted events, whether their session is held out, and their options' features, written."""
+    choices = accepted.select("event_id", "chosen", "session")
+    split = G.hash_holdout(accepted.select("session").distinct(), "session", 5)
+    choices = choices.join(shuffled(split), "session").select("event_id", "chosen", "held")
+    return materialize(E.option_lists(accepted, v.offers, v.pool).join(shuffled(choices), "event_id").select("chosen", "held", "x"), "choice_lists")
 
 
 def _choice_split(v):
-    """Features and choices of accepted events, those of held-out sessions apart."""
-    f = materialize(E.option_features(v.accepted, v.offers, v.pool), "choice_features")
-    held = G.hash_holdout(v.accepted.select("session").distinct(), "session", 5).filter("held")
-    test = v.accepted.join(shuffled(held), "session", "left_semi")
-    return f, v.accepted.join(shuffled(held), "session", "left_anti"), test
+    """Accepted events, and lists of those to fit and of those of held-out sessions."""
+    accepted = materialize(v.accepted, "accepted")
+    x = _choice_lists(v, accepted)
+    return accepted, x.filter("NOT held"), x.filter("held")
 
 
 @query("m07_choice_logit")
 def _(v):
     """All steps, over the events of sessions that aren't held out."""
-    f, train, _ = _choice_split(v)
-    return M.choice_fit(f, train.select("event_id", "chosen")).select("key", F.round("weight", 6).alias("weight"))
+    _, train, _ = _choice_split(v)
+    return M.weight_rows(v.spark, *M.fit_lists(train)).select("key", F.round("weight", 6).alias("weight"))
 
 
 _SOFT = "sm AS (SELECT event_id, unnest([0, 1, 2]) AS option, unnest([exp(score0 - mx), exp(score1 - mx), exp(score2 - mx)]) / (exp(score0 - mx) + exp(score1 - mx) + exp(score2 - mx)) AS p FROM (SELECT *, greatest(score0, score1, score2) AS mx FROM choice))"
@@ -169,10 +175,9 @@ def _(v):
 
 @query("m10_quality_gate")
 def _(v):
-    f, train, test = _choice_split(v)
-    w = M.choice_fit(f, train.select("event_id", "chosen"))
-    p = M.choice_scores(f, test.select("event_id", "chosen"), w)
-    return M.quality_gate(M.evidence_gate(v.accepted, test), p)
+    accepted, train, test = _choice_split(v)
+    p = M.list_scores(test, *M.fit_lists(train))
+    return M.quality_gate(M.evidence_gate(accepted, test), p)
 
 
 _STATE = "b AS (SELECT item AS key, CAST(sum(CASE WHEN option = chosen THEN 1 ELSE 0 END) AS DOUBLE) AS value, count(*) AS n FROM offers WHERE event_id % 4 <> 3 GROUP BY 1), a AS (SELECT item AS key, CAST(sum(CASE WHEN option = chosen THEN 1 ELSE 0 END) AS DOUBLE) AS value, count(*) AS n FROM offers GROUP BY 1)"
