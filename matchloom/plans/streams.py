@@ -162,11 +162,12 @@ def _(v):
 def _online(v):
     """The model after all accepted events have streamed by in four arrivals, each a micro-batch, so that no event is split."""
     root = f"{shared_dir(v.spark)}/arrivals-{uuid.uuid4().hex}"
-    f = materialize(E.option_features(v.accepted, v.offers, v.pool).join(shuffled(v.accepted.select("event_id", "chosen")), "event_id"), "online")
-    cuts = [float("-inf"), *f.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.001), float("inf")]
+    accepted = materialize(v.accepted, "accepted")
+    x = materialize(E.option_lists(accepted, v.offers, v.pool).join(shuffled(accepted.select("event_id", "chosen")), "event_id"), "online")
+    cuts = [float("-inf"), *x.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.001), float("inf")]
     for low, high in zip(cuts, cuts[1:], strict=False):
-        Z.landing(f.filter((F.col("event_id") > low) & (F.col("event_id") <= high)), "event_id", 1, f"{root}/landing")
-        Z.drain(Z.read(v.spark, f"{root}/landing", 1 << 30), Z.Online(v.spark, f"{root}/model").apply, checkpoint=f"{root}/progress")
+        Z.landing(x.filter((F.col("event_id") > low) & (F.col("event_id") <= high)), "event_id", 1, f"{root}/landing", Z.FILE_EVENTS)
+        Z.drain(Z.read(v.spark, f"{root}/landing", 1 << 30), Z.Online(v.spark, f"{root}/model").apply_lists, checkpoint=f"{root}/progress")
     return Z.Online(v.spark, f"{root}/model")
 
 

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from matchloom.session import shared_dir, shuffled
 
 
-def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None) -> str:
+def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None, file_rows: int | None = None) -> str:
     """Writes rows as a folder of files that arrive in order, as a landing zone would hold them.
 
     Rows are cut into ``files`` ranges of ``order`` in one pass; each range then arrives as a whole, as one micro-batch of
     ``read``: rows of a range that came in a later micro-batch than others of it would be late for the watermark. For that all arrivals of a
     folder have the same number of files, more for larger ranges; those that have fewer are filled up with empty ones.
-    Given a ``path``, files are added to what has landed there."""
+    Given a ``path``, files are added to what has landed there. ``file_rows``: rows of a file, about, where they are long."""
     spark = rows.sparkSession
     path = path or f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
     t = rows.withColumn("_o", F.unix_micros(F.col(order).cast("timestamp")).cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double"))
@@ -28,7 +28,7 @@ def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None
     sizes = {r["_k"]: r["count"] for r in spark.read.parquet(staged).groupBy("_k").count().collect()}  # ``files`` numbers at most
     fs, folder = _folder(spark, path)
     held = _arrival_files(spark, path)
-    each = held or max([1, *(-(-n // FILE_ROWS) for n in sizes.values())])
+    each = held or max([1, *(-(-n // (file_rows or FILE_ROWS)) for n in sizes.values())])
     if not held:
         fs.mkdirs(_folder(spark, f"{path}/{_MARK}{each}")[1])
     count = lambda: sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(folder))
@@ -42,8 +42,8 @@ def landing(rows: DataFrame, order: str, files: int = 8, path: str | None = None
     return path
 
 
-#: Rows of a landed file, about (fixed value).
-FILE_ROWS = 250_000
+#: Rows of a landed file, about, and events with their lists of features (fixed values).
+FILE_ROWS, FILE_EVENTS = 250_000, 10_000
 _MARK = "_arrival-"
 
 
@@ -250,18 +250,87 @@ class Online:
         finally:
             rows.unpersist()
 
+    def apply_lists(self, batch: DataFrame, number: int) -> None:
+        """``apply`` for rows (event_id, chosen, x), x the features of an event's options as ``option_lists`` gives them."""
+        if number <= self.versions.last():
+            return
+        state, scored = ftrl_lists(self.versions.read(), batch)
+        scored.write.mode("overwrite").parquet(f"{self.root}/scores/batch={number}")
+        self.versions.write(state, number)
+
     def scores(self) -> DataFrame:
         """(batch, event_id, option, p, y)."""
         return self.spark.read.parquet(f"{self.root}/scores")
 
 
+def _ftrl_weight(alpha: float, beta: float, l1: float, l2: float) -> Column:
+    return F.when(F.abs("z") <= l1, 0.0).otherwise(-(F.col("z") - F.signum("z") * l1) / ((beta + F.sqrt("n")) / alpha + l2))
+
+
+def _chances_task(known: dict, gradients: bool):
+    """Scores (event_id, option, p, y) of events (event_id, chosen, x), or a task's sums of (p - y) times value (key, g)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict[str, float] = {}
+        for b in batches:
+            x = b.column("x")
+            options = x.value_lengths().to_numpy(zero_copy_only=False)
+            event = np.repeat(np.arange(b.num_rows), options)
+            option, f = x.flatten().flatten()
+            row = np.repeat(np.arange(len(option)), f.value_lengths().to_numpy(zero_copy_only=False))
+            key, value = f.flatten().flatten()
+            coded, value = key.dictionary_encode(), value.to_numpy(zero_copy_only=False)
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            w = np.array([known.get(k, 0.0) for k in names])
+            u = np.bincount(row, weights=value * w[code], minlength=len(option)) if len(code) else np.zeros(len(option))
+            # shifted by the event's largest score, so that no score overflows
+            top = np.full(b.num_rows, -np.inf)
+            np.maximum.at(top, event, u)
+            e = np.exp(u - top[event])
+            p = e / np.bincount(event, weights=e, minlength=b.num_rows)[event]
+            y = (option.to_numpy(zero_copy_only=False) == b.column("chosen").to_numpy(zero_copy_only=False)[event]).astype(np.float64)
+            if gradients:
+                for k, g in zip(names, np.bincount(code, weights=(p - y)[row] * value, minlength=len(names)).tolist(), strict=True):
+                    total[k] = total.get(k, 0.0) + g
+            else:
+                yield pa.record_batch([b.column("event_id").take(pa.array(event)), option.cast(pa.int32()), pa.array(p), pa.array(y)], names=["event_id", "option", "p", "y"])
+        if gradients:
+            yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["key", "g"])
+
+    return run
+
+
+def ftrl_lists(state: DataFrame | None, events: DataFrame, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.1, l2: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """``ftrl_step`` for events (event_id, chosen, x) with lists of their options' features: an event is scored in its own row.
+
+    Weights, of which there are as many as pairs of catalog items at most, are sent to the tasks; only the tasks' sums by key are shuffled."""
+    w = _ftrl_weight(alpha, beta, l1, l2)
+    known = {r["key"]: r["w"] for r in state.select("key", w.alias("w")).filter("w <> 0").collect()} if state is not None else {}
+    x = events.select("event_id", "chosen", "x")
+    scored = x.mapInArrow(_chances_task(known, False), "event_id long, option int, p double, y double")
+    g = x.mapInArrow(_chances_task(known, True), "key string, g double").groupBy("key").agg(F.sum("g").alias("g"))
+    old = state if state is not None else state_rows(events.sparkSession)
+    t = old.join(shuffled(g), "key", "full").select("key", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("n", F.lit(0.0)).alias("n"), "g").withColumn("w", w).withColumn("n2", F.col("n") + F.col("g") * F.col("g"))
+    fresh = F.col("g").isNotNull()
+    z = F.when(fresh, F.col("z") + F.col("g") - (F.sqrt("n2") - F.sqrt("n")) / alpha * F.col("w")).otherwise(F.col("z"))
+    return t.select("key", z.alias("z"), F.when(fresh, F.col("n2")).otherwise(F.col("n")).alias("n")), scored
+
+
+def state_rows(spark: SparkSession) -> DataFrame:
+    """A state without keys."""
+    return spark.createDataFrame([], "key string, z double, n double")
+
+
 def ftrl_step(state: DataFrame | None, features: DataFrame, chosen: DataFrame, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.1, l2: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Scores a micro-batch with the state before it, then updates the state (key, z, n) once.
 
     Gradients of all events are summed by key before the update, so the order of a batch's events doesn't
     matter. Keys are pairs of catalog items at most, however many events there are, so the weights are sent to the events' tasks: a batch's
     events, many more than the size of their compressed files tells, never pass the driver. Returns (state, scored events)."""
-    w = F.when(F.abs("z") <= l1, 0.0).otherwise(-(F.col("z") - F.signum("z") * l1) / ((beta + F.sqrt("n")) / alpha + l2))
+    w = _ftrl_weight(alpha, beta, l1, l2)
     keys = features.select("key").distinct()
     old = keys.join(state, "key", "left") if state is not None else keys.withColumns({"z": F.lit(None).cast("double"), "n": F.lit(None).cast("double")})
     old = old.select("key", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("n", F.lit(0.0)).alias("n")).withColumn("w", w)
